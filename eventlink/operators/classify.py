@@ -6,21 +6,16 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from eventlink.operators.link import Rule, Side, from_causes
-
-
-def flagged(effects: Side, causes: Side, rule: Rule, flag: str) -> Side:
-    """All effects, with ``flag`` true where one of the causes leads to them."""
-    return from_causes(effects, causes, rule, flag)
+from eventlink.operators.link import Rule, Side, flagged
 
 
 def coming_from(effects: Side, causes: Side, rule: Rule) -> Side:
     """The effects to which one of the causes leads."""
-    marked = from_causes(effects, causes, rule, "_from")
+    marked = flagged(effects, rule, _from=causes)
     return replace(marked, frame=marked.frame.filter("_from").drop("_from"))
 
 
 def not_coming_from(effects: Side, causes: Side, rule: Rule) -> Side:
     """The effects to which none of the causes leads."""
-    marked = from_causes(effects, causes, rule, "_from")
+    marked = flagged(effects, rule, _from=causes)
     return replace(marked, frame=marked.frame.filter(~F.col("_from")).drop("_from"))

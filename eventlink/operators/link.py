@@ -69,43 +69,64 @@ class Rule:
         return replace(side, frame=side.frame.withColumn("_anywhere", F.lit("")), zone="_anywhere")
 
 
-def _sums(base: Side, other: Side, rule: Rule, measures: dict[str, Column], forward: bool) -> DataFrame:
-    """Measures of ``other`` summed around every row of ``base``, zero where nothing matches."""
-    base, other = rule.place(base), rule.place(other)
-    found = running.points(other.frame, other.zone, rule.instant(F.col(other.ts)), measures)
+def _sums(base: Side, others: list[tuple[Side, dict[str, Column]]], rule: Rule, forward: bool) -> DataFrame:
+    """Measures of the other tables summed around every row of ``base``, zero where nothing matches.
+
+    All measures share one pass over ``base``; a measure is zero on the points of the other tables.
+    """
+    base = rule.place(base)
+    names = [n for _, measures in others for n in measures]
+    found = None
+    for side, measures in others:
+        side = rule.place(side)
+        every = {n: measures.get(n, F.lit(0)) for n in names}
+        part = running.points(side.frame, side.zone, rule.instant(F.col(side.ts)), every)
+        found = part if found is None else found.unionByName(part)
     found = zones.spread(found, rule.edges if not rule.any_zone else None, "zone", "zone", inward=forward)
     asked = running.probes(base.frame, base.zone, rule.instant(F.col(base.ts)))
     none, full = times.seconds(0), times.seconds(rule.length())
     start, end = (none, full) if forward else (-full, none)
-    sums = running.sums_between(found, asked, start, end, list(measures))
+    sums = running.sums_between(found, asked, start, end, names)
     sums = sums.withColumnsRenamed({"zone": "_zone", "at": "_at"})
     same = (F.col(base.zone) == F.col("_zone")) & (rule.instant(F.col(base.ts)) == F.col("_at"))
     joined = base.frame.join(sums, same, "left")
-    filled = {m: F.coalesce(m, F.lit(0)).cast("bigint") for m in measures}
+    filled = {n: F.coalesce(n, F.lit(0)).cast("bigint") for n in names}
     return joined.withColumns(filled).drop("_zone", "_at", "_anywhere")
 
 
-def _counted(base: Side, other: Side, rule: Rule, forward: bool) -> DataFrame:
-    number, flag = f"number_of_{other.word}", f"at_least_one_{other.word}"
-    counted = _sums(base, other, rule, {number: F.lit(1)}, forward)
-    return counted.withColumn(flag, F.col(number) > 0)
+def _counted(base: Side, others: tuple[Side, ...], rule: Rule, forward: bool) -> Side:
+    counts = [(other, {f"number_of_{other.word}": F.lit(1)}) for other in others]
+    counted = _sums(base, counts, rule, forward)
+    flags = {f"at_least_one_{other.word}": F.col(f"number_of_{other.word}") > 0 for other in others}
+    return replace(base, frame=counted.withColumns(flags))
 
 
-def with_effects(causes: Side, effects: Side, rule: Rule) -> Side:
-    """Causes with ``number_of_<effect>`` and ``at_least_one_<effect>``."""
-    return replace(causes, frame=_counted(causes, effects, rule, forward=True))
+def with_effects(causes: Side, *effects: Side, rule: Rule) -> Side:
+    """Causes with ``number_of_<effect>`` and ``at_least_one_<effect>`` for each table of effects."""
+    return _counted(causes, effects, rule, forward=True)
 
 
-def with_causes(effects: Side, causes: Side, rule: Rule) -> Side:
-    """Effects with ``number_of_<cause>`` and ``at_least_one_<cause>``."""
-    return replace(effects, frame=_counted(effects, causes, rule, forward=False))
+def with_causes(effects: Side, *causes: Side, rule: Rule) -> Side:
+    """Effects with ``number_of_<cause>`` and ``at_least_one_<cause>`` for each table of causes."""
+    return _counted(effects, causes, rule, forward=False)
 
 
 def with_cause_types(effects: Side, causes: Side, rule: Rule, kind: str, names: dict[str, str]) -> Side:
     """Effects with one count of causes per type. ``names``: column name to type."""
     measures = {n: (F.col(kind) == t).cast("int") for n, t in names.items()}
     listed = causes.where(F.col(kind).isin(*names.values()))
-    return replace(effects, frame=_sums(effects, listed, rule, measures, forward=False))
+    return replace(effects, frame=_sums(effects, [(listed, measures)], rule, forward=False))
+
+
+def flagged(effects: Side, rule: Rule, **causes: Side) -> Side:
+    """Effects with one flag per named table of causes: whether any of them leads to the effect."""
+    sources = [replace(side, word=name) for name, side in causes.items()]
+    marked = _counted(effects, tuple(sources), rule, forward=False).frame
+    flags = {name: F.col(f"at_least_one_{name}") for name in causes}
+    marked = marked.withColumns(flags)
+    return replace(
+        effects, frame=marked.drop(*[f"{p}_{n}" for n in causes for p in ("number_of", "at_least_one")])
+    )
 
 
 def _joined(causes: DataFrame, effects: DataFrame, a: Side, c: Side, rule: Rule) -> DataFrame:
@@ -161,8 +182,8 @@ def pairs(causes: Side, effects: Side, rule: Rule) -> DataFrame:
 
 def outer(causes: Side, effects: Side, rule: Rule) -> DataFrame:
     """All pairs with the columns and counts of both sides, then the causes and effects without a partner."""
-    a = with_effects(causes, effects, rule)
-    c = with_causes(effects, causes, rule)
+    a = with_effects(causes, effects, rule=rule)
+    c = with_causes(effects, causes, rule=rule)
     a_hit, c_hit = F.col(f"at_least_one_{effects.word}"), F.col(f"at_least_one_{causes.word}")
     matched = _joined(a.where(a_hit).suffixed(), c.where(c_hit).suffixed(), a, c, rule)
     lone_causes, lone_effects = a.where(~a_hit).suffixed(), c.where(~c_hit).suffixed()
@@ -172,11 +193,4 @@ def outer(causes: Side, effects: Side, rule: Rule) -> DataFrame:
 
 def chain(works: Side, anomalies: Side, complaints: Side, rule: Rule) -> Side:
     """Causes with the counts of both the middle and the last event, A to B and A to C."""
-    return with_effects(with_effects(works, anomalies, rule), complaints, rule)
-
-
-def from_causes(effects: Side, causes: Side, rule: Rule, flag: str) -> Side:
-    """Effects with a flag telling whether any of ``causes`` leads to them."""
-    marked = _counted(effects, replace(causes, word="_source"), rule, forward=False)
-    marked = marked.withColumn(flag, F.col("at_least_one__source"))
-    return replace(effects, frame=marked.drop("number_of__source", "at_least_one__source"))
+    return with_effects(works, anomalies, complaints, rule=rule)

@@ -42,13 +42,13 @@ def link_pairs(v: Views) -> DataFrame:
 
 @query
 def link_causes(v: Views) -> DataFrame:
-    found = link.with_effects(v.works(), v.complaints(), v.rule()).frame
+    found = link.with_effects(v.works(), v.complaints(), rule=v.rule()).frame
     return found.select("id", "type", "number_of_complaint", "at_least_one_complaint")
 
 
 @query
 def link_effects(v: Views) -> DataFrame:
-    found = link.with_causes(v.complaints(), v.works(), v.rule()).frame
+    found = link.with_causes(v.complaints(), v.works(), rule=v.rule()).frame
     return found.select("id", "number_of_cause", "at_least_one_cause")
 
 
@@ -62,7 +62,7 @@ def link_outer(v: Views) -> DataFrame:
 
 @query
 def link_calendar(v: Views) -> DataFrame:
-    found = link.with_effects(v.works(), v.complaints(), v.rule(hours=None)).frame
+    found = link.with_effects(v.works(), v.complaints(), rule=v.rule(hours=None)).frame
     return found.select("id", "number_of_complaint", "at_least_one_complaint")
 
 
@@ -74,19 +74,19 @@ def link_calendar_pairs(v: Views) -> DataFrame:
 
 @query
 def link_calendar_any_zone(v: Views) -> DataFrame:
-    found = link.with_effects(v.works(), v.complaints(), v.rule(hours=None, any_zone=True)).frame
+    found = link.with_effects(v.works(), v.complaints(), rule=v.rule(hours=None, any_zone=True)).frame
     return found.select("id", "number_of_complaint")
 
 
 @query
 def link_same_zone(v: Views) -> DataFrame:
-    found = link.with_effects(v.works(), v.complaints(), v.rule(edges=None)).frame
+    found = link.with_effects(v.works(), v.complaints(), rule=v.rule(edges=None)).frame
     return found.select("id", "number_of_complaint")
 
 
 @query
 def link_three_days(v: Views) -> DataFrame:
-    found = link.with_causes(v.complaints(), v.works(), v.rule(hours=72)).frame
+    found = link.with_causes(v.complaints(), v.works(), rule=v.rule(hours=72)).frame
     return found.select("id", "number_of_cause")
 
 
@@ -106,25 +106,25 @@ def _bursts(v: Views) -> link.Side:
 
 @query
 def effects_from_works(v: Views) -> DataFrame:
-    linked = link.with_effects(v.anomalies(), v.complaints(), v.rule())
+    linked = link.with_effects(v.anomalies(), v.complaints(), rule=v.rule())
     return classify.coming_from(linked, _works(v), v.rule()).frame.select("id", "number_of_complaint")
 
 
 @query
 def effects_not_from_works(v: Views) -> DataFrame:
-    linked = link.with_effects(v.anomalies(), v.complaints(), v.rule())
+    linked = link.with_effects(v.anomalies(), v.complaints(), rule=v.rule())
     return classify.not_coming_from(linked, _works(v), v.rule()).frame.select("id", "number_of_complaint")
 
 
 @query
 def from_works_flag(v: Views) -> DataFrame:
-    return classify.flagged(v.anomalies(), _works(v), v.rule(), "from_works").frame.select("id", "from_works")
+    return link.flagged(v.anomalies(), v.rule(), from_works=_works(v)).frame.select("id", "from_works")
 
 
 @query
 def from_work_related_anomaly(v: Views) -> DataFrame:
     middle = classify.coming_from(v.anomalies(), _works(v), v.rule())
-    found = classify.flagged(v.complaints(), middle, v.rule(), "from_work_related_anomaly").frame
+    found = link.flagged(v.complaints(), v.rule(), from_work_related_anomaly=middle).frame
     return found.select("id", "from_work_related_anomaly")
 
 
@@ -144,8 +144,8 @@ def orders_without_lines(v: Views) -> DataFrame:
 
 @query
 def abc_shares(v: Views) -> DataFrame:
-    linked = link.with_effects(v.anomalies(), v.complaints(), v.rule())
-    flagged = classify.flagged(classify.flagged(linked, _works(v), v.rule(), "works"), _bursts(v), v.rule(), "bursts")
+    linked = link.with_effects(v.anomalies(), v.complaints(), rule=v.rule())
+    flagged = link.flagged(linked, v.rule(), works=_works(v), bursts=_bursts(v))
     conditions = {
         "works": F.col("works"),
         "bursts": F.col("bursts"),
@@ -159,13 +159,13 @@ def abc_shares(v: Views) -> DataFrame:
 
 
 def _order_causes(v: Views) -> DataFrame:
-    causes = link.with_effects(v.order_works(), v.order_complaints(), v.rule()).frame
+    causes = link.with_effects(v.order_works(), v.order_complaints(), rule=v.rule()).frame
     return zones.enrich(causes, v.zone_dim().select("zone", "region"))
 
 
 @query
 def type_pct_followed(v: Views) -> DataFrame:
-    causes = link.with_effects(v.works(), v.complaints(), v.rule()).frame
+    causes = link.with_effects(v.works(), v.complaints(), rule=v.rule()).frame
     found = report.in_order(report.followed(causes, "at_least_one_complaint", "type"), "type", WORK_TYPES)
     return found.select(F.col("place").cast("bigint").alias("place"), "type", *rounded("pct"))
 
@@ -216,7 +216,7 @@ def counts_by_year_region_type(v: Views) -> DataFrame:
 
 @query
 def match_count_distribution(v: Views) -> DataFrame:
-    causes = link.with_effects(v.works(), v.complaints(), v.rule()).frame
+    causes = link.with_effects(v.works(), v.complaints(), rule=v.rule()).frame
     return report.sizes(causes, "number_of_complaint")
 
 
@@ -258,7 +258,7 @@ def attribution_in_region(v: Views) -> DataFrame:
 
 @query
 def poisson_by_type(v: Views) -> DataFrame:
-    causes = link.with_effects(v.works(), v.complaints(), v.rule()).frame
+    causes = link.with_effects(v.works(), v.complaints(), rule=v.rule()).frame
     found = stats.poisson(causes, "number_of_complaint", ["type"])
     return found.select("term", F.round("coefficient", 6).alias("coefficient"), "converged")
 
@@ -267,7 +267,7 @@ def poisson_by_type(v: Views) -> DataFrame:
 def random_baseline(v: Views) -> DataFrame:
     works = v.works()
     drawn = stats.random_events(works.frame, works.id, works.ts, works.zone, v.anomalies().frame, "id")
-    found = link.with_effects(link.Side(drawn, "cause"), v.complaints(), v.rule()).frame
+    found = link.with_effects(link.Side(drawn, "cause"), v.complaints(), rule=v.rule()).frame
     return report.sizes(found, "number_of_complaint")
 
 
@@ -310,7 +310,7 @@ def cluster_catalogue(v: Views) -> DataFrame:
 @query
 def large_cluster_breakdown(v: Views) -> DataFrame:
     side = link.Side(_complaint_rows(v), "complaint")
-    found = link.with_causes(side, v.anomalies(), v.rule()).frame
+    found = link.with_causes(side, v.anomalies(), rule=v.rule()).frame
     sized = found.withColumn("incident_related", F.col("category") == "Appearance")
     sized = sized.withColumn(
         "least",
@@ -358,7 +358,7 @@ def histogram_own_range(v: Views) -> DataFrame:
 
 @query
 def histogram_of_matches(v: Views) -> DataFrame:
-    found = link.with_effects(v.anomalies(), v.complaints(), v.rule()).frame
+    found = link.with_effects(v.anomalies(), v.complaints(), rule=v.rule()).frame
     matched = found.filter("at_least_one_complaint")
     return report.histogram(matched, "number_of_complaint", 200).select("bin", *rounded("lower", "upper"), "n")
 

@@ -60,7 +60,7 @@ complaints AS (
   SELECT *, ts::DATE AS date, CASE WHEN id % 3 = 0 THEN 'Appearance' ELSE 'Taste' END AS category
   FROM ev WHERE type = 'error'),
 od AS (
-  SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS type, zone, year(o_orderdate) AS year
+  SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS type, zone, year(o_orderdate)::INTEGER AS year
   FROM orders JOIN people ON o_custkey = customer),
 ow AS (SELECT * FROM od WHERE type <> '1-URGENT'),
 oc AS (SELECT * FROM od WHERE type = '1-URGENT'),
@@ -136,7 +136,7 @@ finished AS (
          d.start_ts AS given_start, coalesce(d.zone, 'unknown') AS zone, coalesce(z.wqz, 'unknown') AS wqz,
          coalesce(d.control_group, z.control_group, 'unknown') AS control_group,
          coalesce(d.region, z.region) AS region, d.order_id AS order_given,
-         regexp_replace(d.order_id, '^(E&|0+(?=.))', '') AS order_id,
+         CASE WHEN d.order_id LIKE 'E&%' THEN substr(d.order_id, 3) ELSE d.order_id::BIGINT::VARCHAR END AS order_id,
          coalesce(d.operation, '0') AS operation, d.intervention_type
   FROM directory d LEFT JOIN zone_dim z ON d.zone = z.zone),
 mess AS (
@@ -339,7 +339,7 @@ def _statements() -> dict[str, str]:
         FROM clustered JOIN (VALUES (3), (10)) t(least) ON run_n >= least GROUP BY ALL"""
     s["weekday_cluster_class"] = "SELECT kind, count(*) AS n FROM classed GROUP BY kind"
     hours = ", ".join(f"count(*) FILTER (WHERE hour(ts) = {h}) AS {n}" for h, n in enumerate(_HOURS))
-    s["year_cluster_hour_pivot"] = f"SELECT year(ts) AS year, kind, {hours} FROM classed GROUP BY ALL"
+    s["year_cluster_hour_pivot"] = f"SELECT year(ts)::INTEGER AS year, kind, {hours} FROM classed GROUP BY ALL"
     days = ", ".join(f"count(*) FILTER (WHERE date = DATE '2024-01-{d:02d}') AS d{d:02d}" for d in range(1, 32))
     s["zone_date_counts"] = f"SELECT zone, {days} FROM complaints GROUP BY zone"
     s["points_per_zone"] = f"SELECT zone, strftime(date, {_DAY}) AS date, count(*) AS n FROM complaints GROUP BY ALL"
@@ -382,7 +382,7 @@ def _statements() -> dict[str, str]:
         strftime(start_ts, {_TS}) AS start_ts, strftime(end_ts, {_TS}) AS end_ts FROM finished"""
     s["merge_event_spans"] = f"""SELECT order_id, operation, intervention_type, zone, wqz, control_group, region,
         strftime(min(start_ts), {_TS}) AS start_ts, strftime(max(end_ts), {_TS}) AS end_ts,
-        year(min(start_ts)) AS year, month(min(start_ts)) AS month, strftime(min(start_ts), {_DAY}) AS start_date,
+        year(min(start_ts))::INTEGER AS year, month(min(start_ts))::INTEGER AS month, strftime(min(start_ts), {_DAY}) AS start_date,
         strftime(max(end_ts), {_DAY}) AS end_date FROM finished WHERE region IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7"""
     s["merge_event_spans_q1"] = f"""SELECT order_id, operation, intervention_type, wqz,
         strftime(min(start_ts), {_TS}) AS start_ts, strftime(max(end_ts), {_TS}) AS end_ts,
@@ -467,12 +467,12 @@ def _statements() -> dict[str, str]:
     start, end = _CLOCK.format(default="00:00:00"), _CLOCK.format(default="23:59:59")
     s["free_text_time"] = f"""SELECT id, {start} AS start_time, {end} AS end_time,
         strftime({_DATE_PARSE}::DATE, {_DAY}) || ' ' || {start} AS start_ts FROM mess"""
-    s["calendar_features"] = f"""SELECT id, year(ts) AS year, month(ts) AS month, strftime(ts, {_DAY}) AS date,
-        strftime(ts, '%H:%M:%S') AS time, hour(ts) AS hour, isodow(ts) - 1 AS weekday,
+    s["calendar_features"] = f"""SELECT id, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, strftime(ts, {_DAY}) AS date,
+        strftime(ts, '%H:%M:%S') AS time, hour(ts)::INTEGER AS hour, (isodow(ts) - 1)::INTEGER AS weekday,
         round(hour(ts) + minute(ts) / 60 + second(ts) / 3600, 6) AS decimal_hour,
         round(date_diff('day', DATE '0001-01-01', ts::DATE) + 1
               + (hour(ts) + minute(ts) / 60 + second(ts) / 3600) / 24, 6) AS ordinal_datetime,
-        minute(ts) + 60 * hour(ts) AS minute_of_day FROM ev"""
+        (minute(ts) + 60 * hour(ts))::INTEGER AS minute_of_day FROM ev"""
     s["filter_window_prefix"] = f"""SELECT id, zone, strftime(ts, {_TS}) AS ts FROM od
         WHERE zone LIKE '0001%' AND ts >= TIMESTAMP '1996-05-01' AND ts < TIMESTAMP '1997-07-01'"""
     s["filter_membership"] = """SELECT id, work_type FROM mess

@@ -15,12 +15,11 @@ HIERARCHY = ("zone", "zone_name", "wqz", "control_group", "region")
 
 
 def edges_from_lists(neighbours: DataFrame, zone: str, listed: str) -> DataFrame:
-    """Directed edges ``(zone, neighbour)`` from rows holding a comma list of neighbours."""
-    exploded = neighbours.select(
+    """Directed edges ``(zone, neighbour)`` from rows holding a comma list of neighbours, as listed."""
+    return neighbours.select(
         codes.zone_code(F.col(zone)).alias("zone"),
         F.explode(codes.list_codes(F.col(listed))).alias("neighbour"),
     )
-    return tidy_edges(exploded)
 
 
 def tidy_edges(edges: DataFrame) -> DataFrame:
@@ -32,8 +31,8 @@ def tidy_edges(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, inward: bool = False) -> DataFrame:
     """Per zone, the zones it lists (or, inward, the zones listing it). One cell holds one zone's degree."""
     here, there = ("neighbour", "zone") if inward else ("zone", "neighbour")
-    tidy = tidy_edges(edges).select(F.col(here).alias("reach_zone"), F.col(there).alias("other"))
-    return tidy.groupBy("reach_zone").agg(F.collect_list("other").alias("others"))
+    known = edges.dropna(subset=["zone", "neighbour"]).filter(F.col("zone") != F.col("neighbour"))
+    return known.groupBy(F.col(here).alias("reach_zone")).agg(F.collect_set(there).alias("others"))
 
 
 def spread(df: DataFrame, edges: DataFrame | None, zone: str, out: str, inward: bool = False) -> DataFrame:

@@ -684,7 +684,8 @@ def unmatched_groups(v: Views) -> DataFrame:
 @query
 def adjacency_edges(v: Views) -> DataFrame:
     homes = v.customers().groupBy("zone").agg(F.sum("households").alias("neighbour_households"))
-    return v.edges().join(homes.withColumnRenamed("zone", "neighbour"), "neighbour", "left")
+    edges = zones.tidy_edges(v.edges())
+    return edges.join(homes.withColumnRenamed("zone", "neighbour"), "neighbour", "left")
 
 
 @query

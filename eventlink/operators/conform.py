@@ -77,9 +77,14 @@ def same_schema(parts: list[DataFrame]) -> bool:
     return all(p.columns == parts[0].columns for p in parts)
 
 
+def without_blank_rows(df: DataFrame) -> DataFrame:
+    """Without the rows that hold nothing but the name of their file."""
+    return df.filter(times.any_true([F.col(f"`{c}`").isNotNull() for c in df.columns if c != "source_file"]))
+
+
 def drop_blank(df: DataFrame) -> DataFrame:
     """Without the rows and the columns that hold nothing. One pass counts the columns' values."""
-    rows = df.dropna(how="all")
+    rows = without_blank_rows(df)
     held = rows.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     return rows.select(*[F.col(f"`{c}`") for c in df.columns if held[c]])
 
@@ -199,7 +204,7 @@ def control_planned_work(
     """
     if not same_schema(old_sheets):
         raise ValueError("the planned work sheets differ in their columns")
-    old = reduce(lambda a, b: a.unionByName(b), old_sheets).dropna(how="all")
+    old = without_blank_rows(reduce(lambda a, b: a.unionByName(b), old_sheets))
     old = planned_sheet_times(old).withColumnsRenamed({"county": "district", "zones": "zone_number"})
     new = new_sheet.withColumnRenamed("zone", "zone_number")
     rows = old.unionByName(new, allowMissingColumns=True)

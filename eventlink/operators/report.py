@@ -140,7 +140,11 @@ def histogram(
             F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
             F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
         )
-        ranged = known.join(span, "group")
+        if by:
+            ranged = known.join(span, "group")
+        else:
+            # One group: its limits are two scalars, not a join.
+            ranged = known.withColumns({c: span.select(c).scalar() for c in ("lo", "hi")})
     else:
         ranged = known.withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi))})
         ranged = ranged.filter(F.col("v").between(lo, hi))

@@ -373,7 +373,7 @@ def bursts(spark: SparkSession, path: str) -> DataFrame:
 
 def completed_works(spark: SparkSession, folders: list[str], names: DataFrame) -> DataFrame:
     """Completed works of several folders; a file that cannot be read is left out."""
-    rows = read_each(spark, folders, COMPLETED_WORKS, skip_unreadable=True).dropna(how="all")
+    rows = conform.without_blank_rows(read_each(spark, folders, COMPLETED_WORKS, skip_unreadable=True))
     placed = conform.completed_works(zones.zone_from_location(rows, "location", names))
     given = {c: F.coalesce(c, F.col(f"grid_{c}").cast("string")) for c in ("x", "y")}
     return placed.withColumns(given).drop("grid_x", "grid_y", "xy")

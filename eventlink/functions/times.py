@@ -85,6 +85,12 @@ def epoch_seconds(ts: Column) -> Column:
     return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def epoch_minutes(ts: Column) -> Column:
+    """Whole minutes since 1970 by the wall clock."""
+    day = F.datediff(ts.cast("date"), F.lit(EPOCH).cast("date")).cast("bigint")
+    return day * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
 def day_start(ts: Column) -> Column:
     return ts.cast("date").cast("timestamp_ntz")
 

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from eventlink.functions import times
 from eventlink.operators import running, zones
 
-# A slot is split once it holds more than this share of all effects, so at most 1,000 slots are.
-HOT_SHARE = 0.001
-# Slots below this many effects are left whole whatever their share.
+# A time slot of a zone is split among tasks once it holds more effects than this ..
 HOT_ROWS = 100_000
+# .. the largest slots only, and into no more parts than this, each part taking all causes of the slot.
+HOT_SLOTS = 1_000
+MOST_PARTS = 1_000
 
 
 @dataclass(frozen=True)
@@ -129,6 +130,18 @@ def flagged(effects: Side, rule: Rule, **causes: Side) -> Side:
     )
 
 
+def _crowded(effects: DataFrame, keys: list[str]) -> DataFrame:
+    """The slots to split, with the number of parts.
+
+    At most ``HOT_SLOTS`` rows, whatever the data, so they may be broadcast; a slot that does not make the
+    list holds less than one part in ``HOT_SLOTS`` of all effects.
+    """
+    load = effects.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    largest = load.orderBy(F.desc("_rows"), *keys).limit(HOT_SLOTS)
+    parts = F.least(F.ceil(F.col("_rows") / HOT_ROWS), F.lit(MOST_PARTS))
+    return F.broadcast(largest.select(*keys, parts.alias("_parts")))
+
+
 def _joined(causes: DataFrame, effects: DataFrame, a: Side, c: Side, rule: Rule) -> DataFrame:
     """Band join of two suffixed tables."""
     a_ts, c_ts = f"{a.ts}_{a.word}", f"{c.ts}_{c.word}"
@@ -152,13 +165,7 @@ def _joined(causes: DataFrame, effects: DataFrame, a: Side, c: Side, rule: Rule)
     right = right.withColumn("_slot", slot(c_at))
 
     keys = ["_match", "_slot"]
-    load = right.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    limit = F.greatest(
-        load.agg(F.sum("_rows") * F.lit(HOT_SHARE)).scalar(), F.lit(HOT_ROWS).cast("double")
-    )
-    hot = load.filter(F.col("_rows") > limit).withColumn("_parts", F.ceil(F.col("_rows") / limit)).drop("_rows")
-    # At most 1 / HOT_SHARE rows pass the filter, so this broadcast has a fixed bound.
-    hot = F.broadcast(hot)
+    hot = _crowded(right, keys)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     left = left.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     right = right.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(f"{c.id}_{c.word}"), parts))

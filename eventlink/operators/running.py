@@ -4,11 +4,11 @@ A probe at time t wants the sum over all points between t + start and t + end, b
 is a running total at the upper end less the one just before the lower end. The running total is taken
 in two steps so that no task depends on how the rows are spread over the zones:
 
-* per minute and zone, over points already summed per distinct timestamp, and
+* within a minute of a zone, over points already summed per distinct instant, and
 * over the minutes of a zone, one row per minute in use.
 
-The first group is bounded by the distinct timestamps of a minute and the second by the minutes of the
-period, however many rows a zone holds.
+The first group is bounded by the distinct instants of a minute and the second by the minutes of the
+period, however many rows a zone or an instant holds.
 """
 
 from __future__ import annotations
@@ -47,11 +47,10 @@ def sums_between(
     )
     as_probes = probe_rows.select("zone", F.col("at").alias("probe"), F.explode(ends).alias("end"))
     as_probes = as_probes.select("zone", "end.at", "end.step", "probe", *zeros)
-    rows = as_points.unionByName(as_probes)
-    rows = rows.withColumn("minute", F.floor(times.epoch_seconds(F.col("at")) / 60))
+    rows = as_points.unionByName(as_probes).withColumn("minute", times.epoch_minutes(F.col("at")))
 
     earlier = Window.partitionBy("zone").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
-    minutes = rows.groupBy("zone", "minute").agg(*[F.sum(m).alias(m) for m in measures])
+    minutes = rows.groupBy("minute", "zone").agg(*[F.sum(m).alias(m) for m in measures])
     carried = minutes.select(
         "zone",
         "minute",
@@ -61,9 +60,10 @@ def sums_between(
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(m) for m in measures],
     )
 
-    # The carried row has no instant and so sorts first.
+    # The carried row has no instant and so sorts first. The minute leads the sort, as a number tells
+    # rows apart sooner than the text of a zone.
     so_far = (
-        Window.partitionBy("zone", "minute")
+        Window.partitionBy("minute", "zone")
         .orderBy(F.asc_nulls_first("at"), "step")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

@@ -29,21 +29,20 @@ def tidy_edges(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, inward: bool = False) -> DataFrame:
-    """Per zone, the zones it lists (or, inward, the zones listing it). One cell holds one zone's degree."""
+    """Per zone, itself and the zones it lists (or, inward, that list it). One cell holds one zone's degree."""
     here, there = ("neighbour", "zone") if inward else ("zone", "neighbour")
     known = edges.dropna(subset=["zone", "neighbour"]).filter(F.col("zone") != F.col("neighbour"))
-    return known.groupBy(F.col(here).alias("reach_zone")).agg(F.collect_set(there).alias("others"))
+    listed = known.groupBy(F.col(here).alias("reach_zone")).agg(F.collect_set(there).alias("others"))
+    return listed.select("reach_zone", F.array_append("others", F.col("reach_zone")).alias("near"))
 
 
 def spread(df: DataFrame, edges: DataFrame | None, zone: str, out: str, inward: bool = False) -> DataFrame:
     """Every row once for its own zone and once for each zone within reach of it."""
     if edges is None:
         return df.withColumn(out, F.col(zone))
-    table = reach(edges, inward)
-    joined = df.join(table, df[zone] == table["reach_zone"], "left")
-    others = F.coalesce(F.col("others"), F.array().cast("array<string>"))
-    zones = F.array_append(others, F.col(zone))
-    return joined.withColumn(out, F.explode(zones)).drop("reach_zone", "others")
+    joined = df.join(reach(edges, inward), F.col(zone) == F.col("reach_zone"), "left")
+    near = F.coalesce(F.col("near"), F.array(zone))
+    return joined.withColumn(out, F.explode(near)).drop("reach_zone", "near")
 
 
 def enrich(df: DataFrame, dim: DataFrame, zone: str = "zone") -> DataFrame:

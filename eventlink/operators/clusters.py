@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlink.operators.joins import attach
+
 CLUSTER_SIZE = 3
 
 
@@ -58,12 +60,12 @@ def with_clusters(df: DataFrame, zone: str = "zone", date: str = "date", calenda
         F.col("run_n").alias("_run_n"),
         cluster_id(F.col("zone"), F.col("run_start")).alias("cluster_id"),
     )
-    joined = df.join(found, (F.col(zone) == F.col("_zone")) & (F.col(date) == F.col("_date")), "left")
+    joined = attach(df, found, [(F.col(zone), "_zone"), (F.col(date), "_date")])
     sizes = {
         "daily_cluster_size": F.coalesce("_n", F.lit(1)),
         "consecutive_cluster_size": F.coalesce("_run_n", F.lit(1)),
     }
-    return joined.withColumns(sizes).drop("_zone", "_date", "_n", "_run_n")
+    return joined.withColumns(sizes).drop("_n", "_run_n")
 
 
 def catalogue(df: DataFrame, zone: str = "zone", date: str = "date", calendar: bool = False) -> DataFrame:

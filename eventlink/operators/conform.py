@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlink.functions import codes, labels, times
 from eventlink.operators import zones
-from eventlink.operators.joins import distinct_pairs, match_left
+from eventlink.operators.joins import attach, distinct_pairs, match_left
 from eventlink.operators.medians import exact_medians
 
 # Columns of the event directory and their types.
@@ -264,8 +264,8 @@ def bursts(grouped: DataFrame, completed_works: DataFrame, postcode_zones: DataF
     A burst whose order was worked on in several zones gets one row for each. ``postcode_zones`` has
     ``postcode`` and ``zone``.
     """
-    order_zones = distinct_pairs(completed_works, "order_id", "zone")
-    placed = grouped.join(order_zones, "order_id", "left")
+    order_zones = distinct_pairs(completed_works, "order_id", "zone").withColumnRenamed("order_id", "_order")
+    placed = attach(grouped, order_zones, [(F.col("order_id"), "_order")])
     found = zones.lookup(placed, F.col("postcode"), postcode_zones, "postcode", "zone", "_by_postcode")
     zone = F.coalesce(F.col("zone"), codes.zone_code(F.col("_by_postcode")))
     filled = found.withColumns({"zone": zone, "start_ts": F.col("reported_ts"), "operation": F.lit("0")})

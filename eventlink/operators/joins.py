@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def attach(df: DataFrame, summary: DataFrame, on: list[tuple[Column, str]], how: str = "left") -> DataFrame:
+    """Join a summary to the rows it was made for. ``on``: an expression on the rows and a column of the summary.
+
+    Spark splits a crowded join key only where both sides come straight from a shuffle, and a summary
+    comes from an aggregate or a window that already has the key's partitioning. Joining on a digest of
+    the key as well calls for a shuffle of its own, which is small, and makes the sort compare numbers.
+    """
+    typed = [c.cast(summary.schema[k].dataType) for c, k in on]
+    left = df.withColumn("_digest", F.xxhash64(*typed))
+    right = summary.withColumn("_summary_digest", F.xxhash64(*[F.col(k) for _, k in on]))
+    same = F.col("_digest") == F.col("_summary_digest")
+    for c, k in on:
+        same = same & (c == F.col(k))
+    return left.join(right, same, how).drop("_digest", "_summary_digest", *[k for _, k in on])
+
+
 def in_set(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key occurs in the other table."""
     return df.join(_keys(other, other_key), F.col(key) == F.col("_key"), "left_semi")
@@ -18,8 +34,9 @@ def not_in_set(df: DataFrame, key: str, other: DataFrame, other_key: str) -> Dat
 
 def flag_in_set(df: DataFrame, key: str, other: DataFrame, other_key: str, out: str) -> DataFrame:
     """All rows with a flag for membership."""
-    joined = df.join(_keys(other, other_key).distinct(), F.col(key) == F.col("_key"), "left")
-    return joined.withColumn(out, F.col("_key").isNotNull()).drop("_key")
+    known = _keys(other, other_key).distinct().withColumn("_known", F.lit(True))
+    joined = attach(df, known, [(F.col(key), "_key")])
+    return joined.withColumn(out, F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def _keys(df: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from eventlink.functions import times
 from eventlink.operators import running, zones
+from eventlink.operators.joins import attach
 
 # A time slot of a zone is split among tasks once it holds more effects than this ..
 HOT_ROWS = 100_000
@@ -89,10 +90,9 @@ def _sums(base: Side, others: list[tuple[Side, dict[str, Column]]], rule: Rule,
     start, end = (none, full) if forward else (-full, none)
     sums = running.sums_between(found, asked, start, end, names)
     sums = sums.withColumnsRenamed({"zone": "_zone", "at": "_at"})
-    same = (F.col(base.zone) == F.col("_zone")) & (rule.instant(F.col(base.ts)) == F.col("_at"))
-    joined = base.frame.join(sums, same, "left")
+    joined = attach(base.frame, sums, [(F.col(base.zone), "_zone"), (rule.instant(F.col(base.ts)), "_at")])
     filled = {n: F.coalesce(n, F.lit(0)).cast("bigint") for n in names}
-    return joined.withColumns(filled).drop("_zone", "_at", "_anywhere")
+    return joined.withColumns(filled).drop("_anywhere")
 
 
 def _counted(base: Side, others: tuple[Side, ...], rule: Rule, forward: bool) -> Side:
@@ -188,10 +188,14 @@ def pairs(causes: Side, effects: Side, rule: Rule) -> DataFrame:
 
 
 def outer(causes: Side, effects: Side, rule: Rule) -> DataFrame:
-    """All pairs with the columns and counts of both sides, then the causes and effects without a partner."""
-    a = with_effects(causes, effects, rule=rule)
-    c = with_causes(effects, causes, rule=rule)
-    a_hit, c_hit = F.col(f"at_least_one_{effects.word}"), F.col(f"at_least_one_{causes.word}")
+    """All pairs with the columns and counts of both sides, then the causes and effects without a partner.
+
+    Sides that already carry their counts, say from a snapshot, are not counted again.
+    """
+    a_flag, c_flag = f"at_least_one_{effects.word}", f"at_least_one_{causes.word}"
+    a = causes if a_flag in causes.frame.columns else with_effects(causes, effects, rule=rule)
+    c = effects if c_flag in effects.frame.columns else with_causes(effects, causes, rule=rule)
+    a_hit, c_hit = F.col(a_flag), F.col(c_flag)
     matched = _joined(a.where(a_hit).suffixed(), c.where(c_hit).suffixed(), a, c, rule)
     lone_causes, lone_effects = a.where(~a_hit).suffixed(), c.where(~c_hit).suffixed()
     rows = matched.unionByName(lone_causes, allowMissingColumns=True)

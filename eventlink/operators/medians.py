@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlink.operators.joins import attach
+
 # Parts per doubling of the absolute value: values of one part lie within about 1.1% of each other.
 PARTS = 64
 
@@ -39,7 +41,8 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     middle = (F.col("skipped") < upper) & (F.col("skipped") + F.col("n") >= lower)
     parts = sizes.filter(middle).select(*group, "part", "skipped", lower.alias("lower"), upper.alias("upper"))
 
-    near = placed.join(parts, [*group, "part"])
+    renamed = parts.withColumnsRenamed({c: f"_{c}" for c in [*group, "part"]})
+    near = attach(placed, renamed, [(F.col(c), f"_{c}") for c in [*group, "part"]], "inner")
     counted = near.groupBy(*group, "part", "skipped", "lower", "upper", "v").agg(F.count("*").alias("n"))
     upto = Window.partitionBy(*group, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("last", F.col("skipped") + F.sum("n").over(upto))

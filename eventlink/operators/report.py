@@ -132,6 +132,8 @@ def histogram(
     """
     group = F.col(by) if by else F.lit("all")
     known = df.select(group.alias("group"), F.col(value).cast("double").alias("v")).dropna()
+    # Equal values are counted before the rows of a group have to meet their limits.
+    known = known.groupBy("group", "v").agg(F.count("*").alias("n"))
     if lo is None or hi is None:
         span = known.groupBy("group").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
         flat = F.col("lo") == F.col("hi")
@@ -150,7 +152,7 @@ def histogram(
         ranged = ranged.filter(F.col("v").between(lo, hi))
         span = ranged.select("group", "lo", "hi").distinct()
     place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    counted = ranged.groupBy("group", F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    counted = ranged.groupBy("group", F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("n"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     filled = grid.join(counted, ["group", "bin"], "left")
     width = (F.col("hi") - F.col("lo")) / bins
@@ -181,7 +183,9 @@ def density(df: DataFrame, value: str, by: str, bandwidths: dict, grid: int, cut
         (F.col("lo") - cut * width).alias("lo"),
         ((F.col("hi") - F.col("lo") + 2 * cut * width) / (grid - 1)).alias("step"),
     )
-    ranged = known.join(span.select("group", "lo", "step"), "group")
+    # One row per listed bandwidth, so the broadcast has that bound.
+    span = F.broadcast(span)
+    ranged = known.join(F.broadcast(span.select("group", "lo", "step")), "group")
     place = (F.col("v") - F.col("lo")) / F.col("step")
     cell = F.floor(place)
     split = F.array(

@@ -28,8 +28,8 @@ def poisson(df: DataFrame, label: str, factors: list[str], max_iter: int = 25) -
     data is read once instead of once per iteration. The alphabetically first level is the base.
     """
     spark = df.sparkSession
-    # R-style formulas drop the last index, so descending order makes the first name the base.
-    names = durable(grouped_counts(df, label, factors).orderBy(*factors))
+    names = durable(grouped_counts(df, label, factors))
+    # The formula drops the last index, so descending order makes the first name the base.
     formula = RFormula(
         formula="mean ~ " + " + ".join(factors), stringIndexerOrderType="alphabetDesc", featuresCol="x", labelCol="y"
     )

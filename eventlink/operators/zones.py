@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlink.functions import codes
+from eventlink.operators.joins import attach
 
 HIERARCHY = ("zone", "zone_name", "wqz", "control_group", "region")
 
@@ -75,8 +76,8 @@ def lookup(
     """Left lookup in a two-column mapping; keys outside it give null."""
     table = one_value_per_key(mapping, key, value, order)
     table = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    joined = df.join(table, on == F.col("_key"), "left")
-    return joined.withColumn(out, F.col("_value")).drop("_key", "_value")
+    joined = attach(df, table, [(on, "_key")])
+    return joined.withColumn(out, F.col("_value")).drop("_value")
 
 
 def canonicalise(df: DataFrame, column: str, mapping: DataFrame, key: str, value: str) -> DataFrame:

@@ -146,7 +146,8 @@ def link_all(spark: SparkSession, x: Extracts, spans: DataFrame, scope: Scope, o
     names = {_column(t): t for t in labels.REPORTED_TYPES}
     last = link.with_cause_types(last, a, rule, "intervention_type", names)
     complaints = snapshot(last.frame, f"{out}/complaints")
-    pairs = snapshot(link.outer(a, c, rule), f"{out}/outer")
+    pairs = link.outer(Side(causes, "cause", ts="start_ts"), Side(complaints, "complaint"), rule)
+    pairs = snapshot(pairs, f"{out}/outer")
     return Tables(causes, anomalies, complaints, pairs, scope, {"a": a, "b": b, "c": c})
 
 

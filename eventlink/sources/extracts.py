@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlink.functions import codes, labels, times
 from eventlink.operators import clusters, conform, zones
-from eventlink.operators.joins import keep_first
+from eventlink.operators.joins import attach, keep_first
 from eventlink.sources.readers import Field, Joined, Spec, read, read_each
 
 # Column names of the extracts.
@@ -284,9 +284,9 @@ def demographics(spark: SparkSession, path: str) -> DataFrame:
 
 def with_demographics(df: DataFrame, people: DataFrame) -> DataFrame:
     """Demographic levels by postcode; a postcode listed twice counts once."""
-    types = people.dropna(subset=["postcode"]).groupBy("postcode").agg(F.max("acorn59").alias("acorn59"))
+    types = zones.one_value_per_key(people, "postcode", "acorn59")
     types = types.join(labels.demographic_types(df.sparkSession), "acorn59", "left")
-    return df.join(types, "postcode", "left")
+    return attach(df, types.withColumnRenamed("postcode", "_postcode"), [(F.col("postcode"), "_postcode")])
 
 
 def calendar_features(df: DataFrame, ts: str = "ts") -> DataFrame:

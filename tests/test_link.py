@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from eventlink.operators import classify, link
+from eventlink.operators import classify, clusters, joins, link, zones
 from eventlink.operators.link import Rule, Side
 
 BASE = datetime(2016, 3, 27)
@@ -191,3 +191,74 @@ def test_chain(spark):
     found = link.chain(a, b, c, Rule(edge_table(spark), 24)).frame.collect()
     assert {r["id"]: r["number_of_anomaly"] for r in found} == counts(brute(a_rows, b_rows), a_rows, 0)
     assert {r["id"]: r["number_of_complaint"] for r in found} == counts(brute(a_rows, c_rows), a_rows, 0)
+
+
+@pytest.fixture()
+def tiny_partitions(spark):
+    """Adaptive execution at the scale of a test: any partition over 2 KB is large, nothing is broadcast."""
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    kept = {k: spark.conf.get(k, None) for k in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in kept.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+
+
+def crowded(spark, n=60_000):
+    """Nearly all rows at one place and instant."""
+    rows = spark.range(0, n, 1, 8).select("id", F.when(F.col("id") % 40 == 0, F.col("id") % 7).otherwise(0).alias("h"))
+    ts = F.lit(BASE).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("h").cast("int"))
+    zone = F.lpad(F.col("h").cast("string"), 5, "0")
+    return rows.select("id", ts.alias("ts"), zone.alias("zone"), F.to_date(F.lit(BASE)).alias("date"))
+
+
+def final_plan(frame):
+    """Run the frame and return the plan it ended with."""
+    rows = frame.collect()
+    return rows, frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_crowded_instant_is_split_when_counts_come_back(spark, tiny_partitions):
+    rows = crowded(spark)
+    few = rows.filter("id < 10")
+    found = link.with_effects(Side(rows, "cause"), Side(few, "effect"), rule=Rule(hours=24)).frame
+    result, plan = final_plan(found.agg(F.count("id"), F.sum(F.hash("id")), F.sum("number_of_effect")))
+    assert result[0][0] == 60_000
+    assert "skew=true" in plan
+
+
+def test_crowded_day_is_split_when_clusters_come_back(spark, tiny_partitions):
+    found = clusters.with_clusters(crowded(spark))
+    result, plan = final_plan(found.agg(F.sum(F.hash("id")), F.max("consecutive_cluster_size")))
+    assert result[0][1] > 58_000
+    assert "skew=true" in plan
+
+
+def test_crowded_key_is_split_in_a_lookup(spark, tiny_partitions):
+    rows = crowded(spark)
+    mapping = rows.select(F.col("zone").alias("k"), F.upper("zone").alias("value"))
+    result, plan = final_plan(zones.lookup(rows, F.col("zone"), mapping, "k", "value", "v").agg(F.sum(F.hash("id", "v"))))
+    assert "skew=true" in plan
+    flags = joins.flag_in_set(rows, "zone", rows, "zone", "known")
+    result, plan = final_plan(flags.agg(F.sum(F.hash("id", "known"))))
+    assert "skew=true" in plan
+
+
+def test_outer_takes_counts_as_given(spark):
+    causes, effects = random_rows(12, 50, 0), random_rows(13, 50, 1000)
+    a, c = side(spark, "cause", causes), side(spark, "effect", effects)
+    rule = Rule(edge_table(spark), 24)
+    counted = link.outer(link.with_effects(a, c, rule=rule), link.with_causes(c, a, rule=rule), rule)
+    plain = link.outer(a, c, rule)
+    assert sorted(map(str, counted.collect())) == sorted(map(str, plain.select(counted.columns).collect()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventlink.functions import codes, labels, times
 from eventlink.operators import classify, clusters, conform, joins, link, report, stats, zones
 from eventlink.operators.running import points
-from eventlink.plans.proxy import BURSTS, ORDER_TYPES, REGIONS, WORK_TYPES, WORKS, YEARS, Views, day_text, time_text
+from eventlink.plans.proxy import BURSTS, REGIONS, WORK_TYPES, WORKS, YEARS, Views, day_text, time_text
 from eventlink.sources import extracts
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -275,7 +275,7 @@ def random_baseline(v: Views) -> DataFrame:
 
 
 def _complaint_rows(v: Views) -> DataFrame:
-    """Complaints clustered on the busiest third of values, so that runs have gaps."""
+    """Complaints with calendar columns and cluster sizes."""
     rows = extracts.calendar_features(v.complaint_rows())
     return clusters.with_clusters(rows)
 
@@ -823,6 +823,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, folder: build(Views(spark, folder))
 
     return {name: over_folder(build) for name, build in _QUERIES.items()}
-
-
-__all__ = ["BURSTS", "ORDER_TYPES", "queries"]

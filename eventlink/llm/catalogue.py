@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm import chat_format, packing, personal_data, pieces, quality_rules
+from eventlink.llm import chat_format, near_dup, packing, personal_data, pieces, quality_rules
 from eventlink.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.detect(table(spark, folder, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.group_near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_pieces": op4_pieces,
         "op6_personal_data": op6_personal_data,
+        "op8_near_duplicates": op8_near_duplicates,
         "op10_chat_format": op10_chat_format,
     }
 

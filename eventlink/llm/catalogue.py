@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm import chat_format, near_dup, packing, personal_data, pieces, quality_rules
+from eventlink.llm import chat_format, near_dup, packing, personal_data, pieces, quality_rules, word_repeats
 from eventlink.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.detect(table(spark, folder, "documents"))
 
 
+def op7_word_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return word_repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.group_near_duplicates(table(spark, folder, "documents"))
 
@@ -51,10 +55,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_pieces": op4_pieces,
         "op6_personal_data": op6_personal_data,
+        "op7_word_repeats": op7_word_repeats,
         "op8_near_duplicates": op8_near_duplicates,
         "op10_chat_format": op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op10_chat_format": chat_format.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op7_word_repeats": word_repeats.SQL, "op10_chat_format": chat_format.SQL}

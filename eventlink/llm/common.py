@@ -185,16 +185,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """Places of grams that are the least of some ``width`` neighbours (all of equal ones).
+def anchors(grams: np.ndarray, width: int, inside: np.ndarray) -> np.ndarray:
+    """Places of grams that are the least of some window of ``width`` neighbours (all of equal ones).
 
-    Which of a window's grams is chosen depends on the window alone, so equal windows have equal anchors.
+    ``inside`` tells for each window whether it lies in one text; others do not count. Which of a window's grams is
+    chosen depends on the window alone, so equal windows have equal anchors.
     """
     if len(grams) < width:
         return np.empty(0, np.int64)
-    least = sliding_min(grams, width)
+    least = np.where(inside, sliding_min(grams, width), U64(0))
     # A gram is the least of a window exactly if it equals the greatest least value of the windows that hold it.
-    highest = np.iinfo(grams.dtype).max
-    edge = np.zeros(width - 1, grams.dtype)
+    highest = np.iinfo(U64).max
+    edge = np.zeros(width - 1, U64)
     around = highest - sliding_min(highest - np.concatenate([edge, least, edge]), width)
-    return np.flatnonzero(grams == around)
+    return np.flatnonzero((grams == around) & (around > 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventlink.llm.common import written
@@ -24,24 +24,22 @@ def components(links: DataFrame) -> DataFrame:
     It ends when nothing changes; every round is a written table. Links with a null end are left out, a link of a node
     with itself makes it a component of its own.
     """
-    whole = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
-    pairs = written(whole.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    whole = written(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))
+    pairs = whole.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            _toward_least(both)
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
-            .distinct()
-        )
+        large = _toward_least(both).where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
         small = _toward_least(large)
+        seen = Observation()
         pairs = written(
-            small.select("u", F.col("least").alias("v"))
-            .unionByName(small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")))
+            small.select("u", F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("p"))
+            .select("p.u", "p.v")
+            .where("u <> v")
             .distinct()
+            .observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("all"))
         )
-        now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
+        now = seen.get
         if now == state:
             break
         state = now

@@ -124,10 +124,15 @@ def compacted(edges: DataFrame) -> DataFrame:
         .withColumn("follower", F.expr("CASE WHEN follower.place < place + length THEN follower.edge END"))
     )
     arcs = repeated.where("follower IS NOT NULL").select("edge", "follower").distinct()
-    out = arcs.groupBy("edge").agg(F.count("*").alias("n")).where("n = 1").select("edge")
+    out = arcs.groupBy("edge").agg(F.count("*").alias("n"), F.min("follower").alias("follower")).where("n = 1")
     into = arcs.groupBy("follower").agg(F.count("*").alias("n")).where("n = 1").select("follower")
-    single = arcs.join(out, "edge").join(into, "follower")
-    paths = components(single.select(F.col("edge").alias("a"), F.col("follower").alias("b"))).toDF("edge", "path")
+    single = out.select("edge", "follower").join(into, "follower").withColumn("single", F.lit(True))
+    # Within a text a run of such pairs is known to be one path: each of its edges is linked with the run's least.
+    in_run = repeated.join(single, ["edge", "follower"], "left").withColumn(
+        "run", F.sum(F.when(F.lag("single").over(by_text), 0).otherwise(1)).over(by_text)
+    )
+    stars = in_run.select(F.col("edge").alias("a"), F.min("edge").over(Window.partitionBy("key", "run")).alias("b"))
+    paths = components(stars.distinct()).toDF("edge", "path")
     on_path = repeated.join(paths, "edge", "left").select(
         "key", F.coalesce("path", "edge").alias("path"), F.col("place").alias("lo"), (F.col("place") + F.col("length")).alias("hi")
     )

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm import chat_format, near_dup, packing, personal_data, pieces, quality_rules, word_repeats
+from eventlink.llm import bit_search, chat_format, near_dup, packing, personal_data, pieces, quality_rules, word_repeats
 from eventlink.llm.common import table
 
 
+def op1_bit_search(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_search.neighbours(table(spark, folder, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +55,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bit_search": op1_bit_search,
         "op2_packing": op2_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_pieces": op4_pieces,

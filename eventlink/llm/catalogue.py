@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm import bit_search, chat_format, near_dup, packing, personal_data, pieces, quality_rules, word_repeats
+from eventlink.llm import bit_search, chat_format, near_dup, packing, personal_data, pieces, quality_rules, suffix_tree, word_repeats
 from eventlink.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.group_near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, folder, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_personal_data": op6_personal_data,
         "op7_word_repeats": op7_word_repeats,
         "op8_near_duplicates": op8_near_duplicates,
+        "op9_suffix_tree": op9_suffix_tree,
         "op10_chat_format": op10_chat_format,
     }
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm import bit_search, chat_format, near_dup, packing, personal_data, pieces, quality_rules, suffix_tree, word_repeats
+from eventlink.llm import bit_search, byte_repeats, chat_format, near_dup, packing, personal_data, pieces, quality_rules, suffix_tree, word_repeats
 from eventlink.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_byte_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.detect(table(spark, folder, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_pieces": op4_pieces,
+        "op5_byte_repeats": op5_byte_repeats,
         "op6_personal_data": op6_personal_data,
         "op7_word_repeats": op7_word_repeats,
         "op8_near_duplicates": op8_near_duplicates,

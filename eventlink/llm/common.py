@@ -56,11 +56,12 @@ class Keyed:
     Joins with it by that key move the other side only. ``drop`` it when no lazy frame reads it any more.
     """
 
-    def __init__(self, df: DataFrame, key: str):
+    def __init__(self, df: DataFrame, key: str, dealt: bool = False):
+        """``dealt``: a shuffle by the key comes last in ``df`` already."""
         self.spark, self.name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
         n = partitions(self.spark)
         (
-            df.repartition(n, key)
+            (df if dealt else df.repartition(n, key))
             .write.option("compression", "zstd")
             .bucketBy(n, key)
             .sortBy(key)

@@ -40,11 +40,11 @@ WINDOW, GRAM = 100, 32
 WIDTH = WINDOW - GRAM + 1
 LEFT = WINDOW - GRAM
 #: Occurrences of a string that one task takes as a group.
-WIDE = 20_000
+WIDE = 4_000
 #: Suffixes in a sorted run.
 RUN = 50_000
 #: Suffixes whose windows are compared at once (a group stays whole).
-BATCH = 8192
+BATCH = 4096
 HEAD = 8
 
 

@@ -266,6 +266,14 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
+def cleaned(text: str, field: Field) -> str:
+    """The text without spans. A number that was too long for any kind may be one when a part of it is gone, so it ends
+    only when nothing is found."""
+    while spans := find(text, field)[1]:
+        text = redacted(text, spans)
+    return text
+
+
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -299,7 +307,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
             where = batch.schema.get_field_index("text")
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                said = [t if t is None else redacted(t, find(t, own)[1]) for t in part.column(where).to_pylist()]
+                said = [t if t is None else cleaned(t, own) for t in part.column(where).to_pylist()]
                 yield part.set_column(where, part.schema.field(where), pa.array(said, part.schema.field(where).type))
 
     return docs.mapInArrow(run, docs.schema)

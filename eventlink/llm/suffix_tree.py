@@ -197,7 +197,7 @@ def _grow(tree: Tree, contexts: np.ndarray, n_contexts: np.ndarray, found: list[
     # Divergence: found next words by the ratio of both probabilities, all others together by the share they are left.
     gain = np.bincount(context, n * np.log(full / below), len(contexts))
     rest = np.maximum(n_contexts - np.bincount(context, n, len(contexts)), 0)
-    gain += rest * np.log(np.maximum(share, 1e-12))
+    gain = gain + rest * np.log(np.maximum(share, 1e-12))
     states = gain >= GAIN
     kept = states[context]
     tree.states.append((contexts[states], share[states]))

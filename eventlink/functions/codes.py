@@ -77,8 +77,9 @@ def operation_part(order_and_op: Column) -> Column:
 
 
 def as_number(text: Column, kind: str = "bigint") -> Column:
-    """Number from text with thousands separators; null where it is none."""
-    return F.regexp_replace(text, ",", "").try_cast(kind)
+    """Number from text with thousands separators; null where it is none, NaN included."""
+    number = F.regexp_replace(text, ",", "").try_cast(kind)
+    return F.when(~F.isnan(number), number) if kind in ("double", "float") else number
 
 
 def lenient_order(text: Column) -> Column:

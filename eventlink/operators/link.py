@@ -5,8 +5,7 @@ Two roads lead to the answers:
 * Counts, flags and attributions come from running totals (``running.py``). No pair is ever formed, so
   their cost follows the number of rows, not the number of pairs.
 * ``pairs`` and ``outer`` list every linked pair because that listing is what they are asked for. The time
-  band becomes an equality on time slots, zones become an equality on the zones in reach, and slots that
-  hold a large share of the effects are split.
+  band becomes an equality on time slots, and zones become an equality on the zones in reach.
 """
 
 from __future__ import annotations
@@ -20,13 +19,6 @@ from eventlink.functions import times
 from eventlink.operators import running, zones
 from eventlink.operators.joins import attach
 
-# A time slot of a zone is split among tasks once it holds more effects than this ..
-HOT_ROWS = 100_000
-# .. the largest slots only, and into no more parts than this, each part taking all causes of the slot.
-HOT_SLOTS = 1_000
-MOST_PARTS = 1_000
-
-
 @dataclass(frozen=True)
 class Side:
     """One table of events: unique ``id``, ``ts``, ``zone``, and the word that names it in results."""
@@ -130,18 +122,6 @@ def flagged(effects: Side, rule: Rule, **causes: Side) -> Side:
     )
 
 
-def _crowded(effects: DataFrame, keys: list[str]) -> DataFrame:
-    """The slots to split, with the number of parts.
-
-    At most ``HOT_SLOTS`` rows, whatever the data, so they may be broadcast; a slot that does not make the
-    list holds less than one part in ``HOT_SLOTS`` of all effects.
-    """
-    load = effects.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
-    largest = load.orderBy(F.desc("_rows"), *keys).limit(HOT_SLOTS)
-    parts = F.least(F.ceil(F.col("_rows") / HOT_ROWS), F.lit(MOST_PARTS))
-    return F.broadcast(largest.select(*keys, parts.alias("_parts")))
-
-
 def _joined(causes: DataFrame, effects: DataFrame, a: Side, c: Side, rule: Rule) -> DataFrame:
     """Band join of two suffixed tables."""
     a_ts, c_ts = f"{a.ts}_{a.word}", f"{c.ts}_{c.word}"
@@ -164,27 +144,32 @@ def _joined(causes: DataFrame, effects: DataFrame, a: Side, c: Side, rule: Rule)
     left = left.withColumn("_slot", F.explode(F.sequence(slot(a_at), slot(a_at + length))))
     right = right.withColumn("_slot", slot(c_at))
 
+    # Both sides come straight from a shuffle on the keys, so adaptive execution can split a crowded slot of either.
     keys = ["_match", "_slot"]
-    hot = _crowded(right, keys)
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    left = left.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = right.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(f"{c.id}_{c.word}"), parts))
-    joined = left.drop("_parts").join(right.drop("_parts"), [*keys, "_part"])
-    return joined.filter(c_at.between(a_at, a_at + length)).drop(*keys, "_part")
+    return left.join(right, keys).filter(c_at.between(a_at, a_at + length)).drop(*keys)
 
 
-def _labelled(joined: DataFrame, a: Side, c: Side) -> DataFrame:
+def _labelled(joined: DataFrame, a: Side, c: Side, rule: Rule) -> DataFrame:
+    """Flags of a pair; ``neighbour_zone`` asks the edges and is null if either zone is."""
     days = F.datediff(F.col(f"{c.ts}_{c.word}").cast("date"), F.col(f"{a.ts}_{a.word}").cast("date"))
-    same = F.col(f"{a.zone}_{a.word}") == F.col(f"{c.zone}_{c.word}")
+    here, there = F.col(f"{a.zone}_{a.word}"), F.col(f"{c.zone}_{c.word}")
+    if rule.edges is None:
+        listed = F.lit(False)
+    else:
+        edges = rule.edges.select(F.col("zone").alias("_from"), F.col("neighbour").alias("_to")).dropna().distinct()
+        edges = edges.withColumn("_listed", F.lit(True))
+        joined = joined.join(edges, (here == F.col("_from")) & (there == F.col("_to")), "left").drop("_from", "_to")
+        listed = F.col("_listed").isNotNull()
+    neighbour = F.when(here.isNotNull() & there.isNotNull(), listed)
     label = F.when(days == 0, "SameDay").when(days == 1, "NextDay").otherwise("Later")
-    return joined.withColumns({"same_zone": same, "neighbour_zone": ~same, "day_label": label})
+    return joined.withColumns({"same_zone": here == there, "neighbour_zone": neighbour, "day_label": label}).drop("_listed")
 
 
 def pairs(causes: Side, effects: Side, rule: Rule) -> DataFrame:
     """Every linked pair with its two ids, times and zones."""
     left = causes.suffixed([causes.id, causes.ts, causes.zone])
     right = effects.suffixed([effects.id, effects.ts, effects.zone])
-    return _labelled(_joined(left, right, causes, effects, rule), causes, effects)
+    return _labelled(_joined(left, right, causes, effects, rule), causes, effects, rule)
 
 
 def outer(causes: Side, effects: Side, rule: Rule) -> DataFrame:

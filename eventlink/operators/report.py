@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlink.operators.joins import attach
+
 
 def sizes(df: DataFrame, *by: str) -> DataFrame:
     """Rows per group; groups with an unknown key are left out."""
@@ -127,32 +129,32 @@ def histogram(
 ) -> DataFrame:
     """Equal-width histogram, empty bins included; the last bin is closed at its upper edge.
 
-    Without limits each group spans its own lowest to highest value, and a group with one value gets a
-    range of one around it.
+    A limit that is not given is each group's own lowest or highest value; a group with one value gets a range of one
+    around it. Values outside the limits are not counted, but a group keeps its empty bins.
     """
     group = F.col(by) if by else F.lit("all")
-    known = df.select(group.alias("group"), F.col(value).cast("double").alias("v")).dropna()
-    # Equal values are counted before the rows of a group have to meet their limits.
-    known = known.groupBy("group", "v").agg(F.count("*").alias("n"))
-    if lo is None or hi is None:
-        span = known.groupBy("group").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        flat = F.col("lo") == F.col("hi")
-        span = span.select(
-            "group",
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        )
-        if by:
-            ranged = known.join(span, "group")
-        else:
-            # One group: its limits are two scalars, not a join.
-            ranged = known.withColumns({c: span.select(c).scalar() for c in ("lo", "hi")})
-    else:
+    known = df.select(group.alias("group"), F.col(value).cast("double").alias("v")).dropna().filter(~F.isnan("v"))
+    span = known.groupBy("group").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    if lo is not None:
+        span = span.withColumn("lo", F.lit(float(lo)))
+    if hi is not None:
+        span = span.withColumn("hi", F.lit(float(hi)))
+    flat = F.col("lo") == F.col("hi")
+    span = span.select(
+        "group",
+        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+    )
+    if lo is not None and hi is not None:
         ranged = known.withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi))})
-        ranged = ranged.filter(F.col("v").between(lo, hi))
-        span = ranged.select("group", "lo", "hi").distinct()
+    elif by:
+        ranged = attach(known, span.withColumnRenamed("group", "_group"), [(F.col("group"), "_group")]).filter(F.col("lo").isNotNull())
+    else:
+        # One group: its limits are two scalars, not a join.
+        ranged = known.withColumns({c: span.select(c).scalar() for c in ("lo", "hi")})
+    ranged = ranged.filter(F.col("v").between(F.col("lo"), F.col("hi")))
     place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    counted = ranged.groupBy("group", F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("n"))
+    counted = ranged.groupBy("group", F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     filled = grid.join(counted, ["group", "bin"], "left")
     width = (F.col("hi") - F.col("lo")) / bins

@@ -337,9 +337,8 @@ def year_cluster_hour_pivot(v: Views) -> DataFrame:
 
 @query
 def zone_date_counts(v: Views) -> DataFrame:
-    days = {f"2024-01-{d:02d}": f"d{d:02d}" for d in range(1, 32)}
     rows = v.complaint_rows().withColumn("day", day_text("date"))
-    return report.count_pivot(rows, ["zone"], "day", days)
+    return report.sizes(rows, "zone", "day")
 
 
 @query
@@ -367,7 +366,7 @@ def histogram_of_matches(v: Views) -> DataFrame:
 def density_curve(v: Views) -> DataFrame:
     rows = _complaint_rows(v).withColumn("clustered", clusters.is_clustered(F.col("daily_cluster_size")))
     rows = rows.withColumn("kind", F.when(F.col("clustered"), "clustered").otherwise("single"))
-    found = report.density(rows, "ordinal_datetime", "kind", {"clustered": 3.0, "single": 0.5}, grid=365)
+    found = report.density(rows, "ordinal_datetime", "kind", {"clustered": 3.0, "single": 0.5}, grid=3650)
     return found.select("group", "point", *rounded("x", "density"))
 
 

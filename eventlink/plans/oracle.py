@@ -340,8 +340,7 @@ def _statements() -> dict[str, str]:
     s["weekday_cluster_class"] = "SELECT kind, count(*) AS n FROM classed GROUP BY kind"
     hours = ", ".join(f"count(*) FILTER (WHERE hour(ts) = {h}) AS {n}" for h, n in enumerate(_HOURS))
     s["year_cluster_hour_pivot"] = f"SELECT year(ts)::INTEGER AS year, kind, {hours} FROM classed GROUP BY ALL"
-    days = ", ".join(f"count(*) FILTER (WHERE date = DATE '2024-01-{d:02d}') AS d{d:02d}" for d in range(1, 32))
-    s["zone_date_counts"] = f"SELECT zone, {days} FROM complaints GROUP BY zone"
+    s["zone_date_counts"] = f"SELECT zone, strftime(date, {_DAY}) AS day, count(*) AS n FROM complaints GROUP BY ALL"
     s["points_per_zone"] = f"SELECT zone, strftime(date, {_DAY}) AS date, count(*) AS n FROM complaints GROUP BY ALL"
     s["value_limits"] = "SELECT round(min(ordinal), 6) AS lowest, round(max(ordinal), 6) AS highest FROM ordinals"
     s["demographic_rollup"] = "SELECT id, acorn59, acorn17, acorn5 FROM profiled"
@@ -487,14 +486,14 @@ def _profiles() -> dict[str, str]:
     whole = _histogram(matched, "n", 200)
     density = f"""{_VIEWS},
     known AS (SELECT CASE WHEN daily >= 3 THEN 'clustered' ELSE 'single' END AS g, ordinal AS v FROM ordinals),
-    span AS (SELECT g, count(*) AS n, h, min(v) - 3 * h AS lo, (max(v) - min(v) + 6 * h) / 364 AS step
+    span AS (SELECT g, count(*) AS n, h, min(v) - 3 * h AS lo, (max(v) - min(v) + 6 * h) / 3649 AS step
              FROM known JOIN (VALUES ('clustered', 3.0::DOUBLE), ('single', 0.5::DOUBLE)) t(g, h) USING (g) GROUP BY g, h),
     placed AS (SELECT g, floor((v - lo) / step)::BIGINT AS cell, (v - lo) / step AS p FROM known JOIN span USING (g)),
     weights AS (SELECT g, cell, sum(w) AS w FROM (
       SELECT g, cell, 1 - (p - cell) AS w FROM placed UNION ALL SELECT g, cell + 1, p - cell FROM placed) GROUP BY g, cell)
     SELECT g AS "group", point, round(lo + point * step, 6) AS x,
       round(sum(w * exp(-0.5 * pow((point - cell) * step / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
-    FROM weights JOIN span USING (g) CROSS JOIN generate_series(0, 364) t(point) GROUP BY g, point, lo, step, n, h"""
+    FROM weights JOIN span USING (g) CROSS JOIN generate_series(0, 3649) t(point) GROUP BY g, point, lo, step, n, h"""
     return {
         "histogram_by_group": _histogram(weekday, "decimal_hour", 24, "region", "0.0::DOUBLE AS lo, 24.0::DOUBLE AS hi"),
         "histogram_own_range": _histogram("ev", "value", 48, "type"),

@@ -176,6 +176,8 @@ COMPLETED_WORKS = Spec(
 PLANNED = Spec(
     "planned work",
     (
+        Field("Order", "order_id", optional=True),
+        Field("Operation", "operation", optional=True),
         Field("Op. Created date", "start_ts", "day_first"),
         Field("Floc. DMA_ID", "location"),
         Field("X-Y Co-ordinates", "xy"),
@@ -187,6 +189,8 @@ PLANNED = Spec(
 UNPLANNED = Spec(
     "unplanned work",
     (
+        Field("Order", "order_id", optional=True),
+        Field("Operation", "operation", optional=True),
         Field("Op. Created date", "start_ts", "day_first"),
         Field("Op. Completed date", "end_ts", "day_first"),
         Field("Floc. DMA_ID", "location"),

@@ -69,13 +69,19 @@ _TYPES = {
 
 
 def read_text(spark: SparkSession, paths: str | list[str], spec: Spec, skip_unreadable: bool = False) -> DataFrame:
-    """All columns as text, with the name of the file each row came from."""
+    """All columns as text, with the name of the file each row came from.
+
+    Quotes are doubled inside quoted text. Files whose columns differ from the first one's are an error, since columns
+    are bound by place; read such files apart (``read_each``).
+    """
     reader = spark.read.option("header", True).option("encoding", spec.encoding)
+    reader = reader.option("quote", '"').option("escape", '"').option("enforceSchema", False)
     reader = reader.option("mode", "PERMISSIVE").option("ignoreCorruptFiles", skip_unreadable)
     for key, value in spec.options.items():
         reader = reader.option(key, value)
     # One path per call of the caller's folder: folders with other columns are read apart and united.
-    return reader.csv(paths).select("*", F.col("_metadata.file_name").alias("source_file"))
+    columns = reader.csv(paths).schema
+    return reader.schema(columns).csv(paths).select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
 def convert(raw: DataFrame, spec: Spec) -> DataFrame:

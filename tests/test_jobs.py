@@ -150,16 +150,18 @@ def x(tmp_path_factory):
         ],
         planned=put(
             d / "planned.csv",
-            ["Op. Created date", "Floc. DMA_ID", "X-Y Co-ordinates", "Ord. Maintenance Plant", "Unnamed: 12"],
-            ["04/03/2016", "04001-AB", "412345298765", "Water Distribution - East", "flush"],
-            ["04/03/2016", "04001-AB", "#", "Waste Water - East", "sewer"],
-            ["04/03/2016", "#", "Not assigned", "Water Distribution - West", "lost"],
+            ["Op. Created date", "Floc. DMA_ID", "X-Y Co-ordinates", "Ord. Maintenance Plant", "Unnamed: 12", "Order", "Operation"],
+            ["04/03/2016", "04001-AB", "412345298765", "Water Distribution - East", "flush", "7001", "0010"],
+            ["04/03/2016", "04001-AB", "#", "Waste Water - East", "sewer", "7002", "0010"],
+            ["04/03/2016", "#", "Not assigned", "Water Distribution - West", "lost", "", ""],
         ),
         unplanned=[
             put(
                 d / "u2015" / "u.csv",
-                ["Op. Created date", "Op. Completed date", "Floc. DMA_ID", "X-Y Co-ordinates", "Unnamed: 3", "Unnamed: 15"],
-                ["03/03/2016 08:00", "03/03/2016 09:00", "04003-AB", "412345298765", "Water Distribution - South", "leak"],
+                ["Op. Created date", "Op. Completed date", "Floc. DMA_ID", "X-Y Co-ordinates", "Unnamed: 3", "Unnamed: 15"]
+                + ["Order", "Operation"],
+                ["03/03/2016 08:00", "03/03/2016 09:00", "04003-AB", "412345298765", "Water Distribution - South", "leak"]
+                + ["8001", "0020"],
             ),
             put(
                 d / "u2016" / "u.csv",
@@ -238,8 +240,8 @@ def test_event_spans(spans):
     other = rows["NC Planned work", "N2", "09009"]
     assert (other["start_ts"], other["control_group"], other["region"]) == (datetime(2016, 3, 11, 22), "CG9", "Central")
     assert ("NC Planned work", "N3", "04002") in rows
-    # Planned and unplanned work carry no order and so have no span of their own.
-    assert not any(k[0].startswith("SAP") for k in rows)
+    # Planned and unplanned work without an order has no span of its own.
+    assert {k[:2] for k in rows if k[0].startswith("SAP")} == {("SAP Planned work", "7001"), ("SAP Unplanned work", "8001")}
 
 
 def test_directory_sources(spark, x):
@@ -387,3 +389,20 @@ def test_period_spans(spark):
     assert [(r["start_ts"], r["end_ts"], r["zone"]) for r in found] == [
         (datetime(2016, 1, 1), datetime(2016, 4, 2), "a")
     ]
+
+
+def test_quoted_text_keeps_its_columns(spark, tmp_path):
+    spec = readers.Spec("q", (readers.Field("A", "a"), readers.Field("N", "n", "double")))
+    path = put(tmp_path / "q.csv", ["A", "N"], ['say "hi, there" x', "NaN"], ["b", "1,000.5"])
+    rows = {r["a"]: r["n"] for r in readers.read(spark, path, spec).collect()}
+    assert rows == {'say "hi, there" x': None, "b": 1000.5}
+
+
+def test_files_of_other_columns_are_an_error(spark, tmp_path):
+    spec = readers.Spec("m", (readers.Field("A", "a"), readers.Field("B", "b")))
+    put(tmp_path / "m" / "1.csv", ["A", "B"], ["a1", "b1"])
+    put(tmp_path / "m" / "2.csv", ["B", "A"], ["b2", "a2"])
+    with pytest.raises(Exception, match="header"):
+        readers.read(spark, str(tmp_path / "m"), spec).collect()
+    apart = readers.read_each(spark, [str(tmp_path / "m" / f"{k}.csv") for k in (1, 2)], spec).collect()
+    assert {(r["a"], r["b"]) for r in apart} == {("a1", "b1"), ("a2", "b2")}

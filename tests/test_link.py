@@ -138,15 +138,13 @@ def test_random_against_loop(spark, rule):
     check_all(spark, causes, effects, **rule)
 
 
-def test_hot_zone_is_split(spark, monkeypatch):
-    monkeypatch.setattr(link, "HOT_ROWS", 10)
+def test_hot_zone(spark):
     causes = random_rows(3, 150, 0, hot=0.6)
     effects = random_rows(4, 150, 1000, hot=0.6)
     check_all(spark, causes, effects)
 
 
-def test_one_instant_holds_all(spark, monkeypatch):
-    monkeypatch.setattr(link, "HOT_ROWS", 10)
+def test_one_instant_holds_all(spark):
     causes = [(i, BASE, "00001", "x") for i in range(40)]
     effects = [(1000 + i, BASE + timedelta(hours=24), "00002", "c") for i in range(40)]
     assert len(check_all(spark, causes, effects)) == 1600
@@ -255,6 +253,27 @@ def test_crowded_key_is_split_in_a_lookup(spark, tiny_partitions):
     assert "skew=true" in plan
 
 
+@pytest.mark.parametrize("crowd", ["causes", "effects"])
+def test_crowded_slot_of_pairs_is_split(spark, tiny_partitions, crowd):
+    rows, few = crowded(spark), crowded(spark, 200)
+    sides = (rows, few) if crowd == "causes" else (few, rows)
+    found = link.pairs(Side(sides[0], "cause"), Side(sides[1], "effect"), Rule(hours=24))
+    result, plan = final_plan(found.agg(F.count("*"), F.sum(F.hash("id_cause", "id_effect"))))
+    assert result[0][0] > 58_000 * 195
+    assert "skew=true" in plan
+
+
+def test_neighbours_come_from_the_edges(spark):
+    causes = [(1, BASE, "00001", "x"), (2, BASE, "00004", "x"), (3, BASE, None, "x")]
+    effects = [(10, BASE, "00002", "c"), (11, BASE, "00004", "c"), (12, BASE, None, "c")]
+    rule = Rule(edge_table(spark), None, any_zone=True)
+    found = link.pairs(side(spark, "cause", causes), side(spark, "effect", effects), rule).collect()
+    flags = {(r["id_cause"], r["id_effect"]): (r["same_zone"], r["neighbour_zone"]) for r in found}
+    assert len(found) == 9
+    assert flags[1, 10] == (False, True) and flags[1, 11] == (False, False) and flags[2, 11] == (True, True)
+    assert all(flags[k] == (None, None) for k in flags if k[0] == 3 or k[1] == 12)
+
+
 def test_outer_takes_counts_as_given(spark):
     causes, effects = random_rows(12, 50, 0), random_rows(13, 50, 1000)
     a, c = side(spark, "cause", causes), side(spark, "effect", effects)

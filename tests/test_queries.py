@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from eventlink.plans import catalogue, oracle
 from eventlink.plans.catalogue import _QUERIES
 from eventlink.plans.proxy import Views
 
 FOLDER = contract.SMOKE_FOLDER
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalogue.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -177,3 +177,11 @@ def test_zone_lookups(spark):
     assert found == {"00001 Main St": "00001", "Two": "00002", "Nowhere": None}
     changed = zones.canonicalise(texts, "t", exceptions, "raw", "zone").collect()
     assert {r["t"] for r in changed} == {None, "Multiple", "07/320"}
+
+
+def test_histogram_limits_apply_one_by_one_and_groups_stay(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("b", 50.0), ("a", float("nan"))], "g string, v double")
+    low = {(r["group"], r["bin"]): r["n"] for r in report.histogram(frame, "v", 5, by="g", lo=0).collect()}
+    assert low["a", 1] == 1 and low["a", 4] == 1 and low["b", 4] == 1
+    both = report.histogram(frame, "v", 2, by="g", lo=0, hi=10).collect()
+    assert {(r["group"], r["bin"]): r["n"] for r in both} == {("a", 0): 1, ("a", 1): 1, ("b", 0): 0, ("b", 1): 0}

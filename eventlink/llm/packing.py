@@ -16,10 +16,12 @@ too. Columns other than the named ones are left out. An empty table gives an emp
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from eventlink.llm.common import texts
 
 #: Examples that wait in a task's pool at most.
 POOL = 1024
-#: Distinct words whose ids a task remembers before it starts anew.
-MEMORY = 300_000
+#: Distinct words whose ids a worker remembers in either of two generations; the older one makes room.
+MEMORY = 450_000
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -162,28 +164,50 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given every core a task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        """Put the words among the young, from the old ones where they are known there."""
+        if len(self.young) + len(words) > MEMORY:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for word in words:
+            ids = self.old.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                self.young[word] = ids
+        found = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
+        self.young.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, found, strict=True))
 
     def __call__(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         words = text.split()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > MEMORY:
-                self.known = {}
-                new = list(set(words))
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found, strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        distinct = set(words)
+        if new := [w for w in distinct if w not in self.young]:
+            before = self.young
+            self.learn(new)
+            if self.young is not before:
+                self.learn([w for w in distinct if w not in self.young])
+        return b"".join(map(self.young.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per Python worker; later tasks find the words of earlier ones."""
+    return Encoder(path)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): see ``PIECES``. All tokens bear loss."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = array("I", [END_ID]).tobytes()
 
         def examples() -> Iterator[Piece]:

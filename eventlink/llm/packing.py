@@ -34,7 +34,7 @@ from eventlink.llm.common import texts
 #: Examples that wait in a task's pool at most.
 POOL = 1024
 #: Distinct words whose ids a worker remembers in either of two generations; the older one makes room.
-MEMORY = 450_000
+MEMORY = 900_000
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -84,7 +84,7 @@ class Pool:
     def _one(self) -> list[Piece]:
         limits, chosen = self.limits, []
         room = [limits.tokens, limits.segments, limits.loss]
-        need = np.array([(p.tokens, p.loss) for p in self.pieces], np.int64).T
+        need = [np.fromiter((p.tokens for p in self.pieces), np.int64), np.fromiter((p.loss for p in self.pieces), np.int64)]
         waiting = np.ones(len(self.pieces), bool)
         scale = np.array([limits.tokens, limits.loss], float) ** 2
         rest = None

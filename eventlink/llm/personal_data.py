@@ -7,7 +7,7 @@ checksum, separators, and the words in front of it. The best set of non-overlapp
 together, is found by dynamic programming over the candidates' ends (semi-Markov Viterbi); training maximises the
 conditional likelihood by the forward and backward sums over the same candidates.
 
-The model is trained on a bounded sample: at most ``SAMPLE`` texts, those with the smallest hash of their id. Its labels come
+The model is trained on a bounded sample: at most ``SAMPLE`` texts of up to ``SAMPLE_CHARS`` characters, those with the smallest hash of their id. Its labels come
 from the base patterns; so that it learns forms the patterns cannot match, base spans are rewritten in such forms
 (:func:`rewritten`) before the sums are taken. Everything else runs on every whole text.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from eventlink.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the model is trained on at most.
-SAMPLE = 400
+#: Texts that the model is trained on at most, and the length up to which a text is taken for that.
+SAMPLE, SAMPLE_CHARS = 400, 20_000
 #: A candidate's length at most.
 LONGEST = 96
 Span = tuple[str, int, int]
@@ -232,10 +232,10 @@ def rewritten(text: str, spans: list[Span]) -> list[tuple[str, list[Span], set[S
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field fitted to at most ``sample`` texts that hold a base span or a candidate."""
+    """A field fitted to at most ``sample`` whole texts of bounded length that hold a base span or a candidate."""
     some = (
-        docs.where(F.col("text").rlike(r"@|[0-9][ ().-]?[0-9]{2}"))
-        .select("doc_id", F.substring("text", 1, 20_000).alias("text"))
+        docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"@|[0-9][ ().-]?[0-9]{2}"))
+        .select("doc_id", "text")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .limit(sample)
     )

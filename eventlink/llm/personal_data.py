@@ -7,7 +7,8 @@ checksum, separators, and the words in front of it. The best set of non-overlapp
 together, is found by dynamic programming over the candidates' ends (semi-Markov Viterbi); training maximises the
 conditional likelihood by the forward and backward sums over the same candidates.
 
-The model is trained on a bounded sample: at most ``SAMPLE`` texts of up to ``SAMPLE_CHARS`` characters, those with the smallest hash of their id. Its labels come
+The model is trained on a bounded sample: at most ``SAMPLE`` texts of up to ``SAMPLE_CHARS`` characters, one for
+each of ``SAMPLE`` ranges of a hash. Its labels come
 from the base patterns; so that it learns forms the patterns cannot match, base spans are rewritten in such forms
 (:func:`rewritten`) before the sums are taken. Everything else runs on every whole text.
 
@@ -233,14 +234,13 @@ def rewritten(text: str, spans: list[Span]) -> list[tuple[str, list[Span], set[S
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field fitted to at most ``sample`` whole texts of bounded length that hold a base span or a candidate."""
-    some = (
-        docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"@|[0-9][ ().-]?[0-9]{2}"))
-        .select("doc_id", "text")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(sample)
-    )
+    held = docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"@|[0-9][ ().-]?[0-9]{2}"))
+    keyed = held.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    # One key per remainder: an aggregate of ``sample`` numbers, so that no task sends its texts to the driver.
+    chosen = keyed.groupBy(F.pmod("key", F.lit(sample))).agg(F.min("key").alias("key")).collect()
+    some = keyed.where(F.col("key").isin([r["key"] for r in chosen])).groupBy("key").agg(F.min("text").alias("text"))
     examples = []
-    for row in some.collect():
+    for row in some.orderBy("key").collect():
         examples += rewritten(row["text"], base_spans(row["text"]))
     return Field().fit(examples)
 

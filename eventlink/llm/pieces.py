@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from eventlink.llm.common import texts
 
 MARK = "▁"
-#: Distinct words a task remembers before it starts anew.
-MEMORY = 500_000
+#: Distinct words a task remembers before it starts anew, and their characters.
+MEMORY, MEMORY_CHARS = 500_000, 8_000_000
 #: Pairs of pieces whose merges a task remembers.
 PAIRS = 300_000
 _MARKED = re.compile(" *[^ ]+| +")
@@ -62,7 +62,7 @@ class Model:
         self.lengths = {tail: sorted(found, reverse=True) for tail, found in by_tail.items()}
         self.penalty = min(scores.values(), default=0.0) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.starts, self.encoded, self.sums = [0], [b""], [0.0]
+        self.starts, self.sums = [0], [0.0]
         self.word = ""
         self.steps = 0
 
@@ -118,15 +118,14 @@ class Model:
         return array("I", [self.byte_ids[b] for b in piece.encode()]).tobytes() if len(piece) == 1 else None
 
     def merge_step(self, word: str, end: int) -> None:
-        """Push the state of the prefix that ends at ``end``: where its last piece starts, and all its ids."""
-        starts, encoded, packed, pairs = self.starts, self.encoded, self.packed, self.pairs
+        """Push the state of the prefix that ends at ``end``: where its last piece starts."""
+        starts, packed, pairs = self.starts, self.packed, self.pairs
         for length in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
             start = end - length
             if start < 0:
                 continue
             piece = word[start:end]
-            ids = packed.get(piece)
-            if ids is None:
+            if piece not in packed:
                 continue
             if start:
                 key = word[starts[start] : start], piece
@@ -138,11 +137,8 @@ class Model:
                 if not fits:
                     continue
             starts.append(start)
-            encoded.append(encoded[start] + ids)
             return
         starts.append(end - 1)
-        last = word[end - 1]
-        encoded.append(encoded[end - 1] + (packed.get(last) or self.ids_of(last)))
 
     def score_step(self, word: str, end: int) -> None:
         """The same by the best sum of scores."""
@@ -155,22 +151,28 @@ class Model:
                 best, start = sums[k] + s, k
         self.starts.append(start)
         sums.append(best)
-        self.encoded.append(self.encoded[start] + self.ids_of(word[start:end]))
 
     def encode(self, word: str) -> bytes:
-        """The ids of a word; the forward states of the prefix that it shares with the word before are reused."""
+        """The ids of a word, read back from its end; the forward states of the prefix that it shares with the word
+        before are reused."""
         before, shared = self.word, 0
         for a, b in zip(before, word, strict=False):
             if a != b:
                 break
             shared += 1
-        del self.starts[shared + 1 :], self.encoded[shared + 1 :], self.sums[shared + 1 :]
+        del self.starts[shared + 1 :], self.sums[shared + 1 :]
         step = self.merge_step if self.kind == "bpe" else self.score_step
         for end in range(shared + 1, len(word) + 1):
             step(word, end)
         self.steps += len(word) - shared
         self.word = word
-        return self.encoded[-1]
+        pieces, end = [], len(word)
+        while end:
+            start = self.starts[end]
+            piece = word[start:end]
+            pieces.append(self.packed.get(piece) or self.ids_of(piece))
+            end = start
+        return b"".join(reversed(pieces))
 
     def decoder(self) -> dict[int, bytes]:
         return {i: s.encode() for s, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
@@ -182,11 +184,13 @@ class Codec:
     def __init__(self, model: Model):
         self.model, self.decode_id = model, model.decoder()
         self.known: dict[str, bytes] = {}
+        self.chars = 0
         #: Words that decoding does not give back, and what it gives.
         self.changed: dict[str, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> None:
         for word in sorted(words):
+            self.chars += len(word)
             packed = self.known[word] = self.model.encode(word)
             ids = array("I")
             ids.frombytes(packed)
@@ -198,8 +202,8 @@ class Codec:
         """The words of each text, all of them known afterwards."""
         split = [marked_words(t) for t in texts]
         new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > MEMORY:
-            self.known, self.changed = {}, {}
+        if len(self.known) + len(new) > MEMORY or self.chars + sum(map(len, new)) > MEMORY_CHARS:
+            self.known, self.changed, self.chars = {}, {}, 0
             new = {w for words in split for w in words}
         self.learn(new)
         return split

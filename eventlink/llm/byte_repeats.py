@@ -8,7 +8,8 @@ in the same one.
    windows have equal samples, and only samples whose string occurs twice matter.
 3. A task sorts its suffixes (cut after ``WINDOW`` bytes, the string's hash in front) into runs. A run is exchanged
    front-coded: for each suffix the length of the prefix it shares with the one before, and the rest, and the
-   bytes on its left. Ranges of the hash deal runs out evenly.
+   bytes on its left. Ranges of the hash deal runs out evenly; their number follows the number of suffixes, and a task
+   merges one range after the other.
 4. Each range merges its runs with a loser tree that keeps for every run the common prefix with the last suffix
    given out. Longer common prefixes win without a look at bytes; equal ones are compared behind the known prefix only.
 5. Neighbours with a common prefix of a whole string form a group. All windows around its suffixes are compared, each text's
@@ -41,8 +42,8 @@ WIDTH = WINDOW - GRAM + 1
 LEFT = WINDOW - GRAM
 #: Occurrences of a string that one task takes as a group.
 WIDE = 4_000
-#: Suffixes in a sorted run.
-RUN = 50_000
+#: Suffixes in a sorted run, and those that a range of the hash holds about.
+RUN, RANGE = 50_000, 40_000
 #: Suffixes whose windows are compared at once (a group stays whole).
 BATCH = 4096
 HEAD = 8
@@ -257,9 +258,10 @@ def _spans(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     return _batch(key=key.astype(np.int64), lo=lo.astype(np.int32), hi=hi.astype(np.int32))
 
 
-def suffix_spans(table: DataFrame) -> DataFrame:
-    """(key, lo, hi): bytes that go, from samples (key, doc_id, text, places)."""
+def suffix_spans(table: DataFrame, count: int) -> DataFrame:
+    """(key, lo, hi): bytes that go, from ``count`` samples (key, doc_id, text, places)."""
     n = partitions(table.sparkSession)
+    ranges = max(n, -(-count // RANGE))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Suffixes] = []
@@ -268,11 +270,11 @@ def suffix_spans(table: DataFrame) -> DataFrame:
         def coded() -> pa.RecordBatch:
             rows = Suffixes.joined(held).sort()
             held.clear()
-            bucket = rows.text[:, :4].copy().view(">u4").ravel().astype(np.int64) * n >> 32
-            cuts = np.searchsorted(bucket, np.arange(n + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            blobs = [rows.take(np.arange(cuts[b], cuts[b + 1])).front_coded() for b in some]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "run"])
+            bucket = rows.text[:, :4].copy().view(">u4").ravel().astype(np.int64) * ranges >> 32
+            some, starts = np.unique(bucket, return_index=True)
+            ends = np.append(starts[1:], len(rows))
+            blobs = [rows.take(np.arange(a, b)).front_coded() for a, b in zip(starts, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary())], names=["bucket", "run"])
 
         for batch, raw, at in chunks(batches):
             g = Grams(raw, at)
@@ -402,7 +404,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         )
         some = table.join(listed.drop("wide").where("size(places) > 0"), "key")
         wide = table.join(listed.select("key", F.col("wide").alias("places")).where("size(places) > 0"), "key")
-        spans = suffix_spans(some).unionByName(wide_spans(wide))
+        count = listed.agg(F.sum(F.size("places"))).first()[0] or 0
+        spans = suffix_spans(some, count).unionByName(wide_spans(wide))
         lists = written(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
         left = written(_removed(table.join(lists, "key")).dropDuplicates(["key"]))
     finally:

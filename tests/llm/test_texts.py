@@ -160,6 +160,8 @@ def test_byte_repeats(odd, none, monkeypatch):
         first[key, text] = (key, len(data), sum(gone), spans, sha(kept))
         want.append(first[key, text])
     same(byte_repeats.remove_repeats(odd), want)
+    monkeypatch.setattr(byte_repeats, "RANGE", 5)
+    same(byte_repeats.remove_repeats(odd), want)
     monkeypatch.setattr(byte_repeats, "WIDE", 3)
     same(byte_repeats.remove_repeats(odd), want)
     assert byte_repeats.remove_repeats(none).count() == 0

@@ -127,3 +127,8 @@ def list_codes(text: Column, width: int = 5) -> Column:
     """Comma list to an array of padded codes, blanks left out."""
     parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: zero_fill(p, width))
+
+
+def content_key(*columns: str) -> Column:
+    """A digest of the columns' values with nulls told apart, wide enough not to collide at any number of rows."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

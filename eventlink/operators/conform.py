@@ -52,7 +52,7 @@ UNKNOWN = "unknown"
 
 def natural_key(df: DataFrame) -> DataFrame:
     """Key made of the row's own content, so it is the same after every read."""
-    return df.withColumn("key", F.xxhash64(*df.columns).cast("string"))
+    return df.withColumn("key", codes.content_key(*df.columns))
 
 
 def to_directory(df: DataFrame, intervention_type: str | Column | None, date_type: str) -> DataFrame:
@@ -310,10 +310,16 @@ def without_start(directory: DataFrame) -> DataFrame:
     return directory.filter(F.col("start_ts").isNull())
 
 
+def _known(directory: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with all keys. A cleaned order is null exactly where the given one is; asking that spares cleaning twice."""
+    cleaned = "order_given" in directory.columns
+    return directory.dropna(subset=["order_given" if cleaned and k == "order_id" else k for k in keys])
+
+
 def merge_spans(directory: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Rows of one operation merged into the span from its first start to its last end."""
     keys = keys or SPAN_KEYS
-    grouped = directory.dropna(subset=keys).groupBy(*keys)
+    grouped = _known(directory, keys).groupBy(*keys)
     spans = grouped.agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     return spans.withColumns(
         {
@@ -328,7 +334,7 @@ def merge_spans(directory: DataFrame, keys: list[str] | None = None) -> DataFram
 def merge_spans_in_period(directory: DataFrame, start: str, end: str, wqz: tuple[str, ...]) -> DataFrame:
     """Spans by the coarser key within a closed period, for some water quality zones."""
     inside = directory.filter(times.within(F.col("start_ts"), start, end, closed=True))
-    inside = inside.filter(F.col("wqz").isin(*wqz)).dropna(subset=PERIOD_KEYS)
+    inside = _known(inside.filter(F.col("wqz").isin(*wqz)), PERIOD_KEYS)
     return inside.groupBy(*PERIOD_KEYS).agg(
         F.min("start_ts").alias("start_ts"),
         F.max("end_ts").alias("end_ts"),

@@ -25,8 +25,12 @@ def poisson(df: DataFrame, label: str, factors: list[str], max_iter: int = 25) -
     """Coefficients of ``label ~ factor + ..`` with log link, and whether the fit converged.
 
     Rows with equal factors share one mean, so the fit runs on one weighted row per combination and the
-    data is read once instead of once per iteration. The alphabetically first level is the base.
+    data is read once instead of once per iteration. The alphabetically first level is the base. The coefficients of a
+    single factor are logarithms of its levels' means, for any number of levels; a level whose mean is zero has none, and
+    then nothing converges.
     """
+    if len(factors) == 1:
+        return _one_factor(grouped_counts(df, label, factors), factors[0])
     spark = df.sparkSession
     names = durable(grouped_counts(df, label, factors))
     # The formula drops the last index, so descending order makes the first name the base.
@@ -45,6 +49,19 @@ def poisson(df: DataFrame, label: str, factors: list[str], max_iter: int = 25) -
     return small_table(spark, table, ["term", "coefficient", "converged"], ["string", "double", "boolean"])
 
 
+def _one_factor(counts: DataFrame, factor: str) -> DataFrame:
+    levels = counts.select(F.col(factor).cast("string").alias("level"), "mean")
+    base, least = F.min(F.struct("level", "mean")).alias("base"), F.min("mean").alias("least")
+    known = levels.withColumn("s", levels.agg(F.struct(base, least)).scalar())
+    first = F.col("level") == F.col("s.base.level")
+    apart = F.ln("mean") - F.ln("s.base.mean")
+    return known.select(
+        F.when(first, "Intercept").otherwise(F.concat(F.lit(f"{factor}_"), "level")).alias("term"),
+        F.when(first, F.ln("mean")).otherwise(apart).alias("coefficient"),
+        (F.col("s.least") > 0).alias("converged"),
+    )
+
+
 def _attributes(df: DataFrame, column: str) -> list[dict]:
     groups = df.schema[column].metadata["ml_attr"]["attrs"]
     return sorted((a for kind in groups.values() for a in kind), key=lambda a: a["idx"])
@@ -54,19 +71,26 @@ def _digest(text: Column) -> Column:
     return F.md5(text.cast("string"))
 
 
+def _keyed(df: DataFrame, id: str, *columns: str) -> DataFrame:
+    keyed = df.select(F.col(id).cast("string").alias("_id"), *columns)
+    keyed = keyed.withColumn("_digest", _digest(F.col("_id")))
+    return keyed.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
+
+
+def _bucket_sizes(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+
+
 def numbered(df: DataFrame, id: str, *columns: str) -> DataFrame:
     """Rows numbered from 0 in the order of a digest of their id.
 
     The order does not depend on the partitioning. Rows are numbered within 65,536 even buckets, whose
     starting numbers come from one small table of bucket sizes.
     """
-    keyed = df.select(F.col(id).cast("string").alias("_id"), *columns)
-    keyed = keyed.withColumn("_digest", _digest(F.col("_id")))
-    keyed = keyed.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
+    keyed = _keyed(df, id, *columns)
     # At most 65,536 rows: one task numbers them and the broadcast has that bound.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    starts = starts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = _bucket_sizes(keyed).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", "_id"))
     joined = keyed.withColumn("_row", inside).join(F.broadcast(starts), "_bucket")
     return joined.select((F.col("_start") + F.col("_row") - 1).alias("number"), *columns)
@@ -81,15 +105,20 @@ def draw(seed: str, id: Column, size: Column) -> Column:
 def random_events(events: DataFrame, id: str, ts: str, zone: str, draws: DataFrame, draw_id: str) -> DataFrame:
     """One synthetic event per row of ``draws``: a start time and a zone taken independently, with replacement.
 
-    The real events' times and zones are used, so the zones keep their weights but lose their timing.
+    The real events' times and zones are used, so the zones keep their weights but lose their timing. The events are
+    numbered once; a row of ``draws`` asks for two numbers and gets one row back. No events give no rows.
     """
     pool = numbered(events, id, ts, zone)
-    size = events.agg(F.count("*")).scalar()
+    size = F.nullif(_bucket_sizes(_keyed(events, id)).agg(F.sum("_n")).scalar(), F.lit(0))
     drawn = draws.select(
         F.col(draw_id).alias("id"),
         draw("time-", F.col(draw_id), size).alias("_t"),
         draw("zone-", F.col(draw_id), size).alias("_z"),
     )
-    times = pool.select(F.col("number").alias("_t"), F.col(ts).alias("ts"))
-    places = pool.select(F.col("number").alias("_z"), F.col(zone).alias("zone"))
-    return drawn.join(times, "_t").join(places, "_z").select("id", "ts", "zone")
+    asked = F.array(
+        F.struct(F.lit(True).alias("dates"), F.col("_t").alias("number")),
+        F.struct(F.lit(False).alias("dates"), F.col("_z").alias("number")),
+    )
+    taken = drawn.select("id", F.explode(asked).alias("asked")).select("id", "asked.*").join(pool, "number")
+    found_ts = F.max(F.when(F.col("dates"), F.col(ts))).alias("ts")
+    return taken.groupBy("id").agg(found_ts, F.max(F.when(~F.col("dates"), F.col(zone))).alias("zone"))

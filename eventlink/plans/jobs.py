@@ -15,7 +15,7 @@ from eventlink.functions import codes, labels, times
 from eventlink.operators import clusters, conform, link, report, stats, zones
 from eventlink.operators.link import Rule, Side
 from eventlink.sources import extracts
-from eventlink.sources.readers import Field, Spec, read, snapshot, write_csv
+from eventlink.sources.readers import Field, Spec, read, read_alike, snapshot, write_csv
 
 _EXCEPTIONS = Spec("zone exceptions", (Field("raw", "raw"), Field("zone", "zone")), encoding="UTF-8")
 _MAPPING = Spec("value mapping", (Field("raw", "raw"), Field("value", "value")), encoding="UTF-8")
@@ -66,12 +66,12 @@ class Scope:
 
 @dataclass(frozen=True)
 class Tables:
-    """Link results as written: causes, anomalies and complaints with their counts, and all pairs."""
+    """Link results as written: causes, anomalies and complaints with their counts, and all pairs if asked for."""
 
     causes: DataFrame
     anomalies: DataFrame
     complaints: DataFrame
-    outer: DataFrame
+    outer: DataFrame | None
     scope: Scope
     sides: dict[str, Side] = field(default_factory=dict)
 
@@ -83,7 +83,7 @@ def event_directory(spark: SparkSession, x: Extracts) -> DataFrame:
     regions = read(spark, x.region_names, _MAPPING)
     tracker = extracts.incident_tracker(spark, x.incidents, read(spark, x.zone_exceptions, _EXCEPTIONS), regions)
     control = conform.control_planned_work(
-        [read(spark, path, extracts.OLD_PLANNED_SHEET) for path in x.planned_sheets],
+        read_alike(spark, x.planned_sheets, extracts.OLD_PLANNED_SHEET),
         read(spark, x.planned_list, extracts.NEW_PLANNED_SHEET),
         dim,
         read(spark, x.work_type_names, _MAPPING),
@@ -117,11 +117,14 @@ def event_spans(spark: SparkSession, x: Extracts, out: str) -> DataFrame:
     return snapshot(conform.merge_spans(conform.located(event_directory(spark, x))), f"{out}/event_spans")
 
 
-def link_all(spark: SparkSession, x: Extracts, spans: DataFrame, scope: Scope, out: str) -> Tables:
-    """Causes, anomalies and complaints with their mutual counts, and the listing of all pairs A to C."""
+def link_all(
+    spark: SparkSession, x: Extracts, spans: DataFrame, scope: Scope, out: str, listing: bool = False
+) -> Tables:
+    """Causes, anomalies and complaints with their mutual counts; with ``listing`` also all pairs A to C, whose number
+    grows with the square of the rows in a zone."""
     dim = extracts.zone_dimension(spark, x.zones)
     rule = Rule(edges=extracts.zone_edges(spark, x.neighbours), hours=scope.hours)
-    events = scope.of(spans, "start_ts").withColumn("id", F.xxhash64(*conform.SPAN_KEYS))
+    events = scope.of(spans, "start_ts").withColumn("id", codes.content_key(*conform.SPAN_KEYS))
     people = extracts.demographics(spark, x.demographics)
     # Clusters count every complaint, so the scope is applied after them.
     every = snapshot(extracts.complaints(spark, x.complaints, people, dim), f"{out}/complaints_clean")
@@ -146,8 +149,10 @@ def link_all(spark: SparkSession, x: Extracts, spans: DataFrame, scope: Scope, o
     names = {_column(t): t for t in labels.REPORTED_TYPES}
     last = link.with_cause_types(last, a, rule, "intervention_type", names)
     complaints = snapshot(last.frame, f"{out}/complaints")
-    pairs = link.outer(Side(causes, "cause", ts="start_ts"), Side(complaints, "complaint"), rule)
-    pairs = snapshot(pairs, f"{out}/outer")
+    pairs = None
+    if listing:
+        pairs = link.outer(Side(causes, "cause", ts="start_ts"), Side(complaints, "complaint"), rule)
+        pairs = snapshot(pairs, f"{out}/outer")
     return Tables(causes, anomalies, complaints, pairs, scope, {"a": a, "b": b, "c": c})
 
 

@@ -327,7 +327,7 @@ def anomalies(spark: SparkSession, folder: str, sensors: DataFrame, dimension: D
     rows = keep_first(read(spark, folder, ANOMALIES), ["ts", "sensor_file"], ["source_file", "sensor_id"])
     placed = zones.lookup(rows, F.col("sensor_id"), sensors, "sensor_id", "zone", "zone")
     placed = placed.withColumn("zone", codes.zone_code(F.col("zone")))
-    keyed = placed.withColumn("id", F.xxhash64("ts", "sensor_file"))
+    keyed = placed.withColumn("id", codes.content_key("ts", "sensor_file"))
     return zones.enrich(keyed, dimension)
 
 

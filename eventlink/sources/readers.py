@@ -110,6 +110,14 @@ def read(spark: SparkSession, paths: str | list[str], spec: Spec, skip_unreadabl
     return convert(read_text(spark, paths, spec, skip_unreadable), spec)
 
 
+def read_alike(spark: SparkSession, paths: list[str], spec: Spec) -> list[DataFrame]:
+    """One table per file or folder; an error if their headers differ."""
+    raw = [read_text(spark, path, spec) for path in paths]
+    if any(r.columns != raw[0].columns for r in raw):
+        raise ValueError(f"{spec.name}: the files differ in their columns")
+    return [convert(r, spec) for r in raw]
+
+
 def read_each(spark: SparkSession, folders: list[str], spec: Spec, skip_unreadable: bool = False) -> DataFrame:
     """Folders whose layouts may differ: each is converted by itself, then all are united."""
     parts = [read(spark, folder, spec, skip_unreadable) for folder in folders]

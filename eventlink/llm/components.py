@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventlink.llm.common import written
+from eventlink.operators.joins import attach
 
 
 def _toward_least(pairs: DataFrame) -> DataFrame:
@@ -13,8 +14,8 @@ def _toward_least(pairs: DataFrame) -> DataFrame:
 
     The least is found by an aggregate and joined back, so a crowded u can be split.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("least"))
-    return pairs.join(least, "u")
+    least = pairs.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("least"))
+    return attach(pairs, least, [(F.col("u"), "_u")], "inner")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from eventlink.llm.common import U64, Keyed, Rolling, Words, anchors, chunks, sliding_min, texts, written
 from eventlink.llm.components import components
+from eventlink.operators.joins import attach
 
 WINDOW, GRAM = 35, 16
 WIDTH = WINDOW - GRAM + 1
@@ -116,10 +117,10 @@ def _edges(table: DataFrame) -> DataFrame:
 
 def compacted(edges: DataFrame) -> DataFrame:
     """(key, path, lo, hi): long spans of the source texts along the nonbranching paths of repeated edges."""
-    twice = edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge")
+    twice = edges.groupBy(F.col("edge").alias("_edge")).agg(F.count("*").alias("n")).where("n > 1").select("_edge")
     by_text = Window.partitionBy("key").orderBy("place")
     repeated = written(
-        edges.join(twice, "edge")
+        attach(edges, twice, [(F.col("edge"), "_edge")], "inner")
         .withColumn("follower", F.lead(F.struct("edge", "place")).over(by_text))
         .withColumn("follower", F.expr("CASE WHEN follower.place < place + length THEN follower.edge END"))
     )
@@ -132,8 +133,8 @@ def compacted(edges: DataFrame) -> DataFrame:
         "run", F.sum(F.when(F.lag("single").over(by_text), 0).otherwise(1)).over(by_text)
     )
     stars = in_run.select(F.col("edge").alias("a"), F.min("edge").over(Window.partitionBy("key", "run")).alias("b"))
-    paths = components(stars.distinct()).toDF("edge", "path")
-    on_path = repeated.join(paths, "edge", "left").select(
+    paths = components(stars.distinct()).toDF("_edge", "path")
+    on_path = attach(repeated, paths, [(F.col("edge"), "_edge")]).select(
         "key", F.coalesce("path", "edge").alias("path"), F.col("place").alias("lo"), (F.col("place") + F.col("length")).alias("hi")
     )
     in_order = Window.partitionBy("key", "path").orderBy("lo", "hi")
@@ -182,8 +183,8 @@ def _lists(spans: DataFrame, name: str) -> DataFrame:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(key, spans) of texts (key, text) with repeated windows: spans of words (lo, hi) that may overlap."""
     nodes = _nodes(keyed)
-    twice = nodes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    listed = written(nodes.join(twice, "gram").groupBy("key").agg(F.collect_list("place").alias("nodes")))
+    twice = nodes.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n")).where("n > 1").select("_gram")
+    listed = written(attach(nodes, twice, [(F.col("gram"), "_gram")], "inner").groupBy("key").agg(F.collect_list("place").alias("nodes")))
     edges = written(_edges(keyed.join(listed, "key")))
     paths = written(compacted(edges))
     known = written(
@@ -192,8 +193,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         )
     )
     table = keyed.join(known, "key")
-    counts = _window_counts(table).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    more = _open_windows(table).join(counts, "hash").select("key", F.col("place").alias("lo"), (F.col("place") + WINDOW).alias("hi"))
+    counts = _window_counts(table).groupBy(F.col("hash").alias("_hash")).agg(F.sum("n").alias("n")).where("n > 1").select("_hash")
+    more = attach(_open_windows(table), counts, [(F.col("hash"), "_hash")], "inner").select("key", F.col("place").alias("lo"), (F.col("place") + WINDOW).alias("hi"))
     return _lists(paths.select("key", "lo", "hi").unionByName(more), "spans")
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlink.llm.common import U64, Keyed, Rolling, anchors, as_bytes, chunks, mixed, partitions, powers, sliding_min, texts, written
+from eventlink.operators.joins import attach
 
 WINDOW, GRAM = 100, 32
 WIDTH = WINDOW - GRAM + 1
@@ -353,8 +354,8 @@ def wide_spans(table: DataFrame) -> DataFrame:
 
     found = table.mapInArrow(windows, "key long, doc_id long, lo int, value long")
     place = F.struct("doc_id", "key", "lo")
-    first = found.groupBy("value").agg(F.min(place).alias("first"))
-    later = found.join(first, "value").where(place != F.col("first"))
+    first = found.groupBy(F.col("value").alias("_value")).agg(F.min(place).alias("first"))
+    later = attach(found, first, [(F.col("value"), "_value")], "inner").where(place != F.col("first"))
     return later.select("key", "lo", (F.col("lo") + WINDOW).cast("int").alias("hi"))
 
 
@@ -394,8 +395,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     try:
         table = keyed.frame()
         nodes = _nodes(table)
-        twice = nodes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-        marked = nodes.join(twice, "gram").groupBy("key")
+        twice = nodes.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n")).where("n > 1")
+        marked = attach(nodes, twice, [(F.col("gram"), "_gram")], "inner").groupBy("key")
         listed = written(
             marked.agg(
                 F.collect_list(F.when(F.col("n") <= WIDE, F.col("place"))).alias("places"),

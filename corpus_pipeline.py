@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: host rules, near-duplicates, repeated passages, personal data, packing.
 
 Each stage is a function of (spark, docs, sf_dir) that returns a frame; it is written and the next stage reads it. All but the
-last return the columns of documents. Null ids, texts and sources pass through; an empty table gives empty tables.
+last return the columns of documents. Verdicts meet their rows by a key of the row itself, so null ids, repeated ids and
+repeated rows lose nothing but their own copies. Null ids, texts and sources pass through; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 
 from eventlink.llm import near_dup, packing, personal_data, quality_rules, word_repeats
 from eventlink.llm.common import table, written
+from eventlink.operators.joins import attach, keep_first
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among the kept ones."""
-    ids = kept.select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def _row_key(*columns: str) -> F.Column:
+    """A 64-bit key of the columns' values; a null is told from an empty text and from any id."""
+    return F.xxhash64(*[c for name in columns for c in (F.col(name).isNull(), F.col(name))])
 
 
 def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
@@ -29,13 +30,28 @@ def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and whose host is not rejected."""
-    return _only(docs, quality_rules.judge(docs).where("kept"))
+    """Documents that pass the base rule and whose host is not rejected. Each row has a verdict of its own."""
+    keyed = docs.withColumn("_key", _row_key("doc_id", "text", "source"))
+    kept = quality_rules.judge(keyed.withColumn("doc_id", F.col("_key"))).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return attach(keyed, kept.withColumn("_known", F.lit(True)), [(F.col("_key"), "_kept")], "inner").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return _only(docs, near_dup.group_near_duplicates(docs).where("kept"))
+    """Of each group of near-duplicates the document with the smallest id; null ids come last, equal ids go by the row's key.
+
+    Of rows with equal id and text one stays, the first by the other columns. A text without words is in no group.
+    """
+    keyed = docs.withColumn("_key", _row_key("doc_id", "text"))
+    groups = near_dup.group_near_duplicates(keyed.withColumn("doc_id", F.col("_key")))
+    groups = groups.groupBy(F.col("doc_id").alias("_same")).agg(F.min("component_id").alias("component"))
+    known = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "copies")
+    one = known.join(groups, F.col("_key") == F.col("_same")).groupBy("component").agg(F.min(member).alias("one"))
+    # Written, as both branches below read it.
+    one = written(one.select(F.col("one._key").alias("_one"), F.col("one.copies").alias("_copies")))
+    kept = attach(keyed, one, [(F.col("_key"), "_one")], "inner")
+    single = kept.where("_copies = 1").select(*docs.columns)
+    return single.unionByName(keep_first(kept.where("_copies > 1").drop("_copies"), ["_key"], []).select(*docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

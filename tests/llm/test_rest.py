@@ -111,6 +111,33 @@ def test_pipeline(spark, odd, none):
         assert empty.count() == 0
 
 
+def test_pipeline_keeps_rows_with_odd_ids(spark):
+    """Null ids, repeated rows, and one id with two texts: of each document one row stays, with its words."""
+    said = {name: " ".join(f"{name}{k}" for k in range(60)) for name in ("null", "copy", "shared", "alone", "named", "odd")}
+    bad = "! " * 60
+    rows = [
+        (None, said["null"], "a"),
+        (None, said["odd"], "a"),
+        (1, said["copy"], "a"),
+        (1, said["copy"], "a"),
+        (1, said["copy"], "b"),
+        (2, said["shared"], "a"),
+        (2, said["alone"], "a"),
+        (2, bad, "a"),
+        (None, said["named"], "a"),
+        (3, said["named"], "a"),
+        (None, said["null"], "a"),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, FOLDER))
+        if name == "quality rules":
+            assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter((k, t) for k, t, _ in rows if t != bad)
+    want = [(None, "null"), (None, "odd"), (1, "copy"), (2, "shared"), (2, "alone"), (3, "named")]
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter((k, said[n]) for k, n in want)
+    assert {r.source for r in docs.where("doc_id = 1").collect()} == {"a"}
+
+
 def test_redaction_leaves_nothing():
     field = personal_data.Field()
     text = "a.b@c.example.com +1 (603) 555-8791 10.0.0.1 4111 1111 1111 1111"

@@ -1,55 +1,59 @@
 """Scores of a probabilistic suffix tree over words.
 
-Learning. Words are counted over all training texts. The tree's contexts are word sequences with at least
-``CONTEXT`` of all tokens, so there are at most ``1 / CONTEXT`` of each length; longer ones are counted only where both
-their parts are frequent enough. A context is kept as a state if its distribution of next words diverges from that of
-its longest kept suffix: the log-likelihood ratio over all its occurrences is at least ``GAIN``. Next words are smoothed by
-absolute discounting: what is taken off, and all rare next words, go to the suffix's distribution, and at the root
-to add-one word frequencies.
-
-Scoring. A word's probability is read at the state of the longest suffix before it. States, and words with at
-least ``COMMON`` of all tokens (at most ``1 / COMMON`` of them), go to every task: their sizes are bounded whatever the data. Other
-words meet their counts in a join.
-
-Null and empty texts consist of the end alone. Repeated rows count and are scored as often as they occur. Null ids count as an empty
-string in the split. Columns other than doc_id and text are left out. An empty table gives an empty table; without any
-training text every word is unknown.
+Learning. Sequences of one word up to ``DEPTH + 1`` words are counted over all training texts. A sequence is worth keeping if it
+occurs ``LEAST`` times; a longer one is counted where both its parts are, which loses none that occurs so often. All kept
+sequences of up to ``DEPTH`` words are contexts. A context is a state of the tree if its distribution of next words
+diverges from that of its longest kept suffix: the log-likelihood ratio over all its occurrences is at least ``GAIN``. Next words
+are smoothed by absolute discounting: what is taken off, and all next words that are not kept, go to the suffix's
+distribution, and at the root to add-one word frequencies.
+
+Scoring. A word's probability is read at the state of the longest suffix before it.
+
+Nothing is sent to the driver or to every task, so the tree grows with the corpus. Texts are gathered in blocks of tokens. A
+block asks for its distinct sequences, dealt out by ranges of their hashes; each range sums up what was asked and answers every
+block (:func:`exchange`). One of the blocks that ask for a sequence owns it and hands it on as a next word of its context; shares and
+gains of contexts are aggregates, and blocks ask for the shares of their own contexts.
+
+Hashes have 64 bits. Null and empty texts consist of the end alone. Repeated rows count and are scored as often as they occur. Null
+ids count as an empty string in the split. Columns other than doc_id and text are left out. An empty table gives an empty
+table; without any training text every word is unknown.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm.common import U64, Words, chunks, mixed, texts, written
+from eventlink.llm.common import U64, Keyed, Words, chunks, mixed, partitions, texts, written
+from eventlink.operators.joins import attach
 
-CONTEXT, COMMON = 2.0**-14, 2.0**-20
+#: Occurrences of a context, and of a context with a next word, at least.
+LEAST = 2
 #: Words in a context at most.
-DEPTH = 2
+DEPTH = 3
 GAIN, DISCOUNT = 10.0, 0.5
 END = U64(0xE0D)
-#: Distinct sequences that a task sums up before it hands them on.
-HELD = 1_000_000
+#: Tokens of a block (the last text of a block goes in whole).
+BLOCK = 1 << 18
+#: Bytes that Spark hands to Python at once, as blocks are large rows.
+HANDED = "4m"
+#: Ranges of hashes for each shuffle partition, worked on one after the other.
+RANGES = 4
 
-_NONE = np.empty(0, U64)
-_ZERO = np.empty(0, np.float64)
 
-
-def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of every text's words and its end, the text of each, and its place there."""
+def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every text's words and its end, and their number in each text."""
     words = Words(raw, at, lower=True)
-    value = np.insert(words.hash, words.first[1:], END)
-    size = words.count + 1
-    first = np.concatenate([[0], np.cumsum(size)])[:-1]
-    doc = np.repeat(np.arange(len(size)), size)
-    return value, doc, np.arange(len(value)) - first[doc]
+    return np.insert(words.hash, words.first[1:], END), words.count + 1
 
 
 def extended(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -57,97 +61,216 @@ def extended(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before * U64(0x9E3779B97F4A7C15) + word)
 
 
-def sequences(value: np.ndarray, length: int) -> np.ndarray:
-    """Of each token the hash of the sequence of so many words that ends there (meaningless at the first ones)."""
-    out = value
-    for k in range(1, length):
-        nxt = out.copy()
-        nxt[k:] = extended(out[k - 1 : -1], value[k:]) if len(value) > k else nxt[k:]
-        out = nxt
-    return out
+def shifted(x: np.ndarray) -> np.ndarray:
+    """Of each token what the token before it has (0 at the first)."""
+    return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
+
+
+BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<int>, words binary, codes binary"
+
+
+def blocks(table: DataFrame) -> DataFrame:
+    """Texts of (doc_id, text, held_out) as blocks: ids, whether each is held out, its tokens, distinct tokens, and their places there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, held = TaskContext.get().partitionId() << 36, 0, []
+
+        def row() -> pa.RecordBatch:
+            ids, out, sizes, value = zip(*held, strict=True)
+            words, codes = np.unique(np.concatenate(value), return_inverse=True)
+            lists = [pa.concat_arrays([c.cast(kind) for c in x]) for x, kind in ((ids, pa.int64()), (out, pa.bool_()))]
+            lists.append(pa.array(np.concatenate(sizes).astype(np.int32)))
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            data = [pa.array([x.tobytes()], pa.binary()) for x in (words, codes.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *columns, *data], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+        for batch, raw, at in chunks(batches):
+            value, sizes = tokens(raw, at)
+            held.append((batch.column(0), batch.column(2), sizes, value))
+            size += len(value)
+            if size >= BLOCK:
+                yield row()
+                number, size, held = number + 1, 0, []
+        if held:
+            yield row()
+
+    return table.mapInArrow(run, BLOCKS)
+
+
+@dataclass
+class Level:
+    """Sequences of one length: the hash at each token (the last word), where they are looked at, the distinct ones there, and of
+    each token's sequence its place among these; then what is known of the distinct ones."""
+
+    whole: np.ndarray
+    ok: np.ndarray
+    value: np.ndarray
+    place: np.ndarray
+    n: np.ndarray | None = None
+    owned: np.ndarray | None = None
+    share: np.ndarray | None = None
+
+    def at_tokens(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.ok), x.dtype)
+        out[self.ok] = x[self.place]
+        return out
+
+
+class Block:
+    """The tokens of a block, and its levels as far as their counts (``n1``, ..) and shares (``share1``, ..) are there."""
+
+    def __init__(self, row: dict, further: bool):
+        """``further``: with one more level that has no counts yet."""
+        words, codes = np.frombuffer(row["words"], U64), np.frombuffer(row["codes"], np.uint32)
+        self.row, self.word = row, words[codes]
+        sizes = np.array(row["sizes"], np.int64)
+        self.held = np.array(row["held"], bool)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.train = ~self.held[self.doc]
+        self.levels = [Level(self.word, np.ones(len(codes), bool), words, codes)]
+        while self.fill() and (further or f"n{len(self.levels) + 1}" in row):
+            self.levels.append(self.longer())
+
+    def fill(self) -> bool:
+        """Read what is known of the last level; whether its counts are there."""
+        level, k = self.levels[-1], len(self.levels)
+        if f"n{k}" not in self.row:
+            return False
+        said = np.frombuffer(self.row[f"n{k}"] or b"", np.int64)
+        level.n, level.owned = said >> 1, (said & 1).astype(bool)
+        if f"share{k}" in self.row:
+            level.share = np.zeros(len(level.n))
+            level.share[level.n >= LEAST] = np.frombuffer(self.row[f"share{k}"] or b"", np.float64)
+        return True
+
+    def longer(self) -> Level:
+        """The next level: sequences of which both parts are kept."""
+        below, k = self.levels[-1], len(self.levels)
+        kept = below.at_tokens(below.n) >= LEAST
+        ok = kept & shifted(kept) & (self.place >= k)
+        whole = extended(shifted(below.whole), self.word)
+        value, place = np.unique(whole[ok], return_inverse=True)
+        return Level(whole, ok, value, place)
+
+    def root(self, tree: Tree) -> np.ndarray:
+        return tree.root(self.levels[0].at_tokens(self.levels[0].n))
+
+    def probability(self, tree: Tree, depth: int) -> np.ndarray:
+        """Of each token, by contexts of ``depth`` words at most."""
+        p = 10.0 ** self.root(tree)
+        for k in range(1, depth + 1):
+            context, whole = self.levels[k - 1], self.levels[k]
+            share = np.where(self.place >= k, shifted(context.at_tokens(context.share)), 0.0)
+            n = whole.at_tokens(whole.n)
+            own = np.where(n >= LEAST, n - DISCOUNT, 0.0) / np.maximum(shifted(context.at_tokens(context.n)), 1)
+            p = np.where(share > 0, share * p + own, p)
+        return p
+
+
+def coded(value: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte, so that their leading zeros stand together."""
+    return np.diff(value, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
+
+
+ASK = "bucket long, block long, asked binary, given binary"
+
+
+def dealt(buckets: int, block: int, value: np.ndarray, given: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``ASK``: sorted values and what comes with them, by ranges of values."""
+    bucket = ((value >> U64(32)) * U64(buckets)) >> U64(32)
+    names, at = np.unique(bucket, return_index=True)
+    ends = [*at[1:], len(value)]
+    asked = [coded(value[a:b]) for a, b in zip(at, ends, strict=True)]
+    with_them = [given[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+    columns = [pa.array(names.astype(np.int64)), pa.array([block] * len(names), pa.int64()), pa.array(asked, pa.binary()), pa.array(with_them, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ASK.split(", ")])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows with the same key, which follow each other."""
+    now, rows = None, []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+            if row[key] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[key], []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def exchange(asks: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[int, bytes]]], name: str) -> Keyed:
+    """(block, name): the answers to each block, for its asked values in order. ``answer`` sees all rows of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in grouped(batches, "bucket"):
+            block, said = zip(*answer(rows), strict=True) if len(rows) else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array([bucket] * len(block), pa.int64()), pa.array(said, pa.binary())], names=["block", "bucket", "said"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in grouped(batches, "block"):
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([b"".join(r["said"] for r in rows)], pa.binary())], names=["block", name])
+
+    n = partitions(asks.sparkSession)
+    answers = asks.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket long, said binary")
+    return Keyed(answers.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(joined, f"block long, {name} binary"), "block", dealt=True)
+
 
+def totals(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
+    """Twice the sum of the counts of each asked value, and one more for the first block that asked."""
+    asked = [decoded(r["asked"]) for r in rows]
+    value, first, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+    n = np.bincount(place, np.concatenate([np.frombuffer(r["given"], np.uint32) for r in rows]), len(value)).astype(np.int64)
+    said = 2 * n[place]
+    said[first] += 1
+    at = 0
+    for r, x in zip(rows, asked, strict=True):
+        yield r["block"], said[at : at + len(x)].tobytes()
+        at += len(x)
 
-def is_in(value: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each value is one of the sorted known ones, and where."""
-    if not len(known):
-        return np.zeros(len(value), bool), np.zeros(len(value), np.int64)
-    place = np.minimum(np.searchsorted(known, value), len(known) - 1)
-    return known[place] == value, place
+
+def shares(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
+    """The share of each asked context, 0 if it is no state. States come with block -1."""
+    known = [(decoded(r["asked"]), np.frombuffer(r["given"], np.float64)) for r in rows if r["block"] < 0]
+    value, share = (np.concatenate(c) for c in zip(*known, strict=True)) if known else (np.empty(0, U64), np.empty(0))
+    order = np.argsort(value)
+    value, share = np.append(value[order], U64(0)), np.append(share[order], 0.0)
+    for r in rows:
+        if r["block"] >= 0:
+            asked = decoded(r["asked"])
+            at = np.searchsorted(value[:-1], asked)
+            yield r["block"], np.where((value[at] == asked) & (at < len(value) - 1), share[at], 0.0).tobytes()
+
+
+class Streamed:
+    """The values of one column, streamed when they are asked for."""
+
+    def __init__(self, frame: DataFrame, name: str):
+        self.frame, self.name = frame, name
+
+    def __iter__(self) -> Iterator:
+        return (r[0] for r in self.frame.select(self.name).toLocalIterator())
 
 
 @dataclass
 class Tree:
-    """``common``: sorted hashes of common words and their counts. Per length: states, their share for the suffix,
-    and entries (state with next word) with their own probability."""
+    """Per length of contexts: the states as a table (context, share), and their shares alone."""
 
     total: int = 0
     distinct: int = 0
-    common: np.ndarray = field(default_factory=lambda: _NONE)
-    counts: np.ndarray = field(default_factory=lambda: _ZERO)
-    states: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    entries: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    states: list[tuple[DataFrame, Streamed]] = field(default_factory=list)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts + 1) - math.log10(self.total + self.distinct + 1)
 
-    def score(self, value: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each token the model's and the root's log10 probability, and whether it is common; without the root's part for others."""
-        known, at = is_in(value, self.common)
-        base = np.where(known, self.root(self.counts[at] if len(self.counts) else np.zeros(len(value))), 0.0)
-        p = 10.0**base  # 1 for a word that is not common: its root part is added later
-        for k, ((states, share), (entries, own)) in enumerate(zip(self.states, self.entries, strict=True), 1):
-            whole = sequences(value, k + 1)
-            before = sequences(value, k)
-            before = np.concatenate([before[:1], before[:-1]])
-            state, s = is_in(before, states)
-            state &= place >= k
-            entry, e = is_in(whole, entries)
-            entry &= state
-            p = np.where(state, p * (share[s] if len(share) else 1.0), p)
-            p = np.where(entry, p + (own[e] if len(own) else 0.0), p)
-        return np.log10(p), base, known
-
-
-def counted(table: DataFrame, length: int, kept: np.ndarray = _NONE) -> DataFrame:
-    """(value, first, last, n): sequences of ``length`` words; longer than one only if both parts are ``kept``."""
-    columns = ("value", "first", "last", "n")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def summed() -> tuple[np.ndarray, ...]:
-            value, first, last, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            unique, at, back = np.unique(value, return_index=True, return_inverse=True)
-            return unique, first[at], last[at], np.bincount(back, n).astype(np.int64)
-
-        def rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], names=columns)
-
-        for _, raw, at in chunks(batches):
-            value, _, place = tokens(raw, at)
-            whole = sequences(value, length)
-            first, last = whole, whole
-            if length > 1:
-                first, last = sequences(value, length - 1), sequences(value, length - 1)
-                first = np.concatenate([first[:1], first[:-1]])
-                ok = (place >= length - 1) & is_in(first, kept)[0] & is_in(last, kept)[0]
-                whole, first, last = whole[ok], first[ok], last[ok]
-            unique, at_, n = np.unique(whole, return_index=True, return_counts=True)
-            held.append((unique, first[at_], last[at_], n.astype(np.int64)))
-            size += len(unique)
-            if size > 2 * HELD:
-                held[:] = [summed()]
-                size = len(held[0][0])
-                if size > HELD:
-                    yield rows(held.pop())
-                    size = 0
-        if held:
-            yield rows(summed())
-
-    found = table.where("NOT held_out").select("text").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
-    return found.groupBy("value").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.sum("n").alias("n"))
-
 
 def split(docs: DataFrame) -> DataFrame:
     """doc_id, text as bytes, held_out: the checksum of the id modulo 7 is 2."""
@@ -155,100 +278,152 @@ def split(docs: DataFrame) -> DataFrame:
     return texts(docs, (F.crc32(name) % 7 == 2).alias("held_out"))
 
 
-def bounded(frame: DataFrame, least: float) -> list[np.ndarray]:
-    """The rows with n of at least ``least``, sorted by value. ``least`` is a share of all tokens, so they are few."""
-    found = frame.where(F.col("n") >= least).toArrow()
-    order = np.argsort(found["value"].to_numpy().view(U64))
-    return [found[c].to_numpy()[order].view(U64 if c != "n" else np.int64) for c in found.column_names]
-
-
-def learn(table: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree, and the counts (value, n) of all words."""
-    words = written(counted(table, 1).select("value", "n"))
-    n, v = words.agg(F.sum("n"), F.count("*")).first()
-    tree = Tree(int(n or 0), int(v))
-    if not tree.total:
-        return tree, words
-    tree.common, tree.counts = bounded(words, COMMON * tree.total)
-    tree.counts = tree.counts.astype(np.float64)
-    enough = tree.counts >= CONTEXT * tree.total
-    contexts, n_contexts = tree.common[enough], tree.counts[enough]
-    words_at, given = contexts, 10.0 ** tree.root(n_contexts)  # what the tree built so far gives for sequences
-    for length in range(1, DEPTH + 1):
-        found = bounded(counted(table, length + 1, contexts), CONTEXT * tree.total)
-        below = given[is_in(found[2], words_at)[1]]
-        given = _grow(tree, contexts, n_contexts, found, below)
-        words_at, contexts, n_contexts = found[0], found[0], found[3].astype(np.float64)
-        if not len(contexts):
-            break
-    return tree, words
-
-
-def _grow(tree: Tree, contexts: np.ndarray, n_contexts: np.ndarray, found: list[np.ndarray], below: np.ndarray) -> np.ndarray:
-    """Add the states among contexts of one length; what the tree then gives for each sequence found.
-
-    ``found``: sequences of a context and a next word; ``below``: the probability of that word after the context's suffix.
-    """
-    value, first, _, n = found
-    context = is_in(first, contexts)[1]
-    own = np.maximum(n - DISCOUNT, 0) / n_contexts[context]
-    share = 1 - np.bincount(context, own, len(contexts))
-    full = own + share[context] * below
-    # Divergence: found next words by the ratio of both probabilities, all others together by the share they are left.
-    gain = np.bincount(context, n * np.log(full / below), len(contexts))
-    rest = np.maximum(n_contexts - np.bincount(context, n, len(contexts)), 0)
-    gain = gain + rest * np.log(np.maximum(share, 1e-12))
-    states = gain >= GAIN
-    kept = states[context]
-    tree.states.append((contexts[states], share[states]))
-    tree.entries.append((value[kept], own[kept]))
-    return np.where(kept, full, below)
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base double, score double, rest array<long>"
-
-
-def scored(table: DataFrame, tree: Tree) -> DataFrame:
-    """Per text what the tree alone gives, and the words (``rest``) whose counts it does not hold."""
-    names = [c.split()[0] for c in SCORED.split(", ")]
+class Known:
+    """The blocks, and what they were answered so far; all dealt out by block. ``drop`` it when nothing reads it any more."""
+
+    def __init__(self, table: DataFrame):
+        self.blocks, self.answers = Keyed(blocks(table), "block"), {}
+
+    def each(self, work: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, levels: int, depth: int = 0, further: bool = False) -> DataFrame:
+        """What ``work`` gives for every block, with the counts of so many levels and the shares of contexts up to ``depth`` words."""
+        frame = self.blocks.frame()
+        for name in [*(f"n{k + 1}" for k in range(levels)), *(f"share{k + 1}" for k in range(depth))]:
+            frame = frame.join(self.answers[name].frame(), "block", "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield from work(Block({n: batch.column(n)[k].as_py() for n in batch.schema.names}, further))
+
+        return frame.mapInArrow(run, schema)
+
+    def drop(self) -> None:
+        for t in (self.blocks, *self.answers.values()):
+            t.drop()
+
+
+@contextmanager
+def saved(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table that is dropped afterwards."""
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark hands rows to Python in batches of ``HANDED`` bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, HANDED)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+ENTRY = "context long, n long, n_context long, below double"
+
+
+def learn(table: DataFrame) -> tuple[Tree, Known]:
+    """The tree, and the blocks with the counts and shares of their sequences."""
+    buckets = RANGES * partitions(table.sparkSession)
+    tree, known = Tree(), Known(table)
+
+    def counts(block: Block) -> Iterator[pa.RecordBatch]:
+        level = block.levels[-1]
+        n = np.bincount(level.place, block.train[level.ok], len(level.value))
+        if len(level.value):
+            yield dealt(buckets, block.row["block"], level.value, n.astype(np.uint32))
+
+    known.answers["n1"] = exchange(known.each(counts, ASK, 0), totals, "n1")
+    tree.total, tree.distinct = _words(known)
+    root = Tree(tree.total, tree.distinct)
+    for k in range(1, DEPTH + 1):
+
+        def entries(block: Block, k: int = k) -> Iterator[pa.RecordBatch]:
+            whole, context = block.levels[k], block.levels[k - 1]
+            at = np.empty(len(whole.value), np.int64)
+            at[whole.place] = np.flatnonzero(whole.ok)
+            at = at[whole.owned & (whole.n >= LEAST)]
+            n, n_context = whole.n[whole.owned & (whole.n >= LEAST)], context.at_tokens(context.n)[at - 1]
+            below = block.probability(root, k - 1)[at]
+            columns = [pa.array(context.whole[at - 1].view(np.int64)), pa.array(n), pa.array(n_context), pa.array(below)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ENTRY.split(", ")])
+
+        def contexts(block: Block, k: int = k) -> Iterator[pa.RecordBatch]:
+            level = block.levels[k - 1]
+            if len(value := level.value[level.n >= LEAST]):
+                yield dealt(buckets, block.row["block"], value, np.empty(0, np.uint8))
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                value, share = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+                order = np.argsort(value)
+                if len(order):
+                    yield dealt(buckets, -1, value[order], share[order])
+
+        known.answers[f"n{k + 1}"] = exchange(known.each(counts, ASK, k, further=True), totals, f"n{k + 1}")
+        with saved(known.each(entries, ENTRY, k + 1, k - 1)) as found:
+            states = written(_states(found))
+        tree.states.append((states, Streamed(states, "share")))
+        asks = known.each(contexts, ASK, k).unionByName(states.mapInArrow(listed, ASK))
+        known.answers[f"share{k}"] = exchange(asks, shares, f"share{k}")
+    return tree, known
+
+
+def _words(known: Known) -> tuple[int, int]:
+    """All training tokens, and how many are distinct."""
+
+    def run(block: Block) -> Iterator[pa.RecordBatch]:
+        level = block.levels[0]
+        n = level.n[level.owned]
+        yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], names=["total", "distinct"])
+
+    total, distinct = known.each(run, "total long, distinct long", 1).agg(F.sum("total"), F.sum("distinct")).first()
+    return int(total or 0), int(distinct or 0)
+
+
+def _states(entries: DataFrame) -> DataFrame:
+    """(context, share) of the contexts whose next words (see ``ENTRY``) diverge from what is below them."""
+    own = (F.col("n") - DISCOUNT) / F.col("n_context")
+    sums = entries.groupBy(F.col("context").alias("_context")).agg(
+        (1 - F.sum(own)).alias("share"), (F.max("n_context") - F.sum("n")).alias("rest")
+    )
+    # Divergence: kept next words by the ratio of both probabilities, all others together by the share they are left.
+    ratio = F.col("n") * F.log((own + F.col("share") * F.col("below")) / F.col("below"))
+    gains = attach(entries, sums, [(F.col("context"), "_context")], "inner").groupBy("context").agg(
+        F.sum(ratio).alias("gain"), F.max("share").alias("share"), F.max("rest").alias("rest")
+    )
+    return gains.where(F.col("gain") + F.col("rest") * F.log("share") >= GAIN).select("context", "share")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        for batch, raw, at in chunks(batches):
-            value, doc, place = tokens(raw, at)
-            score, base, known = tree.score(value, place)
-            size = batch.num_rows
-            ends = np.searchsorted(doc, np.arange(size + 1))
-            sums = [np.bincount(doc, x, size) for x in (np.ones(len(doc)), known, base, score)]
-            ids, rest = np.arange(row, row + size), np.concatenate([[0], np.cumsum(~known)])[ends]
-            row += size
-            lists = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(value[~known].view(np.int64)))
-            columns = [pa.array(ids), batch.column(0), batch.column(2), *(pa.array(s.astype(np.int64)) for s in sums[:2]), *(pa.array(s) for s in sums[2:]), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return table.mapInArrow(run, SCORED)
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    table = split(docs)
-    tree, words = learn(table)
-    local = written(scored(table, tree))
-    each = local.select("row", F.explode("rest").alias("value")).groupBy("row", "value").agg(F.count("*").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    part = F.col("times") * (F.log10(c + 1) - math.log10(tree.total + tree.distinct + 1))
-    rest = (
-        each.join(words, "value", "left")
-        .groupBy("row")
-        .agg(F.sum(part).alias("part"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
-    )
-    zero = F.lit(0)
-    return local.drop("rest").join(rest, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_common") + F.coalesce("known", zero)).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("part", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("part", zero)).alias("score"),
-    )
+    with small_batches(docs.sparkSession):
+        return _scored(docs)
+
+
+def _scored(docs: DataFrame) -> DataFrame:
+    tree, known = learn(split(docs))
+    names = [c.split()[0] for c in SCORED.split(", ")]
+    tree = Tree(tree.total, tree.distinct)
+
+    def run(block: Block) -> Iterator[pa.RecordBatch]:
+        size = len(block.held)
+        seen = block.levels[0].at_tokens(block.levels[0].n) > 0
+        parts = (np.ones(len(block.doc)), seen, block.root(tree), np.log10(block.probability(tree, DEPTH)))
+        n, n_known, base, score = (np.bincount(block.doc, x, size) for x in parts)
+        columns = [pa.array(block.row["ids"], pa.int64()), pa.array(block.held), *(pa.array(x.astype(np.int64)) for x in (n, n_known, np.full(size, tree.total)))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(base), pa.array(score)], names=names)
+
+    try:
+        return written(known.each(run, SCORED, DEPTH + 1, DEPTH))
+    finally:
+        known.drop()

@@ -311,3 +311,49 @@ def test_suffix_tree_predicts(spark):
     assert held and all(r.score > r.base_score + 20 for r in held)
     tree, _ = suffix_tree.learn(suffix_tree.split(docs))
     assert all(0 < s <= 1 for _, share in tree.states for s in share)
+
+
+def test_suffix_tree_holds_rare_sequences(spark, monkeypatch):
+    """Against a plain suffix tree without any share of all tokens as a floor."""
+    monkeypatch.setattr(suffix_tree, "BLOCK", 3000)
+    rows = [(k, " ".join(f"u{k * 31 % 97}x{j * j % 89}" for j in range(300))) for k in range(120)]
+    rows += [(1000 + k, f"start{k % 5} rare{k // 4} pair{k // 4} with{k // 4} tail{k % 3}") for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {key: [*text.split(), None] for key, text in rows}
+    out = {key: zlib.crc32(str(key).encode()) % 7 == 2 for key in texts}
+    count = Counter(tuple(w[a:b]) for key, w in texts.items() if not out[key] for a in range(len(w)) for b in range(a + 1, min(len(w), a + suffix_tree.DEPTH + 1) + 1))
+    total, distinct = sum(n for s, n in count.items() if len(s) == 1), sum(len(s) == 1 for s in count)
+    share = {}
+
+    def probability(s):
+        p = (count[s[-1:]] + 1) / (total + distinct + 1)
+        for k in range(1, len(s)):
+            context = s[-1 - k : -1]
+            if context in share:
+                n = count[s[-1 - k :]]
+                p = share[context] * p + (n - 0.5 if n > 1 else 0) / count[context]
+        return p
+
+    for k in range(1, suffix_tree.DEPTH + 1):
+        after = defaultdict(dict)
+        for s, n in count.items():
+            if len(s) == k + 1 and n > 1:
+                after[s[:-1]][s[-1]] = n
+        found = {}
+        for context, words in after.items():
+            n = count[context]
+            left = 1 - sum((m - 0.5) / n for m in words.values())
+            gain = (n - sum(words.values())) * math.log(left)
+            for w, m in words.items():
+                below = probability((*context[1:], w))
+                gain += m * math.log(((m - 0.5) / n + left * below) / below)
+            if gain >= suffix_tree.GAIN:
+                found[context] = left
+        share |= found
+    tree, known = suffix_tree.learn(suffix_tree.split(docs))
+    known.drop()
+    assert [frame.count() for frame, _ in tree.states] == [sum(len(c) == k for c in share) for k in range(1, suffix_tree.DEPTH + 1)]
+    assert sum(1 for c in share if 2 <= count[c] < 6) > 20
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(docs).collect()}
+    want = {key: sum(math.log10(probability(tuple(w[max(0, i - suffix_tree.DEPTH) : i + 1]))) for i in range(len(w))) for key, w in texts.items()}
+    assert got == pytest.approx(want)

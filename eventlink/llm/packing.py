@@ -36,7 +36,9 @@ POOL = 1024
 #: Distinct words whose ids a worker remembers in either of two generations; the older one makes room.
 MEMORY = 900_000
 END_ID = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+#: Ids that are handed on at once (a sequence goes in whole).
+HANDED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -54,15 +56,16 @@ class Piece:
     start: int
     tokens: int
     loss: int
-    ids: bytes
+    ids: bytes | None
     whole: int
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
         """The first n tokens, and the rest."""
         head = max(0, n - (self.tokens - self.loss))
+        ids = (None, None) if self.ids is None else (self.ids[: 4 * n], self.ids[4 * n :])
         return (
-            Piece(self.key, self.start, n, head, self.ids[: 4 * n], self.whole),
-            Piece(self.key, self.start + n, self.tokens - n, self.loss - head, self.ids[4 * n :], self.whole),
+            Piece(self.key, self.start, n, head, ids[0], self.whole),
+            Piece(self.key, self.start + n, self.tokens - n, self.loss - head, ids[1], self.whole),
         )
 
     def longest(self, tokens: int, loss: int) -> int:
@@ -225,21 +228,28 @@ def placed(sequences: Iterator[list[Piece]]) -> Iterator[pa.RecordBatch]:
     """Rows of ``PIECES``, some thousands at a time."""
     number = TaskContext.get().partitionId() << 36
     names = [c.split()[0] for c in PIECES.split(", ")]
-    kinds = pa.schema([(n, pa.int64()) for n in names])
     rows: list[tuple] = []
+    ids: list[bytes | None] = []
+    size = 0
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=kinds)
+        values = pa.array(np.frombuffer(b"".join(x for x in ids if x), np.int32))
+        ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([x is None for x in ids]))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), lists], names=names)
 
     for sequence in sequences:
         offset = 0
         for p in sequence:
-            rows.append((p.key, p.start, p.tokens, zlib.crc32(p.ids), p.whole, number, offset))
+            crc = None if p.ids is None else zlib.crc32(p.ids)
+            rows.append((p.key, p.start, p.tokens, crc, p.whole, number, offset))
+            ids.append(p.ids)
             offset += p.tokens
         number += 1
-        if len(rows) >= 8192:
+        size += offset
+        if len(rows) >= 8192 or size >= HANDED:
             yield batch()
-            rows = []
+            rows, ids, size = [], [], 0
     if rows:
         yield batch()
 
@@ -247,17 +257,22 @@ def placed(sequences: Iterator[list[Piece]]) -> Iterator[pa.RecordBatch]:
 def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The same for tokenised examples (doc_id, n_tokens, n_loss): instruction data whose last n_loss tokens bear loss.
 
-    Null counts are taken as 0; examples without tokens give no piece. ids_crc32 is that of no bytes.
+    With a column ``ids`` (array of int) the pieces hold theirs and n_tokens is not read; without it ids and ids_crc32 are null. Null counts
+    are taken as 0; examples without tokens give no piece.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[Piece]:
             for batch in batches:
-                for key, n, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield Piece(key, 0, n, min(loss, n), b"", n)
+                for key, n, loss, *ids in zip(*batch.columns, strict=True):
+                    n, loss = n.as_py(), loss.as_py()
+                    data = ids[0].values.to_numpy().astype(np.int32).tobytes() if ids else None
+                    yield Piece(key.as_py(), 0, n, min(loss, n), data, n)
 
         yield from placed(packed(pieces(), limits))
 
     zero = F.lit(0).cast("long")
-    counts = [F.greatest(F.coalesce(F.col(c).cast("long"), zero), zero).alias(c) for c in ("n_tokens", "n_loss")]
-    return examples.select("doc_id", *counts).mapInArrow(pack, PIECES)
+    held = [F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids")] if "ids" in examples.columns else []
+    n = F.size(held[0]) if held else F.col("n_tokens")
+    counts = [F.greatest(F.coalesce(c.cast("long"), zero), zero).alias(name) for c, name in ((n, "n_tokens"), (F.col("n_loss"), "n_loss"))]
+    return examples.select("doc_id", *counts, *held).mapInArrow(pack, PIECES)

@@ -77,6 +77,23 @@ def test_instruction_examples(spark):
     assert Counter({1: 100, 2: 3000}) == sum((Counter({r.doc_id: r.length}) for r in rows), Counter())
 
 
+def test_sequences_come_back_from_pieces(odd, spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.pack_documents(odd.where("doc_id <> 18"), path).collect()
+    for key, text, *_ in ROWS:
+        if key not in (None, 18):
+            own = sorted((r for r in rows if r.doc_id == key), key=lambda r: r.start)
+            assert [i for r in own for i in r.ids] == tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+    assert all(len(r.ids) == r.length for r in rows)
+    examples = spark.createDataFrame([(1, 20, list(range(100))), (2, 10, list(range(3000))), (3, 0, None)], "doc_id long, n_loss long, ids array<int>")
+    found = sorted(packing.pack_examples(examples).collect(), key=lambda r: (r.doc_id, r.start))
+    assert [i for r in found for i in r.ids] == [*range(100), *range(3000)]
+    assert all(r.ids_crc32 == zlib.crc32(array("I", r.ids).tobytes()) for r in found)
+
+
 def measured(text):
     data = (text or "").encode()
     words = data.split()

@@ -15,20 +15,21 @@ Characters unknown to the vocabulary become byte pieces. Null and empty texts ha
 alike, each on its own. Columns other than doc_id and text are left out. An empty table gives an empty table. The mark
 U+2581 in a text counts as a space, as in the model itself. Batches are encoded where they are read; a task remembers a
 bounded number of words.
+
+:func:`encode` gives the ids of every text, :func:`decode` the texts of any ids, by the vocabulary's table of bytes alone.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventlink.llm.common import texts
 
@@ -38,7 +39,7 @@ MEMORY, MEMORY_CHARS = 500_000, 8_000_000
 #: Pairs of pieces whose merges a task remembers.
 PAIRS = 300_000
 _MARKED = re.compile(" *[^ ]+| +")
-ENCODED = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+ENCODED = "doc_id long, text binary, ids binary"
 
 
 def marked_words(text: str) -> list[str]:
@@ -49,9 +50,11 @@ def marked_words(text: str) -> list[str]:
 class Model:
     """Pieces with scores, and the forward step."""
 
-    def __init__(self, scores: dict[str, float], ids: dict[str, int], byte_ids: list[int], kind: str = "bpe"):
+    def __init__(self, scores: dict[str, float], ids: dict[str, int], byte_ids: list[int], kind: str = "bpe", others: dict[int, bytes] | None = None):
+        """``others``: ids that no text is encoded as, and what they are decoded as."""
         assert kind in ("bpe", "unigram")
         self.scores, self.ids, self.byte_ids, self.kind = scores, ids, byte_ids, kind
+        self.others = others or {}
         self.longest = max(map(len, scores), default=1)
         by_tail: dict[str, set[int]] = {}
         for piece in scores:
@@ -73,7 +76,9 @@ class Model:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         known = [i for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         plain = {i: p.id_to_piece(i).replace(MARK, " ") for i in known}
-        return cls({s: p.get_score(i) for i, s in plain.items()}, {s: i for i, s in plain.items()}, [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        others = {i: p.decode([i]).encode() if p.is_unknown(i) else b"" for i in range(p.get_piece_size()) if i not in plain and not p.is_byte(i)}
+        byte_ids = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        return cls({s: p.get_score(i) for i, s in plain.items()}, {s: i for i, s in plain.items()}, byte_ids, others=others)
 
     def halves(self, piece: str) -> tuple[str, str] | None:
         """The two parts whose merge gives the piece; None if merging its characters does not give it."""
@@ -175,7 +180,7 @@ class Model:
         return b"".join(reversed(pieces))
 
     def decoder(self) -> dict[int, bytes]:
-        return {i: s.encode() for s, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        return self.others | {i: s.encode() for s, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
 
 
 class Codec:
@@ -185,25 +190,18 @@ class Codec:
         self.model, self.decode_id = model, model.decoder()
         self.known: dict[str, bytes] = {}
         self.chars = 0
-        #: Words that decoding does not give back, and what it gives.
-        self.changed: dict[str, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> None:
         for word in sorted(words):
             self.chars += len(word)
-            packed = self.known[word] = self.model.encode(word)
-            ids = array("I")
-            ids.frombytes(packed)
-            back = b"".join(map(self.decode_id.__getitem__, ids))
-            if back != word.encode():
-                self.changed[word] = back
+            self.known[word] = self.model.encode(word)
 
     def split(self, texts: list[str]) -> list[list[str]]:
         """The words of each text, all of them known afterwards."""
         split = [marked_words(t) for t in texts]
         new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > MEMORY or self.chars + sum(map(len, new)) > MEMORY_CHARS:
-            self.known, self.changed, self.chars = {}, {}, 0
+            self.known, self.chars = {}, 0
             new = {w for words in split for w in words}
         self.learn(new)
         return split
@@ -212,11 +210,13 @@ class Codec:
         """The ids of known words as little-endian unsigned 32-bit numbers."""
         return b"".join(map(self.known.__getitem__, words))
 
-    def decode(self, words: list[str]) -> bytes:
-        """What decoding the ids of known words gives, without the space put in front."""
-        if self.changed:
-            return b"".join(self.changed.get(w) or w.encode() for w in words)[1:]
-        return "".join(words).encode()[1:]
+    def decode(self, packed: bytes) -> bytes:
+        """What any ids stand for, without the space put in front. An id beyond the vocabulary is an error."""
+        ids = array("I")
+        ids.frombytes(packed)
+        said = b"".join(map(self.decode_id.__getitem__, ids))
+        lead = next((i for i in ids if self.decode_id[i]), None)
+        return said if lead in self.model.others else said.removeprefix(b" ")
 
 
 @lru_cache(maxsize=1)
@@ -225,20 +225,42 @@ def codec(model_file: str) -> Codec:
     return Codec(Model.from_file(model_file))
 
 
-def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
-    """Per document: the number and checksum of its ids, and whether decoding them gives the text again (see ``ENCODED``)."""
+def encode(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, the text as bytes, and its ids as little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                said = [t.decode() for t in part.column(1).to_pylist()]
-                rows = []
-                for text, words in zip(said, own.split(said), strict=True):
-                    ids, back = own.encode(words), own.decode(words)
-                    rows.append((len(ids) // 4, zlib.crc32(ids), sha256(back).hexdigest(), back == text.replace(MARK, " ").encode()))
-                columns = [part.column(0), *(pa.array(c) for c in zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ENCODED.split(", ")])
+                words = own.split([t.decode() for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(own.encode, words), pa.binary())], names=["doc_id", "text", "ids"])
 
     return texts(docs).mapInArrow(run, ENCODED)
+
+
+def decode(encoded: DataFrame, model_file: str) -> DataFrame:
+    """``encoded`` with ``decoded``, the bytes that its column ``ids`` (as in :func:`encode`) stands for. Null ids give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_file)
+        for batch in batches:
+            where = batch.schema.get_field_index("ids")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                said = [None if x is None else own.decode(x) for x in part.column(where).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.binary())], names=[*part.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, encoded.select("*", F.lit(None).cast("binary").alias("decoded")).schema)
+
+
+def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
+    """Per document: the number and checksum of its ids, and whether decoding them gives the text again."""
+    given = F.encode(F.replace(F.decode("text", "UTF-8"), F.lit(MARK), F.lit(" ")), "UTF-8")
+    return decode(encode(docs, model_file), model_file).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == given).alias("round_trip"),
+    )

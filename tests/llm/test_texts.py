@@ -142,6 +142,17 @@ def test_pieces(odd, none):
     assert pieces.encode_documents(none, path).count() == 0
 
 
+def test_ids_are_encoded_and_decoded(odd, spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    same(pieces.encode(odd, path).selectExpr("doc_id", "string(text)", "hex(ids)"), [(k, t or "", array("I", model.encode(t or "")).tobytes().hex().upper()) for k, t, *_ in ROWS])
+    lists = [model.encode("ids from elsewhere é 日本語"), model.encode("two  spaces"), [5000, 300, 29000, 17], [0, 5000], []]
+    frame = spark.createDataFrame([(k, bytearray(array("I", x).tobytes())) for k, x in enumerate(lists)] + [(9, None)], "name long, ids binary")
+    same(pieces.decode(frame, path).selectExpr("name", "string(decoded)"), [*((k, model.decode(x)) for k, x in enumerate(lists)), (9, None)])
+
+
 def test_unigram_is_the_best_cut():
     scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "abc": -4.0, "c": -2.0, "bc": -1.0, " a": -0.7, " ": -0.9}
     ids = {p: 300 + k for k, p in enumerate(scores)}

@@ -359,11 +359,11 @@ def wide_spans(table: DataFrame) -> DataFrame:
     return later.select("key", "lo", (F.col("lo") + WINDOW).cast("int").alias("hi"))
 
 
-REMOVED = "key long, n_removed long, n_spans long, kept_sha256 string"
+REMOVED = "key long, spans array<struct<lo:int,hi:int>>, kept binary"
 
 
 def _removed(table: DataFrame) -> DataFrame:
-    """What is left of texts (key, text, spans)."""
+    """What goes and what is left of texts (key, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,15 +375,18 @@ def _removed(table: DataFrame) -> DataFrame:
                 np.add.at(gone, flat.field("lo").to_numpy(), 1)
                 np.subtract.at(gone, flat.field("hi").to_numpy(), 1)
                 gone = np.cumsum(gone[:-1]) > 0
-                begins = gone & ~np.concatenate([[False], gone[:-1]])
-                out.append((int(gone.sum()), int(begins.sum()), sha256(raw[at[k] : at[k + 1]][~gone].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*out, strict=True))], names=["key", "n_removed", "n_spans", "kept_sha256"])
+                lo, hi = (np.flatnonzero(x) for x in (gone & ~np.append(False, gone[:-1]), gone & ~np.append(gone[1:], False)))
+                merged = [{"lo": a, "hi": b + 1} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                out.append((merged, raw[at[k] : at[k + 1]][~gone].tobytes()))
+            merged, kept = zip(*out, strict=True) if out else ((), ())
+            kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, kind), pa.array(kept, pa.binary())], names=["key", "spans", "kept"])
 
     return table.select("key", "text", "spans").mapInArrow(run, REMOVED)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_bytes, digest and key of its text, the merged ``spans`` that go, and ``kept``, the bytes left (null: all)."""
     lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
     whole = texts(docs).withColumn("digest", F.sha2("text", 256))
     known = whole.select(F.xxhash64("digest").alias("key"), lowest.alias("order"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
@@ -413,16 +416,45 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         keyed.drop()
     copy = F.col("order") != F.col("first")
     gone = copy & (F.col("n_bytes") >= WINDOW)
-    kept = copy | F.col("n_removed").isNull()
-    zero = F.lit(0).cast("long")
+    kept = copy | F.col("spans").isNull()
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")))
     return (
         known.join(first, "key")
         .join(left, "key", "left")
         .select(
             "doc_id",
+            "order",
+            "key",
             "n_bytes",
-            F.when(gone, F.col("n_bytes")).when(kept, zero).otherwise(F.col("n_removed")).alias("n_removed"),
-            F.when(gone, F.lit(1).cast("long")).when(kept, zero).otherwise(F.col("n_spans")).alias("n_spans"),
-            F.when(gone, F.lit(sha256(b"").hexdigest())).when(kept, F.col("digest")).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+            "digest",
+            F.when(gone, whole).when(kept, none).otherwise(F.col("spans")).alias("spans"),
+            F.when(gone, F.lit(b"")).when(kept, F.lit(None)).otherwise(F.col("kept")).alias("kept"),
         )
     )
+
+
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the merged spans of bytes (lo, hi) that go, and ``kept``, the bytes left, of every document."""
+    judged = _judged(docs)
+    # Rows with equal doc_id and text have equal results, so one of them answers for all.
+    once = judged.groupBy(F.xxhash64("order", "key").alias("_row")).agg(F.min(F.struct("spans", "kept")).alias("_found"))
+    lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
+    own = texts(docs).withColumn("_own", F.xxhash64(lowest, F.xxhash64(F.sha2("text", 256))))
+    return attach(own, once, [(F.col("_own"), "_row")], "inner").select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.col("_found.spans").alias("spans"),
+        F.coalesce("_found.kept", "text").alias("kept"),
+    )
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document: counts and digest of what :func:`kept_texts` gives."""
+    return _judged(docs).select(
+        "doc_id",
+        "n_bytes",
+        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.when(F.col("kept").isNull(), F.col("digest")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"),
+    )

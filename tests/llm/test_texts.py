@@ -195,6 +195,17 @@ def test_byte_repeats(odd, none, monkeypatch):
     assert byte_repeats.remove_repeats(none).count() == 0
 
 
+def test_kept_bytes_are_given(odd, none):
+    said, got = Counter((k, t or "") for k, t, *_ in ROWS), byte_repeats.kept_texts(odd).collect()
+    digests = Counter((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), sha(bytes(r.kept))) for r in got)
+    assert digests == Counter(map(tuple, byte_repeats.remove_repeats(odd).collect()))
+    for r in got:
+        text = max((t for k, t in said if k == r.doc_id), key=lambda t: len(t.encode()) == r.n_bytes).encode()
+        ends = [0, *(x for s in r.spans for x in (s.lo, s.hi)), len(text)]
+        assert bytes(r.kept) == b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+    assert any(r.spans and r.kept for r in got) and byte_repeats.kept_texts(none).count() == 0
+
+
 def test_loser_tree_and_front_coding():
     import numpy as np
 

@@ -153,6 +153,13 @@ def test_ids_are_encoded_and_decoded(odd, spark):
     same(pieces.decode(frame, path).selectExpr("name", "string(decoded)"), [*((k, model.decode(x)) for k, x in enumerate(lists)), (9, None)])
 
 
+def test_text_with_the_mark_does_not_come_back(spark):
+    docs = spark.createDataFrame([(1, "a\u2581b"), (2, "a b")], "doc_id long, text string")
+    found = {r.doc_id: r for r in pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert (found[1].round_trip, found[2].round_trip) == (False, True)
+    assert found[1].decoded_sha256 == found[2].decoded_sha256
+
+
 def test_unigram_is_the_best_cut():
     scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "abc": -4.0, "c": -2.0, "bc": -1.0, " a": -0.7, " ": -0.9}
     ids = {p: 300 + k for k, p in enumerate(scores)}

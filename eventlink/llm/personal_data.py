@@ -1,8 +1,8 @@
 """Personal data: base patterns, and further spans found by a semi-Markov conditional random field.
 
-Base spans (:func:`base_spans`) always stay. The model looks at the text between them. Loose patterns propose candidate
-segments (an obfuscated address, a number with an international prefix but no plus, a card number or host address
-in unusual groups), each of bounded length. Features describe a candidate as a whole: its kind, shape, count of digits,
+Base spans (:func:`base_spans`) always stay. The model looks at the text between them. Candidate segments (an obfuscated
+address, a phone number in international or national form, a card number or host address in unusual groups) run from
+every token to every later one that a loose form allows, up to a bounded length. Features describe a candidate as a whole: its kind, shape, count of digits,
 checksum, separators, and the words in front of it. The best set of non-overlapping segments, boundaries and kinds
 together, is found by dynamic programming over the candidates' ends (semi-Markov Viterbi); training maximises the
 conditional likelihood by the forward and backward sums over the same candidates.
@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -85,19 +87,25 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-# Candidates of the model: loose forms, each of bounded length.
-_LOOSE = {
-    "email": re.compile(
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,40}+(?: ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,30}+"
-        r"(?: ?(?:\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,20}+|\.[A-Za-z0-9-]{2,20}+){1,3}"
-        r"| at [A-Za-z0-9-]{1,30}+(?: dot [A-Za-z0-9-]{2,20}+){1,3})"
-    ),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_ -]{0,2}[0-9]{2,6}){2,5}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+./-])(?:00 ?|\(\+|\+ )[1-9][0-9]{0,2}\)?(?:[ ()./-]{1,2}[0-9]{2,4}){2,6}(?![0-9])"),
+# Candidates of the model: all segments of whole tokens that a loose form allows, each of bounded length.
+_GROUP = re.compile("[0-9]+")
+_BETWEEN = {
+    "ip": re.compile(r" ?(?:\.|\[\.\]|\(\.\)) ?"),
+    "card": re.compile(r"[./_ -]{1,2}"),
+    "phone": re.compile(r"[ ()./-]{1,3}"),
 }
+_PREFIX = re.compile(r"(?:\(?\+ ?|\()$")
+#: Digits of one kind at least and at most.
+_SIZE = {"ip": (4, 12), "card": (13, 19), "phone": (7, 17)}
+_AT_SIGN = re.compile(r" ?(?:@|\(at\)|\[at\]) ?| at ", re.I)
+_NAME = re.compile(r"[A-Za-z0-9._%+-]{1,41}$")
+_NAME_START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]")
+_HOST = re.compile("[A-Za-z0-9-]{1,30}")
+_DOT = re.compile(r"(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)([A-Za-z0-9-]{2,20})", re.I)
+#: Parts of a host name after its first, and starts of a name, that are tried at most.
+_DOTS, _STARTS = 5, 8
 #: A text without these cannot hold a candidate.
-_AT = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]| at [^ ]{1,30} dot |@")
+_AT = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]| at [^ ]{1,30} dot |@", re.I)
 _DIGITS = re.compile(r"[0-9][^0-9]{0,3}[0-9]")
 _HINTS = {
     "email": ("mail", "contact", "write", "reach"),
@@ -107,25 +115,69 @@ _HINTS = {
 }
 
 
+def numbers(text: str) -> Iterator[Span]:
+    """From each group of digits to each later one, as long as separators, digits and length allow a kind."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for i, (start, first_end) in enumerate(groups):
+        front = _PREFIX.search(text, max(0, start - 3), start)
+        open_, digits = dict.fromkeys(_BETWEEN, True), 0
+        for j in range(i, len(groups)):
+            a, b = groups[j]
+            digits += b - a
+            if b - start > LONGEST - 3 or digits > 19 or j > i and a - groups[j - 1][1] > 5:
+                break
+            for kind, between in _BETWEEN.items():
+                if j > i and open_[kind]:
+                    open_[kind] = bool(between.fullmatch(text, groups[j - 1][1], a))
+                if kind == "ip" and b - a > 3:
+                    open_[kind] = False
+                least, most = _SIZE[kind]
+                if not open_[kind] or not least <= digits <= most:
+                    continue
+                if kind == "ip" and j - i == 3 or kind == "card":
+                    yield kind, start, b
+                elif kind == "phone" and (j > i or front or text.startswith("0", start)):
+                    yield kind, start, b
+                    if front:
+                        yield kind, front.start(), b
+            if not any(open_.values()):
+                break
+
+
+def addresses(text: str) -> Iterator[Span]:
+    """Around each sign or word for @: names from each of their tokens, hosts to each of their parts."""
+    for m in _AT_SIGN.finditer(text):
+        name = _NAME.search(text, max(0, m.start() - 41), m.start())
+        host = _HOST.match(text, m.end())
+        if not name or not host:
+            continue
+        starts = [x.start() for x in _NAME_START.finditer(text, name.start(), m.start())]
+        end, ends = host.end(), []
+        while len(ends) < _DOTS and (part := _DOT.match(text, end)):
+            end = part.end()
+            ends.append(end)
+        for start in starts[-_STARTS:]:
+            yield from (("email", start, end) for end in ends if end - start <= LONGEST)
+
+
 def candidates(text: str, taken: Iterable[Span] = ()) -> list[Span]:
-    """By end, then start; none touches a span already taken."""
-    found = []
-    worded, digits = bool(_AT.search(text)), bool(_DIGITS.search(text))
-    if worded or digits:
-        used = sorted((s, e) for _, s, e in taken)
-        for kind, pattern in _LOOSE.items():
-            if worded if kind == "email" else digits:
-                for m in pattern.finditer(text):
-                    if m.end() - m.start() <= LONGEST and not any(s < m.end() and m.start() < e for s, e in used):
-                        found.append((kind, m.start(), m.end()))
-    return sorted(found, key=lambda x: (x[2], x[1], x[0]))
+    """By end, then start; none touches a span already taken. Their number is in proportion to the text's length."""
+    found: set[Span] = set()
+    if _AT.search(text):
+        found.update(addresses(text))
+    if _DIGITS.search(text):
+        found.update(numbers(text))
+    used = sorted((s, e) for _, s, e in taken)
+    starts, reach = [s for s, _ in used], list(accumulate((e for _, e in used), max))
+    free = (x for x in found if not (k := bisect_left(starts, x[2])) or reach[k - 1] <= x[1])
+    return sorted(free, key=lambda x: (x[2], x[1], x[0]))
 
 
 def features(text: str, span: Span) -> list[str]:
     """Of the whole segment."""
     kind, start, end = span
     said, before = text[start:end], text[max(0, start - 24) : start].lower()
-    digits = _NO_DIGIT.sub("", said)
+    digits, after = _NO_DIGIT.sub("", said), text[end : end + 3]
     out = ["", f"digits={min(len(digits), 20)}", f"separators={''.join(sorted({c for c in said if not c.isalnum()}))[:4]}"]
     if 13 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
@@ -133,10 +185,15 @@ def features(text: str, span: Span) -> list[str]:
         out.append(f"bytes={all(int(x) <= 255 for x in re.findall('[0-9]+', said))}")
     if kind == "email":
         out.append(f"words={len(re.split('[^A-Za-z0-9]+', said))}")
-        out.append(f"spelled={bool(re.search('at', said)) and '@' not in said}")
-    out.append(f"prefix={re.match(r'00|[(]?[+]|', said)[0]}")
+        out.append(f"spelled={bool(re.search('at', said.lower())) and '@' not in said}")
+    else:
+        out.append(f"groups={'-'.join(str(min(len(g), 9)) for g in _GROUP.findall(said)[:8])}")
+    out.append(f"prefix={re.match(r'00|0|[(]?[+]|[(]|', said)[0]}")
     out.append(f"hint={any(h in before for h in _HINTS[kind])}")
     out.append(f"inside={bool(before) and before[-1].isalnum()}")
+    out.append(f"cut={bool(after) and after[0].isalnum()}")
+    # What goes on on either side tells a part from a whole.
+    out.append(f"goes_on={bool(re.match(r'[^0-9A-Za-z]{1,2}[0-9]', after))},{bool(re.search(r'[0-9][^0-9a-z]{1,2}$', before))}")
     return [f"{kind}:{x}" for x in out]
 
 
@@ -178,22 +235,23 @@ class Field:
             forward.append(float(np.logaddexp(forward[-1], into[-1])))
         backward = [0.0] * n  # backward[k]: all sets among candidates that begin after the k-th ends
         order = sorted(range(n), key=lambda k: -spans[k][1])
-        starts, sums = [], [0.0]
+        starts, sums = [], [0.0]  # starts: negative, so that they rise
         for k in order:
-            later = sum(1 for s in starts if s >= spans[k][2])
+            later = bisect_right(starts, -spans[k][2])
             backward[k] = sums[later]
-            starts.append(spans[k][1])
+            starts.append(-spans[k][1])
             sums.append(float(np.logaddexp(sums[-1], backward[k] + scores[k])))
         return [math.exp(min(0.0, into[k] + backward[k] - forward[-1])) for k in range(n)]
 
     def fit(self, examples: list[tuple[str, list[Span], set[Span]]], rounds: int = 30, rate: float = 0.5, decay: float = 0.01) -> Field:
         """Gradient ascent on the conditional likelihood of the labelled sets; all weights shrink towards 0."""
+        described = [[features(text, s) for s in spans] for text, spans, _ in examples]
         for _ in range(rounds):
             gradient: dict[str, float] = {}
-            for text, spans, true in examples:
-                scores = [self.score(text, s) for s in spans]
-                for span, p in zip(spans, self.marginals(scores, spans), strict=True):
-                    for f in features(text, span):
+            for (_, spans, true), each in zip(examples, described, strict=True):
+                scores = [sum(self.weights.get(f, 0.0) for f in found) for found in each]
+                for span, found, p in zip(spans, each, self.marginals(scores, spans), strict=True):
+                    for f in found:
                         gradient[f] = gradient.get(f, 0.0) + (span in true) - p
             scale = rate / math.sqrt(max(1, len(examples)))
             for f, g in gradient.items():
@@ -206,7 +264,7 @@ _FORMS = {
     "email": ((re.compile("@"), " at "), (re.compile("@"), "(at)"), (re.compile("@"), " [at] ")),
     "ip": ((re.compile(r"\."), "[.]"), (re.compile(r"\."), " . ")),
     "card": ((re.compile("[ -]?([0-9]{4})"), r".\1"), (re.compile("[ -]?([0-9]{4})"), r"/\1")),
-    "phone": ((re.compile(r"^\+"), "00"), (re.compile(r"^\+([0-9]{1,2})"), r"(+\1)")),
+    "phone": ((re.compile(r"^\+"), "00"), (re.compile(r"^\+([0-9]{1,2})"), r"(+\1)"), (re.compile(r"^\+[0-9]{1,2}[ .-]?"), "0")),
 }
 
 
@@ -216,6 +274,8 @@ def rewritten(text: str, spans: list[Span]) -> list[tuple[str, list[Span], set[S
     for number, (kind, start, end) in enumerate(spans):
         pattern, to = _FORMS[kind][number % len(_FORMS[kind])]
         said = pattern.sub(to, text[start:end]).strip("./")
+        if number % 5 == 4:
+            said = said.upper()
         if kind == "email" and to != "(at)":
             said = said.replace(".", " dot " if to == " at " else "[dot]")
         front = text[max(0, start - 40) : start]
@@ -224,7 +284,11 @@ def rewritten(text: str, spans: list[Span]) -> list[tuple[str, list[Span], set[S
         found = candidates(line)
         if true in found:
             out.append((line, found, {true}))
-    for span in candidates(text, spans)[:20]:
+    done = shown = 0
+    for span in candidates(text, spans):
+        if span[1] < done or shown == 20:
+            continue
+        done, shown = span[2] + 40, shown + 1
         lo = max(0, span[1] - 40)
         line = text[lo : span[2] + 40]
         if found := candidates(line):

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm import bit_search, byte_repeats, chat_format, near_dup, packing, personal_data, pieces, quality_rules, suffix_tree, word_repeats
+from eventlink.llm import (
+    bit_search,
+    byte_repeats,
+    chat_format,
+    merkle,
+    near_dup,
+    packing,
+    personal_data,
+    pieces,
+    quality_rules,
+    spelling,
+    suffix_tree,
+    warc,
+    word_repeats,
+)
 from eventlink.llm.common import table
 
 
@@ -61,6 +75,18 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chat(turns.unionByName(extra)))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify(table(spark, folder, "documents"))
+
+
+def op13_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bit_search": op1_bit_search,
@@ -73,8 +99,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_suffix_tree": op9_suffix_tree,
         "op10_chat_format": op10_chat_format,
+        "op11_spelling": op11_spelling,
+        "op12_manifest": op12_manifest,
+        "op13_archives": op13_archives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op7_word_repeats": word_repeats.SQL, "op10_chat_format": chat_format.SQL}
+    return {
+        "op3_quality_rules": quality_rules.SQL,
+        "op7_word_repeats": word_repeats.SQL,
+        "op10_chat_format": chat_format.SQL,
+        "op11_spelling": spelling.SQL,
+        "op12_manifest": merkle.SQL,
+        "op13_archives": warc.SQL,
+    }

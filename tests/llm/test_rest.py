@@ -77,7 +77,7 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     frame = catalogue.queries()[name](spark, FOLDER)
     columns = sorted(frame.columns)

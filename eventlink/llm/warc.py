@@ -135,9 +135,11 @@ def line(name: str, value: Column) -> Column:
 
 
 def records(chunks: DataFrame, size: int = CHUNK) -> DataFrame:
-    """``value``: a WARC record without the blank lines after it, for every chunk of a response and for every revisit."""
-    known = roles(chunks).withColumnRenamed("record", "_record")
-    rows = attach(chunks, known, [(F.col("record"), "_record")], "inner").where("responds OR chunk = 0")
+    """``value``: a WARC record without the blank lines after it, for every chunk of a response and for every revisit.
+
+    Chunks are dealt by record once; that serves the join, and keeps a record's chunks in one task and so in one file.
+    """
+    rows = chunks.repartition("record").join(roles(chunks), "record").where("responds OR chunk = 0")
     first, cut = F.col("chunk") == 0, F.col("total") > size
     kind = F.when(~F.col("responds"), "revisit").when(first, "response").otherwise("continuation")
     http = F.when(first, HTTP).otherwise("")
@@ -170,7 +172,7 @@ def records(chunks: DataFrame, size: int = CHUNK) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, size: int = CHUNK) -> None:
     """Archives of ``pages``, gzipped; the segments of a record follow one another in one file."""
     chunks = written(chunked(pages, size))
-    ordered = records(chunks, size).repartition("record").sortWithinPartitions("record", "chunk")
+    ordered = records(chunks, size).sortWithinPartitions("record", "chunk")
     ordered.select("value").write.option("compression", "gzip").option("lineSep", BLANK.decode()).text(folder)
 
 

@@ -90,7 +90,7 @@ def event_directory(spark: SparkSession, x: Extracts) -> DataFrame:
         regions,
         read(spark, x.control_group_names, _MAPPING),
     )
-    works = extracts.completed_works(spark, x.completed_works, names)
+    works = extracts.completed_works(spark, x.completed_works, names).rows
     parts = [
         conform.mains_repairs(
             extracts.repairs(spark, x.repairs, names),

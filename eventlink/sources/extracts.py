@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventlink.functions import codes, labels, times
 from eventlink.operators import clusters, conform, zones
 from eventlink.operators.joins import attach, keep_first
-from eventlink.sources.readers import Field, Joined, Spec, read, read_each
+from eventlink.sources.readers import Field, Joined, Scan, Sheet, Spec, read, scan
 
 # Column names of the extracts.
 _OPERATION_DATES = (
@@ -332,7 +332,7 @@ def anomalies(spark: SparkSession, folder: str, sensors: DataFrame, dimension: D
 
 
 def _operations(spark: SparkSession, paths: list[str], spec: Spec, zone: str) -> DataFrame:
-    rows = read_each(spark, paths, spec)
+    rows = read(spark, paths, spec)
     number = F.coalesce("operation_number", F.lit(codes.NO_OPERATION))
     return rows.withColumns(
         {
@@ -375,12 +375,13 @@ def bursts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def completed_works(spark: SparkSession, folders: list[str], names: DataFrame) -> DataFrame:
-    """Completed works of several folders; a file that cannot be read is left out."""
-    rows = conform.without_blank_rows(read_each(spark, folders, COMPLETED_WORKS, skip_unreadable=True))
+def completed_works(spark: SparkSession, folders: list[str], names: DataFrame, sheet: Sheet = Sheet()) -> Scan:
+    """Completed works of several folders; files that cannot be read are left out and told in the quarantine."""
+    found = scan(spark, folders, COMPLETED_WORKS, sheet, skip_unreadable=True)
+    rows = conform.without_blank_rows(found.rows)
     placed = conform.completed_works(zones.zone_from_location(rows, "location", names))
     given = {c: F.coalesce(c, F.col(f"grid_{c}").cast("string")) for c in ("x", "y")}
-    return placed.withColumns(given).drop("grid_x", "grid_y", "xy")
+    return Scan(placed.withColumns(given).drop("grid_x", "grid_y", "xy"), found.quarantine)
 
 
 def planned_work(spark: SparkSession, path: str) -> DataFrame:
@@ -390,7 +391,7 @@ def planned_work(spark: SparkSession, path: str) -> DataFrame:
 
 def unplanned_work(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Yearly parts landed as CSV files or folders."""
-    return read_each(spark, paths, UNPLANNED).withColumn("zone", codes.crop(F.col("location")))
+    return read(spark, paths, UNPLANNED).withColumn("zone", codes.crop(F.col("location")))
 
 
 def incident_tracker(spark: SparkSession, path: str, exceptions: DataFrame, regions: DataFrame) -> DataFrame:

@@ -398,11 +398,53 @@ def test_quoted_text_keeps_its_columns(spark, tmp_path):
     assert rows == {'say "hi, there" x': None, "b": 1000.5}
 
 
-def test_files_of_other_columns_are_an_error(spark, tmp_path):
-    spec = readers.Spec("m", (readers.Field("A", "a"), readers.Field("B", "b")))
-    put(tmp_path / "m" / "1.csv", ["A", "B"], ["a1", "b1"])
-    put(tmp_path / "m" / "2.csv", ["B", "A"], ["b2", "a2"])
-    with pytest.raises(Exception, match="header"):
-        readers.read(spark, str(tmp_path / "m"), spec).collect()
-    apart = readers.read_each(spark, [str(tmp_path / "m" / f"{k}.csv") for k in (1, 2)], spec).collect()
-    assert {(r["a"], r["b"]) for r in apart} == {("a1", "b1"), ("a2", "b2")}
+def test_folder_of_differing_headers(spark, tmp_path):
+    """Three orders of columns, rows too long and too short, and files that hold no such table."""
+    spec = readers.Spec("m", (readers.Field("A", "a"), readers.Field("B", "b", "long"), readers.Field("C", "c", optional=True)))
+    put(tmp_path / "m" / "1.csv", ["A", "B"], ["a1", "1"], ["a2"], ["a3", "3", "more"], ["a4", "4", "x", "y"])
+    put(tmp_path / "m" / "2.csv", ["B", "A", "C"], ["5", "a, 5", "c5"])
+    put(tmp_path / "m" / "3.csv", ["", "C", "A", "B", "A"], ["0", "c6", "a6", "6", "again"])
+    put(tmp_path / "m" / "4.csv", ["C", "A"], ["c", "lost"])
+    (tmp_path / "m" / "5.csv").write_text("")
+    (tmp_path / "m" / "6.csv.gz").write_bytes(b"this is not gzip")
+    found = readers.scan(spark, str(tmp_path / "m"), spec, skip_unreadable=True)
+    rows = {(r["a"], r["b"], r["c"], r["source_file"]) for r in found.rows.collect()}
+    assert rows == {("a1", 1, None, "1.csv"), ("a2", None, None, "1.csv"), ("a, 5", 5, "c5", "2.csv"), ("a6", 6, "c6", "3.csv")}
+    told = sorted((r["path"].rsplit("/", 1)[1], r["line"], r["reason"]) for r in found.quarantine.collect())
+    assert told == [
+        ("1.csv", "a3,3,more", "more cells than the header"),
+        ("1.csv", "a4,4,x", "more cells than the header"),
+        ("4.csv", None, "columns not found: B"),
+        ("5.csv", None, "no header could be read"),
+        ("6.csv.gz", None, "no header could be read"),
+    ]
+    with pytest.raises(ValueError, match="columns not found: B"):
+        readers.read(spark, [str(tmp_path / "m" / f"{k}.csv") for k in (1, 4)], spec)
+    with pytest.raises(PySparkException, match="more cells than the header"):
+        readers.read(spark, str(tmp_path / "m" / "1.csv"), spec).collect()
+    two = readers.read(spark, [str(tmp_path / "m" / f"{k}.csv") for k in (2, 3)], spec)
+    assert {r["b"] for r in two.collect()} == {5, 6}
+    none = readers.scan(spark, str(tmp_path / "m" / "4.csv"), spec)
+    assert none.rows.count() == 0 and none.rows.columns == found.rows.columns
+
+
+def test_sheet_with_preamble_and_column_range(spark, tmp_path):
+    """Three rows above the header, columns outside the range, in a file of several blocks."""
+    spec = readers.Spec("s", (readers.Field("A", "a"), readers.Field("N", "n", "long")))
+    body = [["x", "", "", f"a{k}", str(k), f"A{k}"] for k in range(2000)]
+    put(tmp_path / "s" / "1.csv", ["Report"], ["A", "N"], [""], ["z", "", "", "A", "N", "A"], *body)
+    put(tmp_path / "s" / "2.csv", ["Report, again", "two"], [], ["of"], ["", "", "", "N", "A", "N"], ["q", "", "", "7", "b7", "9"])
+    put(tmp_path / "s" / "3.csv", ["too", "short"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = readers.scan(spark, str(tmp_path / "s"), spec, readers.Sheet(3, "D", "E"))
+        rows = {(r["a"], r["n"], r["source_file"]) for r in found.rows.collect()}
+        lines = readers.numbered_lines(spark, str(tmp_path / "s" / "1.csv"), spec).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {(f"a{k}", k, "1.csv") for k in range(2000)} | {("b7", 7, "2.csv")}
+    assert [(r["path"][-5:], r["reason"]) for r in found.quarantine.collect()] == [("3.csv", "no header could be read")]
+    assert sorted(r["number"] for r in lines) == list(range(1, 2005))
+    assert {r["number"]: r["line"] for r in lines}[104] == "x,,,a99,99,A99"
+    assert readers.Sheet(0, "G", "AE").columns() == slice(6, 31)

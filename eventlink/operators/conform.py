@@ -158,10 +158,11 @@ def incident_rollup(tracker: DataFrame) -> DataFrame:
 
     ``tracker``: name, start_ts, task_ts, zone, sap_order, x, y, region.
     """
-    day = F.coalesce(F.date_format("start_ts", "yyyy-MM-dd"), F.lit("NaT"))
+    day = F.coalesce(F.to_date("start_ts").cast("string"), F.lit("NaT"))
+    # The day cannot make a name one of an exercise, so the given name is asked and the longer one made once.
+    real = tracker.filter(~labels.mentions_training(F.col("name")))
     name = F.concat("name", F.lit("_"), day)
-    tasks = tracker.withColumns({"incident_name": name, "task_ts": F.coalesce("task_ts", "start_ts")})
-    real = tasks.filter(~labels.mentions_training(F.col("incident_name")))
+    real = real.withColumns({"incident_name": name, "task_ts": F.coalesce("task_ts", "start_ts")})
     grouped = real.groupBy("incident_name").agg(
         F.min("task_ts").alias("start_ts"),
         F.max("task_ts").alias("end_ts"),

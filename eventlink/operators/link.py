@@ -18,16 +18,21 @@ from pyspark.sql import functions as F
 from eventlink.functions import times
 from eventlink.operators import running, zones
 from eventlink.operators.joins import attach
+from eventlink.session import durable
 
 @dataclass(frozen=True)
 class Side:
-    """One table of events: unique ``id``, ``ts``, ``zone``, and the word that names it in results."""
+    """One table of events: unique ``id``, ``ts``, ``zone``, and the word that names it in results.
+
+    A repeated id raises when a link is made, unless the ids are ``known_unique`` (a key of their table, or asked before).
+    """
 
     frame: DataFrame
     word: str
     id: str = "id"
     ts: str = "ts"
     zone: str = "zone"
+    known_unique: bool = False
 
     def where(self, condition: Column) -> Side:
         return replace(self, frame=self.frame.filter(condition))
@@ -37,6 +42,25 @@ class Side:
         return self.frame.select(*[F.col(c).alias(f"{c}_{self.word}") for c in names])
 
 
+def _verified(side: Side) -> Side:
+    """The side with a check of its ids on the way: one aggregate of ids alone, whose largest repeated id is the example."""
+    if side.known_unique:
+        return side
+    repeated = side.frame.groupBy(F.col(side.id).alias("id")).agg(F.count("*").alias("n")).filter("n > 1 AND id IS NOT NULL")
+    example = repeated.agg(F.max(F.col("id").cast("string"))).scalar()
+    told = F.raise_error(F.concat(F.lit(f"{side.word}: the id occurs more than once: "), example)).cast("boolean")
+    fits = F.when(example.isNotNull(), told).otherwise(F.lit(True))
+    return replace(side, frame=side.frame.filter(fits), known_unique=True)
+
+
+def require_unique_ids(*sides: Side) -> None:
+    """Raise at once if a side repeats an id."""
+    for side in sides:
+        repeated = side.frame.groupBy(side.id).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).dropna().first()
+        if repeated:
+            raise ValueError(f"{side.word}: the id occurs more than once: {repeated[0]}")
+
+
 @dataclass(frozen=True)
 class Rule:
     """When an effect may follow from a cause.
@@ -88,6 +112,7 @@ def _sums(base: Side, others: list[tuple[Side, dict[str, Column]]], rule: Rule,
 
 
 def _counted(base: Side, others: tuple[Side, ...], rule: Rule, forward: bool) -> Side:
+    base, *others = map(_verified, (base, *others))
     counts = [(other, {f"number_of_{other.word}": F.lit(1)}) for other in others]
     counted = _sums(base, counts, rule, forward)
     flags = {f"at_least_one_{other.word}": F.col(f"number_of_{other.word}") > 0 for other in others}
@@ -106,6 +131,7 @@ def with_causes(effects: Side, *causes: Side, rule: Rule) -> Side:
 
 def with_cause_types(effects: Side, causes: Side, rule: Rule, kind: str, names: dict[str, str]) -> Side:
     """Effects with one count of causes per type. ``names``: column name to type."""
+    effects, causes = _verified(effects), _verified(causes)
     measures = {n: (F.col(kind) == t).cast("int") for n, t in names.items()}
     listed = causes.where(F.col(kind).isin(*names.values()))
     return replace(effects, frame=_sums(effects, [(listed, measures)], rule, forward=False))
@@ -167,19 +193,26 @@ def _labelled(joined: DataFrame, a: Side, c: Side, rule: Rule) -> DataFrame:
 
 def pairs(causes: Side, effects: Side, rule: Rule) -> DataFrame:
     """Every linked pair with its two ids, times and zones."""
+    causes, effects = _verified(causes), _verified(effects)
     left = causes.suffixed([causes.id, causes.ts, causes.zone])
     right = effects.suffixed([effects.id, effects.ts, effects.zone])
     return _labelled(_joined(left, right, causes, effects, rule), causes, effects, rule)
 
 
+def _written(side: Side) -> Side:
+    return replace(side, frame=durable(side.frame))
+
+
 def outer(causes: Side, effects: Side, rule: Rule) -> DataFrame:
     """All pairs with the columns and counts of both sides, then the causes and effects without a partner.
 
-    Sides that already carry their counts, say from a snapshot, are not counted again.
+    Each side is counted once and written, as matched and lone rows are both read from it. Sides that already
+    carry their counts, say from a snapshot, are not counted again.
     """
+    causes, effects = _verified(causes), _verified(effects)
     a_flag, c_flag = f"at_least_one_{effects.word}", f"at_least_one_{causes.word}"
-    a = causes if a_flag in causes.frame.columns else with_effects(causes, effects, rule=rule)
-    c = effects if c_flag in effects.frame.columns else with_causes(effects, causes, rule=rule)
+    a = causes if a_flag in causes.frame.columns else _written(with_effects(causes, effects, rule=rule))
+    c = effects if c_flag in effects.frame.columns else _written(with_causes(effects, causes, rule=rule))
     a_hit, c_hit = F.col(a_flag), F.col(c_flag)
     matched = _joined(a.where(a_hit).suffixed(), c.where(c_hit).suffixed(), a, c, rule)
     lone_causes, lone_effects = a.where(~a_hit).suffixed(), c.where(~c_hit).suffixed()

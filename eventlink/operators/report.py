@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlink.operators.joins import attach
+from eventlink.session import durable
 
 
 def sizes(df: DataFrame, *by: str) -> DataFrame:
@@ -26,6 +26,14 @@ def followed(df: DataFrame, flag: str, *by: str) -> DataFrame:
     return counted.withColumn("pct", 100 * F.col("n_true") / (F.col("n_true") + F.col("n_false")))
 
 
+def values_of(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct known values of a column in their order; more than ``most`` are an error, as they are to be columns."""
+    found = df.select(column).dropna().distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column}: more than {most} values")
+    return sorted(r[0] for r in found)
+
+
 def widen(df: DataFrame, index: list[str], column: str, values: dict, value: str) -> DataFrame:
     """One column per listed value. ``values``: value to column name."""
     cells = [F.max(F.when(F.col(column) == v, F.col(value))).alias(name) for v, name in values.items()]
@@ -148,7 +156,10 @@ def histogram(
     if lo is not None and hi is not None:
         ranged = known.withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi))})
     elif by:
-        ranged = attach(known, span.withColumnRenamed("group", "_group"), [(F.col("group"), "_group")]).filter(F.col("lo").isNotNull())
+        # The limits are written first: Spark then knows their size, and below its threshold hands them to every
+        # task, so that rows find their bins where they are read and only counts are exchanged.
+        span = durable(span)
+        ranged = known.join(span, "group")
     else:
         # One group: its limits are two scalars, not a join.
         ranged = known.withColumns({c: span.select(c).scalar() for c in ("lo", "hi")})

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from eventlink.functions import codes, labels, times
 from eventlink.operators import classify, clusters, conform, joins, link, report, stats, zones
 from eventlink.operators.running import points
-from eventlink.plans.proxy import BURSTS, REGIONS, WORK_TYPES, WORKS, YEARS, Views, day_text, time_text
+from eventlink.plans.proxy import BURSTS, WORK_TYPES, WORKS, Views, day_text, time_text
+from eventlink.session import durable
 from eventlink.sources import extracts
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -177,16 +178,23 @@ def year_pct_followed(v: Views) -> DataFrame:
     return found.select("year", "type", *rounded("pct"))
 
 
+def _years_wide(v: Views) -> DataFrame:
+    """Percentage followed per type, one column per year that the works have; the counts are written, as years are asked first."""
+    found = durable(report.followed(_order_causes(v), "at_least_one_complaint", "year", "type"))
+    years = {y: f"y{y}" for y in report.values_of(found, "year")}
+    wide = report.widen(found, ["type"], "year", years, "pct")
+    return wide.select("type", *rounded(*years.values()))
+
+
 @query
 def year_pct_followed_wide(v: Views) -> DataFrame:
-    found = report.followed(_order_causes(v), "at_least_one_complaint", "year", "type")
-    wide = report.widen(found, ["type"], "year", {y: f"y{y}" for y in YEARS}, "pct")
-    return wide.select("type", *rounded(*[f"y{y}" for y in YEARS]))
+    return _years_wide(v)
 
 
 @query
 def year_pct_followed_long(v: Views) -> DataFrame:
-    return report.lengthen(year_pct_followed_wide(v), ["type"], [f"y{y}" for y in YEARS], "year", "pct")
+    wide = _years_wide(v)
+    return report.lengthen(wide, ["type"], wide.columns[1:], "year", "pct")
 
 
 @query
@@ -203,9 +211,9 @@ def year_raw_followed(v: Views) -> DataFrame:
 
 @query
 def region_raw_followed(v: Views) -> DataFrame:
-    found = report.followed(_order_causes(v), "at_least_one_complaint", "region", "type")
-    wide = report.widen(found, ["type"], "region", {r: r.lower().replace(" ", "_") for r in REGIONS}, "n_true")
-    return wide
+    found = durable(report.followed(_order_causes(v), "at_least_one_complaint", "region", "type"))
+    regions = {r: r.lower().replace(" ", "_") for r in report.values_of(found, "region")}
+    return report.widen(found, ["type"], "region", regions, "n_true")
 
 
 @query
@@ -628,15 +636,14 @@ def reconcile_outer(v: Views) -> DataFrame:
 
 @query
 def order_zone_fill(v: Views) -> DataFrame:
+    """Orders as bursts, lines as works on them; some orders have no line and get the zone of their postcode."""
     suppliers = v.table("supplier").select("s_suppkey", "s_nationkey")
-    lines = v.lines().filter(F.col("l_returnflag") == "A")
-    works = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
+    works = v.lines().join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("l_orderkey").cast("string").alias("order_id"),
         codes.zone_code_from_number(F.col("s_nationkey")).alias("zone"),
     )
     people = v.customers().select("customer", "postcode", "zone")
-    urgent = v.table("orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    bursts = urgent.join(people, F.col("o_custkey") == F.col("customer")).select(
+    bursts = v.table("orders").join(people, F.col("o_custkey") == F.col("customer")).select(
         F.col("o_orderkey").cast("string").alias("order_id"),
         F.col("o_orderstatus").alias("burst_type"),
         F.col("o_orderdate").alias("reported_ts"),

@@ -7,7 +7,7 @@ coefficients are logarithms of group means.
 from __future__ import annotations
 
 from eventlink.functions.labels import CATEGORY_NAMES, DEMOGRAPHIC_GROUPS, GROUP_NAMES
-from eventlink.plans.proxy import REGIONS, WORK_TYPES, YEARS
+from eventlink.plans.proxy import WORK_TYPES
 
 _ORDER_COLUMNS = {"high": "2-HIGH", "medium": "3-MEDIUM", "unspecified": "4-NOT SPECIFIED", "low": "5-LOW"}
 
@@ -277,18 +277,16 @@ def _statements() -> dict[str, str]:
     s["year_pct_followed"] = f"""SELECT year, type, {_FOLLOWED} AS pct FROM ocounted WHERE year >= 1997
         GROUP BY year, type"""
     by_year = f"SELECT year, type, {_FOLLOWED} AS pct FROM ocounted GROUP BY year, type"
-    wide = ", ".join(f"max(pct) FILTER (WHERE year = {y}) AS y{y}" for y in YEARS)
-    s["year_pct_followed_wide"] = f"SELECT type, {wide} FROM ({by_year}) GROUP BY type"
-    s["year_pct_followed_long"] = f"""SELECT t.type, 'y' || y AS year, pct
-        FROM (SELECT DISTINCT type FROM ocounted) t CROSS JOIN generate_series({YEARS[0]}, {YEARS[-1]}) g(y)
-        LEFT JOIN ({by_year}) p ON p.type = t.type AND p.year = y"""
+    # Columns are whatever years and regions there are; pivots of all values leave out none.
+    s["year_pct_followed_wide"] = f"""SELECT * FROM (PIVOT (SELECT type, 'y' || year AS y, pct FROM ({by_year}))
+        ON y USING max(pct) GROUP BY type)"""
+    s["year_pct_followed_long"] = f"""SELECT t.type, 'y' || y.year AS year, pct
+        FROM (SELECT DISTINCT type FROM ocounted) t CROSS JOIN (SELECT DISTINCT year FROM ocounted) y
+        LEFT JOIN ({by_year}) p ON p.type = t.type AND p.year = y.year"""
     s["region_pct_followed"] = f"SELECT region, type, {_FOLLOWED} AS pct FROM ocounted GROUP BY region, type"
     s["year_raw_followed"] = f"SELECT year, type, {_RAW} AS n_true FROM ocounted GROUP BY year, type"
-    regions = ", ".join(
-        f"max(n_true) FILTER (WHERE region = '{r}') AS {r.lower().replace(' ', '_')}" for r in REGIONS
-    )
-    s["region_raw_followed"] = f"""SELECT type, {regions}
-        FROM (SELECT region, type, {_RAW} AS n_true FROM ocounted GROUP BY region, type) GROUP BY type"""
+    s["region_raw_followed"] = f"""SELECT * FROM (PIVOT (SELECT type, replace(lower(region), ' ', '_') AS r, n_true
+        FROM (SELECT region, type, {_RAW} AS n_true FROM ocounted GROUP BY region, type)) ON r USING max(n_true) GROUP BY type)"""
     s["counts_by_year_region_type"] = "SELECT year, region, type, count(*) AS n FROM ocounted GROUP BY ALL"
     s["match_count_distribution"] = """SELECT k.n AS number_of_complaint, count(*) AS n FROM counted k GROUP BY k.n"""
     hot = ", ".join(f"(count(*) FILTER (WHERE p.a_type = '{t}') > 0)::INT AS {t}" for t in WORK_TYPES)
@@ -426,8 +424,8 @@ def _statements() -> dict[str, str]:
         coalesce(w.zone, p.zone) AS zone, strftime(o_orderdate, {_TS}) AS start_ts
         FROM orders o JOIN people p ON o_custkey = customer
         LEFT JOIN (SELECT DISTINCT l_orderkey, lpad(s_nationkey::VARCHAR, 5, '0') AS zone
-                   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'A') w
-        ON w.l_orderkey = o.o_orderkey WHERE o_orderpriority = '1-URGENT'"""
+                   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) w
+        ON w.l_orderkey = o.o_orderkey"""
     s["dedupe_readings"] = f"""SELECT l_orderkey, l_linenumber, strftime(l_shipdate, {_DAY}) AS day, l_suppkey, l_quantity
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
               ORDER BY l_shipdate, l_suppkey, l_quantity) AS r FROM lineitem) WHERE r = 1"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventlink.operators import classify, clusters, joins, link, zones
 from eventlink.operators.link import Rule, Side
+from eventlink.plans import catalogue
 
 BASE = datetime(2016, 3, 27)
 EDGES = [("00001", "00002"), ("00002", "00001"), ("00002", "00003"), ("00004", "00004"), ("00001", "00002")]
@@ -281,3 +282,23 @@ def test_outer_takes_counts_as_given(spark):
     counted = link.outer(link.with_effects(a, c, rule=rule), link.with_causes(c, a, rule=rule), rule)
     plain = link.outer(a, c, rule)
     assert sorted(map(str, counted.collect())) == sorted(map(str, plain.select(counted.columns).collect()))
+
+
+def test_repeated_ids_are_told(spark):
+    rows = [(1, "2016-01-01 00:00:00", "a"), (7, "2016-01-01 01:00:00", "a"), (7, "2016-01-01 02:00:00", "a")]
+    frame = spark.createDataFrame(rows, "id int, t string, zone string").selectExpr("id", "cast(t as timestamp_ntz) ts", "zone")
+    once, twice, rule = Side(frame.where("id = 1"), "cause"), Side(frame, "effect"), Rule(hours=24)
+    for found in (link.with_effects(once, twice, rule=rule).frame, link.with_causes(twice, once, rule=rule).frame, link.pairs(once, twice, rule)):
+        with pytest.raises(Exception, match="effect: the id occurs more than once: 7"):
+            found.collect()
+    with pytest.raises(ValueError, match="effect: the id occurs more than once: 7"):
+        link.require_unique_ids(once, twice)
+    known = Side(frame, "effect", known_unique=True)
+    assert link.pairs(once, known, rule).count() == 3
+    assert link.with_effects(once, known, rule=rule).frame.first()["number_of_effect"] == 3
+
+
+def test_outer_counts_each_side_once(spark):
+    found = catalogue.queries()["link_outer"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 25

@@ -37,6 +37,47 @@ def test_median_of_one_large_group(spark):
     assert exact_medians(frame, ["k"], ["x"]).first()["x"] == wanted
 
 
+@pytest.mark.parametrize("few", [1, 3, 40])
+def test_medians_by_passes(spark, few):
+    """Values of all sizes and signs; so few are ranked together that all four passes are made."""
+    draw = np.random.default_rng(few)
+    rows = [(g, float(draw.choice([-1, 1]) * draw.random() * 10.0 ** draw.integers(-300, 300))) for g in "abc" for _ in range(draw.integers(1, 90))]
+    rows += [("z", 0.0), ("z", -0.0), ("z", float("nan")), ("z", 7.0), ("y", None), (None, 1.0)]
+    frame = spark.createDataFrame(rows, "k string, x double")
+    found = {r["k"]: r["x"] for r in exact_medians(frame, ["k"], ["x"], few).collect()}
+    for key in "abc":
+        assert found[key] == pytest.approx(np.median([x for k, x in rows if k == key]), rel=1e-12)
+    assert found["z"] == 0.0 and set(found) - {"y"} == set("abcz")
+
+
+def test_median_of_close_values_takes_bounded_tasks(spark):
+    """A group between 400,000 and 450,000: what is ranked together after the passes is few, whatever the group's size."""
+    frame = spark.range(200_000).select(F.lit("k").alias("k"), (400_000 + F.pmod(F.xxhash64("id"), F.lit(10**9)) / 20_000).alias("x"))
+    values = np.array([r["x"] for r in frame.select("x").collect()])
+    assert exact_medians(frame, ["k"], ["x"], 1000).first()["x"] == pytest.approx(float(np.median(values)), rel=1e-14)
+
+
+def test_columns_are_the_values_there_are(spark):
+    rows = [("a", 1994, 1.0), ("b", 2003, 2.0), ("a", 2003, 3.0), ("c", None, 4.0)]
+    frame = spark.createDataFrame(rows, "type string, year int, pct double")
+    years = report.values_of(frame, "year")
+    assert years == [1994, 2003]
+    wide = {tuple(r) for r in report.widen(frame, ["type"], "year", {y: f"y{y}" for y in years}, "pct").collect()}
+    assert wide == {("a", 1.0, 3.0), ("b", None, 2.0), ("c", None, None)}
+    with pytest.raises(ValueError, match="more than 1 values"):
+        report.values_of(frame, "year", 1)
+
+
+def test_histogram_exchanges_counts_only(spark):
+    frame = spark.range(1000).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    found = report.histogram(frame, "v", 5, by="g")
+    assert found.count() == 15
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    # The bin of the counts is an expression there; no exchange is by group alone, as one of rows would be.
+    assert dealt and all("bin#" in line or "_groupingexpression" in line for line in dealt)
+
+
 def test_followed_needs_both_sides(spark):
     rows = [("both", True), ("both", False), ("both", False), ("yes", True), ("no", False), (None, True)]
     frame = spark.createDataFrame(rows, "type string, hit boolean")
@@ -115,6 +156,36 @@ def test_poisson_of_two_factors(spark):
     assert found["r_q"] == pytest.approx(math.log(4), abs=1e-8)
 
 
+def test_poisson_of_two_factors_as_the_library_fit(spark):
+    from pyspark.ml.feature import RFormula
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    draw = np.random.default_rng(7)
+    rows = [(f"t{draw.integers(4)}", f"r{draw.integers(6) ** 2 % 6}") for _ in range(3000)]
+    rows = [(t, r, int(draw.poisson(0.4 + 0.3 * int(t[1]) * (1 + int(r[1]))))) for t, r in rows]
+    frame = spark.createDataFrame([*rows, (None, "r1", 3)], "t string, r string, n long")
+    found = {r["term"]: r["coefficient"] for r in stats.poisson(frame, "n", ["t", "r"]).collect()}
+    known = frame.dropna()
+    coded = RFormula(formula="n ~ t + r", stringIndexerOrderType="alphabetDesc").fit(known).transform(known)
+    fit = GeneralizedLinearRegression(family="poisson", link="log", maxIter=100, tol=1e-12).fit(coded)
+    attributes = coded.schema["features"].metadata["ml_attr"]["attrs"]
+    names = [a["name"] for a in sorted((a for kind in attributes.values() for a in kind), key=lambda a: a["idx"])]
+    wanted = {"Intercept": fit.intercept, **dict(zip(names, fit.coefficients, strict=True))}
+    assert set(found) == set(wanted)
+    assert all(found[k] == pytest.approx(wanted[k], abs=1e-8) for k in wanted)
+    assert stats.poisson(frame.limit(0), "n", ["t", "r"]).collect()[0]["converged"] is False
+
+
+def test_poisson_of_ten_thousand_levels(spark):
+    """Means that are a product of both factors' are fitted exactly."""
+    rows = spark.range(30_000).select((F.col("id") % 10_000).alias("a"), (F.col("id") / 10_000).cast("int").alias("b"))
+    rows = rows.withColumn("n", (F.col("a") % 5 + 1) * (F.col("b") + 2))
+    found = {r["term"]: r["coefficient"] for r in stats.poisson(rows, "n", ["b", "a"]).collect()}
+    assert len(found) == 10_002
+    assert found["b_2"] == pytest.approx(math.log(2), abs=1e-8) and found["a_4"] == pytest.approx(math.log(5), abs=1e-8)
+    assert found["a_9999"] == pytest.approx(math.log(5), abs=1e-8)
+
+
 def test_numbering_and_random_events(spark):
     frame = spark.range(500).select("id", F.col("id").cast("string").alias("ts"), (F.col("id") % 7).alias("zone"))
     numbers = stats.numbered(frame, "id", "ts").collect()

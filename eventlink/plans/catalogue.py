@@ -15,7 +15,7 @@ from eventlink.operators import classify, clusters, conform, joins, link, report
 from eventlink.operators.running import points
 from eventlink.plans.proxy import BURSTS, WORK_TYPES, WORKS, Views, day_text, time_text
 from eventlink.session import durable
-from eventlink.sources import extracts
+from eventlink.sources import extracts, readers
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -275,7 +275,7 @@ def poisson_by_type(v: Views) -> DataFrame:
 def random_baseline(v: Views) -> DataFrame:
     works = v.works()
     drawn = stats.random_events(works.frame, works.id, works.ts, works.zone, v.anomalies().frame, "id")
-    found = link.with_effects(link.Side(drawn, "cause"), v.complaints(), rule=v.rule()).frame
+    found = link.with_effects(link.Side(drawn, "cause", known_unique=True), v.complaints(), rule=v.rule()).frame
     return report.sizes(found, "number_of_complaint")
 
 
@@ -317,7 +317,7 @@ def cluster_catalogue(v: Views) -> DataFrame:
 
 @query
 def large_cluster_breakdown(v: Views) -> DataFrame:
-    side = link.Side(_complaint_rows(v), "complaint")
+    side = link.Side(_complaint_rows(v), "complaint", known_unique=True)
     found = link.with_causes(side, v.anomalies(), rule=v.rule()).frame
     sized = found.withColumn("incident_related", F.col("category") == "Appearance")
     sized = sized.withColumn(
@@ -771,6 +771,37 @@ def parse_dates(v: Views) -> DataFrame:
     )
 
 
+#: Columns as an extract would have them: codes with leading zeros, thousands separators, dates as text.
+DECLARED = readers.Spec(
+    "declared columns",
+    (
+        readers.Field("ORDER", "order_id"),
+        readers.Field("CODE", "code"),
+        readers.Field("PRICE", "price", "double"),
+        readers.Field("KEY", "key", "number"),
+        readers.Field("STATUS_DATE", "status_ts", "strict"),
+        readers.Field("NOTE", "note", optional=True),
+    ),
+)
+
+
+@query
+def declared_columns(v: Views) -> DataFrame:
+    """Text columns converted by their declaration: codes stay text, numbers lose their separators, dates are strict, others go."""
+    key, date = F.col("o_orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss")
+    raw = v.table("orders").select(
+        key.cast("string").alias("ORDER"),
+        F.lpad((key % 100000).cast("string"), 7, "0").alias("CODE"),
+        F.when(key % 7 != 0, F.format_number("o_totalprice", 2)).otherwise("none").alias("PRICE"),
+        F.format_number(key * 1000, 0).alias("KEY"),
+        F.when(key % 5 == 0, "").otherwise(date).alias("STATUS_DATE"),
+        F.col("o_orderpriority").alias("EXTRA"),
+        F.lit("orders").alias("source_file"),
+    )
+    found = readers.convert(raw, DECLARED).drop("source_file")
+    return found.select("order_id", "code", *rounded("price"), "key", time_text("status_ts").alias("status_ts"), "note")
+
+
 @query
 def free_text_time(v: Views) -> DataFrame:
     text = F.col("time_text")

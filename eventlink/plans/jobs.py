@@ -6,16 +6,17 @@ works to anomalies and complaints, report. ``Extracts`` names where each extract
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlink.functions import codes, labels, times
-from eventlink.operators import clusters, conform, link, report, stats, zones
+from eventlink.operators import clusters, conform, joins, link, report, stats, zones
 from eventlink.operators.link import Rule, Side
 from eventlink.sources import extracts
-from eventlink.sources.readers import Field, Spec, read, read_alike, snapshot, write_csv
+from eventlink.sources.readers import Field, Spec, kept_snapshot, read, read_alike, snapshot, write_csv
 
 _EXCEPTIONS = Spec("zone exceptions", (Field("raw", "raw"), Field("zone", "zone")), encoding="UTF-8")
 _MAPPING = Spec("value mapping", (Field("raw", "raw"), Field("value", "value")), encoding="UTF-8")
@@ -47,6 +48,15 @@ class Extracts:
     region_names: str
     work_type_names: str
     control_group_names: str
+    ancillary_repairs: str | None = None
+    repair_orders: str | None = None
+    work_orders: str | None = None
+    work_order_summary: str | None = None
+
+    def paths(self) -> list[str]:
+        """Every file and folder."""
+        given = [getattr(self, f.name) for f in fields(self)]
+        return [path for value in given if value for path in ([value] if isinstance(value, str) else value)]
 
 
 @dataclass(frozen=True)
@@ -113,8 +123,76 @@ def event_directory(spark: SparkSession, x: Extracts) -> DataFrame:
 
 
 def event_spans(spark: SparkSession, x: Extracts, out: str) -> DataFrame:
-    """Merged spans of all located events, written once and read back."""
-    return snapshot(conform.merge_spans(conform.located(event_directory(spark, x))), f"{out}/event_spans")
+    """Merged spans of all located events, written once; read again while the extracts are the same."""
+
+    def build() -> DataFrame:
+        return conform.merge_spans(conform.located(event_directory(spark, x)))
+
+    return kept_snapshot(spark, f"{out}/event_spans", x.paths(), build)
+
+
+@dataclass(frozen=True)
+class Reconciled:
+    """Works and bursts on one key, and what of the repairs they hold.
+
+    ``works``: every completed work and burst with ``merged`` (both, left_only: a work alone, right_only: a burst alone).
+    ``by_type``, ``by_merge``: their numbers by repair type and indicator, and by indicator. ``mains``, ``ancillary``: numbers of
+    repairs by whether they are among these, and by the works' own indicator. ``coverage``: per work-order extract, the works
+    whose order it holds. ``quarantine``: the files and rows of completed works that could not be read.
+    """
+
+    works: DataFrame
+    by_type: DataFrame
+    by_merge: DataFrame
+    mains: DataFrame
+    ancillary: DataFrame
+    coverage: DataFrame
+    quarantine: DataFrame
+
+
+def reconcile_works(spark: SparkSession, x: Extracts, out: str) -> Reconciled:
+    """Reconcile completed works with bursts, these with repairs, and the works with the work-order extracts.
+
+    Both stages are outer joins on order and operation; the first is written, as all counts read it.
+    """
+    names = extracts.zone_names(extracts.zone_dimension(spark, x.zones))
+    done = extracts.completed_works(spark, x.completed_works, names)
+    bursts = extracts.bursts(spark, x.bursts).select("order_op", "reported_ts", "burst_type", "leakage_type", "postcode")
+    rows = done.rows.select("order_op", "order_id", "operation", "zone", "repair_type", "year")
+    # Operations are numbers in one extract and padded text in the other.
+    works = snapshot(joins.reconcile(rows, _numbered_operations(bursts), "order_op", "merged"), f"{out}/works_and_bursts")
+
+    def among(path: str | None) -> DataFrame:
+        known = works.select("order_op", "merged").filter(F.col("order_op").isNotNull())
+        if path is None:
+            return known.limit(0).select(F.lit("").alias("found"), "merged", F.lit(0).cast("bigint").alias("n"))
+        repairs = _numbered_operations(extracts.repairs(spark, path, names)).select("order_op", "zone")
+        found = joins.reconcile(repairs, known, "order_op", "found")
+        return found.groupBy("found", "merged").agg(F.count("*").alias("n"))
+
+    readers = {"repair_orders": extracts.repair_orders, "work_orders": extracts.work_orders, "work_order_summary": extracts.work_order_summary}
+    held = [(name, read_orders(spark, getattr(x, name))) for name, read_orders in readers.items() if getattr(x, name)]
+    worked = works.filter("merged <> 'right_only'").select("order_id", "year")
+    parts = [
+        joins.flag_in_set(worked, "order_id", orders, "order_id", "covered").groupBy("year", "covered").agg(F.count("*").alias("n")).withColumn("extract", F.lit(name))
+        for name, orders in held
+    ]
+    none = spark.createDataFrame([], "year int, covered boolean, n bigint, extract string")
+    return Reconciled(
+        works,
+        report.sizes(works, "repair_type", "merged"),
+        report.sizes(works, "merged"),
+        among(x.repairs),
+        among(x.ancillary_repairs),
+        reduce(lambda a, b: a.unionByName(b), parts, none),
+        done.quarantine,
+    )
+
+
+def _numbered_operations(df: DataFrame) -> DataFrame:
+    """``order_op`` with both parts as plain numbers, as the completed works have it."""
+    key = F.col("order_op")
+    return df.withColumn("order_op", codes.order_op_integers(codes.order_part(key), codes.operation_part(key)))
 
 
 def link_all(
@@ -134,16 +212,19 @@ def link_all(
     readings = extracts.anomalies(spark, x.anomalies, read(spark, x.sensors, extracts.SENSORS), dim)
     readings = snapshot(readings, f"{out}/anomalies_clean")
 
-    a = Side(events, "cause", ts="start_ts")
-    b = Side(readings, "anomaly")
+    # Asked once for all links; the anomalies' keys are made of what they were made distinct by.
     c = Side(chosen, "complaint")
+    link.require_unique_ids(c)
+    a = Side(events, "cause", ts="start_ts", known_unique=True)
+    b = Side(readings, "anomaly", known_unique=True)
+    c = replace(c, known_unique=True)
     works = a.where(F.col("intervention_type").isin(*labels.WORKS))
     bursts = a.where(F.col("intervention_type").isin(*labels.BURSTS))
 
     causes = snapshot(link.chain(a, b, c, rule).frame, f"{out}/causes")
     middle = link.flagged(link.with_effects(b, c, rule=rule), rule, from_works=works, from_bursts=bursts)
     anomalies = snapshot(middle.frame, f"{out}/anomalies")
-    worked = Side(anomalies.filter("from_works"), "anomaly")
+    worked = Side(anomalies.filter("from_works"), "anomaly", known_unique=True)
     last = link.with_causes(c, a, b, rule=rule)
     last = link.flagged(last, rule, from_work_related_anomaly=worked)
     names = {_column(t): t for t in labels.REPORTED_TYPES}
@@ -151,7 +232,7 @@ def link_all(
     complaints = snapshot(last.frame, f"{out}/complaints")
     pairs = None
     if listing:
-        pairs = link.outer(Side(causes, "cause", ts="start_ts"), Side(complaints, "complaint"), rule)
+        pairs = link.outer(replace(a, frame=causes), replace(c, frame=complaints), rule)
         pairs = snapshot(pairs, f"{out}/outer")
     return Tables(causes, anomalies, complaints, pairs, scope, {"a": a, "b": b, "c": c})
 
@@ -169,7 +250,7 @@ def reports(tables: Tables, rule: Rule, first_year: int = 2014) -> dict[str, Dat
     recent = attributed.filter(F.col("year") >= first_year)
     flags = [*types, "any_cause"]
     drawn = stats.random_events(tables.causes, "id", "start_ts", "zone", tables.anomalies, "id")
-    baseline = link.with_effects(Side(drawn, "cause"), tables.sides["c"], rule=rule).frame
+    baseline = link.with_effects(Side(drawn, "cause", known_unique=True), tables.sides["c"], rule=rule).frame
     return {
         "year_followed": report.followed(causes, "at_least_one_complaint", "year", "intervention_type"),
         "region_followed": report.followed(causes, "at_least_one_complaint", "region", "intervention_type"),
@@ -221,4 +302,4 @@ def complaint_insight(complaints: DataFrame, people: DataFrame, dim: DataFrame,
     }
 
 
-__all__ = ["Extracts", "Scope", "Tables", "complaint_insight", "event_spans", "link_all", "reports"]
+__all__ = ["Extracts", "Reconciled", "Scope", "Tables", "complaint_insight", "event_spans", "link_all", "reconcile_works", "reports"]

@@ -429,6 +429,9 @@ def _statements() -> dict[str, str]:
     s["dedupe_readings"] = f"""SELECT l_orderkey, l_linenumber, strftime(l_shipdate, {_DAY}) AS day, l_suppkey, l_quantity
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
               ORDER BY l_shipdate, l_suppkey, l_quantity) AS r FROM lineitem) WHERE r = 1"""
+    s["declared_columns"] = f"""SELECT o_orderkey::VARCHAR AS order_id, lpad((o_orderkey % 100000)::VARCHAR, 7, '0') AS code,
+        CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END AS price, o_orderkey * 1000 AS key,
+        CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, {_TS}) END AS status_ts, NULL::VARCHAR AS note FROM orders"""
     s["drop_all_null"] = "SELECT id, order_text FROM mess WHERE id % 11 <> 0"
     s["canonicalise_values"] = """SELECT id, CASE work_type WHEN 'Rehab' THEN 'Infra' WHEN 'Works' THEN 'Non-Infra'
         WHEN 'LD' THEN 'Leak Detection' ELSE work_type END AS work_type FROM mess"""

@@ -359,6 +359,26 @@ def repairs(spark: SparkSession, paths: str | list[str], names: DataFrame) -> Da
     return placed.withColumns({"order_id": codes.order_part(key), "operation": codes.operation_part(key)})
 
 
+def _work_orders(spark: SparkSession, path: str, spec: Spec) -> DataFrame:
+    """An extract of work orders with the order as text, as the other extracts have it."""
+    return read(spark, path, spec).withColumn("order_id", F.col("work_order").cast("string"))
+
+
+def repair_orders(spark: SparkSession, path: str) -> DataFrame:
+    """Mains repairs of the work-order system; an unreadable date is an error."""
+    return _work_orders(spark, path, REPAIR_SUMMARY)
+
+
+def work_orders(spark: SparkSession, path: str) -> DataFrame:
+    """All work orders; an unreadable date is an error."""
+    return _work_orders(spark, path, WORK_ORDERS)
+
+
+def work_order_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of current operations; an unreadable date is null."""
+    return _work_orders(spark, path, WORK_ORDER_SUMMARY)
+
+
 def interruptions(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path, INTERRUPTIONS)
 

@@ -7,10 +7,14 @@ and codes keep their leading zeros. Only the declared columns are kept.
 from __future__ import annotations
 
 import csv
+import hashlib
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -288,5 +292,39 @@ def snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.parquet(path)
 
 
+def fingerprint(spark: SparkSession, paths: str | list[str]) -> str:
+    """A digest of the names, sizes and times of all files there; nothing of their contents is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    rows = files.select("path", "length", F.unix_micros("modificationTime").alias("at")).collect()
+    return hashlib.sha256(json.dumps(sorted(map(tuple, rows))).encode()).hexdigest()
+
+
+def kept_snapshot(
+    spark: SparkSession,
+    path: str,
+    inputs: list[str],
+    build: Callable[[], DataFrame],
+    parameters: str = "",
+    partition_by: list[str] | None = None,
+) -> DataFrame:
+    """The stage that ``build`` gives, written once and read again as long as it is that of its inputs.
+
+    Beside the data, in ``<path>.about``, lie the schema and the digests of the input files, the parameters and the written
+    files. It is written last; a snapshot whose inputs or parameters changed, or that was left half written, is built anew.
+    """
+    given = {"inputs": fingerprint(spark, inputs), "parameters": parameters}
+    try:
+        about = json.loads(spark.read.text(f"{path}.about", wholetext=True).first()[0])
+        if {k: about[k] for k in given} == given and about["files"] == fingerprint(spark, path):
+            return spark.read.schema(T.StructType.fromJson(about["schema"])).parquet(path)
+    except (AnalysisException, TypeError):
+        pass  # nothing there yet
+    written = snapshot(build(), path, partition_by)
+    about = {**given, "schema": json.loads(written.schema.json()), "files": fingerprint(spark, path)}
+    line = spark.createDataFrame([(json.dumps(about),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path}.about")
+    return written
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)

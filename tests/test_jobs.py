@@ -1,6 +1,7 @@
 """The analyses from CSV extracts to report tables, on a small network of four zones."""
 
 import csv
+import dataclasses
 from datetime import datetime
 
 import pytest
@@ -428,6 +429,66 @@ def test_folder_of_differing_headers(spark, tmp_path):
     assert none.rows.count() == 0 and none.rows.columns == found.rows.columns
 
 
+def test_reconciled_works(spark, x, tmp_path):
+    d = tmp_path
+    sheet = ["Order", "Operation", "Floc. DMA_ID", "ESPB Type", "Op. Created date", "Op. Actual Finish date"]
+    rows = [["90001", "0010", "04002 X", "Mains", "02/03/2016", "03/03/2016"], ["90001", "0020", "04003 X", "Mains", "02/03/2016", ""]]
+    rows += [["95000", "0010", "04003 X", "Ancillary", "02/03/2015", ""], ["x", "1", "04003 X", "Ancillary", "02/03/2015", ""], [""] * 6]
+    put(d / "works" / "w.csv", sheet, *rows)
+    (d / "works" / "broken.csv").write_text("Report\nnot a table")
+    repair = ["Notification Date", "Floc. DMA_ID", "Operation"]
+    given = dataclasses.replace(
+        x,
+        completed_works=[str(d / "works")],
+        repairs=put(d / "mains.csv", repair, ["05/03/2016", "04003", "90001/0010"], ["05/03/2016", "04003", "90003/10"], ["05/03/2016", "04003", "1/1"]),
+        ancillary_repairs=put(d / "ancillary.csv", repair, ["05/03/2016", "04003", "95000/0010"]),
+        repair_orders=put(d / "ro.csv", ["WORK_ORDER", *extracts.REPAIR_SUMMARY_DATES], ["90,001", "", "01/02/2016 03:04:05"]),
+        work_orders=put(d / "wo.csv", ["WORK_ORDER", *extracts.WORK_ORDER_DATES], ["95000", *[""] * 5], ["90001", *[""] * 5]),
+        work_order_summary=put(d / "ws.csv", ["WORK_ORDER", *extracts.WORK_ORDER_SUMMARY_DATES], ["7", "bad", *[""] * 6]),
+    )
+    found = jobs.reconcile_works(spark, given, str(d / "out"))
+    # Works: two with their bursts, one of another order, one without a key. Bursts 90002 and 90003 have no work.
+    assert {r["merged"]: r["n"] for r in found.by_merge.collect()} == {"both": 2, "left_only": 2, "right_only": 2}
+    assert {(r["repair_type"], r["merged"]): r["n"] for r in found.by_type.collect()} == {("Mains", "both"): 2, ("Ancillary", "left_only"): 2}
+    mains = {(r["found"], r["merged"]): r["n"] for r in found.mains.collect()}
+    assert mains == {("both", "both"): 1, ("both", "right_only"): 1, ("left_only", None): 1, ("right_only", "both"): 1, ("right_only", "left_only"): 1, ("right_only", "right_only"): 1}
+    ancillary = {(r["found"], r["merged"]): r["n"] for r in found.ancillary.collect()}
+    assert ancillary[("both", "left_only")] == 1 and ("left_only", None) not in ancillary
+    covered = {(r["extract"], r["year"]): r["n"] for r in found.coverage.filter("covered").collect()}
+    assert covered == {("repair_orders", 2016): 2, ("work_orders", 2016): 2, ("work_orders", 2015): 1}
+    assert [r["path"].rsplit("/", 1)[1] for r in found.quarantine.collect()] == ["broken.csv"]
+
+
+def test_snapshot_knows_its_inputs(spark, tmp_path):
+    put(tmp_path / "in" / "a.csv", ["A"], ["1"])
+    path, inputs, built = str(tmp_path / "out"), [str(tmp_path / "in")], []
+
+    def build():
+        built.append(1)
+        return readers.read(spark, inputs, readers.Spec("t", (readers.Field("A", "a", "long"),)))
+
+    def rows(**parameters):
+        return sorted(r["a"] for r in readers.kept_snapshot(spark, path, inputs, build, **parameters).collect())
+
+    assert rows() == [1] and rows() == [1] and len(built) == 1
+    put(tmp_path / "in" / "a.csv", ["A"], ["1"], ["22"])
+    assert rows() == [1, 22] and len(built) == 2
+    put(tmp_path / "in" / "b.csv", ["A"], ["3"])
+    assert rows() == [1, 3, 22] and rows() == [1, 3, 22] and len(built) == 3
+    # A write that breaks off leaves files that are not those told beside them.
+    next((tmp_path / "out").glob("part-*.parquet")).write_bytes(b"")
+    assert rows() == [1, 3, 22] and len(built) == 4
+    assert rows(parameters="other") == [1, 3, 22] and len(built) == 5
+
+    def interrupted():
+        raise RuntimeError("stopped")
+
+    put(tmp_path / "in" / "c.csv", ["A"], ["4"])
+    with pytest.raises(RuntimeError):
+        readers.kept_snapshot(spark, path, inputs, interrupted)
+    assert rows() == [1, 3, 4, 22] and len(built) == 6
+
+
 def test_sheet_with_preamble_and_column_range(spark, tmp_path):
     """Three rows above the header, columns outside the range, in a file of several blocks."""
     spec = readers.Spec("s", (readers.Field("A", "a"), readers.Field("N", "n", "long")))

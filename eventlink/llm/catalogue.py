@@ -31,7 +31,8 @@ def op1_bit_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer, with_ids=False).drop("ids")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

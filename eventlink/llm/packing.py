@@ -1,9 +1,9 @@
 """Vector bin packing of tokenised examples into sequences.
 
-Every example asks for three resources of a sequence: tokens, one segment, and loss-bearing tokens (its last ``n_loss``
-tokens; for plain documents all of them). A sequence is filled from a pool of waiting examples: of those that fit under
-all three limits the one with the largest dot product of its demands with what the sequence has left goes in. When
-none fits, the largest is cut so that it fills the sequence. Examples longer than a sequence give whole sequences first.
+Every example asks for three resources of a sequence: tokens, segments (one, or as many as its turns make), and loss-bearing
+tokens (its last ``n_loss`` tokens; for plain documents all of them). A sequence is filled from a pool of waiting examples: of
+those that fit under all three limits the one with the largest dot product of its demands with what the sequence has left, each
+in shares of its limit, goes in. Ties go to the one that has waited longest. When none fits, the largest is cut so that it fills the sequence. Examples longer than a sequence give whole sequences first.
 A sequence that stays short (the segments are used up, or a partition ends) is laid into sequences whose lengths are
 powers of two, which need no padding.
 
@@ -58,14 +58,15 @@ class Piece:
     loss: int
     ids: bytes | None
     whole: int
+    segments: int = 1
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
-        """The first n tokens, and the rest."""
+        """The first n tokens, and the rest. Either may hold any of the segments, so both ask for as many."""
         head = max(0, n - (self.tokens - self.loss))
         ids = (None, None) if self.ids is None else (self.ids[: 4 * n], self.ids[4 * n :])
         return (
-            Piece(self.key, self.start, n, head, ids[0], self.whole),
-            Piece(self.key, self.start + n, self.tokens - n, self.loss - head, ids[1], self.whole),
+            Piece(self.key, self.start, n, head, ids[0], self.whole, self.segments),
+            Piece(self.key, self.start + n, self.tokens - n, self.loss - head, ids[1], self.whole, self.segments),
         )
 
     def longest(self, tokens: int, loss: int) -> int:
@@ -74,48 +75,64 @@ class Piece:
 
 
 class Pool:
-    """Waiting pieces, all of them able to fit into an empty sequence."""
+    """Waiting pieces, all of them able to fit into an empty sequence, in the order in which they came."""
 
     def __init__(self, limits: Limits):
-        self.limits, self.pieces = limits, []
+        self.limit = np.array([limits.tokens, limits.segments, limits.loss], np.int64)
+        self.pieces: list[Piece] = []
+        self.needs = np.empty((3, 2 * POOL), np.int64)
+
+    def __len__(self) -> int:
+        return len(self.pieces)
+
+    def add(self, piece: Piece) -> None:
+        n = len(self.pieces)
+        if n == self.needs.shape[1]:
+            self.needs = np.concatenate([self.needs, np.empty_like(self.needs)], axis=1)
+        self.needs[:, n] = piece.tokens, piece.segments, piece.loss
+        self.pieces.append(piece)
 
     def fill(self) -> Iterator[list[Piece]]:
         """Sequences until no piece waits."""
         while self.pieces:
             yield self._one()
 
+    def best(self, room: np.ndarray, waiting: np.ndarray) -> int | None:
+        """The waiting piece that fits and has the largest product of its needs with the room, each in shares of the limits."""
+        needs = self.needs[:, : len(waiting)]
+        fits = waiting & (needs <= room[:, None]).all(axis=0)
+        if room[1] == 1:
+            fits &= needs[0] == room[0]  # the last segment should fill the sequence
+        if not fits.any():
+            return None
+        gain = (room / self.limit.astype(float) ** 2) @ needs
+        return int(np.argmax(np.where(fits, gain, -1)))
+
     def _one(self) -> list[Piece]:
-        limits, chosen = self.limits, []
-        room = [limits.tokens, limits.segments, limits.loss]
-        need = [np.fromiter((p.tokens for p in self.pieces), np.int64), np.fromiter((p.loss for p in self.pieces), np.int64)]
+        room, chosen, rest = self.limit.copy(), [], None
         waiting = np.ones(len(self.pieces), bool)
-        scale = np.array([limits.tokens, limits.loss], float) ** 2
-        rest = None
         while room[0] and room[1] and waiting.any():
-            fits = waiting & (need[0] <= room[0]) & (need[1] <= room[2])
-            if room[1] == 1:
-                fits &= need[0] == room[0]  # the last segment should fill the sequence
-            if fits.any():
-                gain = need[0] * (room[0] / scale[0]) + need[1] * (room[2] / scale[1])
-                k = int(np.argmax(np.where(fits, gain, -1)))
-                piece = self.pieces[k]
-            else:
-                k = int(np.argmax(np.where(waiting, need[0], -1)))
+            k = self.best(room, waiting)
+            if k is None:
+                open_ = waiting & (self.needs[1, : len(waiting)] <= room[1])
+                k = int(np.argmax(np.where(open_, self.needs[0, : len(waiting)], -1)))
                 whole = self.pieces[k]
-                n = whole.longest(room[0], room[2])
+                n = whole.longest(int(room[0]), int(room[2])) if open_[k] else 0
                 if n <= 0:
                     break
                 piece, rest = whole.cut(n) if n < whole.tokens else (whole, None)
+            else:
+                piece = self.pieces[k]
             waiting[k] = False
             chosen.append(piece)
-            room[0] -= piece.tokens
-            room[1] -= 1
-            room[2] -= piece.loss
+            room -= (piece.tokens, piece.segments, piece.loss)
             if rest is not None:
                 break
-        self.pieces = [p for p, w in zip(self.pieces, waiting, strict=True) if w]
+        left = np.flatnonzero(waiting)
+        self.needs[:, : len(left)] = self.needs[:, left]
+        self.pieces = [self.pieces[k] for k in left]
         if rest is not None and rest.tokens:
-            self.pieces.append(rest)
+            self.add(rest)
         return chosen
 
 
@@ -128,13 +145,13 @@ def packed(examples: Iterator[Piece], limits: Limits) -> Iterator[list[Piece]]:
             if head.tokens == limits.tokens:
                 yield [head]
             else:
-                pool.pieces.append(head)
+                pool.add(head)
         if piece.tokens:
-            pool.pieces.append(piece)
-        if len(pool.pieces) >= POOL:
+            pool.add(piece)
+        if len(pool) >= POOL:
             for sequence in pool.fill():
                 yield from by_powers(sequence, limits.tokens)
-                if len(pool.pieces) < POOL // 2:
+                if len(pool) < POOL // 2:
                     break
     for sequence in pool.fill():
         yield from by_powers(sequence, limits.tokens)
@@ -206,8 +223,8 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text): see ``PIECES``. All tokens bear loss."""
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
+    """One row per piece of ``docs`` (doc_id, text): see ``PIECES``. All tokens bear loss. ``ids`` are null if not asked for."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
@@ -219,12 +236,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
                     ids = encoder(text.as_py()) + end
                     yield Piece(key.as_py(), 0, len(ids) // 4, len(ids) // 4, ids, len(ids) // 4)
 
-        yield from placed(packed(examples(), limits))
+        yield from placed(packed(examples(), limits), with_ids)
 
     return texts(docs).mapInArrow(pack, PIECES)
 
 
-def placed(sequences: Iterator[list[Piece]]) -> Iterator[pa.RecordBatch]:
+def placed(sequences: Iterator[list[Piece]], with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Rows of ``PIECES``, some thousands at a time."""
     number = TaskContext.get().partitionId() << 36
     names = [c.split()[0] for c in PIECES.split(", ")]
@@ -243,7 +260,7 @@ def placed(sequences: Iterator[list[Piece]]) -> Iterator[pa.RecordBatch]:
         for p in sequence:
             crc = None if p.ids is None else zlib.crc32(p.ids)
             rows.append((p.key, p.start, p.tokens, crc, p.whole, number, offset))
-            ids.append(p.ids)
+            ids.append(p.ids if with_ids else None)
             offset += p.tokens
         number += 1
         size += offset
@@ -257,22 +274,25 @@ def placed(sequences: Iterator[list[Piece]]) -> Iterator[pa.RecordBatch]:
 def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The same for tokenised examples (doc_id, n_tokens, n_loss): instruction data whose last n_loss tokens bear loss.
 
-    With a column ``ids`` (array of int) the pieces hold theirs and n_tokens is not read; without it ids and ids_crc32 are null. Null counts
-    are taken as 0; examples without tokens give no piece.
+    With a column ``ids`` (array of int) the pieces hold theirs and n_tokens is not read; without it ids and ids_crc32 are null. A
+    column ``n_segments`` gives the segments of an example (null, 0 or no column: one; more than a sequence holds: as many). Null
+    counts are taken as 0; examples without tokens give no piece.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[Piece]:
             for batch in batches:
-                for key, n, loss, *ids in zip(*batch.columns, strict=True):
-                    n, loss = n.as_py(), loss.as_py()
+                for key, n, loss, segments, *ids in zip(*batch.columns, strict=True):
+                    n, loss, segments = n.as_py(), loss.as_py(), segments.as_py()
                     data = ids[0].values.to_numpy().astype(np.int32).tobytes() if ids else None
-                    yield Piece(key.as_py(), 0, n, min(loss, n), data, n)
+                    yield Piece(key.as_py(), 0, n, min(loss, n), data, n, min(max(segments, 1), limits.segments))
 
-        yield from placed(packed(pieces(), limits))
+        yield from placed(packed(pieces(), limits), True)
 
     zero = F.lit(0).cast("long")
     held = [F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids")] if "ids" in examples.columns else []
     n = F.size(held[0]) if held else F.col("n_tokens")
-    counts = [F.greatest(F.coalesce(c.cast("long"), zero), zero).alias(name) for c, name in ((n, "n_tokens"), (F.col("n_loss"), "n_loss"))]
+    segments = F.col("n_segments") if "n_segments" in examples.columns else zero
+    given = ((n, "n_tokens"), (F.col("n_loss"), "n_loss"), (segments, "n_segments"))
+    counts = [F.greatest(F.coalesce(c.cast("long"), zero), zero).alias(name) for c, name in given]
     return examples.select("doc_id", *counts, *held).mapInArrow(pack, PIECES)

@@ -7,6 +7,7 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -57,6 +58,73 @@ def test_packing(odd, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def _instruction_examples(n, seed, limits):
+    """Examples with needs of all three kinds that are not multiples of one another; none is longer than a sequence."""
+    rng = np.random.default_rng(seed)
+    tokens = rng.integers(1, limits.tokens // 3, n)
+    loss = np.minimum((tokens * rng.random(n) ** 2).astype(int), limits.loss)
+    return [packing.Piece(k, 0, int(t), int(x), None, int(t), int(rng.integers(1, 6))) for k, (t, x) in enumerate(zip(tokens, loss, strict=True))]
+
+
+def _plain_sequences(examples, limits, weights):
+    """The choice spelt out: products of needs and room in shares of the limits, one example after the other."""
+    waiting, out = list(examples), []
+    limit = (limits.tokens, limits.segments, limits.loss)
+    while waiting:
+        room, chosen = list(limit), []
+        while True:
+            fits = [p for p in waiting if p.tokens <= room[0] and p.segments <= room[1] and p.loss <= room[2] and (room[1] > 1 or p.tokens == room[0])]
+            if not fits:
+                break
+            best = max(fits, key=lambda p: sum(w * x / c * r / c for w, x, r, c in zip(weights, (p.tokens, p.segments, p.loss), room, limit, strict=True)))
+            waiting.remove(best)
+            chosen.append(best.key)
+            room = [r - x for r, x in zip(room, (best.tokens, best.segments, best.loss), strict=True)]
+        out.append(chosen)
+        if not chosen:
+            raise AssertionError
+    return out
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(500, 12, 120), packing.Limits(2048, 24, 300)])
+def test_choice_is_the_product_of_all_three(limits, monkeypatch):
+    examples = _instruction_examples(400, 5, limits)
+    pool = packing.Pool(limits)
+    for e in examples:
+        pool.add(e)
+    cutting = packing.Pool(limits)
+    for e in examples:
+        cutting.add(e)
+    cut = sum(1 for _ in cutting.fill())
+    # Cutting is not the choice in question: a sequence ends where no example fits.
+    monkeypatch.setattr(packing.Piece, "longest", lambda *_: 0)
+    found = [[p.key for p in sequence] for sequence in pool.fill()]
+    assert found == _plain_sequences(examples, limits, (1, 1, 1))
+    assert found != _plain_sequences(examples, limits, (1, 0, 0)) and found != _plain_sequences(examples, limits, (1, 1, 0))
+    assert found != _plain_sequences(examples, limits, (1, 0, 1))
+    bins = []
+    for e in examples:
+        need = np.array([e.tokens, e.segments, e.loss])
+        place = next((b for b in bins if (b >= need).all()), None)
+        if place is None:
+            place = np.array([limits.tokens, limits.segments, limits.loss])
+            bins.append(place)
+        place -= need
+    # Against first-fit by arrival: 99 to 97 sequences under the first limits, 125 to 127 under the second.
+    assert cut <= 1.05 * len(bins)
+
+
+def test_segments_of_examples(spark):
+    rows = [(k, 10, 3, (None, 0, 3, 99)[k % 4]) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_tokens long, n_loss long, n_segments long").coalesce(1)
+    held = defaultdict(list)
+    for r in packing.pack_examples(frame, packing.Limits(64, 5, 64)).collect():
+        held[r.sequence_id].append(r.doc_id)
+    size = {k: min(max(n or 1, 1), 5) for k, _, _, n in rows}
+    assert all(sum(size[k] for k in keys) <= 5 for keys in held.values())
+    assert sorted(k for keys in held.values() for k in set(keys)) >= list(range(40))
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 4, 64), packing.Limits(128, 3, 40)])
 def test_all_limits_hold(limits):
     sizes = [(1 + k * 37 % 150, k * 31 % 90) for k in range(3000)]

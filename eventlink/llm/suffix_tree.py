@@ -1,9 +1,11 @@
 """Scores of a probabilistic suffix tree over words.
 
-Learning. Sequences of one word up to ``DEPTH + 1`` words are counted over all training texts. A sequence is worth keeping if it
-occurs ``LEAST`` times; a longer one is counted where both its parts are, which loses none that occurs so often. All kept
-sequences of up to ``DEPTH`` words are contexts. A context is a state of the tree if its distribution of next words
-diverges from that of its longest kept suffix: the log-likelihood ratio over all its occurrences is at least ``GAIN``. Next words
+Learning. Sequences of one word, two words, and so on are counted over all training texts. A sequence is worth keeping if it
+occurs ``LEAST`` times; a longer one is counted where both its parts are kept, which loses none that occurs so often, and
+where the context that it would refine is a state. A context is a state of the tree if its distribution of next words
+diverges from that of its longest suffix: the log-likelihood ratio over all its occurrences is at least ``GAIN``. Contexts
+grow word by word as long as there are states whose next words still cost as much as that in all (else no longer context could
+gain it) and sequences that occur twice; no length is set, and a context that does not diverge is not refined. Next words
 are smoothed by absolute discounting: what is taken off, and all next words that are not kept, go to the suffix's
 distribution, and at the root to add-one word frequencies.
 
@@ -11,7 +13,9 @@ Scoring. A word's probability is read at the state of the longest suffix before
 
 Nothing is sent to the driver or to every task, so the tree grows with the corpus. Texts are gathered in blocks of tokens. A
 block asks for its distinct sequences, dealt out by ranges of their hashes; each range sums up what was asked and answers every
-block (:func:`exchange`). One of the blocks that ask for a sequence owns it and hands it on as a next word of its context; shares and
+block (:func:`exchange`). A message holds a block's sorted hashes of a range and a byte for most counts; the number of ranges follows the number of
+tokens, so a range's size does not, and there is a message for each block and range, as there is a segment in a shuffle. One of the blocks that
+ask for a sequence owns it and hands it on as a next word of its context; shares and
 gains of contexts are aggregates, and blocks ask for the shares of their own contexts.
 
 Hashes have 64 bits. Null and empty texts consist of the end alone. Repeated rows count and are scored as often as they occur. Null
@@ -22,7 +26,7 @@ table; without any training text every word is unknown.
 from __future__ import annotations
 
 import math
-import uuid
+import struct
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -38,16 +42,14 @@ from eventlink.operators.joins import attach
 
 #: Occurrences of a context, and of a context with a next word, at least.
 LEAST = 2
-#: Words in a context at most.
-DEPTH = 3
 GAIN, DISCOUNT = 10.0, 0.5
 END = U64(0xE0D)
 #: Tokens of a block (the last text of a block goes in whole).
 BLOCK = 1 << 18
 #: Bytes that Spark hands to Python at once, as blocks are large rows.
 HANDED = "4m"
-#: Ranges of hashes for each shuffle partition, worked on one after the other.
-RANGES = 4
+#: Tokens for each range of hashes, and ranges at least.
+RANGE, RANGES = 1 << 22, 64
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +68,7 @@ def shifted(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
 
 
-BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<int>, words binary, codes binary"
+BLOCKS = "block long, tokens long, ids array<long>, held array<boolean>, sizes array<int>, words binary, codes binary"
 
 
 def blocks(table: DataFrame) -> DataFrame:
@@ -82,7 +84,8 @@ def blocks(table: DataFrame) -> DataFrame:
             lists.append(pa.array(np.concatenate(sizes).astype(np.int32)))
             columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
             data = [pa.array([x.tobytes()], pa.binary()) for x in (words, codes.astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array([number]), *columns, *data], names=[c.split()[0] for c in BLOCKS.split(", ")])
+            numbers = [pa.array([number]), pa.array([len(codes)])]
+            return pa.RecordBatch.from_arrays([*numbers, *columns, *data], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch, raw, at in chunks(batches):
             value, sizes = tokens(raw, at)
@@ -100,15 +103,20 @@ def blocks(table: DataFrame) -> DataFrame:
 @dataclass
 class Level:
     """Sequences of one length: the hash at each token (the last word), where they are looked at, the distinct ones there, and of
-    each token's sequence its place among these; then what is known of the distinct ones."""
+    each token's sequence its place among these; then what is known of the distinct ones.
+
+    ``led``: tokens before which the sequence one word shorter may be a context; ``asked``: those contexts among the distinct shorter ones.
+    """
 
     whole: np.ndarray
     ok: np.ndarray
     value: np.ndarray
     place: np.ndarray
+    led: np.ndarray | None = None
     n: np.ndarray | None = None
     owned: np.ndarray | None = None
     share: np.ndarray | None = None
+    grows: np.ndarray | None = None
 
     def at_tokens(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.ok), x.dtype)
@@ -129,29 +137,40 @@ class Block:
         self.place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.train = ~self.held[self.doc]
         self.levels = [Level(self.word, np.ones(len(codes), bool), words, codes)]
-        while self.fill() and (further or f"n{len(self.levels) + 1}" in row):
+        while f"n{len(self.levels)}" in row:
+            k = len(self.levels)
+            level = self.levels[-1]
+            level.n, level.owned = counts_of(row[f"n{k}"])
+            if not further and f"n{k + 1}" not in row:
+                break
             self.levels.append(self.longer())
-
-    def fill(self) -> bool:
-        """Read what is known of the last level; whether its counts are there."""
-        level, k = self.levels[-1], len(self.levels)
-        if f"n{k}" not in self.row:
-            return False
-        said = np.frombuffer(self.row[f"n{k}"] or b"", np.int64)
-        level.n, level.owned = said >> 1, (said & 1).astype(bool)
-        if f"share{k}" in self.row:
-            level.share = np.zeros(len(level.n))
-            level.share[level.n >= LEAST] = np.frombuffer(self.row[f"share{k}"] or b"", np.float64)
-        return True
+            if f"share{k}" in row:
+                # The shares of a level's contexts are asked for by the tokens after them.
+                level.share, level.grows = np.zeros(len(level.n)), np.zeros(len(level.n), bool)
+                at = self.contexts()
+                level.share[at], level.grows[at] = shares_of(row[f"share{k}"])
 
     def longer(self) -> Level:
-        """The next level: sequences of which both parts are kept."""
+        """The next level: sequences of which both parts are kept, and whose context refines a state."""
         below, k = self.levels[-1], len(self.levels)
         kept = below.at_tokens(below.n) >= LEAST
-        ok = kept & shifted(kept) & (self.place >= k)
+        led = shifted(kept) & (self.place >= k)
+        if k > 1:
+            refined = self.levels[k - 2]
+            led &= shifted(refined.at_tokens(refined.grows))
         whole = extended(shifted(below.whole), self.word)
+        ok = led & kept
         value, place = np.unique(whole[ok], return_inverse=True)
-        return Level(whole, ok, value, place)
+        return Level(whole, ok, value, place, led)
+
+    def contexts(self) -> np.ndarray:
+        """Places of the last level's contexts among the sequences of the level before it."""
+        context, led = self.levels[-2], self.levels[-1].led
+        asked = np.zeros(len(context.value), bool)
+        places = np.zeros(len(context.ok), np.int64)
+        places[context.ok] = context.place
+        asked[places[np.flatnonzero(led) - 1]] = True
+        return np.flatnonzero(asked)
 
     def root(self, tree: Tree) -> np.ndarray:
         return tree.root(self.levels[0].at_tokens(self.levels[0].n))
@@ -161,13 +180,58 @@ class Block:
         p = 10.0 ** self.root(tree)
         for k in range(1, depth + 1):
             context, whole = self.levels[k - 1], self.levels[k]
-            share = np.where(self.place >= k, shifted(context.at_tokens(context.share)), 0.0)
+            share = np.where(whole.led, shifted(context.at_tokens(context.share)), 0.0)
             n = whole.at_tokens(whole.n)
             own = np.where(n >= LEAST, n - DISCOUNT, 0.0) / np.maximum(shifted(context.at_tokens(context.n)), 1)
             p = np.where(share > 0, share * p + own, p)
         return p
 
 
+def packed(n: np.ndarray) -> bytes:
+    """Counts, one byte each; those beyond a byte follow behind the others."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(data: bytes, size: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """So many counts of ``data`` from a place on, and the place behind them."""
+    n = np.frombuffer(data, np.uint8, size, at).astype(np.int64)
+    large = np.flatnonzero(n == 255)
+    n[large] = np.frombuffer(data, np.int64, len(large), at + size)
+    return n, at + size + 8 * len(large)
+
+
+def bits(data: bytes, size: int, at: int) -> tuple[np.ndarray, int]:
+    end = at + -(-size // 8)
+    return np.unpackbits(np.frombuffer(data, np.uint8, end - at, at), count=size).astype(bool), end
+
+
+def counts_of(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, and whether the block owns the sequence, out of the answers of all ranges."""
+    n, owned, at = [np.empty(0, np.int64)], [np.empty(0, bool)], 0
+    data = data or b""
+    while at < len(data):
+        (size,) = struct.unpack_from("<I", data, at)
+        mine, at = bits(data, size, at + 4)
+        some, at = unpacked(data, size, at)
+        n.append(some), owned.append(mine)
+    return np.concatenate(n), np.concatenate(owned)
+
+
+def shares_of(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shares (0: no state), and whether longer contexts are looked for, out of the answers of all ranges."""
+    share, grows, at = [np.empty(0)], [np.empty(0, bool)], 0
+    data = data or b""
+    while at < len(data):
+        (size,) = struct.unpack_from("<I", data, at)
+        state, at = bits(data, size, at + 4)
+        more, at = bits(data, size, at)
+        some = np.zeros(size)
+        some[state] = np.frombuffer(data, np.float64, state.sum(), at)
+        at += 8 * int(state.sum())
+        share.append(some), grows.append(more)
+    return np.concatenate(share), np.concatenate(grows)
+
+
 def coded(value: np.ndarray) -> bytes:
     """Sorted numbers as differences, byte by byte, so that their leading zeros stand together."""
     return np.diff(value, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -181,13 +245,13 @@ def decoded(data: bytes) -> np.ndarray:
 ASK = "bucket long, block long, asked binary, given binary"
 
 
-def dealt(buckets: int, block: int, value: np.ndarray, given: np.ndarray) -> pa.RecordBatch:
+def dealt(buckets: int, block: int, value: np.ndarray, given: Callable[[slice], bytes]) -> pa.RecordBatch:
     """Rows of ``ASK``: sorted values and what comes with them, by ranges of values."""
     bucket = ((value >> U64(32)) * U64(buckets)) >> U64(32)
     names, at = np.unique(bucket, return_index=True)
     ends = [*at[1:], len(value)]
     asked = [coded(value[a:b]) for a, b in zip(at, ends, strict=True)]
-    with_them = [given[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+    with_them = [given(slice(a, b)) for a, b in zip(at, ends, strict=True)]
     columns = [pa.array(names.astype(np.int64)), pa.array([block] * len(names), pa.int64()), pa.array(asked, pa.binary()), pa.array(with_them, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ASK.split(", ")])
 
@@ -225,20 +289,22 @@ def exchange(asks: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[int,
 
 
 def totals(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
-    """Twice the sum of the counts of each asked value, and one more for the first block that asked."""
+    """The sum of the counts of each asked value; the first block that asked owns it."""
     asked = [decoded(r["asked"]) for r in rows]
+    given = np.concatenate([unpacked(r["given"], len(x))[0] for r, x in zip(rows, asked, strict=True)])
     value, first, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-    n = np.bincount(place, np.concatenate([np.frombuffer(r["given"], np.uint32) for r in rows]), len(value)).astype(np.int64)
-    said = 2 * n[place]
-    said[first] += 1
+    n = np.bincount(place, given, len(value)).astype(np.int64)[place]
+    owned = np.zeros(len(n), bool)
+    owned[first] = True
     at = 0
     for r, x in zip(rows, asked, strict=True):
-        yield r["block"], said[at : at + len(x)].tobytes()
-        at += len(x)
+        end = at + len(x)
+        yield r["block"], struct.pack("<I", len(x)) + np.packbits(owned[at:end]).tobytes() + packed(n[at:end])
+        at = end
 
 
 def shares(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
-    """The share of each asked context, 0 if it is no state. States come with block -1."""
+    """The share of each asked context, 0 if it is no state, and whether it grows. States come with block -1."""
     known = [(decoded(r["asked"]), np.frombuffer(r["given"], np.float64)) for r in rows if r["block"] < 0]
     value, share = (np.concatenate(c) for c in zip(*known, strict=True)) if known else (np.empty(0, U64), np.empty(0))
     order = np.argsort(value)
@@ -247,26 +313,18 @@ def shares(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
         if r["block"] >= 0:
             asked = decoded(r["asked"])
             at = np.searchsorted(value[:-1], asked)
-            yield r["block"], np.where((value[at] == asked) & (at < len(value) - 1), share[at], 0.0).tobytes()
-
-
-class Streamed:
-    """The values of one column, streamed when they are asked for."""
-
-    def __init__(self, frame: DataFrame, name: str):
-        self.frame, self.name = frame, name
-
-    def __iter__(self) -> Iterator:
-        return (r[0] for r in self.frame.select(self.name).toLocalIterator())
+            found = np.where((value[at] == asked) & (at < len(value) - 1), share[at], 0.0)
+            flags = np.packbits(found != 0).tobytes() + np.packbits(found > 0).tobytes()
+            yield r["block"], struct.pack("<I", len(asked)) + flags + np.abs(found[found != 0]).tobytes()
 
 
 @dataclass
 class Tree:
-    """Per length of contexts: the states as a table (context, share), and their shares alone."""
+    """The training tokens, how many are distinct, and the states (context, share, grows) of each length of contexts."""
 
     total: int = 0
     distinct: int = 0
-    states: list[tuple[DataFrame, Streamed]] = field(default_factory=list)
+    states: list[DataFrame] = field(default_factory=list)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts + 1) - math.log10(self.total + self.distinct + 1)
@@ -302,17 +360,6 @@ class Known:
             t.drop()
 
 
-@contextmanager
-def saved(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` as a table that is dropped afterwards."""
-    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").saveAsTable(name)
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Inside, Spark hands rows to Python in batches of ``HANDED`` bytes."""
@@ -330,49 +377,66 @@ ENTRY = "context long, n long, n_context long, below double"
 
 def learn(table: DataFrame) -> tuple[Tree, Known]:
     """The tree, and the blocks with the counts and shares of their sequences."""
-    buckets = RANGES * partitions(table.sparkSession)
-    tree, known = Tree(), Known(table)
+    known = Known(table)
+    try:
+        return _learned(known), known
+    except BaseException:
+        known.drop()
+        raise
+
+
+def _learned(known: Known) -> Tree:
+    size = known.blocks.frame().agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(RANGES, -(-size // RANGE))
 
     def counts(block: Block) -> Iterator[pa.RecordBatch]:
         level = block.levels[-1]
-        n = np.bincount(level.place, block.train[level.ok], len(level.value))
+        n = np.bincount(level.place, block.train[level.ok], len(level.value)).astype(np.int64)
         if len(level.value):
-            yield dealt(buckets, block.row["block"], level.value, n.astype(np.uint32))
+            yield dealt(buckets, block.row["block"], level.value, lambda some: packed(n[some]))
 
     known.answers["n1"] = exchange(known.each(counts, ASK, 0), totals, "n1")
-    tree.total, tree.distinct = _words(known)
-    root = Tree(tree.total, tree.distinct)
-    for k in range(1, DEPTH + 1):
-
-        def entries(block: Block, k: int = k) -> Iterator[pa.RecordBatch]:
+    tree = Tree(*_words(known))
+    root, k = Tree(tree.total, tree.distinct), 0
+    while True:
+        k += 1
+        answer = exchange(known.each(counts, ASK, k, k - 1, further=True), totals, f"n{k + 1}")
+        known.answers[f"n{k + 1}"] = answer
+        if answer.frame().isEmpty():
+            return tree
+
+        def entries_and_contexts(block: Block, k: int = k) -> Iterator[pa.RecordBatch]:
             whole, context = block.levels[k], block.levels[k - 1]
             at = np.empty(len(whole.value), np.int64)
             at[whole.place] = np.flatnonzero(whole.ok)
-            at = at[whole.owned & (whole.n >= LEAST)]
-            n, n_context = whole.n[whole.owned & (whole.n >= LEAST)], context.at_tokens(context.n)[at - 1]
+            own = whole.owned & (whole.n >= LEAST)
+            at, n = at[own], whole.n[own]
+            n_context = context.at_tokens(context.n)[at - 1]
             below = block.probability(root, k - 1)[at]
+            names = [c.split()[0] for c in f"{ENTRY}, {ASK}".split(", ")]
             columns = [pa.array(context.whole[at - 1].view(np.int64)), pa.array(n), pa.array(n_context), pa.array(below)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ENTRY.split(", ")])
-
-        def contexts(block: Block, k: int = k) -> Iterator[pa.RecordBatch]:
-            level = block.levels[k - 1]
-            if len(value := level.value[level.n >= LEAST]):
-                yield dealt(buckets, block.row["block"], value, np.empty(0, np.uint8))
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+            if len(value := context.value[block.contexts()]):
+                asks = dealt(buckets, block.row["block"], value, lambda some: b"")
+                nulls = [pa.nulls(asks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*nulls, *asks.columns], names=names)
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                value, share = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+                value = batch.column(0).to_numpy().view(U64)
+                # The sign tells whether longer contexts are looked for.
+                share = np.where(batch.column(2).to_numpy(zero_copy_only=False), 1.0, -1.0) * batch.column(1).to_numpy()
                 order = np.argsort(value)
                 if len(order):
-                    yield dealt(buckets, -1, value[order], share[order])
-
-        known.answers[f"n{k + 1}"] = exchange(known.each(counts, ASK, k, further=True), totals, f"n{k + 1}")
-        with saved(known.each(entries, ENTRY, k + 1, k - 1)) as found:
-            states = written(_states(found))
-        tree.states.append((states, Streamed(states, "share")))
-        asks = known.each(contexts, ASK, k).unionByName(states.mapInArrow(listed, ASK))
+                    value, share = value[order], share[order]
+                    yield dealt(buckets, -1, value, lambda some, share=share: share[some].tobytes())
+
+        found = written(known.each(entries_and_contexts, f"{ENTRY}, {ASK}", k + 1, k - 1))
+        states = written(_states(found.where("context IS NOT NULL").select("context", "n", "n_context", "below")))
+        tree.states.append(states)
+        asks = found.where("bucket IS NOT NULL").select("bucket", "block", "asked", "given")
+        asks = asks.unionByName(states.mapInArrow(listed, ASK))
         known.answers[f"share{k}"] = exchange(asks, shares, f"share{k}")
-    return tree, known
 
 
 def _words(known: Known) -> tuple[int, int]:
@@ -388,17 +452,24 @@ def _words(known: Known) -> tuple[int, int]:
 
 
 def _states(entries: DataFrame) -> DataFrame:
-    """(context, share) of the contexts whose next words (see ``ENTRY``) diverge from what is below them."""
+    """(context, share, grows) of the contexts whose next words (see ``ENTRY``) diverge from what is below them.
+
+    A longer context gains at most what the kept next words still cost: minus their summed log-probabilities. Others cost it.
+    """
     own = (F.col("n") - DISCOUNT) / F.col("n_context")
     sums = entries.groupBy(F.col("context").alias("_context")).agg(
         (1 - F.sum(own)).alias("share"), (F.max("n_context") - F.sum("n")).alias("rest")
     )
     # Divergence: kept next words by the ratio of both probabilities, all others together by the share they are left.
-    ratio = F.col("n") * F.log((own + F.col("share") * F.col("below")) / F.col("below"))
+    p = own + F.col("share") * F.col("below")
     gains = attach(entries, sums, [(F.col("context"), "_context")], "inner").groupBy("context").agg(
-        F.sum(ratio).alias("gain"), F.max("share").alias("share"), F.max("rest").alias("rest")
+        F.sum(F.col("n") * F.log(p / F.col("below"))).alias("gain"),
+        F.sum(-F.col("n") * F.log(p)).alias("cost"),
+        F.max("share").alias("share"),
+        F.max("rest").alias("rest"),
     )
-    return gains.where(F.col("gain") + F.col("rest") * F.log("share") >= GAIN).select("context", "share")
+    states = gains.where(F.col("gain") + F.col("rest") * F.log("share") >= GAIN)
+    return states.select("context", "share", (F.col("cost") >= GAIN).alias("grows"))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -413,17 +484,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame) -> DataFrame:
     tree, known = learn(split(docs))
     names = [c.split()[0] for c in SCORED.split(", ")]
-    tree = Tree(tree.total, tree.distinct)
+    depth, tree = len(tree.states), Tree(tree.total, tree.distinct)
 
     def run(block: Block) -> Iterator[pa.RecordBatch]:
         size = len(block.held)
         seen = block.levels[0].at_tokens(block.levels[0].n) > 0
-        parts = (np.ones(len(block.doc)), seen, block.root(tree), np.log10(block.probability(tree, DEPTH)))
+        parts = (np.ones(len(block.doc)), seen, block.root(tree), np.log10(block.probability(tree, depth)))
         n, n_known, base, score = (np.bincount(block.doc, x, size) for x in parts)
         columns = [pa.array(block.row["ids"], pa.int64()), pa.array(block.held), *(pa.array(x.astype(np.int64)) for x in (n, n_known, np.full(size, tree.total)))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(base), pa.array(score)], names=names)
 
     try:
-        return written(known.each(run, SCORED, DEPTH + 1, DEPTH))
+        return written(known.each(run, SCORED, depth + 1, depth))
     finally:
         known.drop()

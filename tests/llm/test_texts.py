@@ -122,7 +122,7 @@ def test_segments_of_examples(spark):
         held[r.sequence_id].append(r.doc_id)
     size = {k: min(max(n or 1, 1), 5) for k, _, _, n in rows}
     assert all(sum(size[k] for k in keys) <= 5 for keys in held.values())
-    assert sorted(k for keys in held.values() for k in set(keys)) >= list(range(40))
+    assert {k for keys in held.values() for k in keys} == set(range(40))
 
 
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 4, 64), packing.Limits(128, 3, 40)])
@@ -439,8 +439,9 @@ def test_suffix_tree_predicts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held = suffix_tree.score_documents(docs).where("held_out").collect()
     assert held and all(r.score > r.base_score + 20 for r in held)
-    tree, _ = suffix_tree.learn(suffix_tree.split(docs))
-    assert all(0 < s <= 1 for _, share in tree.states for s in share)
+    tree, known = suffix_tree.learn(suffix_tree.split(docs))
+    known.drop()
+    assert all(0 < r.share <= 1 for states in tree.states for r in states.collect())
 
 
 def test_suffix_tree_holds_rare_sequences(spark, monkeypatch):
@@ -448,12 +449,16 @@ def test_suffix_tree_holds_rare_sequences(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK", 3000)
     rows = [(k, " ".join(f"u{k * 31 % 97}x{j * j % 89}" for j in range(300))) for k in range(120)]
     rows += [(1000 + k, f"start{k % 5} rare{k // 4} pair{k // 4} with{k // 4} tail{k % 3}") for k in range(160)]
+    # Runs of up to nine: how likely one ends depends on where it began, so contexts grow that far.
+    rows += [(2000 + k, " ".join("stop " + "go " * (1 + zlib.crc32(b"%d %d" % (k, j)) % 9) for j in range(40))) for k in range(60)]
+    rows += [(3000 + k, "again and " * (k % 7 * 20) + "off") for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     texts = {key: [*text.split(), None] for key, text in rows}
     out = {key: zlib.crc32(str(key).encode()) % 7 == 2 for key in texts}
-    count = Counter(tuple(w[a:b]) for key, w in texts.items() if not out[key] for a in range(len(w)) for b in range(a + 1, min(len(w), a + suffix_tree.DEPTH + 1) + 1))
-    total, distinct = sum(n for s, n in count.items() if len(s) == 1), sum(len(s) == 1 for s in count)
-    share = {}
+    train = [w for key, w in texts.items() if not out[key]]
+    count = Counter((x,) for w in train for x in w)
+    total, distinct = sum(count.values()), len(count)
+    share, grows, sizes = {}, {()}, []
 
     def probability(s):
         p = (count[s[-1:]] + 1) / (total + distinct + 1)
@@ -464,26 +469,36 @@ def test_suffix_tree_holds_rare_sequences(spark, monkeypatch):
                 p = share[context] * p + (n - 0.5 if n > 1 else 0) / count[context]
         return p
 
-    for k in range(1, suffix_tree.DEPTH + 1):
+    for k in range(1, 200):
+        longer = Counter(tuple(w[a : a + k + 1]) for w in train for a in range(len(w) - k))
+        longer = {s: n for s, n in longer.items() if count[s[1:]] > 1 and count[s[:-1]] > 1 and s[1:-1] in grows}
+        if not longer:
+            break
+        count.update(longer)
         after = defaultdict(dict)
-        for s, n in count.items():
-            if len(s) == k + 1 and n > 1:
+        for s, n in longer.items():
+            if n > 1:
                 after[s[:-1]][s[-1]] = n
         found = {}
         for context, words in after.items():
             n = count[context]
             left = 1 - sum((m - 0.5) / n for m in words.values())
-            gain = (n - sum(words.values())) * math.log(left)
+            gain, cost = (n - sum(words.values())) * math.log(left), 0
             for w, m in words.items():
                 below = probability((*context[1:], w))
                 gain += m * math.log(((m - 0.5) / n + left * below) / below)
+                cost -= m * math.log((m - 0.5) / n + left * below)
             if gain >= suffix_tree.GAIN:
                 found[context] = left
+                if cost >= suffix_tree.GAIN:
+                    grows.add(context)
         share |= found
+        sizes.append(len(found))
     tree, known = suffix_tree.learn(suffix_tree.split(docs))
     known.drop()
-    assert [frame.count() for frame, _ in tree.states] == [sum(len(c) == k for c in share) for k in range(1, suffix_tree.DEPTH + 1)]
+    assert [states.count() for states in tree.states] == sizes and len(sizes) > 5
     assert sum(1 for c in share if 2 <= count[c] < 6) > 20
+    assert max(map(len, share)) >= 8
     got = {r.doc_id: r.score for r in suffix_tree.score_documents(docs).collect()}
-    want = {key: sum(math.log10(probability(tuple(w[max(0, i - suffix_tree.DEPTH) : i + 1]))) for i in range(len(w))) for key, w in texts.items()}
+    want = {key: sum(math.log10(probability(tuple(w[max(0, i - len(sizes)) : i + 1]))) for i in range(len(w))) for key, w in texts.items()}
     assert got == pytest.approx(want)

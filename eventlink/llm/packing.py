@@ -29,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlink.llm.common import texts
+from eventlink.llm.common import chunks, texts
 
 #: Examples that wait in a task's pool at most.
 POOL = 1024
 #: Distinct words whose ids a worker remembers in either of two generations; the older one makes room.
 MEMORY = 900_000
+#: New words encoded as one line.
+LINE = 200
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 #: Ids that are handed on at once (a sequence goes in whole).
@@ -180,7 +182,8 @@ def by_powers(pieces: list[Piece], full: int) -> Iterator[list[Piece]]:
 class Encoder:
     """Ids of whole texts from the ids of their words.
 
-    The tokenizer never joins what white space separates, so words are encoded on their own and remembered.
+    The tokenizer never joins what white space separates, so words are encoded on their own and remembered. New words are
+    encoded many to a line; the places of their tokens in the line tell them apart.
     """
 
     def __init__(self, path: str):
@@ -191,7 +194,7 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Put the words among the young, from the old ones where they are known there."""
         if len(self.young) + len(words) > MEMORY:
             self.old, self.young = self.young, {}
@@ -202,19 +205,25 @@ class Encoder:
                 fresh.append(word)
             else:
                 self.young[word] = ids
-        found = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-        self.young.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, found, strict=True))
-
-    def __call__(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.split()
-        distinct = set(words)
-        if new := [w for w in distinct if w not in self.young]:
-            before = self.young
-            self.learn(new)
-            if self.young is not before:
-                self.learn([w for w in distinct if w not in self.young])
-        return b"".join(map(self.young.__getitem__, words))
+        lines = [fresh[k : k + LINE] for k in range(0, len(fresh), LINE)]
+        texts_ = [[w.decode() for w in line] for line in lines]
+        found = self.tokenizer.encode_batch([" ".join(t) for t in texts_], add_special_tokens=False)
+        for line, text, e in zip(lines, texts_, found, strict=True):
+            starts = np.cumsum([0, *(len(w) + 1 for w in text)])
+            places = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            ends = (4 * np.searchsorted(places, starts)).tolist()
+            data = array("I", e.ids).tobytes()
+            self.young.update(zip(line, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        words = [text.split() for text in texts]
+        found = [list(map(self.young.get, w)) for w in words]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        self.learn({w for k in gaps for w, ids in zip(words[k], found[k], strict=True) if ids is None})
+        for k in gaps:
+            found[k] = [self.young[w] if ids is None else ids for w, ids in zip(words[k], found[k], strict=True)]
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=1)
@@ -231,10 +240,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), w
         end = array("I", [END_ID]).tobytes()
 
         def examples() -> Iterator[Piece]:
-            for batch in batches:
-                for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                    ids = encoder(text.as_py()) + end
-                    yield Piece(key.as_py(), 0, len(ids) // 4, len(ids) // 4, ids, len(ids) // 4)
+            for part, raw, at in chunks(batches):
+                data = raw.tobytes()
+                found = encoder([data[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)])
+                for key, ids in zip(part.column(0).to_pylist(), found, strict=True):
+                    n = len(ids) // 4 + 1
+                    yield Piece(key, 0, n, n, ids + end, n)
 
         yield from placed(packed(examples(), limits), with_ids)
 

@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ from eventlink.operators.joins import attach
 #: Occurrences of a context, and of a context with a next word, at least.
 LEAST = 2
 GAIN, DISCOUNT = 10.0, 0.5
+#: Words in the contexts that are looked at for all tokens; longer ones are looked at where contexts still grow.
+DENSE = 2
 END = U64(0xE0D)
 #: Tokens of a block (the last text of a block goes in whole).
 BLOCK = 1 << 18
@@ -232,6 +236,56 @@ def shares_of(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(share), np.concatenate(grows)
 
 
+@dataclass
+class Front:
+    """The few tokens of a block at which contexts still grow, and those before them.
+
+    ``whole`` and ``n`` are of the sequences of so many words that end at a token, ``p`` is its probability by shorter
+    contexts than that, and ``led`` tells the tokens whose sequence may be looked at with one more word in front.
+    """
+
+    block: int
+    pos: np.ndarray
+    word: np.ndarray
+    whole: np.ndarray
+    n: np.ndarray
+    p: np.ndarray
+    led: np.ndarray
+    train: np.ndarray
+
+    SCHEMA = "block long, pos binary, word binary, whole binary, n binary, p binary, led binary, train binary"
+    KINDS = {"pos": np.uint32, "word": U64, "whole": U64, "n": np.int64, "p": np.float64, "led": bool, "train": bool}
+
+    @staticmethod
+    def of(row: dict) -> Front:
+        return Front(row["block"], **{name: np.frombuffer(row[name], kind) for name, kind in Front.KINDS.items()})
+
+    def taken(self, rows: np.ndarray) -> Front:
+        return Front(self.block, **{name: getattr(self, name)[rows] for name in Front.KINDS})
+
+    def row(self, *more) -> list[pa.Array]:
+        columns = [pa.array([getattr(self, name).astype(kind).tobytes()], pa.binary()) for name, kind in Front.KINDS.items()]
+        return [pa.array([self.block], pa.int64()), *columns, *(pa.array([x]) for x in more)]
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """Of each token what the token before it has; 0 where that one is not here."""
+        out = shifted(x)
+        out[1:][self.pos[1:] != self.pos[:-1] + np.uint32(1)] = 0
+        return out
+
+    def longer(self) -> Level:
+        kept = self.n >= LEAST
+        led = self.led & self.before(kept)
+        ok = led & kept
+        whole = extended(self.before(self.whole), self.word)
+        value, place = np.unique(whole[ok], return_inverse=True)
+        return Level(whole, ok, value, place, led)
+
+    def contexts(self, level: Level) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts of the tokens that are led, and of each such token its place among these."""
+        return np.unique(self.before(self.whole)[level.led], return_inverse=True)
+
+
 def coded(value: np.ndarray) -> bytes:
     """Sorted numbers as differences, byte by byte, so that their leading zeros stand together."""
     return np.diff(value, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -281,7 +335,8 @@ def exchange(asks: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[int,
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in grouped(batches, "block"):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([b"".join(r["said"] for r in rows)], pa.binary())], names=["block", name])
+            whole = b"".join(r["said"] for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([whole], pa.binary())], names=["block", name])
 
     n = partitions(asks.sparkSession)
     answers = asks.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket long, said binary")
@@ -320,11 +375,15 @@ def shares(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
 
 @dataclass
 class Tree:
-    """The training tokens, how many are distinct, and the states (context, share, grows) of each length of contexts."""
+    """The training tokens, how many are distinct, and the states (context, share, grows) of each length of contexts.
+
+    ``late``: per block the tokens whose probability comes of contexts of more than ``DENSE`` words, and that probability.
+    """
 
     total: int = 0
     distinct: int = 0
     states: list[DataFrame] = field(default_factory=list)
+    late: DataFrame | None = None
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts + 1) - math.log10(self.total + self.distinct + 1)
@@ -342,9 +401,14 @@ class Known:
     def __init__(self, table: DataFrame):
         self.blocks, self.answers = Keyed(blocks(table), "block"), {}
 
-    def each(self, work: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, levels: int, depth: int = 0, further: bool = False) -> DataFrame:
-        """What ``work`` gives for every block, with the counts of so many levels and the shares of contexts up to ``depth`` words."""
+    def each(self, work: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, levels: int, depth: int = 0, further: bool = False, late: DataFrame | None = None) -> DataFrame:
+        """What ``work`` gives for every block, with the counts of so many levels and the shares of contexts up to ``depth`` words.
+
+        ``late``: a table of more columns for some blocks.
+        """
         frame = self.blocks.frame()
+        if late is not None:
+            frame = frame.join(late, "block", "left")
         for name in [*(f"n{k + 1}" for k in range(levels)), *(f"share{k + 1}" for k in range(depth))]:
             frame = frame.join(self.answers[name].frame(), "block", "left")
 
@@ -360,6 +424,17 @@ class Known:
             t.drop()
 
 
+@contextmanager
+def saved(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table that is dropped afterwards."""
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Inside, Spark hands rows to Python in batches of ``HANDED`` bytes."""
@@ -388,55 +463,131 @@ def learn(table: DataFrame) -> tuple[Tree, Known]:
 def _learned(known: Known) -> Tree:
     size = known.blocks.frame().agg(F.sum("tokens")).first()[0] or 0
     buckets = max(RANGES, -(-size // RANGE))
+    entry_names, ask_names = ([c.split()[0] for c in x.split(", ")] for x in (ENTRY, ASK))
 
-    def counts(block: Block) -> Iterator[pa.RecordBatch]:
-        level = block.levels[-1]
-        n = np.bincount(level.place, block.train[level.ok], len(level.value)).astype(np.int64)
+    def asks_of(block: int, level: Level, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = np.bincount(level.place, train[level.ok], len(level.value)).astype(np.int64)
         if len(level.value):
-            yield dealt(buckets, block.row["block"], level.value, lambda some: packed(n[some]))
+            yield dealt(buckets, block, level.value, lambda some: packed(n[some]))
+
+    def entries_of(context: np.ndarray, n: np.ndarray, n_context: np.ndarray, below: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(context.view(np.int64)), pa.array(n), pa.array(n_context), pa.array(below)]
+        nulls = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *nulls], names=[*entry_names, *ask_names])
+
+    def contexts_of(block: int, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(value):
+            asks = dealt(buckets, block, value, lambda some: b"")
+            nulls = [pa.nulls(asks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*nulls, *asks.columns], names=[*entry_names, *ask_names])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = batch.column(0).to_numpy().view(U64)
+            # The sign tells whether longer contexts are looked for.
+            share = np.where(batch.column(2).to_numpy(zero_copy_only=False), 1.0, -1.0) * batch.column(1).to_numpy()
+            order = np.argsort(value)
+            if len(order):
+                value, share = value[order], share[order]
+                yield dealt(buckets, -1, value, lambda some, share=share: share[some].tobytes())
+
+    def judged(both: DataFrame, name: str) -> Keyed:
+        """From entries and asks for contexts the states, and the shares that the blocks asked for."""
+        with saved(both) as found:
+            states = written(_states(found.where("context IS NOT NULL").select(*entry_names)))
+            tree.states.append(states)
+            asks = found.where("bucket IS NOT NULL").select(*ask_names).unionByName(states.mapInArrow(listed, ASK))
+            return exchange(asks, shares, name)
+
+    # Contexts of one and two words are looked at for all tokens.
+    def counts(block: Block) -> Iterator[pa.RecordBatch]:
+        yield from asks_of(block.row["block"], block.levels[-1], block.train)
+
+    def entries_and_contexts(block: Block) -> Iterator[pa.RecordBatch]:
+        k = len(block.levels) - 1
+        whole, context = block.levels[k], block.levels[k - 1]
+        at = np.empty(len(whole.value), np.int64)
+        at[whole.place] = np.flatnonzero(whole.ok)
+        own = whole.owned & (whole.n >= LEAST)
+        at, n_context = at[own], context.at_tokens(context.n)
+        yield entries_of(context.whole[at - 1], whole.n[own], n_context[at - 1], block.probability(root, k - 1)[at])
+        yield from contexts_of(block.row["block"], context.value[block.contexts()])
 
     known.answers["n1"] = exchange(known.each(counts, ASK, 0), totals, "n1")
     tree = Tree(*_words(known))
-    root, k = Tree(tree.total, tree.distinct), 0
-    while True:
-        k += 1
-        answer = exchange(known.each(counts, ASK, k, k - 1, further=True), totals, f"n{k + 1}")
-        known.answers[f"n{k + 1}"] = answer
-        if answer.frame().isEmpty():
-            return tree
-
-        def entries_and_contexts(block: Block, k: int = k) -> Iterator[pa.RecordBatch]:
-            whole, context = block.levels[k], block.levels[k - 1]
-            at = np.empty(len(whole.value), np.int64)
-            at[whole.place] = np.flatnonzero(whole.ok)
-            own = whole.owned & (whole.n >= LEAST)
-            at, n = at[own], whole.n[own]
-            n_context = context.at_tokens(context.n)[at - 1]
-            below = block.probability(root, k - 1)[at]
-            names = [c.split()[0] for c in f"{ENTRY}, {ASK}".split(", ")]
-            columns = [pa.array(context.whole[at - 1].view(np.int64)), pa.array(n), pa.array(n_context), pa.array(below)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
-            if len(value := context.value[block.contexts()]):
-                asks = dealt(buckets, block.row["block"], value, lambda some: b"")
-                nulls = [pa.nulls(asks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*nulls, *asks.columns], names=names)
-
-        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                value = batch.column(0).to_numpy().view(U64)
-                # The sign tells whether longer contexts are looked for.
-                share = np.where(batch.column(2).to_numpy(zero_copy_only=False), 1.0, -1.0) * batch.column(1).to_numpy()
-                order = np.argsort(value)
-                if len(order):
-                    value, share = value[order], share[order]
-                    yield dealt(buckets, -1, value, lambda some, share=share: share[some].tobytes())
-
-        found = written(known.each(entries_and_contexts, f"{ENTRY}, {ASK}", k + 1, k - 1))
-        states = written(_states(found.where("context IS NOT NULL").select("context", "n", "n_context", "below")))
-        tree.states.append(states)
-        asks = found.where("bucket IS NOT NULL").select("bucket", "block", "asked", "given")
-        asks = asks.unionByName(states.mapInArrow(listed, ASK))
-        known.answers[f"share{k}"] = exchange(asks, shares, f"share{k}")
+    root = Tree(tree.total, tree.distinct)
+    for k in range(1, DENSE + 1):
+        known.answers[f"n{k + 1}"] = exchange(known.each(counts, ASK, k, k - 1, further=True), totals, f"n{k + 1}")
+        known.answers[f"share{k}"] = judged(known.each(entries_and_contexts, f"{ENTRY}, {ASK}", k + 1, k - 1), f"share{k}")
+
+    # Longer ones at the few tokens where contexts still grow.
+    def first_front(block: Block) -> Iterator[pa.RecordBatch]:
+        led, level = block.longer().led, block.levels[-1]
+        there = np.flatnonzero(led | np.append(led[1:], False))
+        if len(there):
+            p, n = block.probability(root, DENSE), level.at_tokens(level.n)
+            front = Front(block.row["block"], there, block.word[there], level.whole[there], n[there], p[there], led[there], block.train[there])
+            yield pa.RecordBatch.from_arrays(front.row(), names=names)
+
+    def asks(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
+        yield from asks_of(front.block, front.longer(), front.train)
+
+    def front_entries(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
+        level = front.longer()
+        level.n, level.owned = counts_of(row["counts"])
+        at = np.empty(len(level.value), np.int64)
+        at[level.place] = np.flatnonzero(level.ok)
+        own = level.owned & (level.n >= LEAST)
+        at = at[own]
+        yield entries_of(front.before(front.whole)[at], level.n[own], front.before(front.n)[at], front.p[at])
+        yield from contexts_of(front.block, front.contexts(level)[0])
+
+    def next_front(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
+        level = front.longer()
+        level.n, _ = counts_of(row["counts"])
+        n = level.at_tokens(level.n)
+        _, place = front.contexts(level)
+        share, grows = np.zeros(len(n)), np.zeros(len(n), bool)
+        if len(place):
+            share[level.led], grows[level.led] = (x[place] for x in shares_of(row["shares"]))
+        own = np.where(n >= LEAST, n - DISCOUNT, 0.0) / np.maximum(front.before(front.n), 1)
+        p = np.where(share > 0, share * front.p + own, front.p)
+        moved = replace(front, whole=level.whole, n=n, p=p)
+        moved.led = grows & moved.before(n >= LEAST)
+        follows = np.append(front.pos[1:] == front.pos[:-1] + np.uint32(1), False)
+        stays = moved.led | (np.append(moved.led[1:], False) & follows)
+        for rows, there in ((stays, True), (~stays, False)):
+            if rows.any():
+                yield pa.RecordBatch.from_arrays(moved.taken(rows).row(there), names=[*names, "stays"])
+
+    names = [c.split()[0] for c in Front.SCHEMA.split(", ")]
+    front = written(known.each(first_front, Front.SCHEMA, DENSE + 1, DENSE))
+    left = []
+    while not tree.states[-1].where("grows").isEmpty() and not front.isEmpty():
+        n = exchange(fronted(front, asks, ASK), totals, "counts")
+        share = judged(fronted(front, front_entries, f"{ENTRY}, {ASK}", n), "shares")
+        moved = written(fronted(front, next_front, f"{Front.SCHEMA}, stays boolean", n, share))
+        n.drop(), share.drop()
+        left.append(moved.where("NOT stays").select("block", "pos", "p"))
+        front = moved.where("stays").drop("stays")
+    left.append(front.select("block", "pos", "p"))
+    settled = reduce(lambda a, b: a.unionByName(b), left)
+    tree.late = settled.groupBy("block").agg(F.collect_list(F.struct("pos", "p")).alias("late"))
+    return tree
+
+
+def fronted(front: DataFrame, work: Callable[[Front, dict], Iterator[pa.RecordBatch]], schema: str, *answers: Keyed) -> DataFrame:
+    """What ``work`` gives for every front, with the answers to its block."""
+    for answer in answers:
+        front = front.join(answer.frame(), "block", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                yield from work(Front.of(row), row)
+
+    return front.mapInArrow(run, schema)
 
 
 def _words(known: Known) -> tuple[int, int]:
@@ -484,17 +635,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame) -> DataFrame:
     tree, known = learn(split(docs))
     names = [c.split()[0] for c in SCORED.split(", ")]
-    depth, tree = len(tree.states), Tree(tree.total, tree.distinct)
+    late, tree = tree.late, Tree(tree.total, tree.distinct)
 
     def run(block: Block) -> Iterator[pa.RecordBatch]:
         size = len(block.held)
         seen = block.levels[0].at_tokens(block.levels[0].n) > 0
-        parts = (np.ones(len(block.doc)), seen, block.root(tree), np.log10(block.probability(tree, depth)))
+        p = block.probability(tree, DENSE)
+        for part in block.row["late"] or []:
+            p[np.frombuffer(part["pos"], np.uint32)] = np.frombuffer(part["p"], np.float64)
+        parts = (np.ones(len(block.doc)), seen, block.root(tree), np.log10(p))
         n, n_known, base, score = (np.bincount(block.doc, x, size) for x in parts)
         columns = [pa.array(block.row["ids"], pa.int64()), pa.array(block.held), *(pa.array(x.astype(np.int64)) for x in (n, n_known, np.full(size, tree.total)))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(base), pa.array(score)], names=names)
 
     try:
-        return written(known.each(run, SCORED, depth + 1, depth))
+        return written(known.each(run, SCORED, DENSE + 1, DENSE, late=late))
     finally:
         known.drop()

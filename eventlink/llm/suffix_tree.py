@@ -35,6 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def shifted(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
 
 
-BLOCKS = "block long, tokens long, ids array<long>, held array<boolean>, sizes array<int>, words binary, codes binary"
+BLOCKS = "block long, tokens long, trained long, ids array<long>, held array<boolean>, sizes array<int>, words binary, codes binary"
 
 
 def blocks(table: DataFrame) -> DataFrame:
@@ -87,8 +88,10 @@ def blocks(table: DataFrame) -> DataFrame:
             lists = [pa.concat_arrays([c.cast(kind) for c in x]) for x, kind in ((ids, pa.int64()), (out, pa.bool_()))]
             lists.append(pa.array(np.concatenate(sizes).astype(np.int32)))
             columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-            data = [pa.array([x.tobytes()], pa.binary()) for x in (words, codes.astype(np.uint32))]
-            numbers = [pa.array([number]), pa.array([len(codes)])]
+            planes = codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+            data = [pa.array([zstandard.compress(x, 1)], pa.binary()) for x in (coded(words), planes)]
+            trained = sum(int(n.sum()) - int(n[h.to_numpy(zero_copy_only=False)].sum()) for h, n in zip(out, sizes, strict=True))
+            numbers = [pa.array([number]), pa.array([len(codes)]), pa.array([trained])]
             return pa.RecordBatch.from_arrays([*numbers, *columns, *data], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch, raw, at in chunks(batches):
@@ -133,7 +136,9 @@ class Block:
 
     def __init__(self, row: dict, further: bool):
         """``further``: with one more level that has no counts yet."""
-        words, codes = np.frombuffer(row["words"], U64), np.frombuffer(row["codes"], np.uint32)
+        words = decoded(zstandard.decompress(row["words"]))
+        planes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint8).reshape(4, -1)
+        codes = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
         self.row, self.word = row, words[codes]
         sizes = np.array(row["sizes"], np.int64)
         self.held = np.array(row["held"], bool)
@@ -593,12 +598,13 @@ def fronted(front: DataFrame, work: Callable[[Front, dict], Iterator[pa.RecordBa
 def _words(known: Known) -> tuple[int, int]:
     """All training tokens, and how many are distinct."""
 
-    def run(block: Block) -> Iterator[pa.RecordBatch]:
-        level = block.levels[0]
-        n = level.n[level.owned]
-        yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], names=["total", "distinct"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known_ = [counts_of(said.as_py()) for said in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int((owned & (n > 0)).sum()) for n, owned in known_)])], names=["distinct"])
 
-    total, distinct = known.each(run, "total long, distinct long", 1).agg(F.sum("total"), F.sum("distinct")).first()
+    total = known.blocks.frame().agg(F.sum("trained")).first()[0]
+    distinct = known.answers["n1"].frame().select("n1").mapInArrow(run, "distinct long").agg(F.sum("distinct")).first()[0]
     return int(total or 0), int(distinct or 0)
 
 

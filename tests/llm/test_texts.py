@@ -184,17 +184,40 @@ def test_quality(odd, none):
     assert quality_rules.judge(none).count() == 0
 
 
-def test_hosts(spark):
-    good = " ".join(f"w{k}" for k in range(60))
-    rows = [(k, good if k % 50 else "bad", "large") for k in range(400)]
-    rows += [(1000 + k, "bad" if k else good, "foul") for k in range(60)]
-    rows += [(2000 + k, "bad", f"small{k}") for k in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    verdicts = {r.host: r for r in quality_rules.host_verdicts(quality_rules.measures(docs)).collect()}
-    assert verdicts["foul"].rejected and not verdicts["large"].rejected
-    assert not verdicts["small0"].rejected and verdicts["small0"].rate < 1
-    kept = {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()}
-    assert kept == {k for k in range(400) if k % 50}
+HOSTS = {
+    "plain": (400, lambda k: " ".join(f"w{k}x{j}" for j in range(60)) if k % 50 else "bad"),
+    "foul": (60, lambda k: "bad" if k else " ".join(f"f{j}" for j in range(60))),
+    "symbols": (80, lambda k: " ".join(f"s{k}x{j}" for j in range(60)) + " #" * (20 if k % 10 else 0)),
+    "doubled": (80, lambda k: "\n".join([*(" ".join(f"d{k}x{j}x{i}" for i in range(20)) for j in range(4)), *["same line"] * (4 if k % 8 else 1)])),
+    "repeats": (60, lambda k: "again and again " * 30 if k % 6 else " ".join(f"r{k}x{j}" for j in range(60))),
+    **{f"small{n}": (1, lambda k: "bad") for n in range(3)},
+    None: (30, lambda k: " ".join(f"n{k}x{j}" for j in range(70))),
+}
+
+
+def test_hosts_fail_by_their_rules(spark):
+    """Hosts that fail by one rule each, the same through the SQL."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(1000 * h + k, text(k), host) for h, (host, (n, text)) in enumerate(HOSTS.items()) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("source", "host")
+    verdicts = {r.host: r for r in quality_rules.host_verdicts(quality_rules.measures(docs, "host")).collect()}
+    assert {host: r.rejected_by for host, r in verdicts.items() if r.rejected_by} == {
+        "foul": ["short"],
+        "symbols": ["symbols"],
+        "doubled": ["lines"],
+        "repeats": ["repeats"],
+    }
+    assert verdicts["small0"].failed_short == 1 and verdicts["small0"].rate_short < 0.9
+    got = quality_rules.judge(docs, "host")
+    kept = {r.doc_id for r in got.where("kept").collect()}
+    assert kept == {1000 * h + k for h, (host, (n, text)) in enumerate(HOSTS.items()) for k in range(n) if host in ("plain", None) and text(k) != "bad"}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    result = con.execute(quality_rules.SQL)
+    names = [c[0] for c in result.description]
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(result.fetchall())
 
 
 def test_pieces(odd, none):

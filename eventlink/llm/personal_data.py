@@ -35,7 +35,7 @@ from eventlink.llm.common import texts
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that the model is trained on at most, and the length up to which a text is taken for that.
 SAMPLE, SAMPLE_CHARS = 400, 20_000
-#: A candidate's length at most.
+#: A candidate's length at most; nothing else bounds how many tokens, parts or letters it may have.
 LONGEST = 96
 Span = tuple[str, int, int]
 
@@ -98,14 +98,13 @@ _PREFIX = re.compile(r"(?:\(?\+ ?|\()$")
 #: Digits of one kind at least and at most.
 _SIZE = {"ip": (4, 12), "card": (13, 19), "phone": (7, 17)}
 _AT_SIGN = re.compile(r" ?(?:@|\(at\)|\[at\]) ?| at ", re.I)
-_NAME = re.compile(r"[A-Za-z0-9._%+-]{1,41}$")
 _NAME_START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]")
-_HOST = re.compile("[A-Za-z0-9-]{1,30}")
-_DOT = re.compile(r"(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)([A-Za-z0-9-]{2,20})", re.I)
-#: Parts of a host name after its first, and starts of a name, that are tried at most.
-_DOTS, _STARTS = 5, 8
+_HOST = re.compile("[A-Za-z0-9-]+")
+_DOT = re.compile(r"(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)([A-Za-z0-9-]+)", re.I)
+_DOT_AFTER = re.compile(r"(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9]", re.I)
+_NAME_BEFORE = re.compile(r"[A-Za-z0-9][._%+-]$")
 #: A text without these cannot hold a candidate.
-_AT = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]| at [^ ]{1,30} dot |@", re.I)
+_AT = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]| at [^ ]++ dot |@", re.I)
 _DIGITS = re.compile(r"[0-9][^0-9]{0,3}[0-9]")
 _HINTS = {
     "email": ("mail", "contact", "write", "reach"),
@@ -145,18 +144,23 @@ def numbers(text: str) -> Iterator[Span]:
 
 
 def addresses(text: str) -> Iterator[Span]:
-    """Around each sign or word for @: names from each of their tokens, hosts to each of their parts."""
+    """Around each sign or word for @: names from each of their tokens, hosts to each of their parts.
+
+    What is looked at around a sign is no longer than a candidate, so the work is in proportion to the text.
+    """
     for m in _AT_SIGN.finditer(text):
-        name = _NAME.search(text, max(0, m.start() - 41), m.start())
-        host = _HOST.match(text, m.end())
-        if not name or not host:
+        begin, name = max(0, m.start() - LONGEST), m.start()
+        while name > begin and text[name - 1] in _LOCAL:
+            name -= 1
+        limit = name + LONGEST
+        host = _HOST.match(text, m.end(), limit)
+        if name == m.start() or not host:
             continue
-        starts = [x.start() for x in _NAME_START.finditer(text, name.start(), m.start())]
-        end, ends = host.end(), []
-        while len(ends) < _DOTS and (part := _DOT.match(text, end)):
+        ends, end = [], host.end()
+        while part := _DOT.match(text, end, limit + 1):
             end = part.end()
             ends.append(end)
-        for start in starts[-_STARTS:]:
+        for start in (x.start() for x in _NAME_START.finditer(text, name, m.start())):
             yield from (("email", start, end) for end in ends if end - start <= LONGEST)
 
 
@@ -184,7 +188,9 @@ def features(text: str, span: Span) -> list[str]:
     if kind == "ip":
         out.append(f"bytes={all(int(x) <= 255 for x in re.findall('[0-9]+', said))}")
     if kind == "email":
-        out.append(f"words={len(re.split('[^A-Za-z0-9]+', said))}")
+        out.append(f"words={min(len(re.split('[^A-Za-z0-9]+', said)), 6)}")
+        # A name or host that goes on beyond the segment tells a part from a whole.
+        out.append(f"whole={not _NAME_BEFORE.search(before)},{not _DOT_AFTER.match(text, end)}")
         out.append(f"spelled={bool(re.search('at', said.lower())) and '@' not in said}")
     else:
         out.append(f"groups={'-'.join(str(min(len(g), 9)) for g in _GROUP.findall(said)[:8])}")
@@ -274,10 +280,12 @@ def rewritten(text: str, spans: list[Span]) -> list[tuple[str, list[Span], set[S
     for number, (kind, start, end) in enumerate(spans):
         pattern, to = _FORMS[kind][number % len(_FORMS[kind])]
         said = pattern.sub(to, text[start:end]).strip("./")
+        if kind == "email" and to != "(at)":
+            # Dots of the name stay, as people spell them out in hosts.
+            name, host = text[start:end].rsplit("@", 1)
+            said = name + to + host.replace(".", " dot " if to == " at " else "[dot]")
         if number % 5 == 4:
             said = said.upper()
-        if kind == "email" and to != "(at)":
-            said = said.replace(".", " dot " if to == " at " else "[dot]")
         front = text[max(0, start - 40) : start]
         line = front + said + text[end : end + 40]
         true = (kind, len(front), len(front) + len(said))

@@ -374,23 +374,11 @@ def test_near_duplicates_in_shards(spark, monkeypatch):
 
 
 def test_personal_data(odd, none):
-    plain = {
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-        "card": r"[0-9]([\x20-]?[0-9])+",
-        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    }
-    checks = {
-        "email": lambda m: True,
-        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
-        "card": lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and personal_data.luhn(d),
-        "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
-    }
     want = []
     for key, text, *_ in ROWS:
-        found = [(k, *m.span()) for k, p in plain.items() for m in re.finditer(p, text or "") if checks[k](m[0])]
+        found = [(k, *m.span()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if CHECKS[k](m[0])]
         kinds = Counter(k for k, _, _ in found)
-        want.append((key, *(kinds[k] for k in plain), sha(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode())))
+        want.append((key, *(kinds[k] for k in PLAIN), sha(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode())))
     got = personal_data.detect(odd)
     same(got.drop("spans"), want)
     assert personal_data.detect(none).count() == 0
@@ -398,11 +386,77 @@ def test_personal_data(odd, none):
     assert "[EMAIL]" in redacted[13] and "@" not in redacted[13] and redacted[2] is None
 
 
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+CHECKS = {
+    "email": lambda m: True,
+    "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+    "card": lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and personal_data.luhn(d),
+    "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
+}
+
+
 def test_base_spans_of_odd_texts():
-    for text in ("a@b.c@d.e", "1.2.3.4.5.6.7.8", "999.1.1.1", "+1+2 3456789012", "@x.y", "a@@b.c", "a@b", "0" * 50, "x@y.z." * 3):
-        assert [s for s in personal_data.base_spans(text) if s[0] == "email"] == [
-            ("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)
-        ]
+    rng = np.random.default_rng(2)
+    made = ["".join(rng.choice(list("0123456789. -+()a@"), 60, p=[0.05] * 10 + [0.12, 0.1, 0.08, 0.06, 0.03, 0.03, 0.04, 0.04])) for _ in range(400)]
+    fixed = ["a@b.c@d.e", "1.2.3.4.5.6.7.8", "999.1.1.1", "+1+2 3456789012", "@x.y", "a@@b.c", "a@b", "0" * 50, "x@y.z." * 3, "1.2.3.0256 1.2.3.0255"]
+    fixed += ["4111 1111-1111 1111 4111111111111111", "+(1) 603 555 8791", "+44 (0) 20-7946.0958 +", "00000000000000 0000000000000000000000", "1.2.3.4 +1.2.3.4.5.6.7.8.9"]
+    for text in fixed + made:
+        assert personal_data.base_spans(text) == [(k, *m.span()) for k, p in PLAIN.items() for m in re.finditer(p, text) if CHECKS[k](m[0])]
+
+
+def _trained():
+    names = ["joe", "user7.name", "a.b.c", "someone_else"]
+    texts = [f"mail {names[k % 4]}@mail{k}.example.com or {names[k % 3]}@host.org, call +1 (603) 555-87{k:02d} soon, host 10.0.{k}.1, {names[k % 2]}@x.net" for k in range(80)]
+    return personal_data.Field().fit([e for t in texts for e in personal_data.rewritten(t, personal_data.base_spans(t))])
+
+
+PROBES = {
+    "write to a.b.c.d.e.f.g.h.i.j at mail dot example dot com please": "a.b.c.d.e.f.g.h.i.j at mail dot example dot com",
+    f"write to {'n' * 45}(at)example.com please": f"{'n' * 45}(at)example.com",
+    f"write to joe at {'h' * 35} dot com please": f"joe at {'h' * 35} dot com",
+    "write to joe(at)a.bb.c.dd.e.ff.g.hh.com please": "joe(at)a.bb.c.dd.e.ff.g.hh.com",
+}
+
+
+def test_long_and_much_divided_addresses_go_whole():
+    field = _trained()
+    for text, whole in PROBES.items():
+        assert whole in {text[a:b] for _, a, b in personal_data.candidates(text)}
+        assert personal_data.cleaned(text, field) == text.replace(whole, "[EMAIL]")
+    # The one bound left, and work in proportion to the text.
+    beyond = f"write to {'n' * 90}(at)example.com please"
+    assert not personal_data.candidates(beyond)
+    assert len(personal_data.candidates("a.b@c.d " * 10_000)) < 400_000
+
+
+def test_spans_of_a_table(spark, odd):
+    """All spans against every set of non-overlapping candidates, row by row."""
+    field = _trained()
+    texts = [*PROBES, "call 0044 20 7946 0958 or 10[.]0[.]3[.]1", "mail joe at mail dot example dot com and 10.0.0.1", "nothing here", "", None]
+    frame = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, spans int")
+
+    def plain(text):
+        base = [(k, *m.span()) for k, p in PLAIN.items() for m in re.finditer(p, text) if CHECKS[k](m[0])]
+        scored = [(field.score(text, c), c) for c in personal_data.candidates(text, base)]
+
+        def every(left):
+            yield 0.0, ()
+            for k, (score, c) in enumerate(left):
+                for value, others in every([x for x in left[k + 1 :] if x[1][1] >= c[2] or x[1][2] <= c[1]]):
+                    yield value + score, (c, *others)
+
+        best = max(every(scored), key=lambda found: found[0])[1]
+        order = sorted([*base, *best], key=lambda x: (list(PLAIN).index(x[0]), x[1]))
+        return ",".join(f"{k}:{a}:{b}" for k, a, b in order)
+
+    got = {r.doc_id: r.spans for r in personal_data.detect(frame, field).collect()}
+    assert got == {k: plain(t or "") for k, t in enumerate(texts)}
+    assert sum("email" in v for v in got.values()) >= 5
 
 
 def test_field_learns_and_decodes():

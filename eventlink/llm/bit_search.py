@@ -1,14 +1,16 @@
 """Nearest neighbours by cosine with randomly rotated one-bit codes.
 
-Index: every unit vector is rotated by one random rotation; its code holds the signs of the rotated components, packed
-to bits, and its correction scalar is the inner product of the vector with its own code. Search: the inner product
-of a query with a code, divided by the scalar, estimates the cosine without bias, and the scalar bounds the error. Of
-each block of vectors only those whose upper bound reaches the k-th best lower bound are reranked with the original
-vectors in double precision.
+Index: every unit vector is turned into ``BITS`` coordinates by a random rotation (of the space it is padded to; vectors of few
+dimensions get more bits than dimensions so that the bounds are narrow); its code holds their signs, packed
+to bits, and its correction scalar is the inner product of the vector with its own code. Blocks hold codes and scalars, no vectors.
 
-Queries meet the index in blocks of bounded size (``BLOCK`` rows); a block gives each query its nearest few, and a limited
-ranking per query keeps the best. Equal vectors are reduced to the copies with the smallest ids that any
-result can need before they are dealt out.
+Search: a query's turned coordinates are rounded to ``LEVELS`` bits and packed plane by plane, so its inner product with a
+code is a weighted sum of counts of common bits. Divided by the scalar it estimates the cosine without bias, and scalar and rounding bound the error. Queries
+meet the codes in blocks of bounded size (``BLOCK`` rows). A block gives each query the rows whose upper bound reaches the block's k-th best lower
+bound; over all blocks those stay whose upper bound reaches the k-th best lower bound of all. Only for these are the
+original vectors fetched, and compared in double precision.
+
+Equal vectors are reduced to the copies with the smallest ids that any result can need before they are dealt out.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; a vector is compared with vectors of its own length.
 Ties go to the smaller id. Rows repeated with the same id and vector count once. Null ids take no part. Columns other
@@ -22,23 +24,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlink.llm.common import written
+from eventlink.llm.common import U64, written
+from eventlink.operators.joins import attach
 
-#: Index rows that a query block meets at once.
+#: Codes that a query meets at once.
 BLOCK = 8192
 #: Queries worked on at once.
 QUERIES = 512
+#: Bits of a code at least, a multiple of 64.
+BITS = 1024
+#: Bits of a query's rounded coordinate.
+LEVELS = 4
 #: Standard deviations of the estimate that the error bound spans.
 DEVIATIONS = 3.0
-INDEX = "vec_id long, dim int, vector array<double>, code binary, scalar double"
+INDEX = "row long, vec_id long, dim int, code binary, scalar double"
+ASKED = "query long, vec_id long, dim int, planes binary, least double, step double, total double"
+
+
+def width(dim: int) -> int:
+    return max(BITS, -(-dim // 64) * 64)
 
 
 @lru_cache(maxsize=8)
 def rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
+    """The first ``dim`` columns of a random rotation of ``width(dim)`` dimensions."""
+    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((width(dim), dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -54,28 +67,49 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def index(vectors: DataFrame, k: int) -> DataFrame:
-    """Codes of the rows that any result of k neighbours can need (see ``INDEX``)."""
+def needed(vectors: DataFrame, k: int) -> DataFrame:
+    """(row, vec_id, dim, vector) of the rows that any result of k neighbours can need, numbered and written."""
     copies = Window.partitionBy("vector").orderBy("vec_id")
-    needed = vectors.distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    some = vectors.distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    return written(some.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Rows of one length, the length, and their vectors of length one, turned."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims).tolist():
+            part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+            yield part, dim, units(matrix(part.column("vector"), dim)) @ rotation(dim).T
+
+
+def index(rows: DataFrame) -> DataFrame:
+    """The codes of numbered rows (see ``INDEX``)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            codes, scalars = [b""] * len(dims), np.zeros(len(dims))
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                unit = units(matrix(batch.column("vector").take(pa.array(rows)), int(dim)))
-                turned = unit @ rotation(int(dim)).T
-                packed = np.packbits(turned > 0, axis=1)
-                for row, code in zip(rows, packed, strict=True):
-                    codes[row] = code.tobytes()
-                scalars[rows] = np.abs(turned).sum(axis=1) / np.sqrt(dim)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(codes, pa.binary()), pa.array(scalars)], names=["vec_id", "dim", "vector", "code", "scalar"]
-            )
-
-    return needed.mapInArrow(encode, INDEX)
+        for part, dim, turned in _by_length(batches):
+            codes = [c.tobytes() for c in np.packbits(turned > 0, axis=1)]
+            scalars = np.abs(turned).sum(axis=1) / np.sqrt(width(dim))
+            columns = [*(part.column(c) for c in ("row", "vec_id", "dim")), pa.array(codes, pa.binary()), pa.array(scalars)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in INDEX.split(", ")])
+
+    return rows.mapInArrow(encode, INDEX)
+
+
+def rounded(queries: DataFrame) -> DataFrame:
+    """The bit planes of numbered queries (see ``ASKED``)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, turned in _by_length(batches):
+            least = turned.min(axis=1)
+            step = (turned.max(axis=1) - least) / ((1 << LEVELS) - 1)
+            level = np.rint((turned - least[:, None]) / np.where(step > 0, step, 1.0)[:, None]).astype(np.uint8)
+            planes = [b"".join(np.packbits(x >> j & 1).tobytes() for j in range(LEVELS)) for x in level]
+            total = least * turned.shape[1] + step * level.sum(axis=1)
+            columns = [*(part.column(c) for c in ("query", "vec_id", "dim")), pa.array(planes, pa.binary()), *map(pa.array, (least, step, total))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ASKED.split(", ")])
+
+    return queries.mapInArrow(encode, ASKED)
 
 
 def matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -89,39 +123,43 @@ def units(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Index rows of one length."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: list[bytes], scalars: np.ndarray):
-        self.ids, self.units, dim = ids, units(vectors), vectors.shape[1]
-        bits = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1), axis=1, count=dim)
-        self.signs = (2.0 * bits - 1) / np.sqrt(dim)
-        self.scalars = scalars
-        self.error = DEVIATIONS * np.sqrt(np.maximum(0, 1 - scalars**2)) / scalars / np.sqrt(max(dim - 1, 1))
-
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-        """(query, vector, cosine), k for each query if there are as many."""
-        unit = units(queries)
-        estimate = (unit @ rotation(queries.shape[1]).T) @ self.signs.T / self.scalars
-        for number, q, near in zip(ids, unit, estimate, strict=True):
-            own = self.ids == number
-            low = np.where(own, -np.inf, near - self.error)
-            least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-            chosen = np.flatnonzero((near + self.error >= least) & ~own)
-            score = (self.units[chosen] * q).sum(axis=1)
-            order = np.lexsort((self.ids[chosen], -score))[:k]
-            for j in order:
-                yield int(number), int(self.ids[chosen[j]]), float(score[j])
-
-
-def search(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest index rows of each query (vec_id, dim, vector)."""
-    n = indexed.count()
-    blocks = max(1, -(-n // BLOCK))
-    rows = indexed.select(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), *_names())
-    none = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("scalar")]
+    """Codes of one length."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, dim: int, codes: list[bytes], scalars: np.ndarray):
+        self.rows, self.ids, self.bits, self.scalars = rows, ids, width(dim), scalars
+        self.words = np.frombuffer(b"".join(codes), U64).reshape(len(ids), -1)
+        self.ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
+
+    def bounds(self, planes: bytes, least: float, step: float, total: float) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the cosines with a query, from counts of common bits."""
+        common = np.zeros(len(self.ids), np.int64)
+        for j, plane in enumerate(np.frombuffer(planes, U64).reshape(LEVELS, -1)):
+            common += np.bitwise_count(self.words & plane).sum(axis=1, dtype=np.int64) << j
+        near = (2 * (least * self.ones + step * common) - total) / np.sqrt(self.bits) / self.scalars
+        spread = (1 - self.scalars**2) / (self.bits - 1) + step * step / 12
+        error = DEVIATIONS * np.sqrt(np.maximum(0, spread)) / self.scalars
+        return near - error, near + error
+
+    def chosen(self, own: int, k: int, *query) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that may be among the k nearest, with their bounds; rows of the query's own id take no part."""
+        low, high = self.bounds(*query)
+        other = self.ids != own
+        low, high, rows = low[other], high[other], self.rows[other]
+        reach = high >= np.partition(low, -k)[-k] if len(low) > k else np.ones(len(low), bool)
+        return rows[reach], low[reach], high[reach]
+
+
+def candidates(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, row) of all rows that may be among the k nearest of a query by their bounds."""
+    blocks = max(1, -(-codes.count() // BLOCK))
+    names = [c.split()[0] for c in INDEX.split(", ")]
+    query = F.struct("query", "vec_id", "planes", "least", "step", "total")
+    rows = codes.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), *names)
+    rows = rows.withColumn("q", F.lit(None).cast(asked.select(query.alias("q")).schema["q"].dataType))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    asked = queries.distinct().select(every.alias("block"), F.lit(1).alias("asks"), "vec_id", "dim", "vector", *none)
-    work = rows.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "dim", "asks")
+    nothing = {"row": "long", "vec_id": "long", "code": "binary", "scalar": "double"}
+    questions = asked.select(every.alias("block"), F.lit(1).alias("asks"), "dim", query.alias("q")).withColumns({n: F.lit(None).cast(t) for n, t in nothing.items()})
+    work = rows.unionByName(questions).repartition(blocks, "block").sortWithinPartitions("block", "dim", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block = None, [], None
@@ -133,6 +171,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 while end < len(keys) and keys[end] == keys[start] and end - start < QUERIES:
                     end += 1
                 part, (number, dim, asks) = batch.slice(start, end - start), keys[start]
+                start = end
                 if (number, dim) != key:
                     key, held, block = (number, dim), [], None
                 if not asks:
@@ -140,30 +179,44 @@ def search(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 elif held:
                     if block is None:
                         whole = pa.Table.from_batches(held).combine_chunks()
-                        block = Block(
-                            whole["vec_id"].to_numpy(),
-                            matrix(whole["vector"].combine_chunks(), dim),
-                            whole["code"].to_pylist(),
-                            whole["scalar"].to_numpy(),
-                        )
-                    found = block.nearest(part.column("vec_id").to_numpy(), matrix(part.column("vector"), dim), k)
-                    columns = list(zip(*found, strict=True)) or [(), (), ()]
-                    kinds = pa.int64(), pa.int64(), pa.float64()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"]
-                    )
-                start = end
+                        block = Block(whole["row"].to_numpy(), whole["vec_id"].to_numpy(), dim, whole["code"].to_pylist(), whole["scalar"].to_numpy())
+                    for q in part.column("q").to_pylist():
+                        found, low, high = block.chosen(q["vec_id"], k, q["planes"], q["least"], q["step"], q["total"])
+                        columns = [pa.array(np.full(len(found), q["query"])), *map(pa.array, (found, low, high))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query", "row", "low", "high"])
+
+    # Written, as the bounds of all blocks are read twice.
+    near = written(work.mapInArrow(run, "query long, row long, low double, high double"))
+    best = Window.partitionBy("query").orderBy(F.desc("low"))
+    kth = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy(F.col("query").alias("_query"))
+    kth = kth.agg(F.when(F.count("*") == k, F.min("low")).alias("least"))
+    kept = attach(near, kth, [(F.col("query"), "_query")], "inner").where(F.col("least").isNull() | (F.col("high") >= F.col("least")))
+    return kept.select("query", "row")
+
+
+def reranked(pairs: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of the candidates by the vectors themselves."""
+    joined = pairs.join(rows.select("row", F.col("vec_id").alias("near_id"), "vector"), "row")
+    joined = joined.join(queries.select("query", F.col("vec_id").alias("query_id"), F.col("vector").alias("wanted")), "query")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            for dim in np.unique(size).tolist():
+                part = batch.take(pa.array(np.flatnonzero(size == dim)))
+                score = (units(matrix(part.column(2), dim)) * units(matrix(part.column(3), dim))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
 
+    scored = joined.select("query_id", "near_id", "vector", "wanted").mapInArrow(compare, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = work.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _names() -> list[Column]:
-    return [F.col(c) for c in ("vec_id", "dim", "vector", "code", "scalar")]
+    ranked = scored.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """The k nearest of every row whose id is divisible by ``every``, among all other rows."""
     clean = usable(vectors, key, vector)
-    return search(written(index(clean, k)), clean.where(F.col("vec_id") % every == 0), k)
+    rows = needed(clean, k)
+    asked = clean.where(F.col("vec_id") % every == 0).distinct()
+    queries = written(asked.withColumn("query", F.monotonically_increasing_id()))
+    return reranked(candidates(written(index(rows)), rounded(queries), k), rows, queries, k)

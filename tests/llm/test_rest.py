@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventlink.llm import bit_search, catalogue, chat_format, packing, personal_data
@@ -44,6 +45,46 @@ def test_search(spark):
     assert bit_search.neighbours(frame.limit(0)).count() == 0
 
 
+def test_few_rows_are_reranked_and_found(spark):
+    """The given vectors: the bounds leave less than a tenth of all rows, and hardly a neighbour is missed."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    clean = bit_search.usable(vectors, "vec_id", "embedding")
+    rows = bit_search.needed(clean, 5)
+    queries = bit_search.written(clean.where("vec_id % 50 = 0").withColumn("query", F.monotonically_increasing_id()))
+    codes = bit_search.written(bit_search.index(rows))
+    assert "vector" not in codes.columns
+    pairs = bit_search.candidates(codes, bit_search.rounded(queries), 5).count()
+    whole = {r.vec_id: np.array(r.vector) for r in rows.collect()}
+    asked = [k for k in sorted(whole) if k % 50 == 0]
+    assert pairs < 0.1 * len(asked) * len(whole)
+    ids = np.array(sorted(whole))
+    unit = np.array([whole[k] / math.sqrt((whole[k] ** 2).sum()) for k in ids])
+    got = {(r.query_id, r["rank"]): r.vec_id for r in bit_search.neighbours(vectors).collect()}
+    hits = 0
+    for k in asked:
+        score = unit @ unit[ids == k][0]
+        score[ids == k] = -9
+        hits += sum(got[k, rank + 1] == ids[j] for rank, j in enumerate(np.lexsort((ids, -score))[:5]))
+    assert hits >= 0.98 * 5 * len(asked)
+
+
+def test_bounds_hold(spark):
+    """Estimates from counts of common bits against the cosines themselves."""
+    rng = np.random.default_rng(9)
+    for dim in (3, 24, 64, 1100):
+        x = rng.standard_normal((200, dim))
+        frame = spark.createDataFrame([(k, dim, [float(v) for v in r], k) for k, r in enumerate(x)], "vec_id long, dim int, vector array<double>, row long")
+        codes = bit_search.index(frame).collect()
+        block = bit_search.Block(np.arange(200), np.arange(200), dim, [bytes(r.code) for r in codes], np.array([r.scalar for r in codes]))
+        unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        inside = []
+        for q in bit_search.rounded(frame.withColumnRenamed("row", "query")).where("query < 20").collect():
+            low, high = block.bounds(bytes(q.planes), q.least, q.step, q.total)
+            cosine = unit @ unit[q.query]
+            inside.append(((low <= cosine) & (cosine <= high))[np.arange(200) != q.query].mean())
+        assert np.mean(inside) > 0.98, (dim, np.mean(inside))
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [

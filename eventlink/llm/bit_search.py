@@ -6,8 +6,8 @@ to bits, and its correction scalar is the inner product of the vector with its o
 
 Search: a query's turned coordinates are rounded to ``LEVELS`` bits and packed plane by plane, so its inner product with a
 code is a weighted sum of counts of common bits. Divided by the scalar it estimates the cosine without bias, and scalar and rounding bound the error. Queries
-meet the codes in blocks of bounded size (``BLOCK`` rows). A block gives each query the rows whose upper bound reaches the block's k-th best lower
-bound; over all blocks those stay whose upper bound reaches the k-th best lower bound of all. Only for these are the
+meet the codes in blocks of bounded size (``BLOCK`` rows), twice: first each block gives a query its k best lower bounds, and the k-th best
+of all blocks is what a row's upper bound must reach; then the blocks give the rows that reach it. Only for these are the
 original vectors fetched, and compared in double precision.
 
 Equal vectors are reduced to the copies with the smallest ids that any result can need before they are dealt out.
@@ -19,7 +19,7 @@ than the named ones are left out. Fewer candidates than k give fewer rows, an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -140,20 +140,36 @@ class Block:
         error = DEVIATIONS * np.sqrt(np.maximum(0, spread)) / self.scalars
         return near - error, near + error
 
-    def chosen(self, own: int, k: int, *query) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows that may be among the k nearest, with their bounds; rows of the query's own id take no part."""
-        low, high = self.bounds(*query)
-        other = self.ids != own
-        low, high, rows = low[other], high[other], self.rows[other]
-        reach = high >= np.partition(low, -k)[-k] if len(low) > k else np.ones(len(low), bool)
-        return rows[reach], low[reach], high[reach]
+    def best(self, q: dict, k: int) -> pa.RecordBatch:
+        """The k best lower bounds for a query (see ``candidates``) among rows of other ids."""
+        low = self.bounds(q["planes"], q["least"], q["step"], q["total"])[0][self.ids != q["vec_id"]]
+        low = np.partition(low, -k)[-k:] if len(low) > k else low
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(low), q["query"])), pa.array(low)], names=["query", "low"])
+
+    def reaching(self, q: dict, k: int) -> pa.RecordBatch:
+        """Rows of other ids whose upper bounds reach what is asked (null: all)."""
+        high = self.bounds(q["planes"], q["least"], q["step"], q["total"])[1]
+        rows = self.rows[(self.ids != q["vec_id"]) & (high >= (-np.inf if q["reach"] is None else q["reach"]))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), q["query"])), pa.array(rows)], names=["query", "row"])
 
 
 def candidates(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query, row) of all rows that may be among the k nearest of a query by their bounds."""
     blocks = max(1, -(-codes.count() // BLOCK))
+    asked = written(asked)
+    lows = _met(codes, asked.withColumn("reach", F.lit(None).cast("double")), blocks, lambda block, q: block.best(q, k), "query long, low double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))
+    kth = lows.withColumn("place", place).where(F.col("place") <= k).groupBy(F.col("query").alias("_query"))
+    # With fewer than k other rows every one of them is needed.
+    kth = kth.agg(F.when(F.count("*") == k, F.min("low")).alias("reach"))
+    reach = attach(asked, kth, [(F.col("query"), "_query")], "inner")
+    return _met(codes, reach, blocks, lambda block, q: block.reaching(q, k), "query long, row long")
+
+
+def _met(codes: DataFrame, asked: DataFrame, blocks: int, answer: Callable[[Block, dict], pa.RecordBatch], schema: str) -> DataFrame:
+    """What every block answers to every query of its length."""
     names = [c.split()[0] for c in INDEX.split(", ")]
-    query = F.struct("query", "vec_id", "planes", "least", "step", "total")
+    query = F.struct("query", "vec_id", "planes", "least", "step", "total", "reach")
     rows = codes.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), *names)
     rows = rows.withColumn("q", F.lit(None).cast(asked.select(query.alias("q")).schema["q"].dataType))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
@@ -181,17 +197,9 @@ def candidates(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                         whole = pa.Table.from_batches(held).combine_chunks()
                         block = Block(whole["row"].to_numpy(), whole["vec_id"].to_numpy(), dim, whole["code"].to_pylist(), whole["scalar"].to_numpy())
                     for q in part.column("q").to_pylist():
-                        found, low, high = block.chosen(q["vec_id"], k, q["planes"], q["least"], q["step"], q["total"])
-                        columns = [pa.array(np.full(len(found), q["query"])), *map(pa.array, (found, low, high))]
-                        yield pa.RecordBatch.from_arrays(columns, names=["query", "row", "low", "high"])
-
-    # Written, as the bounds of all blocks are read twice.
-    near = written(work.mapInArrow(run, "query long, row long, low double, high double"))
-    best = Window.partitionBy("query").orderBy(F.desc("low"))
-    kth = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy(F.col("query").alias("_query"))
-    kth = kth.agg(F.when(F.count("*") == k, F.min("low")).alias("least"))
-    kept = attach(near, kth, [(F.col("query"), "_query")], "inner").where(F.col("least").isNull() | (F.col("high") >= F.col("least")))
-    return kept.select("query", "row")
+                        yield answer(block, q)
+
+    return work.mapInArrow(run, schema)
 
 
 def reranked(pairs: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:

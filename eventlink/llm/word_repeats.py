@@ -25,7 +25,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlink.llm.common import U64, Keyed, Rolling, Words, anchors, chunks, sliding_min, texts, written
@@ -198,14 +198,9 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     return _lists(paths.select("key", "lo", "hi").unionByName(more), "spans")
 
 
-def text_key(doc_id: str, text: str) -> Column:
-    """A key of both columns: rows that differ in one of them only are told apart."""
-    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")).cast("binary"))
-
-
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text as bytes, and the key."""
-    return texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    """doc_id, text as bytes, and a number of the row as key, so that no two rows share one."""
+    return texts(docs).withColumn("key", F.monotonically_increasing_id())
 
 
 def _without(keyed: DataFrame, spans: DataFrame, schema: str, digest: bool) -> DataFrame:
@@ -233,7 +228,7 @@ def _without(keyed: DataFrame, spans: DataFrame, schema: str, digest: bool) -> D
                 yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in REMOVED.split(", ")])
             else:
                 kept = pa.array([None if s is None else s.decode() for s in said], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *n, kept], names=["key", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), *n, kept], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return joined.mapInArrow(run, schema)
 
@@ -248,10 +243,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:
-    """Of documents that lose words: key (see ``text_key``), n_words, n_removed, and kept_text, the kept words joined by spaces."""
+    """Of documents that lose words: doc_id, n_words, n_removed, and kept_text, the kept words joined by spaces."""
     keyed = Keyed(keyed_texts(docs), "key")
     try:
-        out = _without(keyed.frame(), repeated_spans(keyed.frame()), "key long, n_words long, n_removed long, kept_text string", False)
+        out = _without(keyed.frame(), repeated_spans(keyed.frame()), "doc_id long, n_words long, n_removed long, kept_text string", False)
         return written(out.where("n_removed > 0"))
     finally:
         keyed.drop()

@@ -179,6 +179,21 @@ def test_pipeline_keeps_rows_with_odd_ids(spark):
     assert {r.source for r in docs.where("doc_id = 1").collect()} == {"a"}
 
 
+def test_pipeline_hands_on_columns_of_any_name(spark):
+    """Columns named as the stages name theirs come out as they went in."""
+    names = ["row", "ROW_", "_key", "_own", "key", "spans", "_row", "component_id", "kept", "said", "host"]
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{text} only{k} " * 1 + " ".join(f"x{k}y{j}" for j in range(90)), "en", "a", 5, *[f"{n}{k}" for n in names]) for k in range(3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    given = {r.doc_id: tuple(r)[5:] for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, FOLDER))
+        assert docs.columns == [c.split()[0].strip("`") for c in schema.split(", ")]
+    got = {r.doc_id: tuple(r)[5:] for r in docs.collect()}
+    assert got == given and all("w30" not in r.text for r in docs.collect())
+
+
 def test_redaction_leaves_nothing():
     field = personal_data.Field()
     text = "a.b@c.example.com +1 (603) 555-8791 10.0.0.1 4111 1111 1111 1111"

@@ -1,8 +1,9 @@
 """A corpus pipeline of five operators: host rules, near-duplicates, repeated passages, personal data, packing.
 
 Each stage is a function of (spark, docs, sf_dir) that returns a frame; it is written and the next stage reads it. All but the
-last return the columns of documents. Verdicts meet their rows by a key of the row itself, so null ids, repeated ids and
-repeated rows lose nothing but their own copies. Null ids, texts and sources pass through; an empty table gives empty tables.
+last return the columns of their input. A stage numbers its rows and joins verdicts back by that number, so null ids, repeated ids and
+repeated rows lose nothing but their own copies, and no two rows are ever taken for one. Columns beyond those of documents are handed on
+whatever their names. Null ids, texts and sources pass through; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -13,12 +14,20 @@ from pyspark.sql import functions as F
 
 from eventlink.llm import near_dup, packing, personal_data, quality_rules, word_repeats
 from eventlink.llm.common import table, written
-from eventlink.operators.joins import attach, keep_first
+from eventlink.operators.joins import attach
 
 
-def _row_key(*columns: str) -> F.Column:
-    """A 64-bit key of the columns' values; a null is told from an empty text and from any id."""
-    return F.xxhash64(*[c for name in columns for c in (F.col(name).isNull(), F.col(name))])
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, written so that it stays; and the number's name, which no column of theirs has."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def _as_id(numbered: DataFrame, row: str) -> DataFrame:
+    """What the operators read, with the number in the place of the id."""
+    return numbered.select(F.col(row).alias("doc_id"), "text", *[c for c in ("source",) if c in numbered.columns])
 
 
 def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
@@ -30,36 +39,36 @@ def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and whose host is not rejected. Each row has a verdict of its own."""
-    keyed = docs.withColumn("_key", _row_key("doc_id", "text", "source"))
-    kept = quality_rules.judge(keyed.withColumn("doc_id", F.col("_key"))).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return attach(keyed, kept.withColumn("_known", F.lit(True)), [(F.col("_key"), "_kept")], "inner").select(*docs.columns)
+    """Documents that pass the base rule and whose host is not rejected."""
+    numbered, row = _numbered(docs)
+    kept = quality_rules.judge(_as_id(numbered, row)).where("kept").select(F.col("doc_id").alias("\nkept"))
+    return attach(numbered, kept, [(F.col(row), "\nkept")], "inner").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; null ids come last, equal ids go by the row's key.
+    """Of each group of near-duplicates the document with the smallest id; null ids come last, equal ids go by text, then the other columns.
 
-    Of rows with equal id and text one stays, the first by the other columns. A text without words is in no group.
+    Of rows with equal id and text one stays. A text without words is in no group, but for such rows.
     """
-    keyed = docs.withColumn("_key", _row_key("doc_id", "text"))
-    groups = near_dup.group_near_duplicates(keyed.withColumn("doc_id", F.col("_key")))
-    groups = groups.groupBy(F.col("doc_id").alias("_same")).agg(F.min("component_id").alias("component"))
-    known = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "copies")
-    one = known.join(groups, F.col("_key") == F.col("_same")).groupBy("component").agg(F.min(member).alias("one"))
-    # Written, as both branches below read it.
-    one = written(one.select(F.col("one._key").alias("_one"), F.col("one.copies").alias("_copies")))
-    kept = attach(keyed, one, [(F.col("_key"), "_one")], "inner")
-    single = kept.where("_copies = 1").select(*docs.columns)
-    return single.unionByName(keep_first(kept.where("_copies > 1").drop("_copies"), ["_key"], []).select(*docs.columns))
+    numbered, row = _numbered(docs)
+    groups = near_dup.group_near_duplicates(_as_id(numbered, row)).select(F.col("doc_id").alias("_member"), "component_id")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]), {"ignoreNullFields": "false"})
+    said = F.sha2(F.coalesce("text", F.lit("")), 256)
+    # What a group is chosen by is small: the text goes in as its digest.
+    members = numbered.select(F.col(row).alias("_row"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", said.alias("said"), F.sha2(others, 256).alias("others"))
+    members = attach(members, groups, [(F.col("_row"), "_member")], "inner")
+    member = F.struct("unnamed", "doc_id", "said", "others", "_row").alias("one")
+    one = members.groupBy("component_id").agg(F.min(member).alias("one")).select("one.*")
+    one = one.groupBy("unnamed", "doc_id", "said").agg(F.min("_row").alias("\nkept")).select("\nkept")
+    return attach(numbered, one, [(F.col(row), "\nkept")], "inner").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; those with repeated passages keep their other words, joined by spaces."""
-    changed = word_repeats.kept_texts(docs).select(F.col("key").alias("_key"), "kept_text").dropDuplicates(["_key"])
-    keyed = docs.withColumn("_own", word_repeats.text_key("doc_id", "text"))
-    joined = keyed.join(changed, F.col("_own") == F.col("_key"), "left")
-    return _with_text(joined, F.coalesce("kept_text", "text")).select(*docs.columns)
+    numbered, row = _numbered(docs)
+    changed = word_repeats.kept_texts(_as_id(numbered, row)).select(F.col("doc_id").alias("\nrow"), F.col("kept_text").alias("\ntext"))
+    joined = numbered.join(changed, F.col(row) == F.col("`\nrow`"), "left")
+    return _with_text(joined, F.coalesce("`\ntext`", "text")).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,12 +14,12 @@ def attach(df: DataFrame, summary: DataFrame, on: list[tuple[Column, str]], how:
     the key as well calls for a shuffle of its own, which is small, and makes the sort compare numbers.
     """
     typed = [c.cast(summary.schema[k].dataType) for c, k in on]
-    left = df.withColumn("_digest", F.xxhash64(*typed))
-    right = summary.withColumn("_summary_digest", F.xxhash64(*[F.col(k) for _, k in on]))
-    same = F.col("_digest") == F.col("_summary_digest")
+    left = df.withColumn("\ndigest", F.xxhash64(*typed))
+    right = summary.withColumn("\nsummary digest", F.xxhash64(*[F.col(k) for _, k in on]))
+    same = F.col("\ndigest") == F.col("\nsummary digest")
     for c, k in on:
         same = same & (c == F.col(k))
-    return left.join(right, same, how).drop("_digest", "_summary_digest", *[k for _, k in on])
+    return left.join(right, same, how).drop("\ndigest", "\nsummary digest", *[k for _, k in on])
 
 
 def in_set(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:

@@ -30,6 +30,12 @@ def _as_id(numbered: DataFrame, row: str) -> DataFrame:
     return numbered.select(F.col(row).alias("doc_id"), "text", *[c for c in ("source",) if c in numbered.columns])
 
 
+def _only(numbered: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows whose numbers are kept. Those are written first: Spark then knows their size, and moves no text where they are few."""
+    given = written(kept.select(F.col("\nkept").alias("kept"))).withColumnRenamed("kept", "\nkept")
+    return numbered.join(given, F.col(row) == F.col("`\nkept`"))
+
+
 def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
     """``docs`` with another text, its length put right, and the columns in their order."""
     said = docs.withColumn("text", text)
@@ -42,7 +48,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rule and whose host is not rejected."""
     numbered, row = _numbered(docs)
     kept = quality_rules.judge(_as_id(numbered, row)).where("kept").select(F.col("doc_id").alias("\nkept"))
-    return attach(numbered, kept, [(F.col(row), "\nkept")], "inner").select(*docs.columns)
+    return _only(numbered, row, kept).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +66,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     member = F.struct("unnamed", "doc_id", "said", "others", "_row").alias("one")
     one = members.groupBy("component_id").agg(F.min(member).alias("one")).select("one.*")
     one = one.groupBy("unnamed", "doc_id", "said").agg(F.min("_row").alias("\nkept")).select("\nkept")
-    return attach(numbered, one, [(F.col(row), "\nkept")], "inner").select(*docs.columns)
+    return _only(numbered, row, one).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,19 +4,21 @@ A byte goes if a ``WINDOW``-byte string that covers it also starts earlier: in a
 in the same one.
 
 1. Of texts that are equal only the first is worked on; the others lose everything if a window fits into them.
-2. Of all suffixes those are sampled that start at the ``GRAM``-byte string with the least hash of some window. Equal
-   windows have equal samples, and only samples whose string occurs twice matter.
-3. A task sorts its suffixes (cut after ``WINDOW`` bytes, the string's hash in front) into runs. A run is exchanged
-   front-coded: for each suffix the length of the prefix it shares with the one before, and the rest, and the
-   bytes on its left. Ranges of the hash deal runs out evenly; their number follows the number of suffixes, and a task
-   merges one range after the other.
-4. Each range merges its runs with a loser tree that keeps for every run the common prefix with the last suffix
-   given out. Longer common prefixes win without a look at bytes; equal ones are compared behind the known prefix only.
-5. Neighbours with a common prefix of a whole string form a group. All windows around its suffixes are compared, each text's
-   earliest kept; they settle which bytes go.
-
-A string that occurs more than ``WIDE`` times does not go through one group: the windows around it are dealt out by their
-own hashes, aggregated to the first place before the shuffle, and joined back. Results are the same.
+2. Every window belongs to its ``GRAM``-byte string with the least hash, so equal windows belong to equal strings, and only strings
+   that occur twice matter. An entry is the suffix that starts at such a string, cut where the last window of the string ends,
+   followed by the bytes from the first of its windows on.
+3. A task sorts its entries into runs, keeps the earliest of equal ones (the others go as a whole, with all their windows), and
+   exchanges the runs front-coded: of each entry the length of the prefix shared with the one before, and the rest. Ranges
+   are cut by sampled splitters; a task merges one range after the other.
+4. A range merges its runs with a loser tree that keeps for every run the common prefix with the last entry given out. Longer common
+   prefixes win without a look at bytes; equal ones are compared behind the known prefix only. The prefixes given out tell
+   equal entries (again only the earliest stays) and entries of one string.
+5. Where a string has several entries, or may have more in the next range, its windows are settled one by one: the suffixes at
+   every window of the entries that stayed go through a second merge of the same kind. Neighbours with a common prefix of a
+   whole window are equal; all but the earliest go.
+
+Everything is settled by bytes; hashes only choose where windows belong. Equal strings are reduced to one in every run, so a range holds a
+string once per run however often it occurs, and a crowded string with many surroundings is cut by splitters like others.
 
 Null and empty texts have no bytes. Rows with equal doc_id and text are one document and get equal rows; rows with equal doc_id and
 different texts are ordered by a digest. A null doc_id counts as -2^63. Columns other than doc_id and text are left out. An empty
@@ -27,7 +29,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -41,128 +42,157 @@ from eventlink.operators.joins import attach
 WINDOW, GRAM = 100, 32
 WIDTH = WINDOW - GRAM + 1
 LEFT = WINDOW - GRAM
-#: Occurrences of a string that one task takes as a group.
-WIDE = 4_000
-#: Suffixes in a sorted run, and those that a range of the hash holds about.
-RUN, RANGE = 50_000, 40_000
-#: Suffixes whose windows are compared at once (a group stays whole).
-BATCH = 4096
-HEAD = 8
+#: Bytes of an entry: the suffix and its length, the bytes before and their length.
+ENTRY = WINDOW + 1 + LEFT + 1
+#: Suffixes in a sorted run, and those of the table per range; ranges at most (their splitters are sent to every task).
+RUN, RANGE, RANGES = 100_000, 40_000, 16_384
+#: Sampled suffixes per range, of which the splitters are taken.
+SAMPLES = 8
+#: Places worked on at once.
+BLOCK = 8192
+
+
+def sampled(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings that windows belong to: text, place, hash, and how far before the string its first and its last window begin."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    inside = doc[: len(raw) - WINDOW + 1] == doc[WINDOW - 1 :] if len(raw) >= WINDOW else np.empty(0, bool)
+    if not inside.any():
+        return (np.empty(0, np.int64),) * 5
+    grams = Rolling(raw.astype(U64) + U64(1)).windows(GRAM)
+    places = anchors(grams, WIDTH, inside)
+    edge = np.zeros(LEFT, U64)
+    least = np.concatenate([edge, np.where(inside, sliding_min(grams, WIDTH), U64(0)), edge])
+    back, ahead = np.empty_like(places), np.empty_like(places)
+    for start in range(0, len(places), BLOCK):
+        some = places[start : start + BLOCK]
+        own = least[some[:, None] + np.arange(WIDTH)] == grams[some][:, None]
+        first = own.argmax(axis=1)
+        back[start : start + BLOCK] = LEFT - first
+        ahead[start : start + BLOCK] = LEFT + 1 - first - own.sum(axis=1)
+    return doc[places], places, grams[places].view(np.int64), back, ahead
 
 
-class Grams:
-    """Windows and sampled strings of a chunk of texts. Places count the chunk's bytes."""
-
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
-        self.raw, self.at, n = raw, at, len(raw)
-        self.size = np.diff(at)
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        self.rolling = Rolling(raw.astype(U64) + U64(1))
-        self.inside = self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :] if n >= WINDOW else np.empty(0, bool)
-        self.grams = self.rolling.windows(GRAM)
-
-    def nodes(self) -> np.ndarray:
-        return anchors(self.grams, WIDTH, self.inside) if self.inside.any() else np.empty(0, np.int64)
-
-    def shifted(self, lists: pa.Array) -> np.ndarray:
-        """Places of a list column that count from each text's first byte, as places of the chunk."""
-        n = np.diff(lists.offsets.to_numpy())
-        return np.unique(lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(self.at[:-1], n))
+def _nodes(table: DataFrame) -> DataFrame:
+    """(key, at, gram); ``at`` holds the place and, in 7 bits each, where its windows begin."""
 
-    def ids(self, batch: pa.RecordBatch, name: str, places: np.ndarray) -> np.ndarray:
-        return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)[self.doc[places]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, at in chunks(batches):
+            doc, places, grams, back, ahead = sampled(raw, at)
+            key = batch.column(0).to_numpy(zero_copy_only=False)[doc]
+            packed = (places - at[doc]) << 14 | back << 7 | ahead
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, packed, grams)], names=["key", "at", "gram"])
 
+    return table.select("key", "text").mapInArrow(run, "key long, at long, gram long")
 
-def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
+def _listed_blocks(batch: pa.RecordBatch, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, place in the chunk, and window bounds of the listed strings, a block at a time."""
+    lists = batch.column(batch.schema.get_field_index("places"))
+    packed = lists.flatten().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    for start in range(0, len(packed), BLOCK):
+        some, of = packed[start : start + BLOCK], doc[start : start + BLOCK]
+        yield of, (some >> 14) + at[of], some >> 7 & 127, some & 127
 
-def _nodes(table: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, at in chunks(batches):
-            g = Grams(raw, at)
-            places = g.nodes()
-            yield _batch(
-                key=g.ids(batch, "key", places),
-                place=(places - at[g.doc[places]]).astype(np.int32),
-                gram=g.grams[places].view(np.int64),
-            )
 
-    return table.select("key", "text").mapInArrow(run, "key long, place int, gram long")
+def _stretch(raw: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """Bytes from ``begin`` on, zeros after ``length``."""
+    step = np.arange(width)
+    return np.where(step < length[:, None], raw[np.minimum(begin[:, None] + step, len(raw) - 1)], 0).astype(np.uint8)
 
 
 class Suffixes:
-    """Sampled suffixes: the head with the hash, the bytes on the right and left (padded), and where they stand."""
+    """Strings of equal width, and where they stand: the document, the text's rank among all, the place in it."""
 
-    FIELDS = (("right", "u1"), ("left", "u1"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i4"))
+    FIELDS = (("doc", "<i8"), ("rank", "<i8"), ("place", "<i4"))
 
-    def __init__(self, text: np.ndarray, before: np.ndarray, **numbers: np.ndarray):
-        self.text, self.before, self.numbers = text, before, numbers
+    def __init__(self, text: np.ndarray, **numbers: np.ndarray):
+        self.text, self.numbers = text, numbers
 
     def __len__(self) -> int:
         return len(self.text)
 
     def take(self, rows: np.ndarray) -> Suffixes:
-        return Suffixes(self.text[rows], self.before[rows], **{n: v[rows] for n, v in self.numbers.items()})
+        return Suffixes(self.text[rows], **{n: v[rows] for n, v in self.numbers.items()})
 
     @staticmethod
     def joined(parts: list[Suffixes]) -> Suffixes:
         return Suffixes(
             np.concatenate([p.text for p in parts]),
-            np.concatenate([p.before for p in parts]),
             **{n: np.concatenate([p.numbers[n] for p in parts]) for n, _ in Suffixes.FIELDS},
         )
 
-    @staticmethod
-    def found(g: Grams, places: np.ndarray, doc: np.ndarray, key: np.ndarray) -> Suffixes:
-        begin, end = g.at[g.doc[places]], g.at[g.doc[places] + 1]
-        right, left = np.minimum(end - places, WINDOW), np.minimum(places - begin, LEFT)
-        step = np.arange(WINDOW)
-        at = places[:, None] + step
-        body = np.where(step < right[:, None], g.raw[np.minimum(at, len(g.raw) - 1)], 0).astype(np.uint8)
-        step = np.arange(-LEFT, 0)
-        at = places[:, None] + step
-        before = np.where(-step <= left[:, None], g.raw[np.maximum(at, 0)], 0).astype(np.uint8)
-        head = g.grams[places].astype(">u8").view(np.uint8).reshape(-1, HEAD)
-        return Suffixes(
-            np.concatenate([head, body], axis=1), before, right=right.astype("u1"), left=left.astype("u1"), doc=doc, key=key, place=(places - begin).astype("<i4")
-        )
+    def strings(self, width: int) -> np.ndarray:
+        return np.ascontiguousarray(self.text[:, :width]).view(f"S{width}").ravel()
 
     def sort(self) -> Suffixes:
-        return self.take(np.argsort(np.ascontiguousarray(self.text).view(f"S{HEAD + WINDOW}").ravel(), kind="stable"))
+        return self.take(np.argsort(self.strings(self.text.shape[1]), kind="stable"))
 
     def shared(self) -> np.ndarray:
         """Of each suffix the length of the prefix that it shares with the one before."""
         out = np.zeros(len(self), np.int64)
         if len(self) > 1:
             differs = self.text[1:] != self.text[:-1]
-            out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), HEAD + WINDOW)
+            out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), self.text.shape[1])
         return out
 
+    def earliest(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted suffixes the earliest of each set of equal ones, and the others that start elsewhere.
+
+        In a text of short periods a window belongs to several strings, and comes as often.
+        """
+        if not len(self):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        group = np.cumsum(shared < self.text.shape[1])
+        order = np.lexsort((self.numbers["place"], self.numbers["rank"], self.numbers["doc"], group))
+        first = np.append(True, group[order][1:] != group[order][:-1])
+        source = order[first][np.cumsum(first) - 1]
+        elsewhere = np.zeros(len(order), bool)
+        for numbers in self.numbers.values():
+            elsewhere |= numbers[order] != numbers[source]
+        return order[first], order[elsewhere]
+
+    def windows(self) -> Suffixes:
+        """The suffixes at every window of entries."""
+        right, left = self.text[:, WINDOW].astype(np.int64), self.text[:, -1].astype(np.int64)
+        at = np.arange(LEFT + WINDOW)
+        source = np.where(at < left[:, None], WINDOW + 1 + at, np.minimum(at - left[:, None], WINDOW - 1))
+        whole = np.take_along_axis(self.text, source, axis=1)
+        row, step = np.nonzero(np.arange(WIDTH) <= (left + right - WINDOW)[:, None])
+        text = np.lib.stride_tricks.sliding_window_view(whole, WINDOW, axis=1)[row, step]
+        numbers = {n: v[row] for n, v in self.numbers.items()}
+        numbers["place"] = (numbers["place"] - left[row] + step).astype("<i4")
+        return Suffixes(text, **numbers)
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all windows: rank, from, to."""
+        place = self.numbers["place"].astype(np.int64)
+        if self.text.shape[1] == WINDOW:
+            return self.numbers["rank"], place, place + WINDOW
+        return self.numbers["rank"], place - self.text[:, -1], place + self.text[:, WINDOW]
+
     def front_coded(self) -> bytes:
-        shared = self.shared()
-        rest = self.text[np.arange(HEAD + WINDOW) >= shared[:, None]]
-        parts = [shared.astype("u1").tobytes(), *(self.numbers[n].astype(t).tobytes() for n, t in self.FIELDS), self.before.tobytes(), rest.tobytes()]
-        return struct.pack("<I", len(self)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        width, shared = self.text.shape[1], self.shared()
+        rest = self.text[np.arange(width) >= shared[:, None]]
+        parts = [shared.astype("u1").tobytes(), *(self.numbers[n].astype(t).tobytes() for n, t in self.FIELDS), rest.tobytes()]
+        return struct.pack("<II", len(self), width) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
     @staticmethod
     def decoded(data: bytes) -> tuple[Suffixes, np.ndarray]:
         """The suffixes of a run, and their shared prefixes."""
-        (n,) = struct.unpack("<I", data[:4])
-        raw = zstandard.ZstdDecompressor().decompress(data[4:])
+        n, width = struct.unpack("<II", data[:8])
+        raw = zstandard.ZstdDecompressor().decompress(data[8:])
         shared = np.frombuffer(raw, "u1", n).astype(np.int64)
         done, numbers = n, {}
         for name, kind in Suffixes.FIELDS:
             numbers[name] = np.frombuffer(raw, kind, n, done)
             done += n * np.dtype(kind).itemsize
-        before = np.frombuffer(raw, "u1", n * LEFT, done).reshape(n, LEFT)
-        rest = np.frombuffer(raw, "u1", offset=done + n * LEFT)
-        own = np.arange(HEAD + WINDOW) >= shared[:, None]
-        text = np.zeros((n, HEAD + WINDOW), np.uint8)
-        text[own] = rest
+        own = np.arange(width) >= shared[:, None]
+        text = np.zeros((n, width), np.uint8)
+        text[own] = np.frombuffer(raw, "u1", offset=done)
         # A byte of a shared prefix is that of the last suffix above which has the byte of its own.
         source = np.maximum.accumulate(np.where(own, np.arange(n)[:, None], 0), axis=0)
-        return Suffixes(np.take_along_axis(text, source, axis=0), before, **numbers), shared
+        return Suffixes(np.take_along_axis(text, source, axis=0), **numbers), shared
 
 
 def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
@@ -177,7 +207,7 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
     done = len(runs)  # an exhausted run
     heads: list[bytes | None] = [r[0][0] if r[0] else None for r in runs] + [None] * (size - done)
     known, at = [0] * size, [0] * size
-    whole = HEAD + WINDOW
+    whole = max((len(h) for h in heads if h), default=0)
 
     def play(a: int, b: int) -> tuple[int, int]:
         """Winner and loser; the loser learns what it shares with the winner."""
@@ -191,8 +221,8 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
             return a, b
         if i < j:
             return b, a
-        differ = int.from_bytes(x[i:]) ^ int.from_bytes(y[i:])
-        common = whole - (differ.bit_length() + 7) // 8
+        x, y = int.from_bytes(x[i:]), int.from_bytes(y[i:])
+        common = whole - ((x ^ y).bit_length() + 7) // 8
         if x <= y:
             known[b] = common
             return a, b
@@ -224,139 +254,159 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
             node >>= 1
 
 
-def covered(rows: Suffixes, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of suffixes whose windows also start earlier in their group: which, and the bytes from and to."""
-    order = np.lexsort((rows.numbers["place"], rows.numbers["key"], rows.numbers["doc"]))
-    rows, group = rows.take(order), group[order]
-    n = len(rows)
-    whole = np.concatenate([rows.before, rows.text[:, HEAD:]], axis=1).astype(U64) + U64(1)
-    power, inverse = powers(LEFT + WINDOW + 1)
-    sums = np.zeros((n, LEFT + WINDOW + 1), U64)
-    np.cumsum(whole * power[: LEFT + WINDOW], axis=1, out=sums[:, 1:])
-    salt = mixed(group.astype(U64))
-    where = np.stack([rows.numbers["doc"], rows.numbers["key"], rows.numbers["place"].astype(np.int64)])
-    least, most = np.full(n, LEFT + 1), np.full(n, -1)
-    for back in range(LEFT + 1):  # windows that start so many bytes before the suffix
-        ok = np.flatnonzero((back <= rows.numbers["left"]) & (WINDOW - back <= rows.numbers["right"]))
-        if len(ok) < 2:
-            continue
-        begin = LEFT - back
-        value = mixed((sums[ok, begin + WINDOW] - sums[ok, begin]) * inverse[begin]) + salt[ok]
-        _, first, of = np.unique(value, return_index=True, return_inverse=True)
-        source = ok[first[of]]
-        later = ok[(where[:, ok] != where[:, source]).any(axis=0)]
-        least[later] = np.minimum(least[later], back)
-        most[later] = back
-    hit = np.flatnonzero(most >= 0)
-    place = rows.numbers["place"][hit].astype(np.int64)
-    return rows.numbers["key"][hit], place - most[hit], place - least[hit] + WINDOW
-
-
-SPANS = "key long, lo int, hi int"
-
-
-def _spans(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return _batch(key=key.astype(np.int64), lo=lo.astype(np.int32), hi=hi.astype(np.int32))
-
-
-def suffix_spans(table: DataFrame, count: int) -> DataFrame:
-    """(key, lo, hi): bytes that go, from ``count`` samples (key, doc_id, text, places)."""
-    n = partitions(table.sparkSession)
-    ranges = max(n, -(-count // RANGE))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Suffixes] = []
-        size = 0
-
-        def coded() -> pa.RecordBatch:
-            rows = Suffixes.joined(held).sort()
-            held.clear()
-            bucket = rows.text[:, :4].copy().view(">u4").ravel().astype(np.int64) * ranges >> 32
-            some, starts = np.unique(bucket, return_index=True)
-            ends = np.append(starts[1:], len(rows))
-            blobs = [rows.take(np.arange(a, b)).front_coded() for a, b in zip(starts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary())], names=["bucket", "run"])
+SENT = "rank long, lo int, hi int, bucket long, run binary"
 
-        for batch, raw, at in chunks(batches):
-            g = Grams(raw, at)
-            places = g.shifted(batch.column(batch.schema.get_field_index("places")))
-            for start in range(0, len(places), 8192):
-                part = places[start : start + 8192]
-                held.append(Suffixes.found(g, part, g.ids(batch, "doc_id", part), g.ids(batch, "key", part)))
-                size += len(part)
-                if size >= RUN:
-                    yield coded()
-                    size = 0
-        if held:
-            yield coded()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if number != bucket:
-                    yield from grouped(blobs)
-                    bucket, blobs = number, []
-                blobs.append(blob.as_py())
-        yield from grouped(blobs)
-
-    def grouped(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if not blobs:
+
+def united(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of a text that meet, as one."""
+    order = np.lexsort((lo, rank))
+    rank, lo, hi = rank[order], lo[order], hi[order]
+    text = np.cumsum(np.append(0, rank[1:] != rank[:-1])) << 32
+    reach = np.maximum.accumulate(text + hi)
+    begins = np.flatnonzero(np.append(True, (text + lo)[1:] > reach[:-1]))
+    return rank[begins], lo[begins], (reach[np.append(begins[1:], len(rank)) - 1] - text[begins])
+
+
+def _gone(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Spans on their way to the end of the merges, dealt out by text."""
+    if sum(len(p[0]) for p in parts):
+        rank, lo, hi = united(*(np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)))
+        none = pa.nulls(len(rank), pa.binary())
+        columns = [pa.array(rank), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(-1 - rank % (1 << 20)), none]
+        yield pa.RecordBatch.from_arrays(columns, names=["rank", "lo", "hi", "bucket", "run"])
+
+
+class Runs:
+    """Suffixes gathered into sorted runs, cut by splitters. Of equal ones in a run the earliest stays; the others are spans."""
+
+    def __init__(self, splitters: list[bytes]):
+        self.splitters = np.array(splitters, f"S{WINDOW}")
+        self.held: list[Suffixes] = []
+        self.size = 0
+
+    def add(self, rows: Suffixes) -> Iterator[pa.RecordBatch]:
+        self.held.append(rows)
+        self.size += len(rows)
+        if self.size >= RUN:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            self.held = []
             return
-        found = [Suffixes.decoded(b) for b in blobs]
-        first = np.cumsum([0] + [len(rows) for rows, _ in found])
-        rows = Suffixes.joined([r for r, _ in found])
-        width = HEAD + WINDOW
-        lists = []
-        for part, shared in found:
-            data = part.text.tobytes()
-            lists.append(([data[k : k + width] for k in range(0, len(data), width)], shared.tolist()))
-        del found
-        order, shared = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-        for k, (run, place, common) in enumerate(merged(lists)):
-            order[k], shared[k] = first[run] + place, common
-        del lists
-        new = shared < HEAD + GRAM
-        group = np.cumsum(new)
-        begins = np.flatnonzero(new)
-        size = np.diff(np.append(begins, len(rows)))
-        keep = np.flatnonzero(size[group - 1] > 1)
-        order, group = order[keep], group[keep]
-        start = 0
-        while start < len(order):
-            end = min(start + BATCH, len(order))
-            end = int(np.searchsorted(group, group[end - 1], "right"))
-            key, lo, hi = covered(rows.take(order[start:end]), group[start:end])
-            if len(key):
-                yield _spans(key, lo, hi)
-            start = end
-
-    coded = table.mapInArrow(runs, "bucket long, run binary")
-    return coded.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, SPANS)
-
-
-def wide_spans(table: DataFrame) -> DataFrame:
-    """The same from windows whose least string is at one of the places, dealt out by their own hashes."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Suffixes.joined(self.held).sort()
+        self.held, self.size = [], 0
+        first, later = rows.earliest(rows.shared())
+        yield from _gone([rows.take(later).spans()])
+        rows = rows.take(first)
+        bucket = np.searchsorted(self.splitters, rows.strings(WINDOW), "right")
+        some, starts = np.unique(bucket, return_index=True)
+        ends = np.append(starts[1:], len(rows))
+        for number, a, b in zip(some.tolist(), starts, ends, strict=True):
+            sent = {"rank": None, "lo": None, "hi": None, "bucket": number, "run": rows.take(np.arange(a, b)).front_coded()}
+            yield pa.RecordBatch.from_pylist([sent], _SENT)
+
+
+_SENT = pa.schema([("rank", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bucket", pa.int64()), ("run", pa.binary())])
+
+
+def merged_range(blobs: list[bytes]) -> tuple[Suffixes, np.ndarray]:
+    """All suffixes of a range in order, and the prefix that each shares with the one before."""
+    found = [Suffixes.decoded(b) for b in blobs]
+    first = np.cumsum([0] + [len(rows) for rows, _ in found])
+    rows = Suffixes.joined([r for r, _ in found])
+    lists = []
+    for part, shared in found:
+        data, width = part.text.tobytes(), part.text.shape[1]
+        lists.append(([data[k : k + width] for k in range(0, len(data), width)], shared.tolist()))
+    order, common = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    for k, (run, place, shared) in enumerate(merged(lists)):
+        order[k], common[k] = first[run] + place, shared
+    return rows.take(order), common
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes] | pa.RecordBatch]:
+    """Of rows sorted by bucket the runs of each range; spans come through as they are."""
+    bucket, blobs = None, []
+    for batch in batches:
+        numbers = batch.column(3).to_numpy(zero_copy_only=False)
+        spans = int(np.searchsorted(numbers, 0))
+        if spans:
+            yield batch.slice(0, spans)
+        for k in range(spans, len(numbers)):
+            if numbers[k] != bucket and blobs:
+                yield blobs
+                blobs = []
+            bucket = numbers[k]
+            blobs.append(batch.column(4)[k].as_py())
+    if blobs:
+        yield blobs
+
+
+def _sent(table: DataFrame, run) -> DataFrame:  # noqa: ANN001
+    """``run`` over ranges that are dealt out anew."""
+    return table.repartition(partitions(table.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, SENT)
+
+
+def splitters(table: DataFrame, rate: float, ranges: int) -> list[bytes]:
+    """Strings that cut the suffixes of samples (key, text, places) into ``ranges`` of about equal size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = powers(WINDOW)[0][:WINDOW]
+        for batch, raw, at in chunks(batches):
+            for _, places, _, ahead in _listed_blocks(batch, at):
+                text = _stretch(raw, places, WINDOW - ahead, WINDOW)
+                value = mixed((text + U64(1)) @ power) >> U64(11)
+                few = value < U64(int(min(rate, 1.0) * (1 << 53)))
+                said = pa.array([t.tobytes() for t in text[few]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(value[few].view(np.int64)), said], names=["value", "said"])
+
+    found = table.select("key", "text", "places").mapInArrow(run, "value long, said binary").distinct()
+    said = sorted(bytes(r.said) for r in found.orderBy("value").limit(SAMPLES * ranges).collect())
+    return sorted({said[len(said) * k // ranges] for k in range(1, ranges)}) if said else []
+
+
+def suffix_spans(table: DataFrame, cuts: list[bytes]) -> DataFrame:
+    """(rank, lo, hi): bytes that go, from samples (key, text, order, rank, places)."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(cuts)
         for batch, raw, at in chunks(batches):
-            g = Grams(raw, at)
-            places = g.shifted(batch.column(batch.schema.get_field_index("places")))
-            if not g.inside.any():
+            order, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("order", "rank"))
+            for doc, places, back, ahead in _listed_blocks(batch, at):
+                right = WINDOW - ahead
+                parts = [_stretch(raw, places, right, WINDOW), right[:, None], _stretch(raw, places - back, back, LEFT), back[:, None]]
+                text = np.concatenate([p.astype(np.uint8) for p in parts], axis=1)
+                yield from runs.add(Suffixes(text, doc=order[doc], rank=rank[doc], place=(places - at[doc]).astype("<i4")))
+        yield from runs.flush()
+
+    def by_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(cuts)
+        for blobs in _ranges(batches):
+            if isinstance(blobs, pa.RecordBatch):
+                yield blobs
                 continue
-            start = np.flatnonzero(g.inside & np.isin(sliding_min(g.grams, WIDTH), g.grams[places]))
-            yield _batch(
-                key=g.ids(batch, "key", start),
-                doc_id=g.ids(batch, "doc_id", start),
-                lo=(start - at[g.doc[start]]).astype(np.int32),
-                value=g.rolling.between(start, start + WINDOW).view(np.int64),
-            )
+            rows, shared = merged_range(blobs)
+            first, later = rows.earliest(shared)
+            yield from _gone([rows.take(later).spans()])
+            string = np.cumsum(shared < GRAM) - 1
+            several = np.bincount(string[first]) > 1
+            several[[0, -1]] = True  # these may go on in the next range
+            first = first[several[string[first]]]
+            for start in range(0, len(first), BLOCK // 8):
+                yield from runs.add(rows.take(first[start : start + BLOCK // 8]).windows())
+        yield from runs.flush()
+
+    def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _ranges(batches):
+            if isinstance(blobs, pa.RecordBatch):
+                yield blobs
+                continue
+            rows, shared = merged_range(blobs)
+            yield from _gone([rows.take(rows.earliest(shared)[1]).spans()])
 
-    found = table.mapInArrow(windows, "key long, doc_id long, lo int, value long")
-    place = F.struct("doc_id", "key", "lo")
-    first = found.groupBy(F.col("value").alias("_value")).agg(F.min(place).alias("first"))
-    later = attach(found, first, [(F.col("value"), "_value")], "inner").where(place != F.col("first"))
-    return later.select("key", "lo", (F.col("lo") + WINDOW).cast("int").alias("hi"))
+    sent = table.select("key", "text", "order", "rank", "places").mapInArrow(entries, SENT)
+    return _sent(_sent(sent, by_entry), by_window).select("rank", "lo", "hi")
 
 
 REMOVED = "key long, spans array<struct<lo:int,hi:int>>, kept binary"
@@ -385,68 +435,58 @@ def _removed(table: DataFrame) -> DataFrame:
     return table.select("key", "text", "spans").mapInArrow(run, REMOVED)
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, digest and key of its text, the merged ``spans`` that go, and ``kept``, the bytes left (null: all)."""
-    lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    whole = texts(docs).withColumn("digest", F.sha2("text", 256))
-    known = whole.select(F.xxhash64("digest").alias("key"), lowest.alias("order"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    known = written(known)
-    first = known.groupBy("key").agg(F.min("order").alias("first"))
-    said = texts(docs).select(F.xxhash64(F.sha2("text", 256)).alias("key"), lowest.alias("doc_id"), "text")
-    only = said.join(first, "key").where("doc_id = first").select("key", "doc_id", "text")
-    keyed = Keyed(only, "key", dealt=True)
+def _judged(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, digest of its text, the merged ``spans`` that go, and ``kept``, the bytes left (null: all, unless asked for)."""
+    keyed = Keyed(texts(docs).withColumn("key", F.monotonically_increasing_id()), "key")
     try:
         table = keyed.frame()
-        nodes = _nodes(table)
+        lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("order")
+        size = F.octet_length("text").cast("long").alias("n_bytes")
+        known = written(table.select("key", lowest, "doc_id", size, F.sha2("text", 256).alias("digest")))
+        least = known.groupBy("digest").agg(F.min(F.struct("order", "key")).alias("one")).orderBy("digest")
+        one = [F.col("one.order").alias("first"), F.col("one.key").alias("own"), F.monotonically_increasing_id().alias("rank")]
+        first = written(least.select("digest", *one))
+        sources = first.select(F.col("own").alias("key"), F.col("first").alias("order"), "rank")
+        nodes = _nodes(table.join(sources.select("key"), "key"))
         twice = nodes.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n")).where("n > 1")
         marked = attach(nodes, twice, [(F.col("gram"), "_gram")], "inner").groupBy("key")
-        listed = written(
-            marked.agg(
-                F.collect_list(F.when(F.col("n") <= WIDE, F.col("place"))).alias("places"),
-                F.collect_list(F.when(F.col("n") > WIDE, F.col("place"))).alias("wide"),
+        listed = written(marked.agg(F.collect_list("at").alias("places"), F.sum(1 / F.col("n")).alias("strings")))
+        some = table.join(listed.join(sources, "key"), "key")
+        count, strings = listed.agg(F.sum(F.size("places")), F.sum("strings")).first()
+        ranges = max(partitions(docs.sparkSession), min(RANGES, (count or 0) // RANGE))
+        cuts = splitters(some, SAMPLES * ranges / strings, ranges) if count else []
+        spans = suffix_spans(some, cuts).groupBy("rank").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        lists = written(spans.join(sources, "rank").select("key", "spans"))
+        left = written(_removed(table.join(lists, "key")))
+        copy = F.col("order") != F.col("first")
+        gone = copy & (F.col("n_bytes") >= WINDOW)
+        kept = copy | F.col("spans").isNull()
+        none = F.array().cast("array<struct<lo:int,hi:int>>")
+        whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")))
+        judged = (
+            known.join(first, "digest")
+            .withColumn("source", F.when(~copy, F.col("own")))
+            .join(left.withColumnRenamed("key", "source"), "source", "left")
+            .select(
+                "key",
+                "doc_id",
+                "n_bytes",
+                "digest",
+                F.when(gone, whole).when(kept, none).otherwise(F.col("spans")).alias("spans"),
+                F.when(gone, F.lit(b"")).when(kept, F.lit(None)).otherwise(F.col("kept")).alias("kept"),
             )
         )
-        some = table.join(listed.drop("wide").where("size(places) > 0"), "key")
-        wide = table.join(listed.select("key", F.col("wide").alias("places")).where("size(places) > 0"), "key")
-        count = listed.agg(F.sum(F.size("places"))).first()[0] or 0
-        spans = suffix_spans(some, count).unionByName(wide_spans(wide))
-        lists = written(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-        left = written(_removed(table.join(lists, "key")).dropDuplicates(["key"]))
+        if with_bytes:
+            own = table.select("key", "text")
+            judged = written(judged.join(own, "key").withColumn("kept", F.coalesce("kept", "text")).drop("text"))
+        return judged
     finally:
         keyed.drop()
-    copy = F.col("order") != F.col("first")
-    gone = copy & (F.col("n_bytes") >= WINDOW)
-    kept = copy | F.col("spans").isNull()
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")))
-    return (
-        known.join(first, "key")
-        .join(left, "key", "left")
-        .select(
-            "doc_id",
-            "order",
-            "key",
-            "n_bytes",
-            "digest",
-            F.when(gone, whole).when(kept, none).otherwise(F.col("spans")).alias("spans"),
-            F.when(gone, F.lit(b"")).when(kept, F.lit(None)).otherwise(F.col("kept")).alias("kept"),
-        )
-    )
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the merged spans of bytes (lo, hi) that go, and ``kept``, the bytes left, of every document."""
-    judged = _judged(docs)
-    # Rows with equal doc_id and text have equal results, so one of them answers for all.
-    once = judged.groupBy(F.xxhash64("order", "key").alias("_row")).agg(F.min(F.struct("spans", "kept")).alias("_found"))
-    lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    own = texts(docs).withColumn("_own", F.xxhash64(lowest, F.xxhash64(F.sha2("text", 256))))
-    return attach(own, once, [(F.col("_own"), "_row")], "inner").select(
-        "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.col("_found.spans").alias("spans"),
-        F.coalesce("_found.kept", "text").alias("kept"),
-    )
+    return _judged(docs, with_bytes=True).select("doc_id", "n_bytes", "spans", "kept")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

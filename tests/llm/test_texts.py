@@ -288,11 +288,38 @@ def test_byte_repeats(odd, none, monkeypatch):
     same(byte_repeats.remove_repeats(odd), want)
     monkeypatch.setattr(byte_repeats, "RANGE", 5)
     same(byte_repeats.remove_repeats(odd), want)
-    monkeypatch.setattr(byte_repeats, "WIDE", 3)
+    monkeypatch.setattr(byte_repeats, "RUN", 7)
     same(byte_repeats.remove_repeats(odd), want)
     assert byte_repeats.remove_repeats(none).count() == 0
 
 
+def test_crowded_strings_with_many_surroundings(spark, monkeypatch):
+    """One string in every text, whole and partial copies of passages, and short periods, cut into many ranges and runs."""
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefgh "), 900))
+    common = "the same forty bytes stand in every one of them"
+    rows = []
+    for k in range(150):
+        a, n = rng.integers(0, 700), rng.integers(60, 200)
+        noise = ["".join(rng.choice(list("xyz"), rng.integers(1, 90))) for _ in range(3)]
+        rows.append((k // 2, f"{noise[0]}{base[a : a + n]}{noise[1]}{common}{'ab' * int(rng.integers(0, 70))}{noise[2]}{common}"))
+    order = sorted(rows, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    seen, want = set(), []
+    for key, text in order:
+        data = text.encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(data[s : s + 100])
+        kept = bytes(x for x, g in zip(data, gone, strict=True) if not g)
+        want.append((key, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
+    assert sum(w[2] for w in want) > 3000
+    monkeypatch.setattr(byte_repeats, "RANGE", 20)
+    monkeypatch.setattr(byte_repeats, "RUN", 50)
+    same(byte_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), want)
+
+
 def test_kept_bytes_are_given(odd, none):
     said, got = Counter((k, t or "") for k, t, *_ in ROWS), byte_repeats.kept_texts(odd).collect()
     digests = Counter((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), sha(bytes(r.kept))) for r in got)
@@ -308,13 +335,13 @@ def test_loser_tree_and_front_coding():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    width = byte_repeats.HEAD + byte_repeats.WINDOW
+    width = byte_repeats.ENTRY
     runs, every = [], []
     for n in (0, 1, 7, 40, 13):
         text = rng.integers(0, 2, (n, width)).astype(np.uint8)
         text[:, 6:100] = 1
         numbers = {name: np.zeros(n, kind) for name, kind in byte_repeats.Suffixes.FIELDS}
-        run = byte_repeats.Suffixes(text, np.zeros((n, byte_repeats.LEFT), np.uint8), **numbers).sort()
+        run = byte_repeats.Suffixes(text, **numbers).sort()
         back, shared = byte_repeats.Suffixes.decoded(run.front_coded())
         assert (back.text == run.text).all() and (shared == run.shared()).all()
         runs.append(([t.tobytes() for t in run.text], shared.tolist()))

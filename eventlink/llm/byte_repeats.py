@@ -13,9 +13,9 @@ in the same one.
 4. A range merges its runs with a loser tree that keeps for every run the common prefix with the last entry given out. Longer common
    prefixes win without a look at bytes; equal ones are compared behind the known prefix only. The prefixes given out tell
    equal entries (again only the earliest stays) and entries of one string.
-5. Where a string has several entries, or may have more in the next range, its windows are settled one by one: the suffixes at
-   every window of the entries that stayed go through a second merge of the same kind. Neighbours with a common prefix of a
-   whole window are equal; all but the earliest go.
+5. The prefixes also tell how far an entry agrees with any other of its string from there on; an order of the bytes before, how far
+   backwards. Windows within both (all, where a string may go on in the next range) are settled one by one: their suffixes
+   go through a second merge of the same kind. Neighbours with a common prefix of a whole window are equal; all but the earliest go.
 
 Everything is settled by bytes; hashes only choose where windows belong. Equal strings are reduced to one in every run, so a range holds a
 string once per run however often it occurs, and a crowded string with many surroundings is cut by splitters like others.
@@ -152,13 +152,21 @@ class Suffixes:
             elsewhere |= numbers[order] != numbers[source]
         return order[first], order[elsewhere]
 
-    def windows(self) -> Suffixes:
-        """The suffixes at every window of entries."""
+    def before(self) -> np.ndarray:
+        """The bytes before entries' strings, the nearest first."""
+        step, left = np.arange(LEFT), self.text[:, -1:].astype(np.int64)
+        turned = np.take_along_axis(self.text, WINDOW + 1 + np.maximum(left - 1 - step, 0), axis=1)
+        return np.where(step < left, turned, 0).astype(np.uint8)
+
+    def windows(self, after: np.ndarray, before: np.ndarray) -> Suffixes:
+        """The suffixes at the windows of entries that share so many bytes with others: from their strings on, and before them."""
         right, left = self.text[:, WINDOW].astype(np.int64), self.text[:, -1].astype(np.int64)
         at = np.arange(LEFT + WINDOW)
         source = np.where(at < left[:, None], WINDOW + 1 + at, np.minimum(at - left[:, None], WINDOW - 1))
         whole = np.take_along_axis(self.text, source, axis=1)
-        row, step = np.nonzero(np.arange(WIDTH) <= (left + right - WINDOW)[:, None])
+        # A window that begins b bytes before the string needs b bytes before it, and the rest from it on.
+        b = left[:, None] - np.arange(WIDTH)
+        row, step = np.nonzero((b >= (WINDOW - np.minimum(after, right))[:, None]) & (b <= before[:, None]))
         text = np.lib.stride_tricks.sliding_window_view(whole, WINDOW, axis=1)[row, step]
         numbers = {n: v[row] for n, v in self.numbers.items()}
         numbers["place"] = (numbers["place"] - left[row] + step).astype("<i4")
@@ -325,6 +333,26 @@ def merged_range(blobs: list[bytes]) -> tuple[Suffixes, np.ndarray]:
     return rows.take(order), common
 
 
+def most_shared(shared: np.ndarray) -> np.ndarray:
+    """Of sorted rows the longest prefix shared with any other, from those shared with the row before."""
+    return np.maximum(shared, np.append(shared[1:], 0))
+
+
+def shared_before(rows: Suffixes, string: np.ndarray) -> np.ndarray:
+    """Of entries the most bytes before the string that are shared with another entry of the string."""
+    text = rows.before()
+    order = np.argsort(np.ascontiguousarray(text).view(f"S{LEFT}").ravel(), kind="stable")
+    order = order[np.argsort(string[order], kind="stable")]
+    text, string = text[order], string[order]
+    shared = np.zeros(len(order), np.int64)
+    differs = text[1:] != text[:-1]
+    shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), LEFT)
+    shared[1:][string[1:] != string[:-1]] = 0
+    out = np.empty_like(shared)
+    out[order] = most_shared(shared)
+    return out
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes] | pa.RecordBatch]:
     """Of rows sorted by bucket the runs of each range; spans come through as they are."""
     bucket, blobs = None, []
@@ -389,12 +417,16 @@ def suffix_spans(table: DataFrame, cuts: list[bytes]) -> DataFrame:
             rows, shared = merged_range(blobs)
             first, later = rows.earliest(shared)
             yield from _gone([rows.take(later).spans()])
-            string = np.cumsum(shared < GRAM) - 1
-            several = np.bincount(string[first]) > 1
-            several[[0, -1]] = True  # these may go on in the next range
-            first = first[several[string[first]]]
-            for start in range(0, len(first), BLOCK // 8):
-                yield from runs.add(rows.take(first[start : start + BLOCK // 8]).windows())
+            rows, shared = rows.take(first), shared[shared < ENTRY]
+            string = np.cumsum(shared < GRAM)
+            after = most_shared(np.where(shared < GRAM, 0, np.minimum(shared, WINDOW)))
+            before = shared_before(rows, string)
+            open_ = (string == string[0]) | (string == string[-1])  # these may go on in the next range
+            after[open_], before[open_] = WINDOW, LEFT
+            some = np.flatnonzero(after + before >= WINDOW)
+            for start in range(0, len(some), BLOCK // 8):
+                part = some[start : start + BLOCK // 8]
+                yield from runs.add(rows.take(part).windows(after[part], before[part]))
         yield from runs.flush()
 
     def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

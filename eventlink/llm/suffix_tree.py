@@ -614,17 +614,23 @@ def _states(entries: DataFrame) -> DataFrame:
     A longer context gains at most what the kept next words still cost: minus their summed log-probabilities. Others cost it.
     """
     own = (F.col("n") - DISCOUNT) / F.col("n_context")
+    p = own + F.col("share") * F.col("below")
+    gain, cost = F.col("n") * F.log(p / F.col("below")), -F.col("n") * F.log(p)
+    # Where too few other words follow to be kept, a next word is its context's only one, and nothing is summed.
+    lone = F.col("n_context") - F.col("n") < LEAST
+    single = entries.where(lone).withColumn("share", 1 - own).withColumn("rest", F.col("n_context") - F.col("n"))
+    entries = entries.where(~lone)
     sums = entries.groupBy(F.col("context").alias("_context")).agg(
         (1 - F.sum(own)).alias("share"), (F.max("n_context") - F.sum("n")).alias("rest")
     )
     # Divergence: kept next words by the ratio of both probabilities, all others together by the share they are left.
-    p = own + F.col("share") * F.col("below")
     gains = attach(entries, sums, [(F.col("context"), "_context")], "inner").groupBy("context").agg(
-        F.sum(F.col("n") * F.log(p / F.col("below"))).alias("gain"),
-        F.sum(-F.col("n") * F.log(p)).alias("cost"),
+        F.sum(gain).alias("gain"),
+        F.sum(cost).alias("cost"),
         F.max("share").alias("share"),
         F.max("rest").alias("rest"),
     )
+    gains = gains.unionByName(single.select("context", gain.alias("gain"), cost.alias("cost"), "share", "rest"))
     states = gains.where(F.col("gain") + F.col("rest") * F.log("share") >= GAIN)
     return states.select("context", "share", (F.col("cost") >= GAIN).alias("grows"))
 

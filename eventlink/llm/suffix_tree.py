@@ -566,12 +566,15 @@ def _learned(known: Known) -> Tree:
                 yield pa.RecordBatch.from_arrays(moved.taken(rows).row(there), names=[*names, "stays"])
 
     names = [c.split()[0] for c in Front.SCHEMA.split(", ")]
-    front = written(known.each(first_front, Front.SCHEMA, DENSE + 1, DENSE))
+    # Fronts stay dealt out by block, as the answers are, so that none is moved to meet them.
+    known.answers["front"] = Keyed(known.each(first_front, Front.SCHEMA, DENSE + 1, DENSE), "block", dealt=True)
+    front = known.answers["front"].frame()
     left = []
     while not tree.states[-1].where("grows").isEmpty() and not front.isEmpty():
         n = exchange(fronted(front, asks, ASK), totals, "counts")
         share = judged(fronted(front, front_entries, f"{ENTRY}, {ASK}", n), "shares")
-        moved = written(fronted(front, next_front, f"{Front.SCHEMA}, stays boolean", n, share))
+        fronts = Keyed(fronted(front, next_front, f"{Front.SCHEMA}, stays boolean", n, share), "block", dealt=True)
+        known.answers[f"front{len(left)}"], moved = fronts, fronts.frame()
         n.drop(), share.drop()
         left.append(moved.where("NOT stays").select("block", "pos", "p"))
         front = moved.where("stays").drop("stays")

@@ -275,6 +275,21 @@ def test_neighbours_come_from_the_edges(spark):
     assert all(flags[k] == (None, None) for k in flags if k[0] == 3 or k[1] == 12)
 
 
+def test_pairs_are_labelled_on_the_sides(spark):
+    """No join follows the one that makes the pairs, and no pair is compared by its zones' names."""
+    causes = [(1, BASE, "00001", "x"), (2, BASE, "00004", "x"), (3, None, "00001", "x"), (4, BASE, None, "x")]
+    effects = [(7, BASE, "00002", "y"), (8, BASE + timedelta(days=1), "00001", "y"), (9, BASE, "00004", "y")]
+    found = link.pairs(side(spark, "cause", causes), side(spark, "effect", effects), Rule(edges=edge_table(spark)))
+    joins_ = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "_slot" in joins_[0]
+    told = found.select("id_cause", "id_effect", "same_zone", "neighbour_zone", "day_label").collect()
+    assert sorted(map(tuple, told)) == [
+        (1, 7, False, True, "SameDay"),
+        (1, 8, True, False, "NextDay"),
+        (2, 9, True, True, "SameDay"),
+    ]
+
+
 def test_outer_takes_counts_as_given(spark):
     causes, effects = random_rows(12, 50, 0), random_rows(13, 50, 1000)
     a, c = side(spark, "cause", causes), side(spark, "effect", effects)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlink.llm.common import U64, Keyed, Words, chunks, mixed, partitions, texts, written
+from eventlink.llm.common import U64, Keyed, Words, chunks, mixed, partitions, shuffles_dropped, texts, written
 from eventlink.operators.joins import attach
 
 #: Occurrences of a context, and of a context with a next word, at least.
@@ -643,7 +643,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), shuffles_dropped(docs.sparkSession):
         return _scored(docs)
 
 

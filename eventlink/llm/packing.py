@@ -80,9 +80,10 @@ class Pool:
     """Waiting pieces, all of them able to fit into an empty sequence, in the order in which they came."""
 
     def __init__(self, limits: Limits):
-        self.limit = np.array([limits.tokens, limits.segments, limits.loss], np.int64)
+        # Whole numbers as floats, so that no product has to convert them.
+        self.limit = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.pieces: list[Piece] = []
-        self.needs = np.empty((3, 2 * POOL), np.int64)
+        self.needs = np.empty((3, 2 * POOL))
 
     def __len__(self) -> int:
         return len(self.pieces)
@@ -107,7 +108,7 @@ class Pool:
             fits &= needs[0] == room[0]  # the last segment should fill the sequence
         if not fits.any():
             return None
-        gain = (room / self.limit.astype(float) ** 2) @ needs
+        gain = (room / self.limit**2) @ needs
         return int(np.argmax(np.where(fits, gain, -1)))
 
     def _one(self) -> list[Piece]:

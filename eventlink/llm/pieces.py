@@ -10,6 +10,7 @@ The forward state of a prefix is its last piece (and, for a unigram model, the b
 - ``bpe``: the merges of a byte-pair model decide, not a sum. Every leading part of an encoding is the encoding of the
   text it covers, so a prefix has exactly one last piece: the one whose merges with the piece before it
   give the two of them again. With this test in place of the sum, results equal the model's own encoding exactly.
+  The pieces that end at a character are listed by an automaton (:class:`Endings`), whose state belongs to the prefix too.
 
 Characters unknown to the vocabulary become byte pieces. Null and empty texts have no pieces. Repeated rows are encoded
 alike, each on its own. Columns other than doc_id and text are left out. An empty table gives an empty table. The mark
@@ -36,8 +37,8 @@ from eventlink.llm.common import texts
 MARK = "▁"
 #: Distinct words a task remembers before it starts anew, and their characters.
 MEMORY, MEMORY_CHARS = 500_000, 8_000_000
-#: Pairs of pieces whose merges a task remembers.
-PAIRS = 300_000
+#: Pairs of pieces whose merges a task remembers, and steps of the automaton beyond the trie's own.
+PAIRS, MOVES = 300_000, 500_000
 _MARKED = re.compile(" *[^ ]+| +")
 ENCODED = "doc_id long, text binary, ids binary"
 
@@ -47,6 +48,44 @@ def marked_words(text: str) -> list[str]:
     return _MARKED.findall(" " + text.replace(MARK, " ")) if text else []
 
 
+class Endings:
+    """The pieces that end at each character of a word, by one step a character (an Aho-Corasick automaton; state 0 at first)."""
+
+    def __init__(self, pieces: Iterable[str]):
+        """``ends``: of each state the lengths and numbers of the pieces that end there, longest first."""
+        self.moves: list[dict[str, int]] = [{}]
+        self.shorter, self.ends, self.room = [0], [()], MOVES
+        edges, own = [], {}
+        for number, piece in enumerate(pieces):
+            node = 0
+            for depth, c in enumerate(piece):
+                found = self.moves[node].get(c)
+                if found is None:
+                    found = self.moves[node][c] = len(self.moves)
+                    self.moves.append({})
+                    edges.append((depth, node, c, found))
+                node = found
+            own[node] = (len(piece), number)
+        self.shorter += [0] * len(edges)
+        self.ends += [()] * len(edges)
+        inner = {node for _, node, _, _ in edges}
+        for depth, node, c, found in sorted(edges):
+            shorter = self.shorter[found] = self.move(self.shorter[node], c) if depth else 0
+            self.ends[found] = ((own[found],) if found in own else ()) + self.ends[shorter]
+            if found not in inner:
+                self.moves[found] = self.moves[shorter]
+
+    def move(self, node: int, c: str) -> int:
+        """The state after one more character; a bounded number of them is remembered."""
+        found = self.moves[node].get(c)
+        if found is None:
+            found = self.move(self.shorter[node], c) if node else 0
+            if self.room:
+                self.moves[node][c] = found
+                self.room -= 1
+        return found
+
+
 class Model:
     """Pieces with scores, and the forward step."""
 
@@ -56,16 +95,14 @@ class Model:
         self.scores, self.ids, self.byte_ids, self.kind = scores, ids, byte_ids, kind
         self.others = others or {}
         self.longest = max(map(len, scores), default=1)
-        by_tail: dict[str, set[int]] = {}
-        for piece in scores:
-            if len(piece) > 1:
-                by_tail.setdefault(piece[-2:], set()).add(len(piece))
         self.splits: dict[str, tuple[str, str] | None] = {}
         self.packed = {piece: found for piece in scores if (found := self.ids_of(piece)) is not None}
-        self.lengths = {tail: sorted(found, reverse=True) for tail, found in by_tail.items()}
+        merged = [piece for piece in self.packed if len(piece) > 1] if kind == "bpe" else []
+        self.endings, self.codes = Endings(merged), [self.packed[piece] for piece in merged]
         self.penalty = min(scores.values(), default=0.0) - 10
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.starts, self.sums = [0], [0.0]
+        self.nodes, self.lasts = [0], [0]
         self.word = ""
         self.steps = 0
 
@@ -122,28 +159,34 @@ class Model:
             return array("I", [self.ids[piece]]).tobytes() if usable else None
         return array("I", [self.byte_ids[b] for b in piece.encode()]).tobytes() if len(piece) == 1 else None
 
-    def merge_step(self, word: str, end: int) -> None:
-        """Push the state of the prefix that ends at ``end``: where its last piece starts."""
-        starts, packed, pairs = self.starts, self.packed, self.pairs
-        for length in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-            start = end - length
-            if start < 0:
-                continue
-            piece = word[start:end]
-            if piece not in packed:
-                continue
-            if start:
-                key = word[starts[start] : start], piece
-                fits = pairs.get(key)
-                if fits is None:
-                    if len(pairs) > PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.follows(*key)
-                if not fits:
-                    continue
-            starts.append(start)
-            return
-        starts.append(end - 1)
+    def merge_steps(self, word: str, shared: int) -> None:
+        """Push the states of the prefixes longer than ``shared``: the automaton's, where the last piece starts, and that
+        piece's number (a character alone: its code point, above the others)."""
+        starts, nodes, lasts, pairs = self.starts, self.nodes, self.lasts, self.pairs
+        moves, ends, size = self.endings.moves, self.endings.ends, len(self.codes)
+        node, end = nodes[shared], shared
+        for c in word[shared:]:
+            end += 1
+            after = moves[node].get(c)
+            node = self.endings.move(node, c) if after is None else after
+            for length, piece in ends[node]:
+                start = end - length
+                if start:
+                    key = lasts[start] * size + piece
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) > PAIRS:
+                            pairs.clear()
+                        fits = pairs[key] = self.follows(word[starts[start] : start], word[start:end])
+                    if not fits:
+                        continue
+                starts.append(start)
+                lasts.append(piece)
+                break
+            else:
+                starts.append(end - 1)
+                lasts.append(size + ord(c))
+            nodes.append(node)
 
     def score_step(self, word: str, end: int) -> None:
         """The same by the best sum of scores."""
@@ -165,19 +208,25 @@ class Model:
             if a != b:
                 break
             shared += 1
-        del self.starts[shared + 1 :], self.sums[shared + 1 :]
-        step = self.merge_step if self.kind == "bpe" else self.score_step
-        for end in range(shared + 1, len(word) + 1):
-            step(word, end)
+        del self.starts[shared + 1 :], self.sums[shared + 1 :], self.nodes[shared + 1 :], self.lasts[shared + 1 :]
         self.steps += len(word) - shared
         self.word = word
-        pieces, end = [], len(word)
+        if self.kind == "bpe":
+            self.merge_steps(word, shared)
+        else:
+            for end in range(shared + 1, len(word) + 1):
+                self.score_step(word, end)
+        pieces, end, size = [], len(word), len(self.codes)
         while end:
             start = self.starts[end]
-            piece = word[start:end]
-            pieces.append(self.packed.get(piece) or self.ids_of(piece))
+            if self.kind == "bpe" and self.lasts[end] < size:
+                pieces.append(self.codes[self.lasts[end]])
+            else:
+                piece = word[start:end]
+                pieces.append(self.packed.get(piece) or self.ids_of(piece))
             end = start
-        return b"".join(reversed(pieces))
+        pieces.reverse()
+        return b"".join(pieces)
 
     def decoder(self) -> dict[int, bytes]:
         return self.others | {i: s.encode() for s, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}

@@ -251,6 +251,30 @@ def test_text_with_the_mark_does_not_come_back(spark):
     assert found[1].decoded_sha256 == found[2].decoded_sha256
 
 
+def test_only_pieces_that_end_there_are_tried():
+    """Of each prefix exactly the pieces that end it, longest first, by one step a character."""
+    words = ["he", "she", "hers", "his", "ers", "sher", "rs", "eé"]
+    endings = pieces.Endings(words)
+    for text in ("ushers", "shishershe", "heéers", "xx hers", ""):
+        node = 0
+        for end, c in enumerate(text, 1):
+            node = endings.move(node, c)
+            found = [words[number] for _, number in endings.ends[node]]
+            assert found == sorted((w for w in words if text[:end].endswith(w)), key=len, reverse=True)
+
+
+def test_steps_in_any_order_and_without_memory(monkeypatch):
+    """The model's own encoding, whatever the word before was and however little of the automaton and of the pairs is remembered."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "MOVES", 3)
+    monkeypatch.setattr(pieces, "PAIRS", 2)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model.from_file(path)
+    for word in ("internationalisation", "internal", "intern", "étrangère", "日本語", "x\x00y", "aaaaaaaaaaaaaaaa", "internationales", "qzqzqz", "<s>"):
+        assert own.encode(" " + word) == array("I", model.encode(word)).tobytes()
+
+
 def test_unigram_is_the_best_cut():
     scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "abc": -4.0, "c": -2.0, "bc": -1.0, " a": -0.7, " ": -0.9}
     ids = {p: 300 + k for k, p in enumerate(scores)}

@@ -9,7 +9,8 @@ gain it) and sequences that occur twice; no length is set, and a context that do
 are smoothed by absolute discounting: what is taken off, and all next words that are not kept, go to the suffix's
 distribution, and at the root to add-one word frequencies.
 
-Scoring. A word's probability is read at the state of the longest suffix before it.
+Scoring. A word's probability is read at the state of the longest suffix before it. It is settled, and added to its text's score,
+as soon as no longer context can change it; a block is dropped once only its front (:class:`Front`) goes on.
 
 Nothing is sent to the driver or to every task, so the tree grows with the corpus. Texts are gathered in blocks of tokens. A
 block asks for its distinct sequences, dealt out by ranges of their hashes; each range sums up what was asked and answers every
@@ -31,7 +32,6 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,16 +161,21 @@ class Block:
 
     def longer(self) -> Level:
         """The next level: sequences of which both parts are kept, and whose context refines a state."""
+        kept, led = self.leading()
+        whole = extended(shifted(self.levels[-1].whole), self.word)
+        ok = led & kept
+        value, place = np.unique(whole[ok], return_inverse=True)
+        return Level(whole, ok, value, place, led)
+
+    def leading(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens whose sequence on the last level is kept, and those before which one may be a context of the next level."""
         below, k = self.levels[-1], len(self.levels)
         kept = below.at_tokens(below.n) >= LEAST
         led = shifted(kept) & (self.place >= k)
         if k > 1:
             refined = self.levels[k - 2]
             led &= shifted(refined.at_tokens(refined.grows))
-        whole = extended(shifted(below.whole), self.word)
-        ok = led & kept
-        value, place = np.unique(whole[ok], return_inverse=True)
-        return Level(whole, ok, value, place, led)
+        return kept, led
 
     def contexts(self) -> np.ndarray:
         """Places of the last level's contexts among the sequences of the level before it."""
@@ -182,11 +187,11 @@ class Block:
         return np.flatnonzero(asked)
 
     def root(self, tree: Tree) -> np.ndarray:
-        return tree.root(self.levels[0].at_tokens(self.levels[0].n))
+        return self.levels[0].at_tokens(tree.root(self.levels[0].n))
 
     def probability(self, tree: Tree, depth: int) -> np.ndarray:
         """Of each token, by contexts of ``depth`` words at most."""
-        p = 10.0 ** self.root(tree)
+        p = self.levels[0].at_tokens(10.0 ** tree.root(self.levels[0].n))
         for k in range(1, depth + 1):
             context, whole = self.levels[k - 1], self.levels[k]
             share = np.where(whole.led, shifted(context.at_tokens(context.share)), 0.0)
@@ -243,13 +248,16 @@ def shares_of(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Front:
-    """The few tokens of a block at which contexts still grow, and those before them.
+    """The few tokens of a block at which contexts still grow, and those before them; and the block's texts.
 
     ``whole`` and ``n`` are of the sequences of so many words that end at a token, ``p`` is its probability by shorter
     contexts than that, and ``led`` tells the tokens whose sequence may be looked at with one more word in front.
+    Of each text: ``sizes`` and ``seen``, its tokens and the known ones; ``base``; and ``score``, that of the tokens that are settled.
     """
 
     block: int
+    ids: list
+    held: list
     pos: np.ndarray
     word: np.ndarray
     whole: np.ndarray
@@ -257,20 +265,31 @@ class Front:
     p: np.ndarray
     led: np.ndarray
     train: np.ndarray
+    sizes: np.ndarray
+    seen: np.ndarray
+    base: np.ndarray
+    score: np.ndarray
 
-    SCHEMA = "block long, pos binary, word binary, whole binary, n binary, p binary, led binary, train binary"
     KINDS = {"pos": np.uint32, "word": U64, "whole": U64, "n": np.int64, "p": np.float64, "led": bool, "train": bool}
+    TEXTS = {"sizes": np.int64, "seen": np.int64, "base": np.float64, "score": np.float64}
+    LISTS = {"ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_())}
+    SCHEMA = ", ".join(["block long, ids array<long>, held array<boolean>", *(f"{name} binary" for name in (*KINDS, *TEXTS))])
 
     @staticmethod
     def of(row: dict) -> Front:
-        return Front(row["block"], **{name: np.frombuffer(row[name], kind) for name, kind in Front.KINDS.items()})
+        arrays = {name: np.frombuffer(row[name], kind) for name, kind in (Front.KINDS | Front.TEXTS).items()}
+        return Front(row["block"], row["ids"], row["held"], **arrays)
 
-    def taken(self, rows: np.ndarray) -> Front:
-        return Front(self.block, **{name: getattr(self, name)[rows] for name in Front.KINDS})
+    def settled(self, rows: np.ndarray) -> Front:
+        """Without these tokens, whose probabilities are added to the scores."""
+        text = np.searchsorted(np.cumsum(self.sizes), self.pos[rows], "right")
+        score = self.score + np.bincount(text, np.log10(self.p[rows]), len(self.sizes))
+        return replace(self, score=score, **{name: getattr(self, name)[~rows] for name in Front.KINDS})
 
-    def row(self, *more) -> list[pa.Array]:
-        columns = [pa.array([getattr(self, name).astype(kind).tobytes()], pa.binary()) for name, kind in Front.KINDS.items()]
-        return [pa.array([self.block], pa.int64()), *columns, *(pa.array([x]) for x in more)]
+    def row(self) -> pa.RecordBatch:
+        lists = [pa.array([getattr(self, name)], kind) for name, kind in Front.LISTS.items()]
+        columns = [pa.array([getattr(self, name).astype(kind).tobytes()], pa.binary()) for name, kind in (Front.KINDS | Front.TEXTS).items()]
+        return pa.RecordBatch.from_arrays([pa.array([self.block], pa.int64()), *lists, *columns], names=["block", *Front.LISTS, *Front.KINDS, *Front.TEXTS])
 
     def before(self, x: np.ndarray) -> np.ndarray:
         """Of each token what the token before it has; 0 where that one is not here."""
@@ -380,15 +399,11 @@ def shares(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
 
 @dataclass
 class Tree:
-    """The training tokens, how many are distinct, and the states (context, share, grows) of each length of contexts.
-
-    ``late``: per block the tokens whose probability comes of contexts of more than ``DENSE`` words, and that probability.
-    """
+    """The training tokens, how many are distinct, and the states (context, share, grows) of each length of contexts."""
 
     total: int = 0
     distinct: int = 0
     states: list[DataFrame] = field(default_factory=list)
-    late: DataFrame | None = None
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts + 1) - math.log10(self.total + self.distinct + 1)
@@ -401,19 +416,17 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 class Known:
-    """The blocks, and what they were answered so far; all dealt out by block. ``drop`` it when nothing reads it any more."""
+    """The blocks, and what they were answered so far; all dealt out by block. ``drop`` it when nothing reads it any more.
+
+    In the end only the answer ``front`` is left, which has the scores.
+    """
 
     def __init__(self, table: DataFrame):
         self.blocks, self.answers = Keyed(blocks(table), "block"), {}
 
-    def each(self, work: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, levels: int, depth: int = 0, further: bool = False, late: DataFrame | None = None) -> DataFrame:
-        """What ``work`` gives for every block, with the counts of so many levels and the shares of contexts up to ``depth`` words.
-
-        ``late``: a table of more columns for some blocks.
-        """
+    def each(self, work: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, levels: int, depth: int = 0, further: bool = False) -> DataFrame:
+        """What ``work`` gives for every block, with the counts of so many levels and the shares of contexts up to ``depth`` words."""
         frame = self.blocks.frame()
-        if late is not None:
-            frame = frame.join(late, "block", "left")
         for name in [*(f"n{k + 1}" for k in range(levels)), *(f"share{k + 1}" for k in range(depth))]:
             frame = frame.join(self.answers[name].frame(), "block", "left")
 
@@ -427,6 +440,7 @@ class Known:
     def drop(self) -> None:
         for t in (self.blocks, *self.answers.values()):
             t.drop()
+        self.answers = {}
 
 
 @contextmanager
@@ -456,7 +470,7 @@ ENTRY = "context long, n long, n_context long, below double"
 
 
 def learn(table: DataFrame) -> tuple[Tree, Known]:
-    """The tree, and the blocks with the counts and shares of their sequences."""
+    """The tree, and the scores of all texts."""
     known = Known(table)
     try:
         return _learned(known), known
@@ -527,17 +541,22 @@ def _learned(known: Known) -> Tree:
 
     # Longer ones at the few tokens where contexts still grow.
     def first_front(block: Block) -> Iterator[pa.RecordBatch]:
-        led, level = block.longer().led, block.levels[-1]
-        there = np.flatnonzero(led | np.append(led[1:], False))
-        if len(there):
-            p, n = block.probability(root, DENSE), level.at_tokens(level.n)
-            front = Front(block.row["block"], there, block.word[there], level.whole[there], n[there], p[there], led[there], block.train[there])
-            yield pa.RecordBatch.from_arrays(front.row(), names=names)
+        led, level, size = block.leading()[1], block.levels[-1], len(block.held)
+        there = led | np.append(led[1:], False)
+        words = block.levels[0]
+        p, n, seen = block.probability(root, DENSE), level.at_tokens(level.n), words.at_tokens(words.n > 0)
+        sums = (np.bincount(block.doc, x, size) for x in (seen, block.root(root)))
+        tokens_ = (np.arange(len(p)), block.word, level.whole, n, p, led, block.train)
+        front = Front(block.row["block"], block.row["ids"], block.row["held"], *tokens_, np.array(block.row["sizes"], np.int64), *sums, np.zeros(size))
+        yield front.settled(~there).row()
 
     def asks(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
-        yield from asks_of(front.block, front.longer(), front.train)
+        if len(front.pos):
+            yield from asks_of(front.block, front.longer(), front.train)
 
     def front_entries(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
+        if not len(front.pos):
+            return
         level = front.longer()
         level.n, level.owned = counts_of(row["counts"])
         at = np.empty(len(level.value), np.int64)
@@ -548,6 +567,9 @@ def _learned(known: Known) -> Tree:
         yield from contexts_of(front.block, front.contexts(level)[0])
 
     def next_front(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
+        if not len(front.pos):
+            yield front.row()
+            return
         level = front.longer()
         level.n, _ = counts_of(row["counts"])
         n = level.at_tokens(level.n)
@@ -561,26 +583,20 @@ def _learned(known: Known) -> Tree:
         moved.led = grows & moved.before(n >= LEAST)
         follows = np.append(front.pos[1:] == front.pos[:-1] + np.uint32(1), False)
         stays = moved.led | (np.append(moved.led[1:], False) & follows)
-        for rows, there in ((stays, True), (~stays, False)):
-            if rows.any():
-                yield pa.RecordBatch.from_arrays(moved.taken(rows).row(there), names=[*names, "stays"])
-
-    names = [c.split()[0] for c in Front.SCHEMA.split(", ")]
-    # Fronts stay dealt out by block, as the answers are, so that none is moved to meet them.
-    known.answers["front"] = Keyed(known.each(first_front, Front.SCHEMA, DENSE + 1, DENSE), "block", dealt=True)
-    front = known.answers["front"].frame()
-    left = []
-    while not tree.states[-1].where("grows").isEmpty() and not front.isEmpty():
-        n = exchange(fronted(front, asks, ASK), totals, "counts")
-        share = judged(fronted(front, front_entries, f"{ENTRY}, {ASK}", n), "shares")
-        fronts = Keyed(fronted(front, next_front, f"{Front.SCHEMA}, stays boolean", n, share), "block", dealt=True)
-        known.answers[f"front{len(left)}"], moved = fronts, fronts.frame()
-        n.drop(), share.drop()
-        left.append(moved.where("NOT stays").select("block", "pos", "p"))
-        front = moved.where("stays").drop("stays")
-    left.append(front.select("block", "pos", "p"))
-    settled = reduce(lambda a, b: a.unionByName(b), left)
-    tree.late = settled.groupBy("block").agg(F.collect_list(F.struct("pos", "p")).alias("late"))
+        yield moved.settled(~stays).row()
+
+    # Fronts stay dealt out by block, as the answers are, so that none is moved to meet them; one at a time is kept.
+    front = Keyed(known.each(first_front, Front.SCHEMA, DENSE + 1, DENSE), "block", dealt=True)
+    known.drop()
+    known.answers["front"] = front
+    while not tree.states[-1].where("grows").isEmpty() and not front.frame().where(F.length("pos") > 0).isEmpty():
+        n = exchange(fronted(front.frame(), asks, ASK), totals, "counts")
+        share = judged(fronted(front.frame(), front_entries, f"{ENTRY}, {ASK}", n), "shares")
+        moved = Keyed(fronted(front.frame(), next_front, Front.SCHEMA, n, share), "block", dealt=True)
+        known.answers["front"] = moved
+        for t in (front, n, share):
+            t.drop()
+        front = moved
     return tree
 
 
@@ -650,20 +666,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame) -> DataFrame:
     tree, known = learn(split(docs))
     names = [c.split()[0] for c in SCORED.split(", ")]
-    late, tree = tree.late, Tree(tree.total, tree.distinct)
-
-    def run(block: Block) -> Iterator[pa.RecordBatch]:
-        size = len(block.held)
-        seen = block.levels[0].at_tokens(block.levels[0].n) > 0
-        p = block.probability(tree, DENSE)
-        for part in block.row["late"] or []:
-            p[np.frombuffer(part["pos"], np.uint32)] = np.frombuffer(part["p"], np.float64)
-        parts = (np.ones(len(block.doc)), seen, block.root(tree), np.log10(p))
-        n, n_known, base, score = (np.bincount(block.doc, x, size) for x in parts)
-        columns = [pa.array(block.row["ids"], pa.int64()), pa.array(block.held), *(pa.array(x.astype(np.int64)) for x in (n, n_known, np.full(size, tree.total)))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(base), pa.array(score)], names=names)
+    total = tree.total
+
+    def run(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
+        front = front.settled(np.ones(len(front.pos), bool))
+        lists = [pa.array(getattr(front, name), kind.value_type) for name, kind in Front.LISTS.items()]
+        numbers = [pa.array(x.astype(np.int64)) for x in (front.sizes, front.seen, np.full(len(front.sizes), total))]
+        yield pa.RecordBatch.from_arrays([*lists, *numbers, pa.array(front.base), pa.array(front.score)], names=names)
 
     try:
-        return written(known.each(run, SCORED, DENSE + 1, DENSE, late=late))
+        return written(fronted(known.answers["front"].frame(), run, SCORED))
     finally:
         known.drop()

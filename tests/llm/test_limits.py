@@ -1,6 +1,7 @@
 """What the operators leave on disk, and what they work with."""
 
 import time
+import zlib
 
 import numpy as np
 
@@ -28,6 +29,32 @@ def test_suffix_tree_drops_its_shuffles(spark):
     assert spark.conf.get(name) == given
 
 
+def test_suffix_tree_keeps_one_front_at_a_time(spark, monkeypatch):
+    """Blocks and what they were answered go before contexts of more words are looked at, and each front when the next one is there."""
+    kept, most, grown = set(), [], suffix_tree.fronted
+
+    class Counted(suffix_tree.Keyed):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            kept.add(self.name)
+
+        def drop(self):
+            super().drop()
+            kept.discard(self.name)
+
+    def fronted(*args):
+        most.append(len(kept))
+        return grown(*args)
+
+    monkeypatch.setattr(suffix_tree, "Keyed", Counted)
+    monkeypatch.setattr(suffix_tree, "fronted", fronted)
+    rows = [(k, " ".join("stop " + "go " * (1 + zlib.crc32(b"%d %d" % (k, j)) % 9) for j in range(40))) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (None, "stop")], "doc_id long, text string")
+    assert suffix_tree.score_documents(docs).count() == 62
+    # The front, and the counts and shares that it was answered.
+    assert len(most) > 9 and max(most) <= 3 and not kept
+
+
 def test_needs_meet_room_without_conversion():
     """Needs are kept in the type that products are made in, at first and when the pool grows."""
     pool = packing.Pool(packing.Limits())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlink.llm.common import U64, Keyed, Rolling, Words, anchors, chunks, sliding_min, texts, written
+from eventlink.llm.common import U64, Keyed, Rolling, Words, anchors, chunks, shuffles_dropped, sliding_min, texts, written
 from eventlink.llm.components import components
 from eventlink.operators.joins import attach
 
@@ -235,21 +235,23 @@ def _without(keyed: DataFrame, spans: DataFrame, schema: str, digest: bool) -> D
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: its words, how many go, and the digest of the kept words joined by spaces (see ``REMOVED``)."""
-    keyed = Keyed(keyed_texts(docs), "key")
-    try:
-        return written(_without(keyed.frame(), repeated_spans(keyed.frame()), REMOVED, True))
-    finally:
-        keyed.drop()
+    with shuffles_dropped(docs.sparkSession):
+        keyed = Keyed(keyed_texts(docs), "key")
+        try:
+            return written(_without(keyed.frame(), repeated_spans(keyed.frame()), REMOVED, True))
+        finally:
+            keyed.drop()
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:
     """Of documents that lose words: doc_id, n_words, n_removed, and kept_text, the kept words joined by spaces."""
-    keyed = Keyed(keyed_texts(docs), "key")
-    try:
-        out = _without(keyed.frame(), repeated_spans(keyed.frame()), "doc_id long, n_words long, n_removed long, kept_text string", False)
-        return written(out.where("n_removed > 0"))
-    finally:
-        keyed.drop()
+    with shuffles_dropped(docs.sparkSession):
+        keyed = Keyed(keyed_texts(docs), "key")
+        try:
+            out = _without(keyed.frame(), repeated_spans(keyed.frame()), "doc_id long, n_words long, n_removed long, kept_text string", False)
+            return written(out.where("n_removed > 0"))
+        finally:
+            keyed.drop()
 
 
 SQL = r"""

@@ -4,8 +4,9 @@ import time
 import zlib
 
 import numpy as np
+import pytest
 
-from eventlink.llm import packing, suffix_tree
+from eventlink.llm import packing, suffix_tree, word_repeats
 
 
 def shuffle_files(spark):
@@ -29,6 +30,20 @@ def test_suffix_tree_drops_its_shuffles(spark):
     assert spark.conf.get(name) == given
 
 
+@pytest.mark.parametrize("work", [word_repeats.kept_texts, word_repeats.remove_repeats])
+def test_word_repeats_drop_their_shuffles(spark, work):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given, before = spark.conf.get(name), shuffle_files(spark)
+    passage = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, f"{k} {passage} {k}") for k in range(4)], "doc_id long, text string")
+    assert [r.n_removed for r in work(docs).collect()] == [40] * 4
+    for _ in range(20):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.5)
+    assert not left and spark.conf.get(name) == given
+
+
 def test_suffix_tree_keeps_one_front_at_a_time(spark, monkeypatch):
     """Blocks and what they were answered go before contexts of more words are looked at, and each front when the next one is there."""
     kept, most, grown = set(), [], suffix_tree.fronted

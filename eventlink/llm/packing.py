@@ -22,14 +22,16 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlink.llm.common import chunks, texts
+from eventlink.llm.common import as_bytes, chunks, texts
 
 #: Examples that wait in a task's pool at most.
 POOL = 1024
@@ -37,6 +39,10 @@ POOL = 1024
 MEMORY = 900_000
 #: New words encoded as one line.
 LINE = 200
+#: What often stands behind a word.
+MARKS = ".,;:!?"
+#: Bytes of text whose words are looked up at once.
+LOOKED_UP = 1 << 22
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 #: Ids that are handed on at once (a sequence goes in whole).
@@ -194,37 +200,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        #: Marks that the tokenizer parts from a letter before them, whatever follows.
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = "".join(m for m in MARKS if m not in added and self.parts(m)).encode()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put the words among the young, from the old ones where they are known there."""
+    def parts(self, mark: str) -> bool:
+        before = self.tokenizer.pre_tokenizer
+        return before is not None and [span for _, span in before.pre_tokenize_str(f"a{mark}")] == [(0, 1), (1, 2)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Put the distinct words among the young, from the old ones where they are known there."""
         if len(self.young) + len(words) > MEMORY:
             self.old, self.young = self.young, {}
         fresh = []
-        for word in words:
-            ids = self.old.get(word)
+        for word, ids in zip(words, map(self.old.get, words), strict=True):
             if ids is None:
                 fresh.append(word)
             else:
                 self.young[word] = ids
-        lines = [fresh[k : k + LINE] for k in range(0, len(fresh), LINE)]
+        if not self.marks:
+            self.young.update(self.encoded(fresh))
+            return
+        # What is in front of the marks is often known, or the same for many words.
+        stems = [word.rstrip(self.marks) for word in fresh]
+        apart = [len(stem) < len(word) and stem[-1:].isalpha() for word, stem in zip(fresh, stems, strict=True)]
+        stems = [stem if split else word for word, stem, split in zip(fresh, stems, apart, strict=True)]
+        tails = {word[len(stem) :] for word, stem, split in zip(fresh, stems, apart, strict=True) if split}
+        parts = dict.fromkeys(stems)
+        parts.update(zip(parts, map(self.young.get, parts), strict=True))
+        parts.update(self.encoded([part for part, ids in parts.items() if ids is None]))
+        ends = self.encoded(list(tails))
+        self.young.update((word, parts[stem] + ends[word[len(stem) :]] if split else parts[stem]) for word, stem, split in zip(fresh, stems, apart, strict=True))
+
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct words, encoded many to a line."""
+        out = {}
+        lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
         texts_ = [[w.decode() for w in line] for line in lines]
         found = self.tokenizer.encode_batch([" ".join(t) for t in texts_], add_special_tokens=False)
         for line, text, e in zip(lines, texts_, found, strict=True):
-            starts = np.cumsum([0, *(len(w) + 1 for w in text)])
-            places = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            starts = np.cumsum([0, *map((1).__add__, map(len, text))])
+            places = np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e.ids))
             ends = (4 * np.searchsorted(places, starts)).tolist()
             data = array("I", e.ids).tobytes()
-            self.young.update(zip(line, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+            out.update(zip(line, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [text.split() for text in texts]
-        found = [list(map(self.young.get, w)) for w in words]
-        gaps = [k for k, ids in enumerate(found) if None in ids]
-        self.learn({w for k in gaps for w, ids in zip(words[k], found[k], strict=True) if ids is None})
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        # Each distinct word is looked up once; Arrow lays its ids out wherever it stands.
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, distinct))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        self.learn([distinct[k] for k in gaps])
         for k in gaps:
-            found[k] = [self.young[w] if ids is None else ids for w, ids in zip(words[k], found[k], strict=True)]
-        return list(map(b"".join, found))
+            found[k] = self.young[distinct[k]]
+        raw, at = as_bytes(pa.array(found, pa.large_binary()).take(coded.indices))
+        data, ends = raw.tobytes(), at[words.offsets.to_numpy()].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -241,7 +276,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), w
         end = array("I", [END_ID]).tobytes()
 
         def examples() -> Iterator[Piece]:
-            for part, raw, at in chunks(batches):
+            for part, raw, at in chunks(batches, size=LOOKED_UP):
                 data = raw.tobytes()
                 found = encoder([data[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)])
                 for key, ids in zip(part.column(0).to_pylist(), found, strict=True):

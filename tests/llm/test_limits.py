@@ -4,6 +4,7 @@ import time
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from eventlink.llm import packing, suffix_tree, word_repeats
@@ -77,3 +78,20 @@ def test_needs_meet_room_without_conversion():
         pool.add(packing.Piece(k, 0, 5, 5, None, 5))
     assert pool.needs.dtype == pool.limit.dtype == np.float64
     assert pool.best(pool.limit, np.ones(len(pool), bool)) == 0
+
+
+def test_words_are_encoded_once_without_the_marks_behind_them():
+    encoder, seen = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    whole = encoder.tokenizer
+
+    class Counted:
+        def encode_batch(self, lines, **more):
+            seen.extend(w for line in lines for w in line.split(" "))
+            return whole.encode_batch(lines, **more)
+
+    encoder.tokenizer = Counted()
+    said = ["stem, stem. Stem?! stem it's, 's. ., é. é, <|endoftext|>. |>, a!'s; x.y. 5. don't...", "", " \t\n", "stem; . \x1c. 日本. ."]
+    want = [whole.encode(text, add_special_tokens=False).ids for text in said]
+    for _ in range(2):
+        assert [np.frombuffer(ids, np.uint32).tolist() for ids in encoder([text.encode() for text in said])] == want
+    assert seen.count("stem") == 1 and not {"stem,", "stem.", "stem;"} & {*seen}

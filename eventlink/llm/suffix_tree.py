@@ -32,6 +32,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,10 @@ END = U64(0xE0D)
 BLOCK = 1 << 18
 #: Bytes that Spark hands to Python at once, as blocks are large rows.
 HANDED = "4m"
-#: Tokens for each range of hashes, and ranges at least.
-RANGE, RANGES = 1 << 22, 64
+#: Tokens for each range of hashes, and ranges at least; a front has no more ranges than one for every ``FEW`` of its tokens.
+RANGE, RANGES, FEW = 1 << 22, 64, 1 << 14
+#: Tokens of fronts in a file, and fronts, as texts go with them.
+FRONT, FRONTS = 1 << 17, 64
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +76,30 @@ def shifted(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
 
 
+def numbered(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, where each comes first, and of every value its place among them.
+
+    One sort of the values' upper bits with their places below these; only where cut values lie out of order are whole ones sorted.
+    """
+    if not len(value):
+        return value, np.empty(0, np.int64), np.empty(0, np.int64)
+    least, width = value.min(), (len(value) - 1).bit_length()
+    room = U64(64 - int(value.max() - least).bit_length())
+    below = U64((1 << width) - 1)
+    key = (((value - least) << np.minimum(room, U64(63))) & ~below) | np.arange(len(value), dtype=U64)
+    key.sort()
+    order = (key & below).view(np.int64)
+    ordered = value[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(value, kind="stable")
+        ordered = value[order]
+    new = np.ones(len(value), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(value), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], place
+
+
 BLOCKS = "block long, tokens long, trained long, ids array<long>, held array<boolean>, sizes array<int>, words binary, codes binary"
 
 
@@ -84,11 +111,11 @@ def blocks(table: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             ids, out, sizes, value = zip(*held, strict=True)
-            words, codes = np.unique(np.concatenate(value), return_inverse=True)
+            words, _, codes = numbered(np.concatenate(value))
             lists = [pa.concat_arrays([c.cast(kind) for c in x]) for x, kind in ((ids, pa.int64()), (out, pa.bool_()))]
             lists.append(pa.array(np.concatenate(sizes).astype(np.int32)))
             columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-            planes = codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+            planes = np.ascontiguousarray(codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
             data = [pa.array([zstandard.compress(x, 1)], pa.binary()) for x in (coded(words), planes)]
             trained = sum(int(n.sum()) - int(n[h.to_numpy(zero_copy_only=False)].sum()) for h, n in zip(out, sizes, strict=True))
             numbers = [pa.array([number]), pa.array([len(codes)]), pa.array([trained])]
@@ -125,11 +152,21 @@ class Level:
     share: np.ndarray | None = None
     grows: np.ndarray | None = None
 
-    def at_tokens(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.ok), x.dtype)
-        out[self.ok] = x[self.place]
+    @cached_property
+    def places(self) -> np.ndarray:
+        """``place`` of every token; the number of distinct sequences where none is looked at."""
+        out = np.full(len(self.ok), len(self.value))
+        out[self.ok] = self.place
         return out
 
+    def at_tokens(self, x: np.ndarray) -> np.ndarray:
+        return np.append(x, np.zeros(1, x.dtype)).take(self.places)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """``n`` at each token."""
+        return self.at_tokens(self.n)
+
 
 class Block:
     """The tokens of a block, and its levels as far as their counts (``n1``, ..) and shares (``share1``, ..) are there."""
@@ -157,20 +194,20 @@ class Block:
                 # The shares of a level's contexts are asked for by the tokens after them.
                 level.share, level.grows = np.zeros(len(level.n)), np.zeros(len(level.n), bool)
                 at = self.contexts()
-                level.share[at], level.grows[at] = shares_of(row[f"share{k}"])
+                level.share[at], level.grows[at] = shares_of(row[f"share{k}"], level.n[at])
 
     def longer(self) -> Level:
         """The next level: sequences of which both parts are kept, and whose context refines a state."""
         kept, led = self.leading()
         whole = extended(shifted(self.levels[-1].whole), self.word)
         ok = led & kept
-        value, place = np.unique(whole[ok], return_inverse=True)
+        value, _, place = numbered(whole[ok])
         return Level(whole, ok, value, place, led)
 
     def leading(self) -> tuple[np.ndarray, np.ndarray]:
         """The tokens whose sequence on the last level is kept, and those before which one may be a context of the next level."""
         below, k = self.levels[-1], len(self.levels)
-        kept = below.at_tokens(below.n) >= LEAST
+        kept = below.counts >= LEAST
         led = shifted(kept) & (self.place >= k)
         if k > 1:
             refined = self.levels[k - 2]
@@ -181,23 +218,22 @@ class Block:
         """Places of the last level's contexts among the sequences of the level before it."""
         context, led = self.levels[-2], self.levels[-1].led
         asked = np.zeros(len(context.value), bool)
-        places = np.zeros(len(context.ok), np.int64)
-        places[context.ok] = context.place
-        asked[places[np.flatnonzero(led) - 1]] = True
+        asked[context.places[np.flatnonzero(led) - 1]] = True
         return np.flatnonzero(asked)
 
     def root(self, tree: Tree) -> np.ndarray:
         return self.levels[0].at_tokens(tree.root(self.levels[0].n))
 
-    def probability(self, tree: Tree, depth: int) -> np.ndarray:
-        """Of each token, by contexts of ``depth`` words at most."""
-        p = self.levels[0].at_tokens(10.0 ** tree.root(self.levels[0].n))
+    def probability(self, tree: Tree, depth: int, at: np.ndarray) -> np.ndarray:
+        """Of the tokens at these places, by contexts of ``depth`` words at most."""
+        words = self.levels[0]
+        p = (10.0 ** tree.root(words.n))[words.place[at]]
         for k in range(1, depth + 1):
             context, whole = self.levels[k - 1], self.levels[k]
-            share = np.where(whole.led, shifted(context.at_tokens(context.share)), 0.0)
-            n = whole.at_tokens(whole.n)
-            own = np.where(n >= LEAST, n - DISCOUNT, 0.0) / np.maximum(shifted(context.at_tokens(context.n)), 1)
-            p = np.where(share > 0, share * p + own, p)
+            share = np.append(context.share, 0.0)[context.places[at - 1]]
+            rows = np.flatnonzero(whole.led[at] & (share > 0))
+            n = whole.counts[at[rows]]
+            p[rows] = share[rows] * p[rows] + np.where(n >= LEAST, n - DISCOUNT, 0.0) / context.counts[at[rows] - 1]
         return p
 
 
@@ -231,19 +267,18 @@ def counts_of(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(n), np.concatenate(owned)
 
 
-def shares_of(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Shares (0: no state), and whether longer contexts are looked for, out of the answers of all ranges."""
-    share, grows, at = [np.empty(0)], [np.empty(0, bool)], 0
+def shares_of(data: bytes | None, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares (0: no state) of contexts with these counts, and whether longer contexts are looked for, out of the answers of all ranges."""
+    left, grows, at = [np.empty(0, np.int64)], [np.empty(0, bool)], 0
     data = data or b""
     while at < len(data):
         (size,) = struct.unpack_from("<I", data, at)
         state, at = bits(data, size, at + 4)
         more, at = bits(data, size, at)
-        some = np.zeros(size)
-        some[state] = np.frombuffer(data, np.float64, state.sum(), at)
-        at += 8 * int(state.sum())
-        share.append(some), grows.append(more)
-    return np.concatenate(share), np.concatenate(grows)
+        some = np.zeros(size, np.int64)
+        some[state], at = unpacked(data, int(state.sum()), at)
+        left.append(some), grows.append(more)
+    return np.concatenate(left) / np.maximum(2 * n, 1), np.concatenate(grows)
 
 
 @dataclass
@@ -273,12 +308,13 @@ class Front:
     KINDS = {"pos": np.uint32, "word": U64, "whole": U64, "n": np.int64, "p": np.float64, "led": bool, "train": bool}
     TEXTS = {"sizes": np.int64, "seen": np.int64, "base": np.float64, "score": np.float64}
     LISTS = {"ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_())}
-    SCHEMA = ", ".join(["block long, ids array<long>, held array<boolean>", *(f"{name} binary" for name in (*KINDS, *TEXTS))])
+    SCHEMA = ", ".join(["block long, tokens long, ids array<long>, held array<boolean>", *(f"{name} binary" for name in (*KINDS, *TEXTS))])
 
     @staticmethod
     def of(row: dict) -> Front:
-        arrays = {name: np.frombuffer(row[name], kind) for name, kind in (Front.KINDS | Front.TEXTS).items()}
-        return Front(row["block"], row["ids"], row["held"], **arrays)
+        """Columns that are not read are None."""
+        arrays = {name: np.frombuffer(row[name], kind) if name in row else None for name, kind in (Front.KINDS | Front.TEXTS).items()}
+        return Front(row["block"], row.get("ids"), row.get("held"), **arrays)
 
     def settled(self, rows: np.ndarray) -> Front:
         """Without these tokens, whose probabilities are added to the scores."""
@@ -289,7 +325,8 @@ class Front:
     def row(self) -> pa.RecordBatch:
         lists = [pa.array([getattr(self, name)], kind) for name, kind in Front.LISTS.items()]
         columns = [pa.array([getattr(self, name).astype(kind).tobytes()], pa.binary()) for name, kind in (Front.KINDS | Front.TEXTS).items()]
-        return pa.RecordBatch.from_arrays([pa.array([self.block], pa.int64()), *lists, *columns], names=["block", *Front.LISTS, *Front.KINDS, *Front.TEXTS])
+        numbers = [pa.array([x], pa.int64()) for x in (self.block, len(self.pos))]
+        return pa.RecordBatch.from_arrays([*numbers, *lists, *columns], names=["block", "tokens", *Front.LISTS, *Front.KINDS, *Front.TEXTS])
 
     def before(self, x: np.ndarray) -> np.ndarray:
         """Of each token what the token before it has; 0 where that one is not here."""
@@ -302,17 +339,18 @@ class Front:
         led = self.led & self.before(kept)
         ok = led & kept
         whole = extended(self.before(self.whole), self.word)
-        value, place = np.unique(whole[ok], return_inverse=True)
+        value, _, place = numbered(whole[ok])
         return Level(whole, ok, value, place, led)
 
     def contexts(self, level: Level) -> tuple[np.ndarray, np.ndarray]:
         """The distinct contexts of the tokens that are led, and of each such token its place among these."""
-        return np.unique(self.before(self.whole)[level.led], return_inverse=True)
+        value, _, place = numbered(self.before(self.whole)[level.led])
+        return value, place
 
 
 def coded(value: np.ndarray) -> bytes:
     """Sorted numbers as differences, byte by byte, so that their leading zeros stand together."""
-    return np.diff(value, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.ascontiguousarray(np.diff(value, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def decoded(data: bytes) -> np.ndarray:
@@ -349,8 +387,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, rows
 
 
-def exchange(asks: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[int, bytes]]], name: str) -> Keyed:
-    """(block, name): the answers to each block, for its asked values in order. ``answer`` sees all rows of a bucket."""
+def exchange(asks: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[int, bytes]]], name: str, n: int | None = None) -> Keyed:
+    """(block, name): the answers to each block, for its asked values in order, in ``n`` files. ``answer`` sees all rows of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in grouped(batches, "bucket"):
@@ -362,16 +400,16 @@ def exchange(asks: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[int,
             whole = b"".join(r["said"] for r in rows)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([whole], pa.binary())], names=["block", name])
 
-    n = partitions(asks.sparkSession)
-    answers = asks.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket long, said binary")
-    return Keyed(answers.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(joined, f"block long, {name} binary"), "block", dealt=True)
+    n = n or partitions(asks.sparkSession)
+    answers = asks.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket long, said binary")
+    return Keyed(answers.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(joined, f"block long, {name} binary"), "block", dealt=True, n=n)
 
 
 def totals(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
     """The sum of the counts of each asked value; the first block that asked owns it."""
     asked = [decoded(r["asked"]) for r in rows]
     given = np.concatenate([unpacked(r["given"], len(x))[0] for r, x in zip(rows, asked, strict=True)])
-    value, first, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+    value, first, place = numbered(np.concatenate(asked))
     n = np.bincount(place, given, len(value)).astype(np.int64)[place]
     owned = np.zeros(len(n), bool)
     owned[first] = True
@@ -383,18 +421,18 @@ def totals(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
 
 
 def shares(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
-    """The share of each asked context, 0 if it is no state, and whether it grows. States come with block -1."""
-    known = [(decoded(r["asked"]), np.frombuffer(r["given"], np.float64)) for r in rows if r["block"] < 0]
-    value, share = (np.concatenate(c) for c in zip(*known, strict=True)) if known else (np.empty(0, U64), np.empty(0))
+    """What is left of each asked context, 0 if it is no state, and whether it grows (the last bit). States come with block -1."""
+    known = [(x := decoded(r["asked"]), unpacked(r["given"], len(x))[0]) for r in rows if r["block"] < 0]
+    value, left = (np.concatenate(c) for c in zip(*known, strict=True)) if known else (np.empty(0, U64), np.empty(0, np.int64))
     order = np.argsort(value)
-    value, share = np.append(value[order], U64(0)), np.append(share[order], 0.0)
+    value, left = np.append(value[order], U64(0)), np.append(left[order], 0)
     for r in rows:
         if r["block"] >= 0:
             asked = decoded(r["asked"])
             at = np.searchsorted(value[:-1], asked)
-            found = np.where((value[at] == asked) & (at < len(value) - 1), share[at], 0.0)
-            flags = np.packbits(found != 0).tobytes() + np.packbits(found > 0).tobytes()
-            yield r["block"], struct.pack("<I", len(asked)) + flags + np.abs(found[found != 0]).tobytes()
+            found = np.where((value[at] == asked) & (at < len(value) - 1), left[at], 0)
+            flags = np.packbits(found > 0).tobytes() + np.packbits(found & 1).tobytes()
+            yield r["block"], struct.pack("<I", len(asked)) + flags + packed(found[found > 0] >> 1)
 
 
 @dataclass
@@ -443,30 +481,54 @@ class Known:
         self.answers = {}
 
 
-@contextmanager
-def saved(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` as a table that is dropped afterwards."""
-    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").saveAsTable(name)
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+class Found:
+    """Rows of ``FOUND`` as a table by ``kind``, of which one kind can go before the others. ``drop`` it when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").partitionBy("kind").saveAsTable(self.name)
+
+    def frame(self, kind: int, schema: str) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("kind") == kind).select(*names_of(schema))
+
+    def without(self, kind: int) -> None:
+        self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (kind = {kind})")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark hands rows to Python in batches of ``HANDED`` bytes."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, HANDED)
+    """Inside, Spark hands rows to Python in batches of ``HANDED`` bytes, and writes a table's few kinds of rows side by side, without a sort."""
+    given = {"spark.sql.execution.arrow.maxBytesPerBatch": HANDED, "spark.sql.maxConcurrentOutputFileWriters": "4"}
+    before = {name: spark.conf.get(name) for name in given}
+    for name, value in given.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 ENTRY = "context long, n long, n_context long, below double"
+#: Of a state, twice the count of its context that is left to the suffix: what is not kept, and one half for each kept next word.
+STATE = "context long, n_context long, left long, grows boolean"
+ENTRIES, STATES, ASKS = range(3)
+FOUND = f"kind int, {ENTRY}, left long, grows boolean, {ASK}"
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def rows_of(kind: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of ``FOUND``; the other columns are null."""
+    size = len(next(iter(columns.values())))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    rest = {name: pa.nulls(size, kinds[type_]) for name, type_ in (c.split() for c in FOUND.split(", "))}
+    return pa.RecordBatch.from_pydict(rest | {"kind": pa.array(np.full(size, kind, np.int32))} | columns)
 
 
 def learn(table: DataFrame) -> tuple[Tree, Known]:
@@ -482,41 +544,49 @@ def learn(table: DataFrame) -> tuple[Tree, Known]:
 def _learned(known: Known) -> Tree:
     size = known.blocks.frame().agg(F.sum("tokens")).first()[0] or 0
     buckets = max(RANGES, -(-size // RANGE))
-    entry_names, ask_names = ([c.split()[0] for c in x.split(", ")] for x in (ENTRY, ASK))
-
     def asks_of(block: int, level: Level, train: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = np.bincount(level.place, train[level.ok], len(level.value)).astype(np.int64)
         if len(level.value):
             yield dealt(buckets, block, level.value, lambda some: packed(n[some]))
 
-    def entries_of(context: np.ndarray, n: np.ndarray, n_context: np.ndarray, below: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(context.view(np.int64)), pa.array(n), pa.array(n_context), pa.array(below)]
-        nulls = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, *nulls], names=[*entry_names, *ask_names])
+    def entries_of(context: np.ndarray, n: np.ndarray, n_context: np.ndarray, below: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Where too few other words follow to be kept, a next word is its context's only one, and nothing is summed.
+        rest = n_context - n
+        lone = rest < LEAST
+        at = ~lone
+        yield rows_of(ENTRIES, **{k: pa.array(x[at]) for k, x in zip(names_of(ENTRY), (context.view(np.int64), n, n_context, below), strict=True)})
+        context, n, n_context, below, rest = (x[lone] for x in (context, n, n_context, below, rest))
+        own = (n - DISCOUNT) / n_context
+        p = own + (1 - own) * below
+        at = n * np.log(p / below) + rest * np.log(1 - own) >= GAIN
+        state = context.view(np.int64), n_context, 2 * rest + 1, -n * np.log(p) >= GAIN
+        yield rows_of(STATES, **{k: pa.array(x[at]) for k, x in zip(names_of(STATE), state, strict=True)})
 
     def contexts_of(block: int, value: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(value):
             asks = dealt(buckets, block, value, lambda some: b"")
-            nulls = [pa.nulls(asks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*nulls, *asks.columns], names=[*entry_names, *ask_names])
+            yield rows_of(ASKS, **dict(zip(asks.schema.names, asks.columns, strict=True)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = batch.column(0).to_numpy().view(U64)
-            # The sign tells whether longer contexts are looked for.
-            share = np.where(batch.column(2).to_numpy(zero_copy_only=False), 1.0, -1.0) * batch.column(1).to_numpy()
+            value, left, grows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            value, said = value.view(U64), 2 * left + grows
             order = np.argsort(value)
             if len(order):
-                value, share = value[order], share[order]
-                yield dealt(buckets, -1, value, lambda some, share=share: share[some].tobytes())
-
-    def judged(both: DataFrame, name: str) -> Keyed:
-        """From entries and asks for contexts the states, and the shares that the blocks asked for."""
-        with saved(both) as found:
-            states = written(_states(found.where("context IS NOT NULL").select(*entry_names)))
-            tree.states.append(states)
-            asks = found.where("bucket IS NOT NULL").select(*ask_names).unionByName(states.mapInArrow(listed, ASK))
-            return exchange(asks, shares, name)
+                value, said = value[order], said[order]
+                yield dealt(buckets, -1, value, lambda some, said=said: packed(said[some]))
+
+    def judged(all_: DataFrame, name: str, n: int | None = None) -> Keyed:
+        """From entries, states and asks for contexts the states, and the shares that the blocks asked for."""
+        rows = Found(all_)
+        try:
+            states = written(_states(rows.frame(ENTRIES, ENTRY)).unionByName(rows.frame(STATES, STATE)))
+            tree.states.append(states.select("context", (F.col("left") / (2 * F.col("n_context"))).alias("share"), "grows"))
+            for kind in (ENTRIES, STATES):
+                rows.without(kind)
+            return exchange(rows.frame(ASKS, ASK).unionByName(states.mapInArrow(listed, ASK)), shares, name, n)
+        finally:
+            rows.drop()
 
     # Contexts of one and two words are looked at for all tokens.
     def counts(block: Block) -> Iterator[pa.RecordBatch]:
@@ -528,8 +598,8 @@ def _learned(known: Known) -> Tree:
         at = np.empty(len(whole.value), np.int64)
         at[whole.place] = np.flatnonzero(whole.ok)
         own = whole.owned & (whole.n >= LEAST)
-        at, n_context = at[own], context.at_tokens(context.n)
-        yield entries_of(context.whole[at - 1], whole.n[own], n_context[at - 1], block.probability(root, k - 1)[at])
+        at, n_context = at[own], context.counts
+        yield from entries_of(context.whole[at - 1], whole.n[own], n_context[at - 1], block.probability(root, k - 1, at))
         yield from contexts_of(block.row["block"], context.value[block.contexts()])
 
     known.answers["n1"] = exchange(known.each(counts, ASK, 0), totals, "n1")
@@ -537,16 +607,16 @@ def _learned(known: Known) -> Tree:
     root = Tree(tree.total, tree.distinct)
     for k in range(1, DENSE + 1):
         known.answers[f"n{k + 1}"] = exchange(known.each(counts, ASK, k, k - 1, further=True), totals, f"n{k + 1}")
-        known.answers[f"share{k}"] = judged(known.each(entries_and_contexts, f"{ENTRY}, {ASK}", k + 1, k - 1), f"share{k}")
+        known.answers[f"share{k}"] = judged(known.each(entries_and_contexts, FOUND, k + 1, k - 1), f"share{k}")
 
     # Longer ones at the few tokens where contexts still grow.
     def first_front(block: Block) -> Iterator[pa.RecordBatch]:
         led, level, size = block.leading()[1], block.levels[-1], len(block.held)
         there = led | np.append(led[1:], False)
         words = block.levels[0]
-        p, n, seen = block.probability(root, DENSE), level.at_tokens(level.n), words.at_tokens(words.n > 0)
+        p, n, seen = block.probability(root, DENSE, np.arange(len(led))), level.counts, words.counts > 0
         sums = (np.bincount(block.doc, x, size) for x in (seen, block.root(root)))
-        tokens_ = (np.arange(len(p)), block.word, level.whole, n, p, led, block.train)
+        tokens_ = (np.arange(len(led)), block.word, level.whole, n, p, led, block.train)
         front = Front(block.row["block"], block.row["ids"], block.row["held"], *tokens_, np.array(block.row["sizes"], np.int64), *sums, np.zeros(size))
         yield front.settled(~there).row()
 
@@ -563,7 +633,7 @@ def _learned(known: Known) -> Tree:
         at[level.place] = np.flatnonzero(level.ok)
         own = level.owned & (level.n >= LEAST)
         at = at[own]
-        yield entries_of(front.before(front.whole)[at], level.n[own], front.before(front.n)[at], front.p[at])
+        yield from entries_of(front.before(front.whole)[at], level.n[own], front.before(front.n)[at], front.p[at])
         yield from contexts_of(front.block, front.contexts(level)[0])
 
     def next_front(front: Front, row: dict) -> Iterator[pa.RecordBatch]:
@@ -572,12 +642,14 @@ def _learned(known: Known) -> Tree:
             return
         level = front.longer()
         level.n, _ = counts_of(row["counts"])
-        n = level.at_tokens(level.n)
+        n = level.counts
         _, place = front.contexts(level)
-        share, grows = np.zeros(len(n)), np.zeros(len(n), bool)
+        n_context, share, grows = front.before(front.n), np.zeros(len(n)), np.zeros(len(n), bool)
         if len(place):
-            share[level.led], grows[level.led] = (x[place] for x in shares_of(row["shares"]))
-        own = np.where(n >= LEAST, n - DISCOUNT, 0.0) / np.maximum(front.before(front.n), 1)
+            n_asked = np.zeros(int(place.max()) + 1, np.int64)
+            n_asked[place] = n_context[level.led]
+            share[level.led], grows[level.led] = (x[place] for x in shares_of(row["shares"], n_asked))
+        own = np.where(n >= LEAST, n - DISCOUNT, 0.0) / np.maximum(n_context, 1)
         p = np.where(share > 0, share * front.p + own, front.p)
         moved = replace(front, whole=level.whole, n=n, p=p)
         moved.led = grows & moved.before(n >= LEAST)
@@ -585,16 +657,29 @@ def _learned(known: Known) -> Tree:
         stays = moved.led | (np.append(moved.led[1:], False) & follows)
         yield moved.settled(~stays).row()
 
-    # Fronts stay dealt out by block, as the answers are, so that none is moved to meet them; one at a time is kept.
+    # Fronts stay dealt out by block, as the answers are, so that none is moved to meet them; one at a time is kept. When few tokens
+    # are left, fewer files, tasks and ranges do.
     front = Keyed(known.each(first_front, Front.SCHEMA, DENSE + 1, DENSE), "block", dealt=True)
     known.drop()
     known.answers["front"] = front
-    while not tree.states[-1].where("grows").isEmpty() and not front.frame().where(F.length("pos") > 0).isEmpty():
-        n = exchange(fronted(front.frame(), asks, ASK), totals, "counts")
-        share = judged(fronted(front.frame(), front_entries, f"{ENTRY}, {ASK}", n), "shares")
-        moved = Keyed(fronted(front.frame(), next_front, Front.SCHEMA, n, share), "block", dealt=True)
+    while not tree.states[-1].where("grows").isEmpty():
+        size, number = front.frame().agg(F.sum("tokens"), F.count("block")).first()
+        if not size:
+            break
+        # The functions above are handed on with the number of ranges of the time when a frame is made with them.
+        buckets = min(buckets, -(-size // FEW))
+        n = max(-(-size // FRONT), -(-number // FRONTS))
+        if 2 * n <= front.n:
+            moved = Keyed(front.frame(), "block", n=n)
+            known.answers["front"] = moved
+            front.drop()
+            front = moved
+        n = front.n
+        counted = exchange(fronted(front.frame().drop("p", *Front.LISTS, *Front.TEXTS), asks, ASK), totals, "counts", n)
+        share = judged(fronted(front.frame().drop("train", *Front.LISTS, *Front.TEXTS), front_entries, FOUND, counted), "shares", n)
+        moved = Keyed(fronted(front.frame(), next_front, Front.SCHEMA, counted, share), "block", dealt=True, n=n)
         known.answers["front"] = moved
-        for t in (front, n, share):
+        for t in (front, counted, share):
             t.drop()
         front = moved
     return tree
@@ -628,30 +713,26 @@ def _words(known: Known) -> tuple[int, int]:
 
 
 def _states(entries: DataFrame) -> DataFrame:
-    """(context, share, grows) of the contexts whose next words (see ``ENTRY``) diverge from what is below them.
+    """``STATE`` of the contexts whose next words (see ``ENTRY``) diverge from what is below them.
 
     A longer context gains at most what the kept next words still cost: minus their summed log-probabilities. Others cost it.
     """
-    own = (F.col("n") - DISCOUNT) / F.col("n_context")
-    p = own + F.col("share") * F.col("below")
+    rest = F.max("n_context") - F.sum("n")
+    sums = entries.groupBy(F.col("context").alias("_context")).agg(rest.alias("rest"), (2 * rest + F.count("n")).alias("left"))
+    share = F.col("left") / (2 * F.col("n_context"))
+    p = (F.col("n") - DISCOUNT) / F.col("n_context") + share * F.col("below")
     gain, cost = F.col("n") * F.log(p / F.col("below")), -F.col("n") * F.log(p)
-    # Where too few other words follow to be kept, a next word is its context's only one, and nothing is summed.
-    lone = F.col("n_context") - F.col("n") < LEAST
-    single = entries.where(lone).withColumn("share", 1 - own).withColumn("rest", F.col("n_context") - F.col("n"))
-    entries = entries.where(~lone)
-    sums = entries.groupBy(F.col("context").alias("_context")).agg(
-        (1 - F.sum(own)).alias("share"), (F.max("n_context") - F.sum("n")).alias("rest")
-    )
-    # Divergence: kept next words by the ratio of both probabilities, all others together by the share they are left.
-    gains = attach(entries, sums, [(F.col("context"), "_context")], "inner").groupBy("context").agg(
+    # Divergence: kept next words by the ratio of both probabilities, all others together by the share they are left. Sums are
+    # the small side, so a table of them saves the sort of the entries.
+    gains = attach(entries, sums.hint("shuffle_hash"), [(F.col("context"), "_context")], "inner").groupBy("context").agg(
         F.sum(gain).alias("gain"),
         F.sum(cost).alias("cost"),
-        F.max("share").alias("share"),
+        F.max("n_context").alias("n_context"),
+        F.max("left").alias("left"),
         F.max("rest").alias("rest"),
     )
-    gains = gains.unionByName(single.select("context", gain.alias("gain"), cost.alias("cost"), "share", "rest"))
-    states = gains.where(F.col("gain") + F.col("rest") * F.log("share") >= GAIN)
-    return states.select("context", "share", (F.col("cost") >= GAIN).alias("grows"))
+    states = gains.where(F.col("gain") + F.col("rest") * F.log(share) >= GAIN)
+    return states.select("context", "n_context", "left", (F.col("cost") >= GAIN).alias("grows"))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -95,3 +95,53 @@ def test_words_are_encoded_once_without_the_marks_behind_them():
     for _ in range(2):
         assert [np.frombuffer(ids, np.uint32).tolist() for ids in encoder([text.encode() for text in said])] == want
     assert seen.count("stem") == 1 and not {"stem,", "stem.", "stem;"} & {*seen}
+
+
+def grown(spark):
+    rows = [(k, " ".join("stop " + "go " * (1 + zlib.crc32(b"%d %d" % (k, j)) % 9) for j in range(40))) for k in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_suffix_tree_drops_entries_before_shares_are_asked(spark, monkeypatch):
+    """What states are found from is gone when their shares are handed on, and a share takes no more than a count."""
+    left, said, exchange, shares = [], [], suffix_tree.exchange, suffix_tree.shares
+
+    def spied(asks, answer, name, *more):
+        if answer is shares:
+            tables = [spark.table(t.name) for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+            left.extend(t.where("below IS NOT NULL").count() for t in tables if "below" in t.columns)
+            said.append(asks.where("block = -1").selectExpr("sum(length(given)) / sum(length(asked))").first()[0])
+        return exchange(asks, answer, name, *more)
+
+    monkeypatch.setattr(suffix_tree, "exchange", spied)
+    assert suffix_tree.score_documents(grown(spark)).count() == 60
+    assert len(left) > 2 and not any(left)
+    assert len(said) == len(left) and all(x < 1 for x in said if x is not None)
+
+
+def test_suffix_tree_deals_small_fronts_to_fewer_tasks(spark, monkeypatch):
+    files, keyed = [], suffix_tree.Keyed
+
+    def spied(df, *args, **more):
+        table = keyed(df, *args, **more)
+        files.append(("pos" in df.columns, len({f.rsplit("_", 1)[-1] for f in table.frame().inputFiles()}), table.frame().rdd.getNumPartitions()))
+        return table
+
+    monkeypatch.setattr(suffix_tree, "Keyed", spied)
+    assert suffix_tree.score_documents(grown(spark).repartition(8)).count() == 60
+    assert files[-1][0] and files[-1][2] == 1 < int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_values_are_numbered_by_one_sort():
+    """As numpy's unique does, also where values share their upper bits and come in the wrong order."""
+    draw = np.random.default_rng(5)
+    near = np.uint64(1 << 63) + draw.integers(0, 40, 50_000).astype(np.uint64)
+    for value in (
+        draw.integers(0, 1 << 64, 5000, np.uint64),
+        np.concatenate([near, draw.integers(0, 1 << 64, 1000, np.uint64), near[::-1]]),
+        np.array([(1 << 64) - 1, 0, 1 << 63, 0], np.uint64),
+        np.full(3, 7, np.uint64),
+        np.empty(0, np.uint64),
+    ):
+        for got, want in zip(suffix_tree.numbered(value), np.unique(value, return_index=True, return_inverse=True), strict=True):
+            assert np.array_equal(got, want)

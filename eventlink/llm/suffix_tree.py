@@ -17,7 +17,8 @@ block asks for its distinct sequences, dealt out by ranges of their hashes; each
 block (:func:`exchange`). A message holds a block's sorted hashes of a range and a byte for most counts; the number of ranges follows the number of
 tokens, so a range's size does not, and there is a message for each block and range, as there is a segment in a shuffle. One of the blocks that
 ask for a sequence owns it and hands it on as a next word of its context; shares and
-gains of contexts are aggregates, and blocks ask for the shares of their own contexts.
+gains of contexts are aggregates, unless a context has one kept next word only, and blocks ask for the shares of their own contexts.
+Entries go before the shares are handed on, as counts. Fronts of few tokens lie in fewer files, and their sequences in fewer ranges.
 
 Hashes have 64 bits. Null and empty texts consist of the end alone. Repeated rows count and are scored as often as they occur. Null
 ids count as an empty string in the split. Columns other than doc_id and text are left out. An empty table gives an empty

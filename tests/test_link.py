@@ -290,6 +290,54 @@ def test_pairs_are_labelled_on_the_sides(spark):
     ]
 
 
+def scattered(spark, n, first):
+    """Rows of one zone at scattered instants of two days, in no order of time."""
+    at = F.pmod(F.xxhash64("id"), F.lit(172_800)).cast("int")
+    rows = spark.range(first, first + n).select("id", (F.lit(BASE).cast("timestamp_ntz") + F.make_dt_interval(secs=at)).alias("ts"))
+    return rows.withColumn("zone", F.lit("00001"))
+
+
+def test_pairs_are_read_off_arrays(spark):
+    """What is joined are causes and pieces of the effects; pairs appear where a piece is taken apart."""
+    causes, effects = Side(scattered(spark, 300, 0), "cause"), Side(scattered(spark, 3 * link.PIECE + 5, 10_000), "effect")
+    found = link.pairs(causes, effects, Rule(hours=24))
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    taken, joined = (next(i for i, line in enumerate(lines) if word in line) for word in ("explode(_rows", "Join"))
+    assert taken < joined
+    told = found.agg(F.count("*"), F.countDistinct("id_cause", "id_effect")).first()
+    wanted = link.with_effects(causes, effects, rule=Rule(hours=24)).frame.agg(F.sum("number_of_effect")).first()[0]
+    assert tuple(told) == (wanted, wanted) and wanted > 100 * link.PIECE
+
+
+@pytest.mark.parametrize("hours", [24.0, None])
+def test_pieces_meet_like_rows(spark, hours):
+    """Many rows at one instant, repeated and unknown ids, rows without time or zone."""
+    n = 2 * link.PIECE + 3
+    effects = [(i // 2 if i % 5 else None, BASE + timedelta(hours=24 * (i % 3)), "00002", "c") for i in range(n)]
+    effects += [(1, None, "00002", "c"), (2, BASE, None, "c"), (None, BASE, "00003", None)]
+    causes = [(1, BASE, "00002", "x"), (1, BASE, "00002", "x"), (None, BASE + timedelta(hours=24), "00001", "y"), (2, BASE, None, "x")]
+    a, c = (Side(spark.createDataFrame(r, "id long, ts timestamp_ntz, zone string, type string"), w, known_unique=True) for w, r in (("cause", causes), ("effect", effects)))
+    rule = Rule(edge_table(spark), hours)
+    wanted = [(x[0], y[0], x[2], y[2]) for x in causes for y in effects if linked(x, y, hours)]
+    found = link.pairs(a, c, rule).select("id_cause", "id_effect", "zone_cause", "zone_effect").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
+    outer = link.outer(a, c, rule)
+    assert outer.columns[:4] == ["id_cause", "ts_cause", "zone_cause", "type_cause"]
+    both = outer.filter("number_of_effect_cause > 0 AND number_of_cause_effect > 0").select("id_cause", "id_effect", "zone_cause", "zone_effect").collect()
+    assert sorted(map(str, map(tuple, both))) == sorted(map(str, wanted))
+
+
+def test_written_listing_is_small(spark, tmp_path):
+    """The effects of a cause lie in order of time, so the lists of two causes repeat each other and pack well."""
+    causes, effects = scattered(spark, 600, 0), scattered(spark, 3_000, 10_000)
+    found = link.outer(Side(causes, "cause"), Side(effects, "effect"), Rule(hours=24)).select("id_cause", "id_effect")
+    found.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows > 600_000
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size / rows < 0.65, size / rows
+
+
 def test_outer_takes_counts_as_given(spark):
     causes, effects = random_rows(12, 50, 0), random_rows(13, 50, 1000)
     a, c = side(spark, "cause", causes), side(spark, "effect", effects)
